@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from dossier.llm import pii
+from dossier.llm import decontaminate, line_dedup, pii
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_pii": pii.op4_pii,
 }
 ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op2_line_dedup": line_dedup.SQL,
     "op4_pii": pii.SQL,
 }
