@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, line_dedup, packing, pii
+from dossier.llm import decontaminate, language, line_dedup, packing, pii
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_pii": pii.op4_pii,
     "op6_packing": packing.op6_packing,
+    "op8_language": language.op8_language,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
