@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, language, line_dedup, packing, pii
+from dossier.llm import decontaminate, language, line_dedup, packing, pii, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op6_packing": packing.op6_packing,
     "op8_language": language.op8_language,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
