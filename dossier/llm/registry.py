@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, language, line_dedup, packing, pii, quality
+from dossier.llm import decontaminate, language, line_dedup, ngram_join, packing, pii, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_pii": pii.op4_pii,
     "op6_packing": packing.op6_packing,
     "op8_language": language.op8_language,
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_line_dedup": line_dedup.SQL,
+    "op3_ngram_join": ngram_join.SQL,
     "op4_pii": pii.SQL,
 }
