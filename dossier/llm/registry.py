@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, language, line_dedup, ngram_join, packing, pii, quality
+from dossier.llm import decontaminate, embedding_dedup, language, line_dedup, ngram_join, packing, pii, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op6_packing": packing.op6_packing,
     "op8_language": language.op8_language,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op2_line_dedup": line_dedup.SQL,
     "op3_ngram_join": ngram_join.SQL,
     "op4_pii": pii.SQL,
+    "op9_embedding_dedup": embedding_dedup.SQL,
 }
