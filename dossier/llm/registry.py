@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, embedding_dedup, language, line_dedup, ngram_join, packing, pii, quality
+from dossier.llm import decontaminate, embedding_dedup, language, line_dedup, ngram_join, packing, pii, quality, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_pii": pii.op4_pii,
+    "op5_warc": warc.op5_warc,
     "op6_packing": packing.op6_packing,
     "op8_language": language.op8_language,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
@@ -19,5 +20,6 @@ ORACLE_SQL = {
     "op2_line_dedup": line_dedup.SQL,
     "op3_ngram_join": ngram_join.SQL,
     "op4_pii": pii.SQL,
+    "op5_warc": warc.SQL,
     "op9_embedding_dedup": embedding_dedup.SQL,
 }
