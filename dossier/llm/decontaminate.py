@@ -29,9 +29,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, doc): doc is the same for equal rows alone."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The columns kept, and `doc`, which is the same for equal documents alone."""
+    return docs.select(*keep, F.xxhash64("doc_id", "text").alias("doc"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -92,13 +92,13 @@ def _covered(text: Column, c: Column) -> Column:
     return F.array_distinct(F.flatten(F.flatten(runs)))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """One row for each row of docs: doc_id, text, n_words, n_hit, items (sorted), contaminated.
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """One row for each row of docs: the columns kept, n_words, n_hit, items (sorted), contaminated.
 
     n_hit: words inside any occurrence of `window` consecutive words of an item; contaminated: any
     hit, and hits make at least 1 / share of the words.
     """
-    docs = keyed(docs)
+    docs = keyed(docs, keep)
     items = stored(phrases(items, window), "items")
     terms = items.select(F.explode("words").alias("term")).distinct()
     index = build_index(docs, terms)
@@ -111,9 +111,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
             F.transform(F.coalesce("found", F.array().cast(by_doc.schema["found"].dataType)), lambda c: F.struct(c["item"].alias("item"), _covered(text, c).alias("at"))).alias("hits"),
         ),
     )[0]
-    read = joined.select("doc_id", "text", hits.alias("r")).select("doc_id", "text", "r.n_words", F.filter("r.hits", lambda h: F.size(h["at"]) > 0).alias("hits"))
+    read = joined.select(*keep, hits.alias("r")).select(*keep, "r.n_words", F.filter("r.hits", lambda h: F.size(h["at"]) > 0).alias("hits"))
     counted = read.select(
-        "doc_id", "text", "n_words",
+        *keep, "n_words",
         F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["at"])))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("items"),
     )

@@ -138,23 +138,23 @@ def infer(model: LanguageModel, texts: list[str]) -> list[list[tuple[str, float]
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred, score (the predicted language's share), languages ("en:0.91,fr:0.09")."""
+def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """docs with lang_pred, score (the predicted language's share) and languages ("en:0.91,fr:0.09")."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = sent.value
-        for rows in batches:
-            texts = [t if t and LETTER.search(t) else "" for t in rows["text"]]
+        for column in batches:
+            texts = [t if t and LETTER.search(t) else "" for t in column]
             found = [x for a, b in runs(texts) for x in infer(model, texts[a:b])]
             yield pd.DataFrame({
-                "doc_id": rows["doc_id"],
                 "lang_pred": [f[0][0] if f else "und" for f in found],
                 "score": [min(1.0, f[0][1]) if f else 0.0 for f in found],
                 "languages": [",".join(f"{k}:{v:.2f}" for k, v in f) for f in found],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(predict, "doc_id long, lang_pred string, score double, languages string")
+    found = F.pandas_udf(predict, "lang_pred string, score double, languages string")(F.col("text"))
+    return docs.withColumn("_found", found).select(*docs.columns, "_found.*")
 
 
 def fold(n: int):
@@ -169,4 +169,4 @@ def learned(docs: DataFrame) -> LanguageModel:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
-    return identify(docs, learned(docs)).select("doc_id", held_out, "lang_pred", "score", "languages")
+    return with_language(docs.select("doc_id", "text"), learned(docs)).select("doc_id", held_out, "lang_pred", "score", "languages")

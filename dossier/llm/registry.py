@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, embedding_dedup, language, line_dedup, ngram_join, packing, pii, quality, warc
+from dossier.llm import decontaminate, embedding_dedup, language, licenses, line_dedup, ngram_join, packing, pii, quality, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_warc": warc.op5_warc,
     "op6_packing": packing.op6_packing,
+    "op7_licenses": licenses.op7_licenses,
     "op8_language": language.op8_language,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_quality": quality.op10_quality,
@@ -21,5 +22,6 @@ ORACLE_SQL = {
     "op3_ngram_join": ngram_join.SQL,
     "op4_pii": pii.SQL,
     "op5_warc": warc.SQL,
+    "op7_licenses": licenses.SQL,
     "op9_embedding_dedup": embedding_dedup.SQL,
 }
