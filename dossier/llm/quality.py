@@ -21,7 +21,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import table
+from dossier.llm.common import broadcast_up_to, table
 from dossier.llm.language import fold
 
 CHUNK, HOP, WIDTH, STRIDE = 256, 128, 12, 2
@@ -152,13 +152,18 @@ def scores(net: Network, texts: list[str], size: int = 1024) -> np.ndarray:
     return sigmoid(np.concatenate([sums / np.maximum(n, 1)[:, None], tops], 1) @ net.out + net.base)
 
 
-def fit(labelled: DataFrame, docs: int = FIT_DOCS, size: int = FIT_BYTES) -> Network | None:
-    """labelled: (doc_id, text, label). A sample bounded in rows and bytes is fitted in the driver."""
-    n, mean = labelled.agg(F.count("*"), F.avg(F.octet_length("text"))).first()
-    share = min(1.0, docs / max(n, 1), size / max((mean or 0) * n, 1))
-    drawn = labelled.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = drawn.select("doc_id", "text", "label").orderBy("doc_id").collect()
-    return train([r["text"] or "" for r in rows], [r["label"] for r in rows])
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_DOCS, size: int = FIT_BYTES) -> Network | None:
+    """docs: (doc_id, text); labels: (doc_id, label). A sample bounded in rows and bytes is fitted in the driver.
+
+    The labels are drawn before the join, so that only a bounded number of ids is sent to the texts.
+    """
+    place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
+    n = labels.count()
+    drawn = docs.join(broadcast_up_to(labels.filter(place < F.lit(rows / max(n, 1))), 2 * rows), "doc_id")
+    total = drawn.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    share = min(1.0, rows / max(n, 1)) * min(1.0, size / max(total, 1))
+    found = drawn.filter(place < F.lit(share)).select("doc_id", "text", "label").orderBy("doc_id").collect()
+    return train([r["text"] or "" for r in found], [r["label"] for r in found])
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -176,5 +181,5 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     known = labels.filter((fold(3) != 1) & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
-    net = fit(docs.join(known, "doc_id"))
+    net = fit(docs, known)
     return score(docs, net).select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
