@@ -1,6 +1,11 @@
-"""Queries over the driver's tables, and DuckDB SQL for their results."""
+"""Queries over the given tables by name, and DuckDB SQL for their results."""
 
 from __future__ import annotations
 
+from dossier.plans import relational
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _part in (relational,):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
