@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dossier.plans import relational
+from dossier.plans import graphs, relational
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (relational,):
+for _part in (relational, graphs):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
