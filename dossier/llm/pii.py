@@ -112,7 +112,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     #: A kind's patterns run only over texts that hold a sign of it.
     signs = {"email": F.contains(whole, F.lit("@")), "phone": F.contains(whole, F.lit("+"))}
     some = F.array().cast(SPAN)
-    alone = lambda s: ~F.concat(F.substr(whole, s["start"], F.lit(1)), F.substr(whole, s["end"] + 1, F.lit(1))).rlike("[A-Za-z0-9]")
+    alone = lambda s: ~F.concat(F.when(s["start"] > 0, F.substr(whole, s["start"], F.lit(1))).otherwise(""), F.substr(whole, s["end"] + 1, F.lit(1))).rlike("[A-Za-z0-9]")
     holds = lambda k: lambda s: confirmed(k, s["value"]) & (alone(s) if k == "iban" else F.lit(True))
     found = [
         F.when(signs.get(k, whole.rlike("[0-9]")), F.filter(proposals(whole, k), holds(k))).otherwise(some)
