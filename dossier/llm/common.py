@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from dossier.operators.components import shared_dir, stored
 
-__all__ = ["ascii_lower", "broadcast_up_to", "shared_dir", "stored", "table"]
+__all__ = ["ascii_lower", "bounded_batches", "broadcast_up_to", "shared_dir", "stored", "table"]
+
+#: Rows of text that Spark hands to Python at once: whole texts may be long, and a batch is held in memory.
+BATCH_ROWS = 500
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands Python tasks at most BATCH_ROWS rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if df was counted to hold at most max_rows; else Spark plans a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import table
+from dossier.llm.common import bounded_batches, table
 
 BINS = 1 << 16
 #: Labelled documents of each language that are read for its n-grams, about (drawn by a hash of the id).
@@ -58,7 +58,7 @@ class LanguageModel:
         return np.add.reduceat(self.logs[code], first, axis=0) * np.float32(TEMPER) if len(first) else np.zeros((0, len(self.names)), np.float32)
 
 
-def runs(texts: list[str], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def runs(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about so many characters, which bound the arrays at work."""
     first = total = 0
     for i, t in enumerate(texts):
@@ -89,7 +89,7 @@ def fit(labelled: DataFrame, per_language: int = FIT_DOCS) -> LanguageModel:
             at = np.flatnonzero(got)
             yield pd.DataFrame({"lang": lang, "bin": at, "n": got[at]})
 
-    counts = drawn.mapInPandas(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most languages x BINS rows
+    counts = bounded_batches(drawn).mapInPandas(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most languages x BINS rows
     grid = np.full((BINS, len(names)), 0.2)
     grid[counts["bin"], counts["lang"].map(names.index).astype(int)] += counts["n"]
     return LanguageModel(names, np.log(grid / grid.sum(0)).astype(np.float32))
@@ -154,7 +154,7 @@ def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
             })
 
     found = F.pandas_udf(predict, "lang_pred string, score double, languages string")(F.col("text"))
-    return docs.withColumn("_found", found).select(*docs.columns, "_found.*")
+    return bounded_batches(docs).withColumn("_found", found).select(*docs.columns, "_found.*")
 
 
 def fold(n: int):

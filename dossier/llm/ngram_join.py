@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.llm.common import stored, table
+from dossier.llm.common import bounded_batches, stored, table
 from dossier.operators.components import connected_components
 
 N_WORDS, PERCENT = 4, 85
 #: Share of the hash range that is posted; members a verification block holds; postings a range task holds, about.
 POSTED, BLOCK, RANGE_ROWS = 0.25, 192, 400_000
+#: Postings a task holds before it passes them on.
+HELD = 600_000
 #: Documents sampled to find common shingles, and the share of them that makes one common.
 SAMPLE_DOCS, COMMON = 4000, 0.01
 
@@ -156,7 +158,7 @@ def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
                 for column, value in zip(out, (doc, one, two, len(h), low, high, h[is_common][: max(p - low - high, 0)].tobytes(), None, None, None), strict=True):
                     column.append(value)
                 if len(h) and doc is not None and one not in seen:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(one)
                     own = rare[: low + high]
@@ -164,13 +166,13 @@ def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
                     owners.append(np.full(len(own), one, np.int64))
                     held += len(own)
             yield _batch(out)
-            if held > 2_000_000:
+            if held > HELD:
                 yield postings()
                 keys, owners, held = [], [], 0
         if held:
             yield postings()
 
-    return docs.select("doc_id", "text").mapInArrow(build, SETS)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(build, SETS)
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
@@ -191,7 +193,7 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
             yield pd.DataFrame({"h": np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)})
 
     least = max(20, int(COMMON * min(total, SAMPLE_DOCS)))
-    found = drawn.select("text").mapInPandas(each, "h long").groupBy("h").count().filter(F.col("count") >= least).select("h").collect()
+    found = bounded_batches(drawn).select("text").mapInPandas(each, "h long").groupBy("h").count().filter(F.col("count") >= least).select("h").collect()
     return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
 
 
@@ -271,7 +273,7 @@ def blocks(members: DataFrame) -> DataFrame:
     """
     sizes = stored(members.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
     members = members.join(sizes, "cluster")
-    tasks = F.lit(max(1, members.count() // 2000))
+    tasks = F.lit(max(1, members.count() // 1000))
     small = members.filter(F.col("n") <= BLOCK).select("sig", F.pmod(F.xxhash64("cluster"), tasks).alias("task"), "cluster", F.lit(0).alias("side"))
     large = members.filter(F.col("n") > BLOCK)
     parts = stored(large.groupBy("cluster", "bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "parts")

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossier.llm.common import stored, table
+from dossier.llm.common import bounded_batches, stored, table
 
 CAPACITY, END = 2048, 1
 #: Kept chunk encodings of a task; the memory is dropped when it is full.
-MEMO = 400_000
+MEMO = 150_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Byte-level BPE files write bytes as printable characters: these stand for themselves.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -103,7 +103,7 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-def runs(docs: list, texts: list[str], chars: int = 8 << 20) -> Iterator[tuple[list, list[str]]]:
+def runs(docs: list, texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
     """Runs of rows of about so many characters, which bound what is encoded at once."""
     first = total = 0
     for i, text in enumerate(texts):
@@ -129,7 +129,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY)
                     rows += [(doc, s, min(capacity, len(own) - s), zlib.crc32(own[s : s + capacity]), len(own)) for s in range(0, len(own), capacity)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECE)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(cut, PIECE)
 
 
 def fullest(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:

@@ -21,7 +21,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import broadcast_up_to, table
+from dossier.llm.common import bounded_batches, broadcast_up_to, table
 from dossier.llm.language import fold
 
 CHUNK, HOP, WIDTH, STRIDE = 256, 128, 12, 2
@@ -175,7 +175,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
             s = np.full(len(rows), 0.5) if net is None else scores(net, [t or "" for t in rows["text"]])
             yield pd.DataFrame({"doc_id": rows["doc_id"], "score": s, "predicted": (s >= 0.5).astype(int)})
 
-    return docs.select("doc_id", "text").mapInPandas(predict, "doc_id long, score double, predicted int")
+    return bounded_batches(docs).select("doc_id", "text").mapInPandas(predict, "doc_id long, score double, predicted int")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
