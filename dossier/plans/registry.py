@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dossier.plans import graphs, relational
+from dossier.plans import graphs, relational, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (relational, graphs):
+for _part in (relational, graphs, texts):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
