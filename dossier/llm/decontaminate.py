@@ -77,10 +77,14 @@ def anchors(items: DataFrame, index: DataFrame, rarest: int = RAREST) -> DataFra
 
 def candidates(items: DataFrame, index: DataFrame, rarest: int = RAREST) -> DataFrame:
     """(doc, item, words, width, at): where the item's first word would stand if one of its windows occurs."""
-    wanted = broadcast_up_to(stored(anchors(items, index, rarest), "anchors"), BROADCAST_ROWS)
-    met = index.join(wanted, "term").select("doc", "item", "words", "width", "needs", "j", (F.col("pos") - F.col("j")).alias("at"))
-    lists = met.groupBy("doc", "item", "words", "width", "needs", "at").agg(F.collect_set("j").alias("found"))
-    return lists.filter(F.exists("needs", lambda n: F.size(F.array_except(n, F.col("found"))) == 0)).select("doc", "item", "words", "width", "at")
+    chosen = stored(anchors(items, index, rarest).withColumn("phrase", F.xxhash64("item", "words")), "anchors")
+    wanted = broadcast_up_to(chosen.select("term", "phrase", "j"), BROADCAST_ROWS)
+    met = index.join(wanted, "term").select("doc", "phrase", "j", (F.col("pos") - F.col("j")).alias("at"))
+    #: Only numbers are shuffled; the phrases' words join the few places that are left.
+    lists = met.groupBy("doc", "phrase", "at").agg(F.collect_set("j").alias("found"))
+    known = broadcast_up_to(chosen.select("phrase", "item", "words", "width", "needs").distinct(), BROADCAST_ROWS // 10)
+    some = lists.join(known, "phrase").filter(F.exists("needs", lambda n: F.size(F.array_except(n, F.col("found"))) == 0))
+    return some.select("doc", "item", "words", "width", "at")
 
 
 def _covered(text: Column, c: Column) -> Column:

@@ -87,8 +87,9 @@ def step(net: Network, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray
     x = features(top, starts, n)
     err = (sigmoid(x @ net.out + net.base) - y) * weight / len(docs)
     d_out, d_x = x.T @ err, err[:, None] * net.out
-    leads = top == x[which, FILTERS:]
-    d_top = d_x[which, :FILTERS] / n[which][:, None] + np.where(leads, d_x[which, FILTERS:], 0)
+    leads = (top == x[which, FILTERS:]).astype(np.float64)
+    leads /= np.add.reduceat(leads, starts)[which]  # equal chunks share what the maximum gets
+    d_top = d_x[which, :FILTERS] / n[which][:, None] + leads * d_x[which, FILTERS:]
     d_top *= 1 - top**2
     d_filters, d_embed = np.zeros_like(net.filters), np.zeros_like(net.embed)
     grid = at[:, :, None] * STRIDE + np.arange(WIDTH)  # chunks x FILTERS x WIDTH
