@@ -153,7 +153,8 @@ def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 "languages": [",".join(f"{k}:{v:.2f}" for k, v in f) for f in found],
             })
 
-    found = F.pandas_udf(predict, "lang_pred string, score double, languages string")(F.col("text"))
+    #: Told to be nondeterministic, it is not evaluated once more for a filter on its result.
+    found = F.pandas_udf(predict, "lang_pred string, score double, languages string").asNondeterministic()(F.col("text"))
     return bounded_batches(docs).withColumn("_found", found).select(*docs.columns, "_found.*")
 
 
