@@ -38,9 +38,10 @@ SPAN = "array<struct<layer:int,start:int,end:int,node_type:string,value:string,c
 SNIPPET = 280
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>>: all matches with their places, from the gaps between them."""
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
     kind = "array<struct<start:int,end:int,value:string>>"
 
     def step(acc: Column, x: Column) -> Column:
@@ -133,7 +134,7 @@ def aliases(persons: DataFrame) -> DataFrame:
     return alone.groupBy("evidence_id", "token").agg(F.max_by("value", "slot").alias("value"), F.max_by("normalized", "slot").alias("normalized"))
 
 
-def mentions(evidence: DataFrame, entities: DataFrame, longest: int | None = 2000) -> DataFrame:
+def mentions(evidence: DataFrame, entities: DataFrame, longest: int | None = None) -> DataFrame:
     """evidence_id, case_id, position, sentence, node_type, value, normalized, at: entities of a document in its sentences.
 
     A whole value (any case) has its place; one found only in normalised form, or by an alias, counts as place -1. An
@@ -144,15 +145,17 @@ def mentions(evidence: DataFrame, entities: DataFrame, longest: int | None = 200
     whole = met.filter((F.col("at") >= 0) | F.contains(normalized(F.col("node_type"), F.col("sentence")), F.col("normalized")))
     taken = whole.filter("at >= 0").groupBy("evidence_id", "position").agg(F.collect_list(F.struct("at", (F.col("at") + F.char_length("value")).alias("end"))).alias("taken"))
     named = aliases(entities.filter("node_type = 'Person'"))
-    hits = s.join(named, "evidence_id").join(whole.select("evidence_id", "position", "normalized"), ["evidence_id", "position", "normalized"], "left_anti")
-    hits = hits.join(taken, ["evidence_id", "position"], "left").withColumn("places", matches(F.concat(F.lit(" "), F.regexp_replace("low", r"(?U)[^\w]", " "), F.lit(" ")), r"(?U)\w+"))
-    free = F.exists("places", lambda p: (p["value"] == F.col("token")) & ~F.coalesce(F.exists("taken", lambda t: (t["at"] < p["end"] - 1) & (p["start"] - 1 < t["end"])), F.lit(False)))
+    #: Only a token of word characters can stand alone; looking for it first spares long sentences the search for its places.
+    held = s.join(named, "evidence_id").filter(F.col("token").rlike(r"(?U)^\w+$") & F.contains("low", F.col("token")))
+    hits = held.join(whole.select("evidence_id", "position", "normalized"), ["evidence_id", "position", "normalized"], "left_anti")
+    hits = hits.join(taken, ["evidence_id", "position"], "left").withColumn("places", matches(F.concat(F.lit(" "), F.col("low"), F.lit(" ")), F.concat(F.lit(r"(?U)(?<!\w)"), F.col("token"), F.lit(r"(?!\w)"))))
+    free = F.exists("places", lambda p: ~F.coalesce(F.exists("taken", lambda t: (t["at"] < p["end"] - 1) & (p["start"] - 1 < t["end"])), F.lit(False)))
     hits = hits.filter(free).withColumn("node_type", F.lit("Person")).withColumn("at", F.lit(-1))
     cols = ["evidence_id", "case_id", "position", "sentence", "low", "node_type", "value", "normalized", "at"]
     return whole.select(*cols).unionByName(hits.select(*cols))
 
 
-def extract_relations(evidence: DataFrame, entities: DataFrame, longest: int | None = 2000) -> DataFrame:
+def extract_relations(evidence: DataFrame, entities: DataFrame, longest: int | None = None) -> DataFrame:
     """evidence_id, case_id, src, dst, src_type, dst_type, edge_type, confidence, snippet, engine, valid_from.
 
     A sentence's entities stand in order of place; verbs and pairs of types make the edge. The first sentence keeps an

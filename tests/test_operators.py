@@ -45,6 +45,20 @@ def test_relations(spark):
     assert relations(spark, "Rahul Sharma and Vikram Patil.", people) == {("rahul sharma", "ASSOCIATED_WITH", "vikram patil", 0.45, "None")}
 
 
+def test_relations_of_a_long_sentence(spark):
+    """Against brute force: every pair of persons in order of place, and every person with every vehicle."""
+    names = ["Rahul Sharma", "Vikram Patil", "Anita Rao", "Sunil Joshi"]
+    text = "then " * 300 + "Anita Rao called " + "and then " * 400 + "Rahul Sharma, " + "later " * 500 + "Vikram Patil and Sunil Joshi who owns MH12AB1234"
+    people = [("Person", n, n.lower()) for n in names]
+    order = sorted(names, key=text.index)
+    assert len(text) > 2000 and not re.search(X.SENTENCE_END.removeprefix("(?U)"), text)
+    want = {(a.lower(), "CALLED", b.lower(), 0.60, "None") for i, a in enumerate(order) for b in order[i + 1 :]} | {(a.lower(), "OWNS", "MH12AB1234", 0.60, "None") for a in order}
+    assert relations(spark, text, [*people, ("Vehicle", "MH12AB1234", "MH12AB1234")]) == want
+    #: Aliases: a first or last name counts where it is a word and no whole name covers it.
+    said = "x " * 1200 + "Patil called Rahul, not Raokin"
+    assert relations(spark, said, people) == {("rahul sharma", "CALLED", "vikram patil", 0.60, "None")}
+
+
 def test_classify_and_intent(spark):
     rows = [("a.jpg", "", "", "photo"), ("x.csv", "", "", "cdr"), ("FIR_12.pdf", "", "", "fir"), ("x.pdf", "", "IFSC code and narration", "bank_statement"), ("x.bin", "audio/mp3", "", "audio_transcript"), (None, None, None, "other"), ("jpg", "", "", "other")]
     df = spark.createDataFrame(rows, "name string, mime string, body string, want string")
