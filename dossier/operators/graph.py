@@ -63,23 +63,25 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> Dat
     """(a, b, hops, path, evidence) for pairs (a, b) connected within max_hops (1 to 5), whichever way edges point.
 
     Parallel edges stand for their most confident one. Of equally short paths the one whose confidences, in order, are
-    higher wins, then the smaller keys; a pair without a path has no row. All pairs advance together; a step keeps one
-    best path for each (pair, node).
+    higher wins, then the smaller keys; a pair without a path has no row. All starts advance together, whatever number of
+    ends each has; a step keeps one best path for each (start, node), and a start stops when all its ends are found.
     """
     best = both_ways(edges, "edge_type", "confidence").groupBy("a", "b").agg(F.max(F.struct("confidence", "edge_type")).alias("e"))
     best = stored(best.select(F.col("a").alias("at"), F.col("b").alias("to"), "e.confidence", "e.edge_type"), "best-edges")
-    front = pairs.select("a", "b", F.col("a").alias("at"), F.array("a").alias("path"), F.array().cast("array<string>").alias("types"), F.array().cast("array<double>").alias("cost"))
-    done, seen = front.filter("a = b"), front.select("a", "b", "at")
+    asked = stored(pairs.select("a", "b"), "pairs")
+    front = asked.select("a").distinct().select("a", F.col("a").alias("at"), F.array("a").alias("path"), F.array().cast("array<string>").alias("types"), F.array().cast("array<double>").alias("cost"))
+    reached = lambda front: asked.join(front.withColumnRenamed("at", "b"), ["a", "b"])
+    done, seen = reached(front), front.select("a", "at")
+    left = asked.filter("a <> b")
     for _ in range(max(1, min(5, max_hops))):
-        step = front.filter("at <> b").join(best, "at").select(
-            "a", "b", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("types", F.array("edge_type")).alias("types"), F.concat("cost", F.array(-F.col("confidence"))).alias("cost"),
+        step = front.join(left.select("a").distinct(), "a", "left_semi").join(best, "at").select(
+            "a", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("types", F.array("edge_type")).alias("types"), F.concat("cost", F.array(-F.col("confidence"))).alias("cost"),
         )
-        step = step.join(seen, ["a", "b", "at"], "left_anti")
-        front = stored(step.groupBy("a", "b", "at").agg(F.min(F.struct("cost", "path", "types")).alias("p")).select("a", "b", "at", "p.path", "p.types", "p.cost"), "front")
-        seen = seen.unionByName(front.select("a", "b", "at"))
-        found = front.filter("at = b")
-        done = done.unionByName(found)
-        front = front.join(found.select("a", "b"), ["a", "b"], "left_anti")
+        step = step.join(seen, ["a", "at"], "left_anti")
+        front = stored(step.groupBy("a", "at").agg(F.min(F.struct("cost", "path", "types")).alias("p")).select("a", "at", "p.path", "p.types", "p.cost"), "front")
+        seen = seen.unionByName(front.select("a", "at"))
+        done = done.unionByName(reached(front))
+        left = left.join(front.select("a", F.col("at").alias("b")), ["a", "b"], "left_anti")
     return done.select("a", "b", (F.size("path") - 1).alias("hops"), F.concat_ws(" > ", "path").alias("path"), F.concat_ws(",", "types").alias("evidence"))
 
 

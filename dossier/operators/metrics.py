@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,17 +36,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("key").join(found, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int = 64, sources: DataFrame | None = None) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None, sources: DataFrame | None = None) -> DataFrame:
     """(key, betweenness), directed and unweighted, over all (or the given) sources.
 
-    Levels of all sources advance together: state rows are (source, node, depth, paths). Dependencies then flow back level
+    Levels of all sources advance together until none has a new node: state rows are (source, node, depth, paths). Dependencies then flow back level
     by level. Parallel edges count as one.
     """
     hop = stored(edges.select("src", "dst").distinct(), "hops")
     start = (sources if sources is not None else nodes).select(F.col("key").alias("s"), F.col("key").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
     levels = [stored(start, "level")]
     seen = levels[0].select("s", "v")
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         step = levels[-1].join(hop.withColumnRenamed("src", "v"), "v").select("s", F.col("dst").alias("v"), "paths")
         step = step.join(seen, ["s", "v"], "left_anti").groupBy("s", "v").agg(F.sum("paths").alias("paths"))
         level = stored(step.select("s", "v", F.lit(d).alias("d"), "paths"), "level")

@@ -14,7 +14,8 @@ from dossier.sources.domain import ENTITIES_SQL, RELATIONS_SQL, graph_sql, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-#: Iterative metrics run on edges of at least this confidence, where cases fall into several components.
+#: The queries with this in their SQL run on edges of at least this confidence, where cases fall into several components.
+#: The queries whole_... ask the same of all confirmed edges; most have no SQL, which lists paths and is too slow for them.
 FLOOR = 0.8
 #: Added before rounding for comparison: the engines round halves differently.
 TIE = 1e-9
@@ -25,11 +26,16 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()):
     return register(QUERIES, ORACLE_SQL, sql, dates)
 
 
-def strong(spark, sf_dir):
-    n, e = D.graph(spark, sf_dir, FLOOR)
+def strong(spark, sf_dir, floor=FLOOR):
+    n, e = D.graph(spark, sf_dir, floor)
     return G.stored(n, "nodes"), G.stored(e, "edges")
 
 
+def whole(spark, sf_dir):
+    """The confirmed graph with all its edges."""
+    return strong(spark, sf_dir, 0.0)
+
+
 COMPONENTS_SQL = """
 both_ways as (select distinct src a, dst b from edges union select dst, src from edges),
 reach as (select key a, key b from nodes union select r.a, w.b from reach r join both_ways w on w.a = r.b),
@@ -69,8 +75,8 @@ def betweenness(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    """Has no SQL form; tests check modularity, connectedness and determinism."""
-    return metrics.communities(*strong(spark, sf_dir))
+    """On the whole graph. Has no SQL form; tests check modularity, connectedness and determinism."""
+    return metrics.communities(*whole(spark, sf_dir))
 
 
 @query(with_sql(*STRONG, COMPONENTS_SQL, recursive=True) + "select component community, count(*) size, array_to_string(list_sort(list(key)), ',') members from component group by 1")
@@ -78,9 +84,9 @@ def component_rosters(spark, sf_dir):
     return G.rosters(metrics.components(*strong(spark, sf_dir)).withColumnRenamed("component", "community"))
 
 
-def case_metrics(spark, sf_dir):
-    """key, case_id, node_type, normalized, confidence, degree, pagerank, betweenness, component on the strong graph."""
-    n, e = strong(spark, sf_dir)
+def case_metrics(spark, sf_dir, graph=strong):
+    """key, case_id, node_type, normalized, confidence, degree, pagerank, betweenness, component on the strong (or given) graph."""
+    n, e = graph(spark, sf_dir)
     m = n.select("key", "case_id", "node_type", "normalized", "confidence")
     for part in (G.degrees(n, e).drop("case_id"), metrics.pagerank(n, e), metrics.betweenness(n, e), metrics.components(n, e)):
         m = m.join(part, "key")
@@ -170,6 +176,68 @@ def shortest_paths(spark, sf_dir):
     return G.shortest_paths(e, pairs).select("a", "b", "hops")
 
 
+@query(with_sql(*GRAPH, COMPONENTS_SQL, recursive=True) + "select key, component from component")
+def whole_components(spark, sf_dir):
+    return metrics.components(*whole(spark, sf_dir))
+
+
+@query(with_sql(*GRAPH, COMPONENTS_SQL, recursive=True) + "select component community, count(*) size, array_to_string(list_sort(list(key)), ',') members from component group by 1")
+def whole_component_rosters(spark, sf_dir):
+    return G.rosters(metrics.components(*whole(spark, sf_dir)).withColumnRenamed("component", "community"))
+
+
+@query()
+def whole_betweenness(spark, sf_dir):
+    return metrics.betweenness(*whole(spark, sf_dir)).select("key", F.round(F.col("betweenness") + TIE, 6).alias("betweenness"))
+
+
+@query()
+def whole_bridges(spark, sf_dir):
+    _, e, m = case_metrics(spark, sf_dir, whole)
+    return G.bridges(m.withColumnRenamed("component", "community"), e).withColumn("betweenness", F.round(F.col("betweenness") + TIE, 6))
+
+
+@query()
+def whole_top_players(spark, sf_dir):
+    """A feature limit: 15 a case."""
+    _, _, m = case_metrics(spark, sf_dir, whole)
+    return G.top_players(m.withColumn("pagerank", F.round("pagerank", 9))).select("key", "case_id", "degree", "rank")
+
+
+@query()
+def whole_risk_scores(spark, sf_dir):
+    _, _, m = case_metrics(spark, sf_dir, whole)
+    return scoring.risk_scores(m, A.cross_case_counts(D.entities(spark, sf_dir))).select("key", F.round(F.col("score") + TIE, 3).alias("score"), "level")
+
+
+@query(with_sql(*GRAPH, COMPONENTS_SQL, recursive=True) + """
+select e.case_id, 'weak_evidence_community' kind, 'low' severity, round(greatest(0.55, round(1 - avg(confidence), 9)) + 1e-9, 3) confidence, component subject, count(*) size
+from edges e join component c on c.key = e.src group by 1, component having count(*) >= 2 and avg(confidence) < 0.5""")
+def whole_weak_communities(spark, sf_dir):
+    """Over the components of the whole graph, with its own confidences."""
+    n, e = whole(spark, sf_dir)
+    return scoring.weak_communities(e, metrics.components(n, e).withColumnRenamed("component", "community"))
+
+
+@query(with_sql(*GRAPH, """centres as (select key from nodes where entity_id % 20 = 0),
+both_ways as (select src a, dst b from edges union select dst, src from edges),
+h1 as (select key, 0 hops from centres union select b, 1 from both_ways where a in (select key from centres)),
+h2 as (select * from h1 union select b, 2 from both_ways where a in (select key from h1))""") + "select key, min(hops) hops from h2 group by 1")
+def whole_neighbourhoods(spark, sf_dir):
+    """Around the fixed query set: nodes of any type whose id is divisible by 20."""
+    n, e = whole(spark, sf_dir)
+    return G.neighbourhood(e, n.filter("entity_id % 20 = 0"), 2)[0]
+
+
+@query()
+def whole_shortest_paths(spark, sf_dir):
+    """From the fixed query set (nodes of any type whose id is divisible by 20) to every vehicle of the case."""
+    n, e = whole(spark, sf_dir)
+    ends = n.filter("node_type = 'Vehicle'").select(F.col("key").alias("b"), "case_id")
+    pairs = n.filter("entity_id % 20 = 0").select(F.col("key").alias("a"), "case_id").join(ends, "case_id").select("a", "b")
+    return G.shortest_paths(e, pairs).select("a", "b", "hops")
+
+
 @query(with_sql(*GRAPH) + """select a.value person, b.value organisation, c.value vehicle, e.valid_from from edges e join nodes a on a.key = e.src join nodes b on b.key = e.dst join edges f on f.src = a.key join nodes c on c.key = f.dst
 where e.edge_type = 'CALLED' and f.edge_type = 'OWNS' and a.node_type = 'Person' and b.node_type = 'Organization' and c.node_type = 'Vehicle' and a.confidence >= 0.5""", ("valid_from",))
 def pattern_two_hops(spark, sf_dir):

@@ -16,3 +16,74 @@ def test_entry(spark):
 
     assert len(__spark_entry__.entry(spark).head(1)) == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def whole_graph(duck):
+    """(nodes, edges) of the confirmed graph as plain rows."""
+    from dossier.plans.graphs import GRAPH
+    from dossier.sources.domain import with_sql
+
+    nodes = {k: (c, t, i) for k, c, t, i in duck.sql(with_sql(*GRAPH) + "select key, case_id, node_type, entity_id from nodes").fetchall()}
+    return nodes, duck.sql(with_sql(*GRAPH) + "select src, dst from edges").fetchall()
+
+
+def levels(near, start):
+    """(hops, numbers of shortest paths) of all nodes reached from start, nearest first."""
+    hops, paths, front = {start: 0}, {start: 1}, [start]
+    for v in front:
+        for w in near.get(v, ()):
+            if w not in hops:
+                hops[w], paths[w] = hops[v] + 1, 0
+                front.append(w)
+            if hops[w] == hops[v] + 1:
+                paths[w] += paths[v]
+    return hops, paths
+
+
+def brute_betweenness(nodes, edges):
+    """By pairs: the share of the shortest paths from s to t that lead through v."""
+    near = {}
+    for a, b in set(edges):
+        near.setdefault(a, set()).add(b)
+    found = {s: levels(near, s) for s in nodes}
+    out = dict.fromkeys(nodes, 0.0)
+    for s, (hops, paths) in found.items():
+        for v in hops:
+            for t, more in found[v][0].items():
+                if v not in (s, t) and s != t and hops[t] == hops[v] + more:
+                    out[v] += paths[v] * found[v][1][t] / paths[t]
+    return out
+
+
+def test_whole_graph(spark, duck, sf):
+    """Metrics, bridges and paths over all confirmed edges against brute force."""
+    nodes, edges = whole_graph(duck)
+    want = brute_betweenness(nodes, edges)
+    assert {r["key"]: r["betweenness"] for r in QUERIES["whole_betweenness"](spark, sf).collect()} == pytest.approx(want, abs=1e-5)
+    degree, near = dict.fromkeys(nodes, 0), {}
+    for a, b in edges:
+        for x, y in ((a, b), (b, a)):
+            degree[x] += 1
+            near.setdefault(x, set()).add(y)
+    got = {r["key"]: r for r in QUERIES["whole_bridges"](spark, sf).collect()}
+    assert set(got) == {k for k in nodes if want[k] > 0 and degree[k] >= 2} and all(r["degree"] == degree[k] for k, r in got.items())
+    top = QUERIES["whole_top_players"](spark, sf).collect()
+    assert all(r["degree"] == degree[r["key"]] for r in top) and len(top) == sum(min(15, n) for n in [sum(c == x for x, _, _ in nodes.values()) for c in {x for x, _, _ in nodes.values()}])
+    assert {r["key"] for r in QUERIES["whole_risk_scores"](spark, sf).collect()} == set(nodes)
+    assert {r["key"] for r in QUERIES["communities"](spark, sf).collect()} == set(nodes)
+    paths = {}
+    for a, (case, _, i) in nodes.items():
+        if i % 20 == 0:
+            paths |= {(a, b): h for b, h in levels(near, a)[0].items() if h <= 4 and nodes[b][1] == "Vehicle" and nodes[b][0] == case}
+    assert {(r["a"], r["b"]): r["hops"] for r in QUERIES["whole_shortest_paths"](spark, sf).collect()} == paths
+
+
+def test_betweenness_of_a_long_chain(spark):
+    from dossier.operators import metrics
+
+    n = 70
+    keys = [f"k{i:02}" for i in range(n)]
+    e = spark.createDataFrame(list(zip(keys, keys[1:])), "src string, dst string")
+    start = spark.createDataFrame([(keys[0],)], "key string")
+    got = {r["key"]: r["betweenness"] for r in metrics.betweenness(spark.createDataFrame([(k,) for k in keys], "key string"), e, sources=start).collect()}
+    assert got == {k: float(max(0, n - 1 - i)) if i else 0.0 for i, k in enumerate(keys)}
