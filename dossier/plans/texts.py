@@ -108,6 +108,12 @@ def cross_case_matches(spark, sf_dir):
     return resolve.suggestions(e, across_cases=True).filter("reason = 'same-plate'").select("node_type", "a_id", "b_id", "score")
 
 
+@query()
+def entity_suggestions(spark, sf_dir):
+    """Resolution across cases, of all types and by all rules. Ratcliff-Obershelp has no SQL form; tests compare with a plain version."""
+    return resolve.suggestions(D.entities(spark, sf_dir), across_cases=True).select("node_type", "a_id", "b_id", "score", "reason")
+
+
 @query("""with recursive e as (select user_id || ':' || event_type as key, ts, event_id, row_number() over (partition by user_id, event_type order by ts, event_id) i from events),
 w as (select key, ts, event_id, i, ts last, true emitted from e where i = 1 union all
   select e.key, e.ts, e.event_id, e.i, case when e.ts - w.last > interval 24 hours then e.ts else w.last end, e.ts - w.last > interval 24 hours from w join e on e.key = w.key and e.i = w.i + 1)
@@ -122,6 +128,17 @@ def relation_alerts(spark, sf_dir):
     return alerts.relation_alerts(D.relations(spark, sf_dir)).select("case_id", "severity", "dedupe_key")
 
 
+def route_alerts(spark, sf_dir, entities):
+    """Cross-case alerts reach users who see all cases named; a user's rule asks for a confidence of (user % 4) / 10."""
+    from dossier.operators.scope import visibility
+
+    vis = visibility(D.cases(spark, sf_dir), D.assignments(spark, sf_dir)).select(F.col("user_id").cast("int"), "case_id")
+    made = alerts.cross_case_alerts(entities).withColumn("alert_id", F.col("dedupe_key"))
+    none = F.lit(None).cast("int")
+    rules = vis.select("user_id").distinct().select("user_id", F.lit("any").alias("kind"), none.alias("case_id"), F.lit("low").alias("min_severity"), ((F.col("user_id") % 4) / 10.0).alias("min_confidence"), F.lit(True).alias("enabled"))
+    return alerts.routed(made, rules, vis)
+
+
 @query(with_sql(CASES_SQL, ENTITIES_SQL) + """, live as (select * from entities where status <> 'rejected' and node_type = 'Vehicle'),
 a as (select x.case_id, x.normalized, max(x.confidence) confidence, list(distinct y.case_id) others from live x join live y on x.normalized = y.normalized and x.case_id <> y.case_id group by 1, 2),
 vis as (select owner_id::int user_id, case_id from cases union select user_id, case_id from assignments),
@@ -129,11 +146,15 @@ r as (select distinct user_id, (user_id % 4) / 10.0 min_confidence from vis)
 select 'cross:' || a.case_id || ':Vehicle:' || a.normalized alert_id, r.user_id from a join r on a.confidence >= r.min_confidence join vis v on v.user_id = r.user_id and v.case_id = a.case_id
 where list_has_all((select list(case_id) from vis w where w.user_id = r.user_id), a.others)""")
 def routed_alerts(spark, sf_dir):
-    """Cross-case alerts reach users who see all cases named; a user's rule asks for a confidence of (user % 4) / 10."""
-    from dossier.operators.scope import visibility
+    return route_alerts(spark, sf_dir, D.entities(spark, sf_dir).filter("node_type = 'Vehicle'"))
 
-    vis = visibility(D.cases(spark, sf_dir), D.assignments(spark, sf_dir)).select(F.col("user_id").cast("int"), "case_id")
-    made = alerts.cross_case_alerts(D.entities(spark, sf_dir).filter("node_type = 'Vehicle'")).withColumn("alert_id", F.col("dedupe_key"))
-    none = F.lit(None).cast("int")
-    rules = vis.select("user_id").distinct().select("user_id", F.lit("any").alias("kind"), none.alias("case_id"), F.lit("low").alias("min_severity"), ((F.col("user_id") % 4) / 10.0).alias("min_confidence"), F.lit(True).alias("enabled"))
-    return alerts.routed(made, rules, vis)
+
+@query(with_sql(CASES_SQL, ENTITIES_SQL) + """, live as (select * from entities where status <> 'rejected'),
+a as (select x.case_id, x.node_type, x.normalized, max(x.confidence) confidence, list(distinct y.case_id) others from live x join live y on x.node_type = y.node_type and x.normalized = y.normalized and x.case_id <> y.case_id group by 1, 2, 3),
+vis as (select owner_id::int user_id, case_id from cases union select user_id, case_id from assignments),
+r as (select distinct user_id, (user_id % 4) / 10.0 min_confidence from vis)
+select 'cross:' || a.case_id || ':' || a.node_type || ':' || a.normalized alert_id, r.user_id from a join r on a.confidence >= r.min_confidence join vis v on v.user_id = r.user_id and v.case_id = a.case_id
+where list_has_all((select list(case_id) from vis w where w.user_id = r.user_id), a.others)""")
+def all_routed_alerts(spark, sf_dir):
+    """routed_alerts for entities of all types."""
+    return route_alerts(spark, sf_dir, D.entities(spark, sf_dir))

@@ -87,3 +87,49 @@ def test_betweenness_of_a_long_chain(spark):
     start = spark.createDataFrame([(keys[0],)], "key string")
     got = {r["key"]: r["betweenness"] for r in metrics.betweenness(spark.createDataFrame([(k,) for k in keys], "key string"), e, sources=start).collect()}
     assert got == {k: float(max(0, n - 1 - i)) if i else 0.0 for i, k in enumerate(keys)}
+
+
+def brute_score(kind, a, b):
+    """(score, reason) of two names of a type, or none; names in blocks that meet."""
+    import difflib
+    import re
+
+    if kind == "PhoneNumber":
+        return (1.0, "same-phone") if a == b else None
+    near = difflib.SequenceMatcher(None, a, b).ratio()
+    if kind == "Vehicle":
+        shorter = lambda x: {x} | {x[:i] + x[i + 1 :] for i in range(len(x))}
+        return (1.0, "same-plate") if a == b else (round(near, 3), "fuzzy-plate") if near >= 0.9 and shorter(a) & shorter(b) else None
+    if kind in ("Location", "Organization"):
+        first = lambda x: re.sub("[^a-z]", "", x)[:2]
+        return None if first(a) != first(b) or not first(a) else (0.90, "exact") if a == b else (round(near * 0.9, 3), "fuzzy") if near >= 0.85 else None
+    ta, tb = ([t for t in re.split(r"[\s.\-]+", x) if t] for x in (a, b))
+    if kind != "Person" or ta[-1] != tb[-1] or ta[0][0] != tb[0][0]:
+        return None
+    if a == b:
+        return 0.95, "exact-name"
+    if min(len(ta[0]), len(tb[0])) == 1 < max(len(ta[0]), len(tb[0])):
+        return 0.80, "initial-surname"
+    if len(ta) != len(tb) and (set(ta) <= set(tb) if len(ta) < len(tb) else set(tb) <= set(ta)):
+        return 0.78, "name-subset"
+    mixed = 0.5 * near + 0.5 * len(set(ta) & set(tb)) / len(set(ta) | set(tb))
+    return (round(min(mixed, 0.94), 3), "fuzzy-name") if mixed >= 0.75 else None
+
+
+def test_suggestions_of_all_types(spark, duck, sf):
+    """Against all pairs of entities of one type."""
+    from functools import cache
+    from itertools import combinations
+
+    from dossier.sources.domain import ENTITIES_SQL, with_sql
+
+    score, kinds, want = cache(brute_score), {}, {}
+    for kind, i, name in duck.sql(with_sql(ENTITIES_SQL) + "select node_type, entity_id, normalized from entities order by entity_id").fetchall():
+        kinds.setdefault(kind, []).append((i, name))
+    for kind, own in kinds.items():
+        for (i, a), (j, b) in combinations(own, 2):
+            if (found := score(kind, a, b)) and found[0] >= 0.75:
+                want[i, j] = (kind, *found)
+    got = {(r["a_id"], r["b_id"]): (r["node_type"], r["score"], r["reason"]) for r in QUERIES["entity_suggestions"](spark, sf).collect()}
+    assert got.keys() == want.keys() and {k: x[::2] for k, x in got.items()} == {k: x[::2] for k, x in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) <= 0.0011 for k in got) and {x[0] for x in got.values()} > {"Vehicle"}
