@@ -55,6 +55,14 @@ def classified_documents(spark, sf_dir):
     return d.select(F.col("doc_id").alias("evidence_id"), X.classify(name, F.lit(""), F.col("text"))["label"].alias("label"))
 
 
+@query()
+def all_classified_documents(spark, sf_dir):
+    """A row for every document, whatever markers it has; tests compare with a plain version."""
+    d = table(spark, sf_dir, "documents")
+    name = F.concat("source", F.when(F.col("source") == "src1", ".csv").when(F.col("source") == "src2", ".mp3").when(F.col("source") == "src3", ".pdf").otherwise(".bin"))
+    return d.select(F.col("doc_id").alias("evidence_id"), X.classify(name, F.lit(""), F.col("text")).alias("c")).select("evidence_id", "c.label", "c.confidence", "c.reason")
+
+
 @query()
 def chunked_documents(spark, sf_dir):
     """The packing fold has no SQL form; tests compare with a plain version."""
@@ -100,6 +108,12 @@ def question_intents(spark, sf_dir):
     return c.select("conv_id", "turn", X.intent(F.col("text"))["intent"].alias("intent"))
 
 
+@query()
+def all_question_intents(spark, sf_dir):
+    """A row for every turn, path questions with both ends; tests compare with a plain version."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.intent(F.col("text")).alias("i")).select("conv_id", "turn", "i.intent", "i.a", "i.b")
+
+
 @query(with_sql(ENTITIES_SQL) + """select a.node_type, a.entity_id a_id, b.entity_id b_id, case a.node_type when 'Person' then 0.95 when 'Vehicle' then 1.0 else 0.9 end::double score
 from entities a join entities b on a.node_type = b.node_type and a.normalized = b.normalized and a.entity_id < b.entity_id where a.node_type = 'Vehicle'""")
 def cross_case_matches(spark, sf_dir):

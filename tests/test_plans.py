@@ -133,3 +133,27 @@ def test_suggestions_of_all_types(spark, duck, sf):
     got = {(r["a_id"], r["b_id"]): (r["node_type"], r["score"], r["reason"]) for r in QUERIES["entity_suggestions"](spark, sf).collect()}
     assert got.keys() == want.keys() and {k: x[::2] for k, x in got.items()} == {k: x[::2] for k, x in want.items()}
     assert all(abs(got[k][1] - want[k][1]) <= 0.0011 for k in got) and {x[0] for x in got.values()} > {"Vehicle"}
+
+
+def test_every_document_and_question(spark, tmp_path):
+    """A row for each, markers and paths among them."""
+    d = [(1, "src0", "the IMEI and MSISDN"), (2, "src0", "First Information Report of the police station"), (3, "src0", "a witness statement; the deponent"), (4, "src1", "tower"), (5, "src2", None), (6, "src0", "IFSC, branch"), (7, "src3", "x"), (8, "src0", "roaming")]
+    spark.createDataFrame(d, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["evidence_id"]: (r["label"], r["reason"]) for r in QUERIES["all_classified_documents"](spark, str(tmp_path)).collect()}
+    content = "content-markers"
+    assert got == {1: ("cdr", content), 2: ("fir", content), 3: ("witness_statement", content), 4: ("cdr", "spreadsheet-default"), 5: ("audio_transcript", "extension"), 6: ("bank_statement", content), 7: ("document", "pdf-default"), 8: ("other", "fallback")}
+    q = [(1, 0, "How is Rahul  Sharma connected to Vikram?"), (1, 1, "A -> B"), (2, 0, "link between 'X' and Y?"), (2, 1, None), (3, 0, "status of the case"), (3, 1, "how are you"), (4, 0, "relation between us"), (4, 1, "A → ")]
+    spark.createDataFrame(q, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r["conv_id"], r["turn"]): (r["intent"], r["a"], r["b"]) for r in QUERIES["all_question_intents"](spark, str(tmp_path)).collect()}
+    assert got == {
+        (1, 0): ("path", "Rahul Sharma", "Vikram"), (1, 1): ("path", "A", "B"), (2, 0): ("path", "X", "Y"), (2, 1): ("generic", None, None),
+        (3, 0): ("summary", None, None), (3, 1): ("generic", None, None), (4, 0): ("generic", None, None), (4, 1): ("generic", None, None),
+    }
+
+
+def test_every_given_document_and_question(spark, duck, sf):
+    """At the given tables too: none is lost, and the rows that the narrower queries have are the same."""
+    for name, part, of in (("all_classified_documents", "classified_documents", "documents"), ("all_question_intents", "question_intents", "conversations")):
+        out, narrow = QUERIES[name](spark, sf), QUERIES[part](spark, sf)
+        assert out.count() == duck.sql(f"select count(*) from {of}").fetchall()[0][0]
+        assert narrow.exceptAll(out.select(*narrow.columns)).count() == 0
