@@ -40,7 +40,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, packing.default_tokenizer())
+    return packing.packed(docs, packing.default_tokenizer(), added=True)
 
 
 STAGES = [

@@ -48,6 +48,15 @@ def load_encoding(path: str):
     return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that the file takes out of a text before all else, and their ids; ones with rules of their own are refused."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t[k] for t in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens with rules of their own are not supported")
+    return {t["content"]: t["id"] for t in found}
+
+
 #: The pre-tokenisation that such files name by "ByteLevel" (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -57,12 +66,21 @@ class Encoder:
 
     A token never spans the place before a space that follows a non-space, so texts without a space
     followed by white space fall into chunks at spaces; each distinct chunk is encoded once. Other
-    texts are encoded whole.
+    texts are encoded whole. With `added`, texts are cut at the file's added tokens first, as
+    `tokenizers` does by default; without it their characters are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         self.encode, self.memo = load_encoding(path).encode_ordinary, {}
         (self.newline,) = self.encode("\n")
+        self.added = added_tokens(path) if added else {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    def whole(self, text: str) -> np.ndarray:
+        """The ids of one text, cut at added tokens."""
+        if self.cut is None:
+            return np.array(self.encode(text), np.uint32)
+        return np.array([i for part in self.cut.split(text) for i in ([self.added[part]] if part in self.added else self.encode(part))], np.uint32)
 
     def learn(self, chunks: list[str]) -> None:
         """Encode new chunks: those without white space inside in one call, a newline (a token of its own) between."""
@@ -81,7 +99,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's ids begin and end)."""
-        plain = ["\x00" not in t and not re.search(r" \s", t) for t in texts]
+        plain = ["\x00" not in t and not re.search(r" \s", t) and not (self.cut and self.cut.search(t)) for t in texts]
         chunks = pc.split_pattern(pa.array([t.replace(" ", "\x00 ") if ok else "" for t, ok in zip(texts, plain, strict=True)], pa.large_string()), "\x00")
         coded = chunks.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -99,7 +117,7 @@ class Encoder:
             return out, at
         parts = [out[at[i] : at[i + 1]] for i in range(len(texts))]
         for i in odd:
-            parts[i] = np.array(self.encode(texts[i]), np.uint32)
+            parts[i] = self.whole(texts[i])
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
@@ -115,11 +133,11 @@ def runs(docs: list, texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[l
         yield docs[first:], texts[first:]
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """Full windows of each document (its ids and the end token), then the rest. tokenizer: a file all tasks can open."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, added)
         for batch in batches:
             rows: list[tuple] = []
             for docs, texts in runs(batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]):
@@ -233,8 +251,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered(pieces, "length").select(*pieces.columns, "rank").mapInPandas(place, f"{PIECE}, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(stored(tokenised_pieces(docs, tokenizer, capacity), "pieces"), capacity)
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+    """added: whether the tokenizer's added tokens in a text have their own ids."""
+    return pack(stored(tokenised_pieces(docs, tokenizer, capacity, added), "pieces"), capacity)
 
 
 def default_tokenizer() -> str:
@@ -244,4 +263,4 @@ def default_tokenizer() -> str:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), default_tokenizer())
+    return packed(table(spark, sf_dir, "documents"), default_tokenizer(), added=True)

@@ -274,6 +274,25 @@ def test_packing(spark):
     assert packing.packed(docs(spark, "a").limit(0), packing.default_tokenizer()).count() == 0
 
 
+def test_packing_reads_added_tokens(spark):
+    """Against the tokenizer as its file is loaded, which takes <|endoftext|> in a text for its id."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "a  <|endoftext|>\n\n<|endoftext|> it's", "<|endoftext|", "plain text", "", None, "<|endoftext|> " * 3000]
+    got = packing.packed(docs(spark, *texts), packing.default_tokenizer(), added=True).toPandas()
+    want = Counter()
+    for i, text in enumerate(texts):
+        own = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.update((s, min(2048, len(own) - s), zlib.crc32(own[s : s + 2048]), len(own)) for s in range(0, len(own), 2048))
+    assert 50256 in t.encode(texts[0], add_special_tokens=False).ids
+    import corpus_pipeline
+
+    staged = corpus_pipeline.packing_stage(spark, docs(spark, *texts), "").toPandas()
+    assert sorted(staged["ids_crc32"]) == sorted(got["ids_crc32"])
+    assert Counter(got[["start", "length", "ids_crc32", "doc_tokens"]].itertuples(index=False, name=None)) == want
+
+
 def test_minimum_slack_packs_closely():
     rng = np.random.default_rng(4)
     histogram = np.bincount(rng.integers(1, 2048, 5000), minlength=2049)
