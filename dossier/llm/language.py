@@ -3,8 +3,9 @@
 Each language has a distribution over hashed byte trigrams (letters lower-cased, all else one blank),
 learned from labelled rows. A document is a mixture: every word was drawn from one language, with
 the document's proportions, which expectation-maximisation estimates from the words' n-gram
-likelihoods. It is run for the likeliest one, two, ... languages; the set with the highest
-likelihood, less a penalty for each language, is kept, and its largest share is the prediction.
+likelihoods. It is run for the likeliest one, two, ... languages, until the penalty for another one
+rules out any gain; the set with the highest likelihood, less a penalty for each language, is kept,
+and its largest share is the prediction.
 
 Cases: a null text or one without a letter is `und`, score 0, no languages; rows with a null label
 teach nothing; without any labelled row all is `und`; a null doc_id stays null; repeated rows get
@@ -27,7 +28,7 @@ from dossier.llm.common import bounded_batches, table
 BINS = 1 << 16
 #: Labelled documents of each language that are read for its n-grams, about (drawn by a hash of the id).
 FIT_DOCS = 4000
-ROUNDS, MAX_LANGUAGES = 8, 3
+ROUNDS = 8
 #: A language is worth its place if the mean log-likelihood of a word rises by PENALTY, besides half a log of the words.
 PENALTY = 0.02
 #: Overlapping trigrams repeat evidence: a word's log-likelihood counts by this factor.
@@ -126,13 +127,20 @@ def infer(model: LanguageModel, texts: list[str]) -> list[list[tuple[str, float]
     full, _ = mixture(logs, starts, np.ones((len(live), len(model.names))))
     order = np.argsort(-full, axis=1, kind="stable")
     best, shares = np.full(len(live), -np.inf), np.zeros_like(full)
-    for k in range(1, min(MAX_LANGUAGES, len(model.names)) + 1):
-        allowed = np.zeros(full.shape)
-        np.put_along_axis(allowed, order[:, :k], 1, 1)
-        share, fit = mixture(logs, starts, allowed)
-        fit -= k * (0.5 * np.log(n + 1) + PENALTY * n)
-        better = fit > best
-        best[better], shares[better] = fit[better], share[better]
+    #: No mixture is likelier than every word under its own best language (a little more for rounding).
+    ceiling = np.add.reduceat(logs.max(1).astype(np.float64), starts) + 1e-4 * n
+    for k in range(1, len(model.names) + 1):
+        price = k * (0.5 * np.log(n + 1) + PENALTY * n)
+        at = np.flatnonzero(ceiling - price > best)
+        if not len(at):
+            break
+        allowed = np.zeros((len(at), len(model.names)))
+        np.put_along_axis(allowed, order[at, :k], 1, 1)
+        own = np.isin(np.arange(len(live)), at)
+        share, fit = mixture(logs[np.repeat(own, n)], np.cumsum(n[at]) - n[at], allowed)
+        fit -= price[at]
+        better = fit > best[at]
+        best[at[better]], shares[at[better]] = fit[better], share[better]
     for i, row in zip(live, shares, strict=True):
         out[i] = [(model.names[j], float(row[j])) for j in np.argsort(-row, kind="stable") if row[j] > 1e-3]
     return out

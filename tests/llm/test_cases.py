@@ -335,6 +335,21 @@ def test_licenses(spark):
 # op8
 
 
+def test_language_of_four_in_one(spark, sf):
+    """A text of equal parts in all four languages keeps each of them, about a quarter each."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    parts = {}
+    for r in d.filter("lang is not null and char_length(text) > 400").orderBy("doc_id").collect():
+        parts.setdefault(r["lang"], []).append(r["text"])
+    assert len(parts) == 4
+    text = "\n".join(" ".join(" ".join(own).split()[:2000]) for own in parts.values())
+    share = {k: len(" ".join(" ".join(own).split()[:2000]).split()) for k, own in parts.items()}
+    (row,) = rows(language.with_language(docs(spark, text), language.learned(d)))
+    got = {k: float(v) for k, v in (x.split(":") for x in row["languages"].split(","))}
+    assert set(got) == set(parts) and all(abs(got[k] - n / sum(share.values())) < 0.1 for k, n in share.items())
+    assert abs(row["score"] - max(got.values())) < 0.01
+
+
 def test_language(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     got = language.op8_language(spark, sf).toPandas().merge(d.select("doc_id", "lang").toPandas(), on="doc_id")
