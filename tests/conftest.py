@@ -51,7 +51,7 @@ def plain(rows):
     """Rows as sorted tuples that compare alike whichever engine they come from."""
 
     def one(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("NaT", "<NA>") or v != v:
             return "~"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return bool(v)
