@@ -5,8 +5,8 @@ found by intersecting, from their rarest terms, the offset-adjusted position lis
 (a posting at position p of the phrase's word j speaks for a phrase start at p - j), then comparing
 words. No list of a common term is read for a phrase that has a rarer one.
 
-Cases: null or empty texts have no words; documents or items with a null id keep a row or are left
-out (an item cannot be named); repeated rows each get a row of equal result; items of fewer words
+Cases: null or empty texts have no words; documents with a null id keep a row, words in windows of an
+item with a null id are hit, though it cannot be named; repeated rows each get a row of equal result; items of fewer words
 than a window are one window; empty tables give empty results or no hits; extra columns are ignored.
 """
 
@@ -49,7 +49,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, words, width): an item's words, and how many consecutive ones make a window."""
     named = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("words"))
-    return named.filter("item is not null and size(words) > 0").distinct().withColumn("width", F.least(F.size("words"), F.lit(window)))
+    return named.filter("size(words) > 0").distinct().withColumn("width", F.least(F.size("words"), F.lit(window)))
 
 
 def anchors(items: DataFrame, index: DataFrame, rarest: int = RAREST) -> DataFrame:
@@ -76,24 +76,28 @@ def anchors(items: DataFrame, index: DataFrame, rarest: int = RAREST) -> DataFra
 
 
 def candidates(items: DataFrame, index: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """(doc, item, words, width, at): where the item's first word would stand if one of its windows occurs."""
+    """(doc, item, words, width, ats): where the item's first word would stand if one of its windows occurs."""
     chosen = stored(anchors(items, index, rarest).withColumn("phrase", F.xxhash64("item", "words")), "anchors")
     wanted = broadcast_up_to(chosen.select("term", "phrase", "j"), BROADCAST_ROWS)
     met = index.join(wanted, "term").select("doc", "phrase", "j", (F.col("pos") - F.col("j")).alias("at"))
-    #: Only numbers are shuffled; the phrases' words join the few places that are left.
+    #: Only numbers are shuffled; the phrases' words join the few documents that are left, once for all places in one.
     lists = met.groupBy("doc", "phrase", "at").agg(F.collect_set("j").alias("found"))
-    known = broadcast_up_to(chosen.select("phrase", "item", "words", "width", "needs").distinct(), BROADCAST_ROWS // 10)
-    some = lists.join(known, "phrase").filter(F.exists("needs", lambda n: F.size(F.array_except(n, F.col("found"))) == 0))
-    return some.select("doc", "item", "words", "width", "at")
+    known = chosen.select("phrase", "item", "words", "width", "needs").distinct()
+    needs = broadcast_up_to(known.select("phrase", "needs").distinct(), BROADCAST_ROWS // 10)
+    some = lists.join(needs, "phrase").filter(F.exists("needs", lambda n: F.size(F.array_except(n, F.col("found"))) == 0))
+    places = some.groupBy("doc", "phrase").agg(F.collect_set("at").alias("ats"))
+    return places.join(broadcast_up_to(known.drop("needs"), BROADCAST_ROWS // 10), "phrase").select("doc", "item", "words", "width", "ats")
 
 
 def _covered(text: Column, c: Column) -> Column:
-    """Places in `text` (words) inside an occurrence of one of candidate c's windows."""
-    equal = F.transform(c["words"], lambda w, j: F.coalesce(F.get(text, c["at"] + j) == w, F.lit(False)))
-    starts = F.sequence(F.lit(0), F.size(c["words"]) - c["width"])
-    whole = lambda eq: F.filter(starts, lambda s: F.forall(F.slice(eq, s + 1, c["width"]), lambda x: x))
-    runs = F.transform(F.array(equal), lambda eq: F.transform(whole(eq), lambda s: F.sequence(c["at"] + s, c["at"] + s + c["width"] - 1)))
-    return F.array_distinct(F.flatten(F.flatten(runs)))
+    """Places in `text` (words) inside an occurrence of one of candidate c's windows, whichever of its places it is at."""
+    equal = lambda at: F.transform(c["words"], lambda w, j: F.coalesce(F.get(text, at + j) == w, F.lit(False)))
+    last = F.size(c["words"]) - c["width"]
+    whole = lambda eq: F.transform(F.sequence(F.lit(0), last), lambda s: F.forall(F.slice(eq, s + 1, c["width"]), lambda x: x))
+    inside = lambda ok, j: F.exists(F.slice(ok, F.greatest(j - c["width"] + 1, F.lit(0)) + 1, F.least(j, last) - F.greatest(j - c["width"] + 1, F.lit(0)) + 1), lambda x: x)
+    words_in = lambda ok: F.filter(F.sequence(F.lit(0), F.size(c["words"]) - 1), lambda j: inside(ok, j))
+    at_one = lambda at: F.transform(F.array(whole(equal(at))), lambda ok: F.when(F.exists(ok, lambda x: x), F.transform(words_in(ok), lambda j: at + j)).otherwise(F.array().cast("array<int>")))[0]
+    return F.array_distinct(F.flatten(F.transform(c["ats"], at_one)))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
@@ -106,7 +110,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     items = stored(phrases(items, window), "items")
     terms = items.select(F.explode("words").alias("term")).distinct()
     index = build_index(docs, terms)
-    by_doc = candidates(items, index).groupBy("doc").agg(F.collect_list(F.struct("item", "words", "width", "at")).alias("found"))
+    by_doc = candidates(items, index).groupBy("doc").agg(F.collect_list(F.struct("item", "words", "width", "ats")).alias("found"))
     joined = docs.join(by_doc, "doc", "left")
     hits = F.transform(
         F.array(words(F.col("text"))),
@@ -119,7 +123,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     counted = read.select(
         *keep, "n_words",
         F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["at"])))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("items"),
+        F.array_sort(F.array_distinct(F.array_compact(F.transform("hits", lambda h: h["item"])))).alias("items"),
     )
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
@@ -157,13 +161,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') ws from documents),
-b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') bs from benchmark where item_id is not null),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') bs from benchmark),
 n as (select distinct item_id::varchar item, least(len(bs), {WINDOW}) k, unnest(list_transform(range(1, len(bs) - least(len(bs), {WINDOW}) + 2), lambda s: array_to_string(bs[s:s + least(len(bs), {WINDOW}) - 1], ' '))) g from b where len(bs) > 0),
 ks as (select distinct k from n),
 o as (select doc_id, k, unnest(range(1, len(ws) - k + 2)) s, ws from w, ks where len(ws) >= k),
 m as (select o.doc_id, n.item, o.s, o.k from o join n on n.k = o.k and n.g = array_to_string(o.ws[o.s:o.s + o.k - 1], ' ')),
 h as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(s, s + k)) p from m) group by doc_id),
-i as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item from m) group by doc_id)
+i as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item from m where item is not null) group by doc_id)
 select w.doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
 from w left join h on w.doc_id = h.doc_id left join i on w.doc_id = i.doc_id"""

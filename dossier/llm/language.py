@@ -40,12 +40,19 @@ _BYTES[ord("a") : ord("z") + 1] = _BYTES[ord("A") : ord("Z") + 1] = np.arange(1,
 _BYTES[128:] = np.arange(27, 155)
 
 
-def trigrams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(bin of the trigram around each letter byte, index of each word's first letter in that list)."""
-    b = _BYTES[np.frombuffer(b" " + data + b" ", np.uint8)]
-    mid = np.flatnonzero(b[1:-1]) + 1
-    code = (b[mid - 1] * np.uint32(24029) + b[mid] * np.uint32(155) * np.uint32(211) + b[mid + 1] * np.uint32(7919)) % np.uint32(BINS)
-    return code, np.flatnonzero(b[mid - 1] == 0)
+#: Bytes of a text and words of all texts that are at work at once.
+BYTES_AT_ONCE, WORDS_AT_ONCE = 1 << 20, 1 << 18
+
+
+def trigrams(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """In pieces of the text: (bin of the trigram around each letter byte, index of each word's first letter in
+    that list, whether the first letters go on with the last word of the piece before)."""
+    padded = b" " + data + b" "
+    for at in range(0, len(data), BYTES_AT_ONCE):
+        b = _BYTES[np.frombuffer(padded[at : at + BYTES_AT_ONCE + 2], np.uint8)]
+        mid = np.flatnonzero(b[1:-1]) + 1
+        code = (b[mid - 1] * np.uint32(24029) + b[mid] * np.uint32(155) * np.uint32(211) + b[mid + 1] * np.uint32(7919)) % np.uint32(BINS)
+        yield code, np.flatnonzero(b[mid - 1] == 0), bool(at and b[0] and b[1])
 
 
 @dataclass
@@ -55,8 +62,14 @@ class LanguageModel:
 
     def words(self, data: bytes) -> np.ndarray:
         """Log-likelihood of each word under each language, words x languages."""
-        code, first = trigrams(data)
-        return np.add.reduceat(self.logs[code], first, axis=0) * np.float32(TEMPER) if len(first) else np.zeros((0, len(self.names)), np.float32)
+        out = []
+        for code, first, goes_on in trigrams(data):
+            if goes_on:
+                rest = first[0] if len(first) else len(code)
+                out[-1][-1] += self.logs[code[:rest]].sum(0) * np.float32(TEMPER)
+            if len(first):
+                out.append(np.add.reduceat(self.logs[code], first, axis=0) * np.float32(TEMPER))
+        return np.concatenate(out) if out else np.zeros((0, len(self.names)), np.float32)
 
 
 def runs(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -84,8 +97,8 @@ def fit(labelled: DataFrame, per_language: int = FIT_DOCS) -> LanguageModel:
         total = {}
         for rows in batches:
             for lang, text in zip(rows["lang"], rows["text"], strict=True):
-                got = np.bincount(trigrams((text or "").encode())[0], minlength=BINS)
-                total[lang] = total[lang] + got if lang in total else got
+                for code, _, _ in trigrams((text or "").encode()):
+                    total[lang] = total.get(lang, 0) + np.bincount(code, minlength=BINS)
         for lang, got in total.items():
             at = np.flatnonzero(got)
             yield pd.DataFrame({"lang": lang, "bin": at, "n": got[at]})
@@ -102,16 +115,28 @@ def mixture(logs: np.ndarray, starts: np.ndarray, allowed: np.ndarray, rounds: i
     logs: words x languages; starts: each document's first word; allowed: documents x languages.
     """
     n = np.diff(np.append(starts, len(logs)))
-    which = np.repeat(np.arange(len(starts)), n)
-    top = logs.max(1, keepdims=True)
-    like = np.exp(logs - top)
     share = (allowed / allowed.sum(1, keepdims=True)).astype(np.float32)
+    fit = np.zeros(len(starts))
+    blocks = []
+    for a in range(0, len(logs), WORDS_AT_ONCE):
+        b = min(a + WORDS_AT_ONCE, len(logs))
+        first, last = np.searchsorted(starts, [a, b - 1], "right") - 1
+        begin = np.maximum(starts[first : last + 1], a) - a
+        blocks.append((a, b, first, last + 1, begin, np.repeat(np.arange(first, last + 1), np.diff(np.append(begin, b - a)))))
+    top = logs.max(1, keepdims=True)
+    held = {0: np.exp(logs - top)} if len(blocks) == 1 else {}
+    like = lambda a, b: held[a] if a in held else np.exp(logs[a:b] - top[a:b])
     for _ in range(rounds):
-        part = like * share[which]
-        part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
-        share = np.add.reduceat(part, starts, axis=0) / n[:, None]
-    fit = np.log(np.maximum((like * share[which]).sum(1), 1e-30)) + top[:, 0]
-    return share, np.add.reduceat(fit.astype(np.float64), starts)
+        got = np.zeros_like(share)
+        for a, b, first, end, begin, which in blocks:
+            part = like(a, b) * share[which]
+            part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
+            got[first:end] += np.add.reduceat(part, begin, axis=0)
+        share = (got / n[:, None]).astype(np.float32)
+    for a, b, first, end, begin, which in blocks:
+        best = np.log(np.maximum((like(a, b) * share[which]).sum(1), 1e-30)) + top[a:b, 0]
+        fit[first:end] += np.add.reduceat(best.astype(np.float64), begin)
+    return share, fit
 
 
 def infer(model: LanguageModel, texts: list[str]) -> list[list[tuple[str, float]]]:

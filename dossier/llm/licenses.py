@@ -38,7 +38,21 @@ SENTENCES = {
     "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "bsd-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsd-ref": ["licensed under the bsd 3 clause license", "spdx license identifier bsd 3 clause"],
-    "mpl-ref": ["this source code form is subject to the terms of the mozilla public license v 2 0", "spdx license identifier mpl 2 0"],
+    "mpl-ref": ["this source code form is subject to the terms of the mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v", "licensed under the mozilla public license version 2 0", "spdx license identifier mpl 2 0"],
+    "lgpl3-ref": ["licensed under the gnu lesser general public license version 3", "this work is licensed under the gnu lesser general public license version 3", "spdx license identifier lgpl 3 0 only"],
+    "lgpl3-later": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", "spdx license identifier lgpl 3 0 or later"],
+    "lgpl21-later": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", "spdx license identifier lgpl 2 1 or later"],
+    "lgpl-no-warranty": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "agpl3-later": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "spdx license identifier agpl 3 0 or later"],
+    "agpl3-ref": ["licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3 0 only"],
+    "gpl2-later": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "spdx license identifier gpl 2 0 or later"],
+    "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc-as-is": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "isc-ref": ["licensed under the isc license", "spdx license identifier isc"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", "spdx license identifier unlicense"],
+    "zlib-as-is": ["this software is provided as is without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "epl-ref": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", "licensed under the eclipse public license 2 0", "spdx license identifier epl 2 0"],
     "cc-by": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0"],
@@ -52,13 +66,29 @@ RULES = [
     ("BSD-3-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", "copyleft", ["gpl3-later", "gpl-no-warranty"]),
+    ("LGPL-3.0-or-later", "copyleft", ["lgpl3-later", "lgpl-no-warranty"]),
+    ("LGPL-2.1-or-later", "copyleft", ["lgpl21-later", "lgpl-no-warranty"]),
+    ("AGPL-3.0-or-later", "copyleft", ["agpl3-later", "gpl-no-warranty"]),
+    ("GPL-2.0-or-later", "copyleft", ["gpl2-later", "gpl-no-warranty"]),
+    ("ISC", "permissive", ["isc-grant", "isc-as-is"]),
+    ("Zlib", "permissive", ["zlib-as-is", "zlib-grant"]),
     ("GPL-3.0-or-later", "copyleft", ["gpl3-later"]),
+    ("LGPL-3.0-or-later", "copyleft", ["lgpl3-later"]),
+    ("LGPL-2.1-or-later", "copyleft", ["lgpl21-later"]),
+    ("AGPL-3.0-or-later", "copyleft", ["agpl3-later"]),
+    ("GPL-2.0-or-later", "copyleft", ["gpl2-later"]),
     ("Apache-2.0", "permissive", ["apache-ref"]),
     ("MIT", "permissive", ["mit-ref"]),
     ("BSD-3-Clause", "permissive", ["bsd-ref"]),
     ("GPL-3.0-only", "copyleft", ["gpl3-ref"]),
     ("GPL-2.0-only", "copyleft", ["gpl2-ref"]),
+    ("LGPL-3.0-only", "copyleft", ["lgpl3-ref"]),
+    ("AGPL-3.0-only", "copyleft", ["agpl3-ref"]),
     ("MPL-2.0", "copyleft", ["mpl-ref"]),
+    ("EPL-2.0", "copyleft", ["epl-ref"]),
+    ("ISC", "permissive", ["isc-grant"]),
+    ("ISC", "permissive", ["isc-ref"]),
+    ("Unlicense", "permissive", ["unlicense"]),
     ("CC-BY-4.0", "permissive", ["cc-by"]),
     ("CC-BY-SA-4.0", "copyleft", ["cc-by-sa"]),
     ("CC-BY-NC-4.0", "noncommercial", ["cc-by-nc"]),
@@ -66,8 +96,9 @@ RULES = [
     ("all-rights-reserved", "reserved", ["reserved"]),
 ]
 IDS = list(SENTENCES)
-#: A text without one of these in it (after lower-casing) holds no known sentence and is not cut.
-SIGNS = ["licen", "copyright", "permission", "warrant", "redistribut", "endorse", "rights reserved", "is distributed"]
+#: Parts of single words: every known sentence has one, and no normalising takes a word apart, so a text without any
+#: (whatever the case of letters) holds no known sentence and is not cut.
+SIGNS = ["licen", "copyright", "permission", "warrant", "redistribut", "endorse", "reserved", "distributed", "unencumbered"]
 LINES, PARAGRAPHS = r"[.!?][\x20\x09]+|[\n\r]+", r"[.!?][\x20\x09\n\r]+|\n[\x20\x09\r]*\n"
 CLASSES = ["noncommercial", "reserved", "copyleft", "permissive"]
 
@@ -75,10 +106,7 @@ CLASSES = ["noncommercial", "reserved", "copyleft", "permissive"]
 def _ids(text: Column, cut: str) -> Column:
     """Identifiers of the known sentences of lower-cased text, in order."""
     known = {s: k for k, sentences in SENTENCES.items() for s in sentences}
-    longest = max(map(len, known))
-    #: A sentence of many times the known length is none of them; it is not normalised.
-    short = F.filter(F.split(text, cut), lambda s: F.char_length(s) <= 4 * longest)
-    plain = F.transform(short, lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    plain = F.transform(F.split(text, cut), lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     found = F.filter(plain, lambda s: s.isin(list(known)))
     number = lambda s: F.coalesce(*[F.when(s.isin(SENTENCES[k]), F.lit(k)) for k in IDS])
     return F.transform(found, number)
@@ -110,8 +138,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     known = " ".join(f"when s in ({', '.join(repr(x) for x in v)}) then '{k}'" for k, v in SENTENCES.items())
-    longest = max(len(s) for v in SENTENCES.values() for s in v)
-    ids = lambda cut: f"list_filter(list_transform(list_filter(string_split_regex(t, '{cut}'), lambda s: length(s) <= {4 * longest}), lambda s: case {known.replace('when s', 'when trim(regexp_replace(s, $$[^a-z0-9]+$$, $$ $$, $$g$$))')} end), lambda s: s is not null)"
+    ids = lambda cut: f"list_filter(list_transform(string_split_regex(t, '{cut}'), lambda s: case {known.replace('when s', 'when trim(regexp_replace(s, $$[^a-z0-9]+$$, $$ $$, $$g$$))')} end), lambda s: s is not null)"
     steps, prev = [], "i0"
     for n, (licence, _, rule) in enumerate(RULES, 1):
         run = "".join(f" {i} ;" for i in rule)

@@ -8,6 +8,7 @@ insert() adds documents' keys, delete() takes documents out again; both touch on
 documents given: counts go up or down, keepers move, and fingerprints enter or leave the filters.
 Deleting what was inserted gives back the earlier results. A filter never misses a repeated key, so
 lines it refuses are kept without a look at the counts; lines it passes are joined with the counts.
+Filters that are small together are sent to all tasks; otherwise lines and filters meet by shard.
 
 A key: the line, `[\\x20\\x09-\\x0D]` stripped at both ends, A-Z lower-cased; keys under min_chars
 code points are never dropped. Keys are held as 128-bit digests.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ from dossier.llm.common import ascii_lower, shared_dir, table
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 MIN_CHARS = 10
 SLOTS, MAX_ROUNDS = 4, 500
-#: Keys a filter shard should hold, and bytes of all shards up to which tasks are sent the filters;
-#: beyond, every line is joined with the counts instead, with the same result.
-SHARD_KEYS, FILTER_BYTES = 500_000, 32 << 20
+#: Keys a filter shard should hold; bytes of all shards up to which tasks are sent the filters; beyond, lines are dealt
+#: to their shards, those of a shard over so many tasks, since one line may make up much of a table.
+SHARD_KEYS, FILTER_BYTES, SALTS = 500_000, 32 << 20, 16
 
 
 class CuckooFilter:
@@ -97,12 +99,14 @@ class CuckooFilter:
 
     def delete(self, keys: np.ndarray) -> None:
         """Take out one fingerprint for each key; the keys must have been inserted."""
-        for p, a, b in zip(*self.places(keys), strict=True):
-            for bucket in (a, b):
-                hit = np.flatnonzero(self.table[bucket] == p)
-                if len(hit):
-                    self.table[bucket, hit[0]] = 0
-                    break
+        prints, *both = self.places(keys)
+        live = np.arange(len(prints))
+        for bucket in both:
+            for slot in range(SLOTS):
+                hit = live[self.table[bucket[live], slot] == prints[live]]
+                _, one = np.unique(bucket[hit], return_index=True)
+                self.table[bucket[hit[one]], slot] = 0
+                live = np.setdiff1d(live, hit[one])
 
 
 def line_keys(text: Column) -> Column:
@@ -119,6 +123,10 @@ def word_of(key: Column) -> Column:
     return F.xxhash64(key)
 
 
+def shard_of(word: Column, shards: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(word, 20), F.lit(shards)).cast("int")
+
+
 def holders_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, doc_id), once for each key and document."""
     keys = F.array_distinct(F.filter(line_keys(F.col("text")), lambda k: F.char_length(k) >= min_chars))
@@ -139,7 +147,7 @@ def build_filters(refs: DataFrame, shards: int) -> DataFrame:
             size *= 2
         return pd.DataFrame({"shard": [shard[0]], "n_keys": [len(rows)], "table": [cuckoo.table.tobytes()]})
 
-    words = refs.filter("n_docs >= 2").select(word_of(F.col("key")).alias("word")).withColumn("shard", F.expr(f"cast(pmod(shiftrightunsigned(word, 20), {shards}) as int)"))
+    words = refs.filter("n_docs >= 2").select(word_of(F.col("key")).alias("word")).withColumn("shard", shard_of(F.col("word"), shards))
     return words.groupBy("shard").applyInPandas(build, "shard int, n_keys long, table binary")
 
 
@@ -187,7 +195,7 @@ class LineStore:
     def _change(self, after: DataFrame, holders: DataFrame) -> None:
         """Store changed counts; filters take in keys that became repeated and let go those that no longer are."""
         self._write(after=after, holders=holders)
-        shard = F.expr(f"cast(pmod(shiftrightunsigned(word, 20), {self.shards}) as int)")
+        shard = shard_of(F.col("word"), self.shards)
         moved = self.after.filter("(n_docs >= 2) <> (before >= 2)").select(word_of(F.col("key")).alias("word"), (F.col("n_docs") >= 2).alias("enters")).withColumn("shard", shard)
 
         def update(old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
@@ -202,6 +210,11 @@ class LineStore:
 
         changed = self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(update, self.filters.schema)
         self._write(refs=self.after.filter("n_docs > 0").select("key", "n_docs", "keeper"), changed=changed)
+        wanted = 1 + (self.changed.agg(F.sum("n_keys")).first()[0] or 0) // SHARD_KEYS
+        if wanted > 2 * self.shards:  # the keys have outgrown their shards
+            self.shards = wanted
+            self._write(filters=build_filters(self.refs, self.shards))
+            return
         full = self.changed.filter("table is null").select("shard")
         word = self.refs.select("key", "n_docs", word_of(F.col("key")).alias("word")).withColumn("shard", shard)
         rebuilt = build_filters(word.join(full, "shard", "left_semi"), self.shards)
@@ -210,7 +223,7 @@ class LineStore:
     def maybe_repeated(self, lines: DataFrame) -> DataFrame:
         """The rows of lines (key, ...) that some filter passes: all with a repeated key, and few others."""
         if self.filters.agg(F.coalesce(F.sum(F.octet_length("table")), F.lit(0))).first()[0] > FILTER_BYTES:
-            return lines
+            return self._met_by_shard(lines)
         sent = self.spark.sparkContext.broadcast({r["shard"]: r["table"] for r in self.filters.collect()})
         shards = self.shards
 
@@ -226,27 +239,53 @@ class LineStore:
 
         return lines.filter(F.pandas_udf(passed, "boolean")(word_of(F.col("key"))))
 
+    def _met_by_shard(self, lines: DataFrame) -> DataFrame:
+        """Each shard's filter, sent to its SALTS parts, goes before the lines of that part; a task holds one filter at a time."""
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        first = self.filters.select("shard", salts.alias("salt"), F.col("table"))
+        salt = F.pmod(F.xxhash64(*[c for c in lines.columns if c != "key"]), F.lit(SALTS)).cast("int")
+        dealt = lines.withColumn("word", word_of(F.col("key"))).withColumn("shard", shard_of(F.col("word"), self.shards)).withColumn("salt", salt)
+        both = dealt.unionByName(first, allowMissingColumns=True)
+        columns = lines.columns
+        ordered = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("table").isNull())
+
+        def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, cuckoo = None, None
+            for batch in batches:
+                shard, salt, word = (batch.column(c).fill_null(0).to_numpy() for c in ("shard", "salt", "word"))
+                part, tables, keep = shard.astype(np.int64) * SALTS + salt, batch.column("table"), np.zeros(len(shard), bool)
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a < b and part[a] != at:
+                        at, cuckoo = part[a], CuckooFilter.of(tables[a].as_py()) if tables[a].is_valid else None
+                        a += cuckoo is not None
+                    if a < b and cuckoo is not None:
+                        keep[a:b] = cuckoo.contains(word[a:b].view(np.uint64))
+                yield batch.select(columns).filter(pa.array(keep))
+
+        return ordered.mapInArrow(passed, lines.schema)
+
     def deduplicated(self, docs: DataFrame) -> DataFrame:
         """docs' rows (doc_id, text, ...) with n_lines, n_dropped and the kept text."""
-        rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+        rows = docs.withColumn("_text", digest(F.coalesce("text", F.lit(""))))
         lines = (
             rows.filter("doc_id is not null")
-            .select("row", "doc_id", F.posexplode(line_keys(F.col("text"))).alias("at", "line"))
+            .select("doc_id", "_text", F.posexplode(line_keys(F.col("text"))).alias("at", "line"))
             .filter(F.char_length("line") >= self.min_chars)
-            .select("row", "doc_id", "at", digest(F.col("line")).alias("key"))
+            .select("doc_id", "_text", "at", digest(F.col("line")).alias("key"))
         )
         repeated = self.refs.filter("n_docs >= 2").select("key", "keeper")
         lost = self.maybe_repeated(lines).join(repeated, "key").filter("doc_id <> keeper")
-        by_row = lost.groupBy("row").agg(F.collect_set("at").alias("lost"))
+        by_row = lost.groupBy("doc_id", "_text").agg(F.collect_set("at").alias("_lost"))
         whole = F.split(F.coalesce("text", F.lit("")), "\n")
-        left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.coalesce("lost", F.array().cast("array<int>"))))
+        left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.coalesce("_lost", F.array().cast("array<int>"))))
         kept = F.transform(F.array(whole), lambda lines: F.transform(left, lambda i: F.get(lines, i)))[0]
         return (
-            rows.join(by_row, "row", "left")
+            rows.join(by_row, ["doc_id", "_text"], "left")
             .withColumn("n_lines", F.size(whole).cast("long"))
-            .withColumn("n_dropped", F.coalesce(F.size("lost"), F.lit(0)).cast("long"))
-            .withColumn("kept", F.when(F.col("lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.concat_ws("\n", kept)))
-            .drop("row", "lost")
+            .withColumn("n_dropped", F.coalesce(F.size("_lost"), F.lit(0)).cast("long"))
+            .withColumn("kept", F.when(F.col("_lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.concat_ws("\n", kept)))
+            .drop("_text", "_lost")
         )
 
 

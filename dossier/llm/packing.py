@@ -4,11 +4,13 @@ Documents are tokenised once and cut into full windows and a rest. The rests are
 length histogram (at most `capacity` - 1 counts, however many documents): for each next window a
 bitset subset-sum over the counts left finds the fullest reachable sum, backtracking gives the
 multiset of lengths that reaches it, and that multiset is used for as many windows as its counts
-allow. The list of such patterns is bounded by the histogram, not by the input; pieces are numbered
-within their length in parallel and look their sequence and offset up in it.
+allow. The list of such patterns is bounded by the histogram, not by the input. A task that cuts
+pieces numbers them within each length as it goes; with the tasks' counts before it, a piece has its
+rank among all of its length and looks its sequence and offset up.
 
 Cases: a null or empty text is the end token alone; a null doc_id stays null; repeated rows are
-packed as documents of their own; an empty table gives an empty result; extra columns are ignored.
+packed as documents of their own; an empty table gives an empty result; extra columns are ignored;
+very long runs of white space, which the faster encoder cannot hold, are left to `tokenizers`.
 """
 
 from __future__ import annotations
@@ -22,16 +24,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossier.llm.common import bounded_batches, stored, table
+from dossier.llm.common import bounded_batches, broadcast_up_to, stored, table
 
 CAPACITY, END = 2048, 1
 #: Kept chunk encodings of a task; the memory is dropped when it is full.
 MEMO = 150_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Where a piece stands: the task that cut it, and its place among that task's pieces of its length.
+NUMBERED = f"{PIECE}, part long, inside long"
+#: Characters encoded whole at once, and the run of white space beyond which the faster encoder's pattern overflows its stack.
+SEGMENT, LONG_RUN = 1 << 18, 10_000
+LONG_SPACE = re.compile(r"\s{%d}" % LONG_RUN)
+#: Rows up to which the tasks' counts are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Byte-level BPE files write bytes as printable characters: these stand for themselves.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -71,23 +81,43 @@ class Encoder:
     """
 
     def __init__(self, path: str, added: bool = False):
-        self.encode, self.memo = load_encoding(path).encode_ordinary, {}
+        self.path, self.encode, self.memo, self.slow = path, load_encoding(path).encode_ordinary, {}, None
         (self.newline,) = self.encode("\n")
         self.added = added_tokens(path) if added else {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
+    def plain(self, text: str) -> list[int]:
+        """The ids of a text without added tokens, in segments that end before a space after a non-space."""
+        out, at = [], 0
+        while at < len(text):
+            end = at + SEGMENT
+            while 0 < end < len(text) and (text[end] != " " or text[end - 1].isspace()):
+                end = text.find(" ", end + 1)
+            part = text[at:] if end < 0 or end >= len(text) else text[at:end]
+            at += len(part)
+            if not LONG_SPACE.search(part):
+                out += self.encode(part)
+                continue
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
+                self.slow.encode_special_tokens = True  # added tokens were cut out before, or are text
+            out += self.slow.encode(part, add_special_tokens=False).ids
+        return out
+
     def whole(self, text: str) -> np.ndarray:
         """The ids of one text, cut at added tokens."""
         if self.cut is None:
-            return np.array(self.encode(text), np.uint32)
-        return np.array([i for part in self.cut.split(text) for i in ([self.added[part]] if part in self.added else self.encode(part))], np.uint32)
+            return np.array(self.plain(text), np.uint32)
+        return np.array([i for part in self.cut.split(text) for i in ([self.added[part]] if part in self.added else self.plain(part))], np.uint32)
 
     def learn(self, chunks: list[str]) -> None:
         """Encode new chunks: those without white space inside in one call, a newline (a token of its own) between."""
         if len(self.memo) > MEMO:
             self.memo = {}
         new = [c for c in chunks if c not in self.memo]
-        simple = [c for c in new if not re.search(r"(?<!^)\s|^[^\S ]|^ ?$", c)]
+        simple = [c for c in new if len(w := c.split()) == 1 and (w[0] == c or c == " " + w[0])]
         flat = np.array(self.encode("\n".join(simple) + "\n"), np.uint32)
         ends = np.flatnonzero(flat == self.newline)
         if len(ends) == len(simple):
@@ -99,7 +129,8 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's ids begin and end)."""
-        plain = ["\x00" not in t and not re.search(r" \s", t) and not (self.cut and self.cut.search(t)) for t in texts]
+        odd_space = re.compile(r" \s").search
+        plain = ["\x00" not in t and not odd_space(t) and not LONG_SPACE.search(t) and not (self.cut and self.cut.search(t)) for t in texts]
         chunks = pc.split_pattern(pa.array([t.replace(" ", "\x00 ") if ok else "" for t, ok in zip(texts, plain, strict=True)], pa.large_string()), "\x00")
         coded = chunks.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -121,7 +152,7 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-def runs(docs: list, texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+def runs(docs: list, texts: list[str], chars: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
     """Runs of rows of about so many characters, which bound what is encoded at once."""
     first = total = 0
     for i, text in enumerate(texts):
@@ -137,17 +168,22 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     """Full windows of each document (its ids and the end token), then the rest. tokenizer: a file all tasks can open."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, added)
+        encoder, part = Encoder(tokenizer, added), TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
             for docs, texts in runs(batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]):
                 ids, at = encoder.ids(texts)
                 for doc, a, b in zip(docs, at[:-1].tolist(), at[1:].tolist(), strict=True):
                     own = np.append(ids[a:b], np.uint32(END)).astype("<u4")
-                    rows += [(doc, s, min(capacity, len(own) - s), zlib.crc32(own[s : s + capacity]), len(own)) for s in range(0, len(own), capacity)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    for s in range(0, len(own), capacity):
+                        n = min(capacity, len(own) - s)
+                        rows.append((doc, s, n, zlib.crc32(own[s : s + capacity]), len(own), part, int(seen[n])))
+                        seen[n] += 1
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "inside"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names)
 
-    return bounded_batches(docs).select("doc_id", "text").mapInArrow(cut, PIECE)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(cut, NUMBERED)
 
 
 def fullest(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -208,24 +244,15 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]], first: int) -> list
     return out
 
 
-def numbered(pieces: DataFrame, by: str) -> DataFrame:
-    """`rank`: 0, 1, ... within each value of `by`, without gathering a value's rows.
-
-    Rows fall into 1024 parts by hash; a part's place among a value's parts comes from the counts, and
-    only ranks inside (value, part) need rows together.
-    """
-    parted = pieces.withColumn("part", F.pmod(F.xxhash64(*pieces.columns), F.lit(1024)).cast("int"))
-    before = (
-        parted.groupBy(by, "part").count()
-        .withColumn("before", F.sum("count").over(W.partitionBy(by).orderBy("part")) - F.col("count"))
-        .select(by, "part", "before")
-    )
-    inside = parted.withColumn("inside", F.row_number().over(W.partitionBy(by, "part").orderBy("doc_id", "start", "ids_crc32")) - 1)
-    return inside.join(before, [by, "part"]).withColumn("rank", F.col("before") + F.col("inside")).drop("part", "before", "inside")
+def ranked(pieces: DataFrame) -> DataFrame:
+    """`rank`: 0, 1, ... within each length: a piece's place in its task after the pieces of the tasks before."""
+    tasks = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = tasks.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    return pieces.join(broadcast_up_to(stored(before, "before"), BROADCAST_ROWS), ["length", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Stored pieces with sequence_id and offset."""
+    """Stored pieces, numbered by the tasks that cut them, with sequence_id and offset."""
     spark = pieces.sparkSession
     histogram = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most `capacity` rows
@@ -248,7 +275,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             j = rank - a[i]
             yield rows.drop(columns="rank").assign(sequence_id=sequence[i] + j // k[i], offset=at[i] + j % k[i] * n)
 
-    return numbered(pieces, "length").select(*pieces.columns, "rank").mapInPandas(place, f"{PIECE}, sequence_id long, offset long")
+    return ranked(pieces).select(*[c.split()[0] for c in PIECE.split(", ")], "rank").mapInPandas(place, f"{PIECE}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:

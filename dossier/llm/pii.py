@@ -4,7 +4,9 @@ Everything is DataFrame expressions: one pass over the text, no shuffle, no Pyth
 points, end exclusive. Cases: a null or empty text has no spans; a null doc_id stays null; repeated
 rows each get their own result; an empty table gives an empty result; extra columns are ignored.
 Long runs cost linear time: a match starts at a run's start or where the last match ended (\\G),
-and repetitions are possessive, which neither changes the leftmost-greedy matches nor recurses.
+and repetitions are possessive, which neither changes the leftmost-greedy matches nor recurses. Many
+matches do too: places are sums of the pieces between matches, and a span's neighbourhood is put
+together from the pieces beside it, so no span is looked for in the text again.
 """
 
 from __future__ import annotations
@@ -24,8 +26,15 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
 }
+#: Lengths of account numbers by country (fixed values of the public registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+PATTERNS["iban"] = "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 #: Start score of a confirmed span, and what a context word nearby adds.
 SCORES = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8}
@@ -37,24 +46,47 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax|anruf|llam",
     "iban": "iban|account|bank|konto|compte|cuenta",
 }
-SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,value:string,score:double>>"
+#: Pieces whose lengths are summed in one go, and matches beside a span that its neighbourhood may reach into
+#: (a match and the gap before it have at least two characters).
+SUMMED, BESIDE = 256, CONTEXT_CHARS // 2 + 1
 
 
-def proposals(text: Column, kind: str) -> Column:
-    """All leftmost non-overlapping matches with their places: the gaps between matches sum up to offsets."""
-    pattern = F.lit(PATTERNS[kind])
-    pieces = F.arrays_zip(
-        F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit")
-    )
+def bound(value: Column, made) -> Column:
+    """made(value), whose uses of the value don't compute it again."""
+    return F.transform(F.array(value), made)[0]
+
+
+def sums_before(lengths: Column) -> Column:
+    """For each of the lengths (at least one) the sum of those before it; runs of SUMMED keep the appending cheap."""
+    add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    scan = lambda runs, at: F.aggregate(runs, F.struct(at.alias("at"), F.array().cast("array<int>").alias("out")), add, lambda acc: acc["out"])
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / SUMMED).cast("int")), lambda i: F.slice(lengths, i * SUMMED + 1, F.lit(SUMMED)))
+    totals = lambda r: F.transform(r, lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n))
+    return bound(runs, lambda r: F.flatten(F.zip_with(r, scan(totals(r), F.lit(0)), lambda x, at: scan(x, at))))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = (start + F.char_length(F.coalesce(x["hit"], F.lit("")))).cast("int")
-        span = F.struct(start.cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["spans"]).otherwise(F.array_append(acc["spans"], span)).alias("spans"))
+def proposals(text: Column, kind: str, keep) -> Column:
+    """The leftmost non-overlapping matches of a kind that `keep` (value, character before, character after) confirms, with places and scores."""
+    rank, nothing = KINDS.index(kind), F.lit("")
+    gaps = F.split(text, PATTERNS[kind], -1)
+    hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    pieces = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), F.coalesce(h, nothing).alias("hit")))
+    lengths = lambda p: F.transform(p, lambda x: (F.char_length(x["gap"]) + F.char_length(x["hit"])).cast("int"))
+    joined = lambda p: F.concat_ws("", F.transform(p, lambda x: F.concat(x["gap"], x["hit"])))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
+    def span(p: Column, before: Column, x: Column, i: Column) -> Column:
+        start = (F.get(before, i) + F.char_length(x["gap"])).cast("int")
+        first = F.greatest(i - BESIDE, F.lit(0))
+        left = F.right(F.concat(joined(F.slice(p, first + 1, i - first)), x["gap"]), F.lit(CONTEXT_CHARS))
+        right = F.left(joined(F.slice(p, i + 2, F.lit(BESIDE))), F.lit(CONTEXT_CHARS))
+        follows = F.left(F.concat(F.get(p, i + 1)["gap"], F.get(p, i + 1)["hit"]), F.lit(1))
+        near = F.lower(F.concat(left, F.lit("\n"), right))
+        score = F.round(F.lit(SCORES[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), CONTEXT_BONUS).otherwise(0.0), 2)
+        made = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.char_length(x["hit"])).cast("int").alias("end"), x["hit"].alias("value"), score.alias("score"))
+        return F.when((x["hit"] != "") & keep(x["hit"], F.right(left, F.lit(1)), follows), made)
+
+    return F.array_compact(bound(pieces, lambda p: bound(sums_before(lengths(p)), lambda before: F.transform(p, lambda x, i: span(p, before, x, i)))))
 
 
 def digits(value: Column) -> Column:
@@ -95,34 +127,20 @@ def confirmed(kind: str, value: Column) -> Column:
     return mod97(value) if kind == "iban" else F.lit(True)
 
 
-def score(text: Column, span: Column) -> Column:
-    """A confirmed span's start score, raised if a context word of its kind stands within CONTEXT_CHARS of it."""
-    first = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    near = F.lower(F.concat(F.substr(text, first + 1, span["start"] - first), F.lit("\n"), F.substr(text, span["end"] + 1, F.lit(CONTEXT_CHARS))))
-    by_kind = [F.when(span["rank"] == i, F.lit(SCORES[k]) + F.when(near.rlike(rf"\b(?:{CONTEXT[k]})"), CONTEXT_BONUS).otherwise(0.0)) for i, k in enumerate(KINDS)]
-    return F.round(F.coalesce(*by_kind), 2)
-
-
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
     """docs with `spans`: array<struct<start, rank, end, value, score>> in order of start, then kind.
 
-    The columns of docs stay but for one named `spans`, which is replaced.
+    A confirmed span's start score is raised if a context word of its kind stands within CONTEXT_CHARS of it; spans of a
+    score under `least` are left out. The columns of docs stay but for one named `spans`, which is replaced.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     #: A kind's patterns run only over texts that hold a sign of it.
     signs = {"email": F.contains(whole, F.lit("@")), "phone": F.contains(whole, F.lit("+"))}
-    some = F.array().cast(SPAN)
-    alone = lambda s: ~F.concat(F.when(s["start"] > 0, F.substr(whole, s["start"], F.lit(1))).otherwise(""), F.substr(whole, s["end"] + 1, F.lit(1))).rlike("[A-Za-z0-9]")
-    holds = lambda k: lambda s: confirmed(k, s["value"]) & (alone(s) if k == "iban" else F.lit(True))
-    found = [
-        F.when(signs.get(k, whole.rlike("[0-9]")), F.filter(proposals(whole, k), holds(k))).otherwise(some)
-        for k in KINDS
-    ]
+    alone = lambda before, after: ~F.concat(before, after).rlike("[A-Za-z0-9]")
+    keeps = lambda k: lambda v, before, after: confirmed(k, v) & (alone(before, after) if k == "iban" else F.lit(True))
+    found = [F.when(signs.get(k, whole.rlike("[0-9]")), proposals(whole, k, keeps(k))).otherwise(F.array().cast(SPAN)) for k in KINDS]
     spans = F.array_sort(reduce(F.concat, found))
-    return docs.withColumn(
-        "spans",
-        F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"], s["value"], score(whole, s).alias("score"))),
-    )
+    return docs.withColumn("spans", F.filter(spans, lambda s: s["score"] >= least) if least else spans)
 
 
 def named(span: Column) -> Column:

@@ -2,7 +2,7 @@
 
 Writing: payloads are digested; of equal payloads of at least REVISIT_BYTES bytes the smallest page
 is a `response`, the others `revisit` it without a payload of their own. Archives are plain text files
-of Spark's writer (gzip), one record after the other, in the shared folder.
+of Spark's writer (each a single gzip member), one record after the other, in the shared folder.
 
 Reading: the stream is cut at every place where the record magic stands, also inside payloads. Each
 such candidate names its successor: its own place plus header and Content-Length. From the file's
@@ -10,8 +10,10 @@ start the chain of successors is followed by pointer jumping (pointers double ea
 reachable candidates are records; magic inside a payload is not. A record whose payload holds the
 magic is put together again from its pieces.
 
-Cases: a null html is an empty payload; rows with a null page_id are written as records without an id
-and come back with a null page_id, always as response; repeated rows of one page_id: equal payloads
+Archives that Spark would split (uncompressed ones over several tasks) are refused when they are read.
+
+Cases: a null html is an empty payload; rows with a null page_id are written under their digest as an
+id and come back with a null page_id, always as response; repeated rows of one page_id: equal payloads
 are one page's, so none revisits itself; an empty table gives an empty result; extra columns are
 ignored.
 """
@@ -32,10 +34,12 @@ MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 REVISIT_BYTES = 100
 #: Records a file holds at most, which bounds what one chain is.
 FILE_RECORDS = 5000
+#: A revisit of an equal payload (a fixed value of the standard), and when records say they were made.
+PROFILE, DATE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "2024-01-01T00:00:00Z"
 FIELDS = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Payload-Digest", "X-Payload-Length", "Content-Length")
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
+def write_warc(pages: DataFrame, path: str, date: str = DATE) -> None:
     """pages: page_id, url, html. One record a row, in Spark's text files under path."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.octet_length(payload).alias("size"), F.sha2(payload.cast("binary"), 256).alias("digest"))
@@ -48,9 +52,10 @@ def write_warc(pages: DataFrame, path: str) -> None:
     header = F.concat(
         F.lit(MAGIC),
         field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        F.coalesce(field("WARC-Record-ID", uri(F.col("page_id"))), F.lit("")),
+        field("WARC-Record-ID", F.coalesce(uri(F.col("page_id")), F.concat(F.lit("<urn:sha256:"), "digest", F.lit(">")))),
+        field("WARC-Date", F.lit(date)),
         F.coalesce(field("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")), F.lit("")),
-        F.when(revisit, field("WARC-Refers-To", uri(F.col("first")))).otherwise(""),
+        F.when(revisit, F.concat(field("WARC-Profile", F.lit(PROFILE)), field("WARC-Refers-To", uri(F.col("first"))))).otherwise(""),
         field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
         field("X-Payload-Length", F.col("size").cast("string")),
         field("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("size")).cast("string")),
@@ -66,17 +71,17 @@ def pieces(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
     A candidate's row has its place, the end of its content, its fields, and the digest of its payload where
     the piece holds all of it; with text, the piece itself. Ids stay text, which pandas keeps exact.
     """
-    cut = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    cut = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("from"))
     split = F.instr("value", END)
     head = F.substring("value", F.lit(1), split - 1)
     named = {f: F.nullif(F.regexp_extract(head, rf"(?:^|\r\n){f}: ([^\r\n]*)", 1), F.lit("")) for f in FIELDS}
     size = F.octet_length("value")
     head_size = F.when(split > 0, F.octet_length(head) + len(END))
     length = named["Content-Length"].try_cast("long")
-    body = F.substring(F.col("value").cast("binary"), head_size + 1, length.cast("int"))
+    body = F.substring(F.col("value").cast("binary"), head_size + 1, length.try_cast("int"))
     page = lambda f: F.regexp_extract(named[f], r"^<urn:page:(-?[0-9]+)>$", 1)
     rows = cut.select(
-        "file", size.cast("long").alias("size"), (head_size + length).alias("content"), head_size.alias("head"), length.alias("length"),
+        "file", "from", size.cast("long").alias("size"), (head_size + length).alias("content"), head_size.alias("head"), length.alias("length"),
         named["WARC-Type"].alias("kind"), page("WARC-Record-ID").alias("page_id"), page("WARC-Refers-To").alias("refers_to"),
         named["X-Payload-Length"].alias("told_bytes"), F.substring(named["WARC-Payload-Digest"], 8, 64).alias("told_digest"),
         F.when((head_size + length + len(END)) == size, F.sha2(body, 256)).alias("digest"),
@@ -87,6 +92,8 @@ def pieces(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
         """Running places within each file; the first piece is what stands before the first magic: nothing."""
         file, at = None, 0
         for batch in batches:
+            if (batch["from"] > 0).any():
+                raise ValueError(f"{batch['file'].iloc[0]} was split; archives must be read whole (gzip them)")
             starts = np.empty(len(batch), np.int64)
             for i, (name, n) in enumerate(zip(batch["file"], batch["size"], strict=True)):
                 if name != file:
