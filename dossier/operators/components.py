@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Hooks that are followed before the result is written.
+JUMPS = 3
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
@@ -35,8 +39,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of edges; component is the smallest node reachable.
 
-    Each round every node hooks to its smallest neighbour (or stays a root), chains of hooks are
-    halved by pointer jumping until all point to roots, and the graph shrinks to its roots. The rounds
+    Each round every node hooks to its smallest neighbour (or stays a root), hooks are followed, several
+    at a time, until all point to roots, and the graph shrinks to its roots. The rounds
     are logarithmic, and what the driver sees of each is one count. A node with many edges costs
     a row a task in the minimum, and joins with roots can be split. Null ends are dropped.
     """
@@ -46,9 +50,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         up = stored(cur.groupBy("a").agg(F.least("a", F.min("b")).alias("up")), "hooks")
         while True:
-            above = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
-            jumped = up.join(above, "up").select("a", "top", (F.col("top") != F.col("up")).alias("moved"))
-            up = stored(jumped, "hooks").withColumnRenamed("top", "up")
+            above, jumped = up.select(F.col("a").alias("up"), F.col("up").alias("top")), up
+            for _ in range(JUMPS):
+                jumped = jumped.join(above, "up").select("a", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
+            up = stored(jumped, "hooks")
             if not up.filter("moved").limit(1).count():
                 break
         up = up.select("a", "up")
