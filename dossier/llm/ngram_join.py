@@ -1,53 +1,58 @@
 """N-gram Jaccard join: a grouped prefix join over word shingles, exact, up to connected components.
 
-1. Texts become sets of 64-bit shingle hashes; equal sets are one member (their `sig`).
+1. Texts become sets of 64-bit shingle hashes, made from cryptographic hashes of their words; equal
+   sets are one member, named by a 128-bit digest of the set (its `sig`).
 2. Shingles get one global order: rare before frequent. Two sets that link must share a shingle among
    the first |x| - ceil(t |x|) + 1 of each (the prefix). To find frequencies without shuffling every
    shingle, sets post only shingles of the lowest part of the hash range (all, if those are fewer than
    the prefix); a shingle found in one set only has no partner, so a set whose prefix is filled by
    such shingles is done. Shingles that a sample of documents shows to be very common come last in
    the order and are not posted; the sample decides the order alone, not the result.
-3. Members of equal size and prefix become a group; groups that share a prefix shingle and could be
-   of similar size form candidate clusters, found as connected components.
-4. Clusters are expanded to members and verified: blocks of members are intersected by matrix
-   products, a large cluster as pairs of blocks; a block returns a spanning forest of its links, so no
-   task emits all pairs of a group.
+3. Members of equal size and prefix become a group. Two groups are a pair if they share a prefix
+   shingle at places from which their sizes still allow a link, and share as many prefix shingles as
+   a link needs (what lies behind the prefixes cannot make up for more).
+4. Pairs are expanded to members and verified in two passes. The first takes neighbours alone: groups
+   that follow one another in a shingle's list, members that follow one another in a group, and long
+   lists' parts with their first. What it links is connected. The second takes all pairs that are left
+   between members not connected yet, the lists' as the groups', in blocks compared by matrix products;
+   a block returns a spanning forest of its links, so no pass emits all pairs of a group of copies.
 
 Cases: a null text, or one without words, has an empty set and links with nothing; fewer words than
 a shingle make one shingle; a null doc_id keeps its row (component null) and links nothing; rows
-that share an id are one node; repeated rows get equal rows; an empty table gives an empty result;
-extra columns are ignored.
+with words that share an id are one node, whatever their texts; repeated rows get equal rows; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from dossier.llm.common import bounded_batches, stored, table
+from dossier.llm.common import bounded_batches, broadcast_up_to, stored, table
 from dossier.operators.components import connected_components
 
 N_WORDS, PERCENT = 4, 85
-#: Share of the hash range that is posted; members a verification block holds; postings a range task holds, about.
-POSTED, BLOCK, RANGE_ROWS = 0.25, 192, 400_000
-#: Postings a task holds before it passes them on.
-HELD = 600_000
+#: Share of the hash range that is posted; postings a range task holds, about, and those a task holds before it passes them on.
+POSTED, RANGE_ROWS, HELD = 0.25, 400_000, 600_000
 #: Documents sampled to find common shingles, and the share of them that makes one common.
 SAMPLE_DOCS, COMMON = 4000, 0.01
+#: Members and bytes of text on one side of a verified block; bytes of text a verification task reads, about.
+BLOCK, BLOCK_BYTES, TASK_BYTES = 192, 8 << 20, 16 << 20
+#: Entries of a list that follow one another in one task; rows up to which small sides are broadcast.
+CHAIN, BROADCAST_ROWS = 10_000, 200_000
+#: Words whose hashes a task keeps, those of at most so many bytes; bytes of a text that are split at once.
+KEPT_WORDS, KEPT_BYTES, AT_ONCE = 200_000, 64, 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,48 +62,53 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """Cryptographic 64-bit hashes of words, those of the words seen last kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Shingler:
     """Shingle hashes of texts; words are runs of other bytes than white space, A-Z lower-cased."""
 
     def __init__(self, n: int = N_WORDS):
-        self.n, self.powers = n, np.ones(1, np.uint64)
-
-    def _grow(self, size: int) -> None:
-        if len(self.powers) < size:
-            one = np.ones(1, np.uint64)  # a plain list would turn the sums into floats
-            self.powers = np.cumprod(np.concatenate([one, np.full(size, _BASE, np.uint64)]))
-            self.inverse = np.cumprod(np.concatenate([one, np.full(size, _INVERSE, np.uint64)]))
+        self.n, self.hashes = n, WordHashes()
 
     def words(self, data: bytes) -> np.ndarray:
-        """A hash of each word, from differences of a running polynomial sum."""
-        b = np.frombuffer(data, np.uint8)
-        if not len(b):
-            return np.empty(0, np.uint64)
-        self._grow(len(b) + 1)
-        space = np.concatenate([[True], _SPACE[b], [True]])
-        begin = np.flatnonzero(space[:-1] & ~space[1:])
-        end = np.flatnonzero(~space[:-1] & space[1:])
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((_LOWER[b] + np.uint64(1)) * self.powers[: len(b)], out=total[1:])
-        return _mixed((total[end] - total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
+        """A hash of each word; the text is cut at white space into pieces that are split at once."""
+        out, at = [], 0
+        while at < len(data):
+            cut = _SPACE.search(data, at + AT_ONCE) if len(data) - at > AT_ONCE else None
+            end = cut.start() if cut else len(data)
+            found = data[at:end].lower().split()
+            out.append(np.fromiter(map(self.hashes.__getitem__, found), np.uint64, len(found)))
+            at = end
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
 
     def of(self, data: bytes) -> np.ndarray:
         """Sorted distinct shingle hashes of one text."""
         w = self.words(data)
         if not len(w):
             return w
-        n = min(self.n, len(w))
-        h = np.full(len(w) - n + 1, n, np.uint64)
-        for k in range(n):
-            h = _mixed(h * np.uint64(0xD6E8FEB86659FD93) + w[k : len(w) - n + 1 + k])
-        return np.unique(h)
+        n, out = min(self.n, len(w)), []
+        for at in range(0, len(w) - n + 1, AT_ONCE):
+            size = min(AT_ONCE, len(w) - n + 1 - at)
+            h = np.full(size, n, np.uint64)
+            for k in range(n):
+                h = _mixed(h * np.uint64(0xD6E8FEB86659FD93) + w[at + k : at + k + size])
+            out.append(np.unique(h))
+        return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
 
 
-def signature(h: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit sums that stand for a set."""
-    one = int(np.add.reduce(_mixed(h ^ np.uint64(0x243F6A8885A308D3)))) if len(h) else 0
-    two = int(np.add.reduce(_mixed(h ^ np.uint64(0x13198A2E03707344)))) if len(h) else 0
-    return one, two
+def signature(h: np.ndarray) -> bytes:
+    """A 128-bit digest that stands for a set."""
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
 @dataclass(frozen=True)
@@ -111,76 +121,84 @@ class Rule:
     def prefix(self, size: int) -> int:
         return size - -(-self.percent * size // 100) + 1
 
+    def behind(self, size: Column) -> Column:
+        """Shingles behind the prefix of a set."""
+        return F.floor((size * self.percent + 99) / 100).cast("int") - 1
+
+    def shared(self, a: Column, b: Column) -> Column:
+        """Shingles that sets of these sizes share if they link, at least."""
+        whole = 100 + self.percent
+        return F.floor(((a + b) * self.percent + whole - 1) / whole).cast("int")
+
 
 CUT = np.uint64(int(POSTED * 2**64))
-SETS = "doc_id long, sig long, sig2 long, size int, low int, high int, common binary, part int, keys binary, sigs binary"
+SETS = "doc_id long, sig binary, mark binary, bytes long, size int, low int, high int, common array<bigint>, part int, keys binary, owners binary, sigs binary"
+KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+NAMES = [c.split()[0] for c in SETS.split(", ")]
 
 
-def _signed(x: int) -> int:
-    x &= _MASK
-    return x - (1 << 64) if x >> 63 else x
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], NAMES)
 
 
 def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """Two kinds of rows from one pass over the texts.
 
-    A document's: doc_id, sig, sig2, size, how many shingles it posts below and above the cut, and its common
-    shingles that its prefix may reach. A batch's postings of one hash range (`part` set): packed keys and sigs,
-    equal ones once.
+    A document's: doc_id, sig (null for an empty set), mark (MD5 of the text) and bytes of the text, size, how many
+    shingles it posts below and above the cut, and its common shingles that its prefix may reach. A batch's postings of
+    one hash range (`part` set): packed keys, the places of their owners in the packed sigs; equal sets once.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(rule.n), set()
         keys: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
+        sigs: list[bytes] = []
         held = 0
 
         def postings() -> pa.RecordBatch:
-            k, s = np.concatenate(keys), np.concatenate(owners)
+            k, s = np.concatenate(keys), np.repeat(np.arange(len(keys)), list(map(len, keys)))
             part = (k >> np.uint64(20)) % np.uint64(rule.ranges)
             order = np.argsort(part, kind="stable")
             k, s, part = k[order], s[order], part[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-            pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
-            none = [None] * len(pairs)
-            return _batch([none, none, none, none, none, none, none, [int(part[a]) for a, _ in pairs], [k[a:b].tobytes() for a, b in pairs], [s[a:b].tobytes() for a, b in pairs]])
+            names, columns = np.frombuffer(b"".join(sigs), "V16"), [[], [], [], []]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own, at = np.unique(s[a:b], return_inverse=True)
+                for column, value in zip(columns, (int(part[a]), k[a:b].tobytes(), at.astype(np.int32).tobytes(), names[own].tobytes()), strict=True):
+                    column.append(value)
+            return _batch([*[[None] * len(columns[0])] * 8, *columns])
 
         for batch in batches:
-            out: list[list] = [[] for _ in range(10)]
+            out: list[list] = [[] for _ in NAMES]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = shingler.of((text or "").encode())
-                one, two = (_signed(x) for x in signature(h))
-                p = rule.prefix(len(h))
+                data = (text or "").encode()
+                h = shingler.of(data)
+                sig, p = signature(h) if len(h) else None, rule.prefix(len(h))
                 is_common = np.isin(h, rule.common) if rule.common is not None and len(rule.common) else np.zeros(len(h), bool)
                 rare = h[~is_common]
                 low = int(np.searchsorted(rare, CUT))
                 high = 0 if low >= p else len(rare) - low
-                for column, value in zip(out, (doc, one, two, len(h), low, high, h[is_common][: max(p - low - high, 0)].tobytes(), None, None, None), strict=True):
+                last = h[is_common][: max(p - low - high, 0)].view(np.int64).tolist()
+                for column, value in zip(out, (doc, sig, hashlib.md5(data).digest(), len(data), len(h), low, high, last, None, None, None, None), strict=True):
                     column.append(value)
-                if len(h) and doc is not None and one not in seen:
-                    if len(seen) > 200_000:
+                if sig and doc is not None and sig not in seen:
+                    if len(seen) > 100_000:
                         seen.clear()
-                    seen.add(one)
-                    own = rare[: low + high]
-                    keys.append(own)
-                    owners.append(np.full(len(own), one, np.int64))
-                    held += len(own)
+                    seen.add(sig)
+                    if low + high:
+                        keys.append(rare[: low + high])
+                        sigs.append(sig)
+                        held += low + high
             yield _batch(out)
             if held > HELD:
                 yield postings()
-                keys, owners, held = [], [], 0
+                keys, sigs, held = [], [], 0
         if held:
             yield postings()
 
     return bounded_batches(docs).select("doc_id", "text").mapInArrow(build, SETS)
 
 
-def _batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-    names = ["doc_id", "sig", "sig2", "size", "low", "high", "common", "part", "keys", "sigs"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
 def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """Shingles in at least COMMON of a sample of documents: at most (mean set size) / COMMON of them."""
     total = docs.count()
@@ -189,7 +207,7 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, seen = Shingler(n), set()
         for rows in batches:
-            sets = [h for t in rows["text"] if (h := shingler.of((t or "").encode())) is not None and len(h) and (s := signature(h)) not in seen and not seen.add(s)]
+            sets = [h for t in rows["text"] if len(h := shingler.of((t or "").encode())) and (s := signature(h)) not in seen and not seen.add(s)]
             yield pd.DataFrame({"h": np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)})
 
     least = max(20, int(COMMON * min(total, SAMPLE_DOCS)))
@@ -200,8 +218,17 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
 def shared_postings(sets: DataFrame) -> DataFrame:
     """(sig, key, df) for posted shingles of at least two different sets."""
 
-    def reduce(rows: pd.DataFrame) -> pd.DataFrame:
-        k, s = np.frombuffer(b"".join(rows["keys"]), np.uint64), np.frombuffer(b"".join(rows["sigs"]), np.int64)
+    def reduce(rows: pa.Table) -> pa.Table:
+        packed = {c: rows.column(c).to_pylist() for c in ("keys", "owners", "sigs")}
+        shift = np.cumsum([0, *[len(x) // 16 for x in packed["sigs"]]])
+        k = np.frombuffer(b"".join(packed["keys"]), np.uint64)
+        s = np.concatenate([np.frombuffer(x, np.int32).astype(np.int64) + at for x, at in zip(packed["owners"], shift[:-1], strict=True)])
+        halves = np.frombuffer(b"".join(packed["sigs"]), np.uint64).reshape(-1, 2)
+        by_name = np.lexsort((halves[:, 1], halves[:, 0]))
+        new_name = np.concatenate([[True], (np.diff(halves[by_name], axis=0) != 0).any(1)])
+        number = np.empty(len(by_name), np.int64)
+        number[by_name] = np.cumsum(new_name) - 1
+        s = number[s]
         order = np.lexsort((s, k))
         k, s = k[order], s[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
@@ -210,159 +237,206 @@ def shared_postings(sets: DataFrame) -> DataFrame:
         df = np.diff(np.append(np.flatnonzero(first), len(k)))
         df = df[np.cumsum(first) - 1]
         keep = df >= 2
-        return pd.DataFrame({"sig": s[keep], "key": k[keep].view(np.int64), "df": df[keep]})
-
-    return sets.filter("part is not null").select("part", "keys", "sigs").groupBy("part").applyInPandas(reduce, "sig long, key long, df long")
-
+        names = halves[by_name[new_name]][s[keep]]
+        owner = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(names), [None, pa.py_buffer(np.ascontiguousarray(names).tobytes())]).cast(pa.binary())
+        return pa.table([owner, pa.array(k[keep].view(np.int64)), pa.array(df[keep])], ["sig", "key", "df"])
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _longs(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: np.frombuffer(b or b"", np.int64))
+    return sets.filter("part is not null").select("part", "keys", "owners", "sigs").groupBy("part").applyInArrow(reduce, "sig binary, key long, df long")
 
 
 def prefixes(members: DataFrame, shared: DataFrame, rule: Rule) -> DataFrame:
-    """(sig, size, prefix, alone): shingles of each member's prefix that others have too, in the global order.
+    """(sig, grp, size, prefix): shingles of each member's prefix that others have too, with their places, in the global order.
 
-    alone: shingles of the prefix that no other set has. Members whose prefix holds only such are left out.
-    The order: posted below the cut by (frequency, hash), then posted above it, then common ones by hash.
+    The order: posted below the cut by (frequency, hash), then posted above it, then common ones by hash; those that one set
+    alone has are the first of their part. Members whose prefix holds only such are left out. A group (`grp`) is members
+    of equal size and equal whole prefix, or a member whose prefix has a shingle of its own.
     """
     is_low = F.expr(f"key between 0 and {int(CUT) - 1}")
     lists = shared.withColumn("low", is_low).groupBy("sig").agg(
         F.array_sort(F.collect_list(F.when(F.col("low"), F.struct("df", "key")))).alias("lows"),
         F.array_sort(F.collect_list(F.when(~F.col("low"), F.struct("df", "key")))).alias("highs"),
     )
-    none = F.array().cast("array<struct<df:long,key:long>>")
+    none = F.array().cast("array<struct<df:bigint,key:bigint>>")
     m = members.join(lists, "sig", "left").withColumns({"lows": F.coalesce("lows", none), "highs": F.coalesce("highs", none)})
-    p = F.col("size") - F.ceil(F.col("size") * rule.percent / F.lit(100.0)).cast("int") + 1
     take = lambda name, n: F.slice(name, F.lit(1), F.greatest(n, F.lit(0)))
     only_low, only_high = F.col("low") - F.size("lows"), F.col("high") - F.size("highs")
-    m = m.withColumn("p", p).select(
+    at = lambda key, place: F.struct(key.alias("key"), place.cast("int").alias("pos"))
+    m = m.withColumn("p", F.col("size") - rule.behind(F.col("size"))).select(
         "sig", "size",
         F.concat(
-            F.transform(take("lows", F.col("p") - only_low), lambda x: x["key"]),
-            F.transform(take("highs", F.col("p") - F.col("low") - only_high), lambda x: x["key"]),
-            take("common", F.col("p") - F.col("low") - F.col("high")),
+            F.transform(take("lows", F.col("p") - only_low), lambda x, i: at(x["key"], only_low + i)),
+            F.transform(take("highs", F.col("p") - F.col("low") - only_high), lambda x, i: at(x["key"], F.col("low") + only_high + i)),
+            F.transform(take("common", F.col("p") - F.col("low") - F.col("high")), lambda x, i: at(x, F.col("low") + F.col("high") + i)),
         ).alias("prefix"),
         (F.least(only_low, F.col("p")) + F.least(only_high, F.greatest(F.col("p") - F.col("low"), F.lit(0)))).alias("alone"),
     )
-    return m.filter(F.size("prefix") > 0)
-
-
-def clusters(prefixed: DataFrame, rule: Rule) -> DataFrame:
-    """(sig, cluster): members that must be compared are in one cluster; members without partners are left out."""
-    #: A group: members of equal size and equal whole prefix (none of it theirs alone).
-    whole = F.when(F.col("alone") == 0, F.xxhash64("size", "prefix")).otherwise(F.xxhash64(F.lit("own"), "sig"))
-    member = stored(prefixed.withColumn("grp", whole), "grouped")
-    groups = member.groupBy("grp").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    #: Similar sizes fall into the same or neighbouring bins, so partners meet in one of two nodes of a shingle.
-    bin_of = F.floor(F.log("size") / F.lit(float(np.log(100 / rule.percent)))).cast("int")
-    nodes = groups.select("grp", F.explode("prefix").alias("key"), bin_of.alias("bin")).select("grp", F.explode(F.array(F.xxhash64("key", "bin"), F.xxhash64("key", F.col("bin") + 1))).alias("node"))
-    nodes = stored(nodes, "nodes")
-    hubs = stored(nodes.groupBy("node").agg(F.min("grp").alias("hub"), F.max("grp").alias("last")).filter("hub <> last").select("node", "hub"), "hubs")
-    edges = nodes.join(hubs, "node").filter("grp <> hub").select(F.col("hub").alias("a"), F.col("grp").alias("b")).distinct()
-    own = groups.filter("n > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    found = stored(connected_components(edges.unionByName(own)), "clusters")
-    return member.select("sig", "grp").join(found.withColumnRenamed("node", "grp"), "grp").select("sig", F.col("component").alias("cluster"))
-
-
-def blocks(members: DataFrame) -> DataFrame:
-    """(sig, task, cluster, side): which verification tasks a member goes to.
-
-    Clusters of up to BLOCK members are dealt whole, many to a task. Of larger ones, members fall by size bin and
-    hash into blocks, and each two blocks of equal or neighbouring bins meet in a task (sides 0 and 1).
-    """
-    sizes = stored(members.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
-    members = members.join(sizes, "cluster")
-    tasks = F.lit(max(1, members.count() // 1000))
-    small = members.filter(F.col("n") <= BLOCK).select("sig", F.pmod(F.xxhash64("cluster"), tasks).alias("task"), "cluster", F.lit(0).alias("side"))
-    large = members.filter(F.col("n") > BLOCK)
-    parts = stored(large.groupBy("cluster", "bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "parts")
-    above = parts.select("cluster", (F.col("bin") - 1).alias("bin"), F.col("parts").alias("above"))
-    below = parts.select("cluster", (F.col("bin") + 1).alias("bin"), F.col("parts").alias("below"))
-    near = stored(parts.join(above, ["cluster", "bin"], "left").join(below, ["cluster", "bin"], "left").fillna(0), "near")
-    large = large.join(near, ["cluster", "bin"]).withColumn("i", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    meets = lambda lo_bin, i, hi_bin, j, side: F.struct(F.xxhash64("cluster", lo_bin, i, hi_bin, j).alias("task"), side.alias("side"))
-    b = F.col("bin")
-    same = F.transform(upto(F.col("parts")), lambda j: meets(b, F.least(F.col("i"), j), b, F.greatest(F.col("i"), j), F.when(j < F.col("i"), 1).otherwise(0)))
-    up = F.transform(upto(F.col("above")), lambda j: meets(b, F.col("i"), b + 1, j, F.lit(0)))
-    down = F.transform(upto(F.col("below")), lambda j: meets(b - 1, j, b, F.col("i"), F.lit(1)))
-    return small.unionByName(large.select("sig", F.explode(F.concat(same, up, down)).alias("m"), "cluster").select("sig", "m.task", "cluster", "m.side"))
-
-
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """members x members: whether 100 |x & y| >= percent |x | y|."""
+    whole = F.unhex(F.md5(F.concat_ws(",", "size", F.transform("prefix", lambda x: x["key"].cast("string")))))
+    return m.filter(F.size("prefix") > 0).select("sig", F.when(F.col("alone") == 0, whole).otherwise(F.col("sig")).alias("grp"), "size", "prefix")
+
+
+def possible(rule: Rule, a: str, b: str) -> Column:
+    """Whether two entries of a shingle's list (struct columns of size and pos) leave room for a link."""
+    x, y = F.col(a), F.col(b)
+    return F.least(x["size"] - x["pos"], y["size"] - y["pos"]) >= rule.shared(x["size"], y["size"])
+
+
+def enough(pairs: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b, ...) of groups whose prefixes share what a link needs beyond the shingles behind them."""
+    of = lambda end: groups.select(F.col("grp").alias(end), F.col("size").alias(f"{end}_size"), F.col("keys").alias(f"{end}_keys"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    need = rule.shared(F.col("a_size"), F.col("b_size")) - F.greatest(rule.behind(F.col("a_size")), rule.behind(F.col("b_size")))
+    return met.filter(F.size(F.array_intersect("a_keys", "b_keys")) >= need).select(*pairs.columns)
+
+
+def chained(rows: DataFrame, by: str, order: list[str], entry: Column) -> DataFrame:
+    """(by, x, y): each entry with the next one of its list; in a list of over CHAIN entries, which falls into parts
+    by hash, each also with the list's first."""
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"), F.min(entry).alias("x")).filter("n > 1")
+    sizes = stored(sizes, "lists")
+    salt = F.pmod(F.xxhash64(*order), F.ceil(F.col("n") / CHAIN)).alias("salt")
+    met = rows.join(sizes, by).select(by, "n", F.col("x").alias("first"), entry.alias("x"), salt)
+    nxt = met.withColumn("y", F.lead("x").over(W.partitionBy(by, "salt").orderBy("x"))).filter("y is not null").select(by, "x", "y")
+    stars = met.filter((F.col("n") > CHAIN) & (F.col("x") != F.col("first"))).select(by, F.col("first").alias("x"), F.col("x").alias("y"))
+    return nxt.unionByName(stars)
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """left x right: whether 100 |x & y| >= percent |x | y|."""
+    sets = left + right
     sizes = np.array([len(s) for s in sets])
-    owner, flat = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
-    _, token, n = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = n[token] > 1
-    owner = owner[keep]
-    _, token = np.unique(token[keep], return_inverse=True)
-    both = np.zeros((len(sets), len(sets)), np.float64)
-    wide, order = max(1, 4_000_000 // len(sets)), np.argsort(token, kind="stable")
+    _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[n[token] > 1]
+    _, token = np.unique(token[n[token] > 1], return_inverse=True)
+    order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    for at in range(0, int(token[-1]) + 1 if len(token) else 0, wide):
+    most, at = len(left), 0
+    both = np.zeros((most, len(right)), np.float64)
+    wide = max(1, 4_000_000 // len(sets))
+    while len(token) and at <= token[-1]:
         a, b = np.searchsorted(token, [at, at + wide])
-        grid = np.zeros((len(sets), wide if at + wide <= token[-1] else int(token[-1]) + 1 - at), np.float32)
+        grid = np.zeros((len(sets), min(wide, int(token[-1]) + 1 - at)), np.float32)
         grid[owner[a:b], token[a:b] - at] = 1
-        both += grid @ grid.T
-    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-
-
-def forest(links: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (first member, other) of each component of a symmetric relation."""
-    left, out = np.ones(len(links), bool), []
-    for i in range(len(links)):
-        if left[i]:
-            left[i] = False
-            reach = front = np.array([i])
-            while len(front):
-                front = np.flatnonzero(links[front].any(0) & left)
-                left[front] = False
-                reach = np.concatenate([reach, front])
-            out += [(i, int(j)) for j in reach[1:]]
+        both += grid[:most] @ grid[most:].T
+        at += wide
+    return 100 * both >= percent * (sizes[:most, None] + sizes[None, most:] - both)
+
+
+def bipartite_forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) of a spanning forest of a relation between rows and columns."""
+    rows, columns, out = np.ones(links.shape[0], bool), np.ones(links.shape[1], bool), []
+    for start in np.flatnonzero(links.any(1)):
+        if not rows[start]:
+            continue
+        rows[start], front = False, [start]
+        while front:
+            i = front.pop()
+            for j in np.flatnonzero(links[i] & columns):
+                columns[j] = False
+                out.append((int(i), int(j)))
+                more = np.flatnonzero(links[:, j] & rows)
+                rows[more] = False
+                out += [(int(k), int(j)) for k in more]
+                front += more.tolist()
     return out
 
 
-def verified(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): a spanning forest of the links in each task. texts: sig, task, cluster, side, text."""
+def verified(docs: DataFrame, units: DataFrame, members: DataFrame, rule: Rule, name: str) -> DataFrame:
+    """(a, b): a spanning forest of the links between the two sides of each unit.
+
+    units: unit, side (0 or 1), sig; texts are read again by (doc_id, MD5), and each is sent to the units it stands in.
+    """
+    rows = stored(units.join(members.select("sig", "rep"), "sig").select("unit", "side", "sig", "rep.*"), f"{name}-units")
+    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(1, total // TASK_BYTES)
+    met = docs.join(broadcast_up_to(rows, BROADCAST_ROWS), "doc_id").filter(F.unhex(F.md5("text")) == F.col("mark"))
+    met = met.select(F.pmod(F.xxhash64("unit"), F.lit(tasks)).alias("task"), "unit", "side", "sig", "text")
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         shingler, out = Shingler(rule.n), []
-        for _, own in rows.drop_duplicates(["cluster", "sig", "side"]).groupby("cluster"):
-            sigs = own["sig"].to_numpy()
-            if len(sigs) > 1:
-                links = linked([shingler.of((t or "").encode()) for t in own["text"]], rule.percent)
-                out += [(sigs[i], sigs[j]) for i, j in forest(links)]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return texts.groupBy("task").applyInPandas(verify, "a long, b long")
+        for _, own in rows.drop_duplicates(["unit", "side", "sig"]).groupby("unit"):
+            sides = [own[own["side"] == side] for side in (0, 1)]
+            if len(sides[0]) and len(sides[1]):
+                links = linked(*[[shingler.of(t.encode()) for t in x["text"]] for x in sides], rule.percent)
+                a, b = (x["sig"].to_numpy() for x in sides)
+                out += [(a[i], b[j]) for i, j in bipartite_forest(links)]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return stored(met.groupBy("task").applyInPandas(verify, "a binary, b binary"), f"{name}-links")
+
+
+def in_blocks(pairs: DataFrame, subgroups: DataFrame, members: DataFrame) -> DataFrame:
+    """(unit, side, sig) of pairs (a, x, b, y) of subgroups (grp, comp, parts): each part of one meets each of the other."""
+    parts = lambda g, c, name: subgroups.select(F.col("grp").alias(g), F.col("comp").alias(c), F.col("parts").alias(name))
+    met = pairs.join(parts("a", "x", "m"), ["a", "x"]).join(parts("b", "y", "n"), ["b", "y"])
+    met = met.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("grp"), F.col("x").alias("comp"), F.col("i").alias("part")), F.struct(F.lit(1).alias("side"), F.col("b").alias("grp"), F.col("y").alias("comp"), F.col("j").alias("part")))
+    sides = met.select(F.xxhash64("a", "x", "i", "b", "y", "j").alias("unit"), F.explode(ends).alias("e")).select("unit", "e.*")
+    return sides.join(members, ["grp", "comp", "part"]).select("unit", "side", "sig")
+
+
+def all_links(docs: DataFrame, members: DataFrame, prefixed: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links between members that connect all that are connected."""
+    member = stored(prefixed, "grouped")
+    groups = member.groupBy("grp").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("sig").alias("head"))
+    groups = stored(groups.withColumn("keys", F.transform("prefix", lambda x: x["key"])), "groups")
+    entries = groups.select("grp", "size", F.explode("prefix").alias("e")).select("e.key", F.struct("size", "grp", "e.pos").alias("e"))
+    keys = stored(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
+    entries = stored(entries.join(keys, "key"), "entries")
+    # First pass: neighbours.
+    near = chained(entries.withColumn("grp", F.col("e.grp")), "key", ["grp"], F.col("e")).filter(possible(rule, "x", "y"))
+    pairs = near.select(F.least("x.grp", "y.grp").alias("a"), F.greatest("x.grp", "y.grp").alias("b")).distinct()
+    head = lambda end: groups.select(F.col("grp").alias(end), F.col("head").alias(f"{end}_sig"))
+    near = stored(enough(pairs, groups, rule), "neighbours")
+    across = near.join(head("a"), "a").join(head("b"), "b").select("a_sig", "b_sig")
+    inside = chained(member.join(groups.filter("n > 1").select("grp"), "grp").select("grp", "sig"), "grp", ["sig"], F.col("sig"))
+    first = across.unionByName(inside.select(F.col("x").alias("a_sig"), F.col("y").alias("b_sig")))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a_sig").alias("sig")), F.struct(F.lit(1).alias("side"), F.col("b_sig").alias("sig"))))
+    links = verified(docs, first.select(F.xxhash64("a_sig", "b_sig").alias("unit"), ends.alias("e")).select("unit", "e.*"), members, rule, "near")
+    # Second pass: all others that are not connected yet.
+    known = stored(connected_components(links), "connected").withColumnsRenamed({"node": "sig", "component": "comp"})
+    placed = member.select("sig", "grp").join(known, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")).join(members.select("sig", F.col("rep.bytes").alias("bytes")), "sig")
+    placed = stored(placed, "placed")
+    many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    subgroups = stored(placed.groupBy("grp", "comp").agg(F.least(many, F.count("*").cast("int")).alias("parts")), "subgroups")
+    parted = placed.join(subgroups, ["grp", "comp"]).select("sig", "grp", "comp", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"))
+    spread = entries.select("key", "e", F.col("e.grp").alias("grp")).join(subgroups.select("grp", "comp"), "grp").select("key", "comp", "e")
+    mixed = spread.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
+    spread = stored(spread.join(mixed, "key"), "spread")
+    comps = spread.select("key", "comp").distinct()
+    apart = comps.withColumnRenamed("comp", "x").join(comps.withColumnRenamed("comp", "y"), "key").filter("x < y")
+    met = apart.join(spread.select("key", F.col("comp").alias("x"), F.col("e").alias("p")), ["key", "x"]).join(spread.select("key", F.col("comp").alias("y"), F.col("e").alias("q")), ["key", "y"])
+    others = met.filter(possible(rule, "p", "q")).select(F.col("p.grp").alias("a"), "x", F.col("q.grp").alias("b"), "y").distinct()
+    torn = subgroups.select("grp", "comp")
+    own = torn.select(F.col("grp").alias("a"), F.col("comp").alias("x")).join(torn.select(F.col("grp").alias("a"), F.col("comp").alias("y")), "a").filter("x < y").select("a", "x", F.col("a").alias("b"), "y")
+    #: Two groups of one member each were compared as a whole if they were neighbours.
+    lone = lambda end: groups.filter("n = 1").select(F.col("grp").alias(end))
+    done = near.join(lone("a"), "a", "left_semi").join(lone("b"), "b", "left_semi")
+    done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    left = enough(others.filter("a <> b").join(done, ["a", "b"], "left_anti"), groups, rule).unionByName(own)
+    return links.unionByName(verified(docs, in_blocks(stored(left, "pairs"), subgroups, parted), members, rule, "far"))
 
 
 def jaccard_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, and its `sig` (equal for equal sets)."""
+    """One row a document: doc_id, n_shingles, component_id, and its `sig` (equal for equal sets, null for empty ones)."""
     docs = docs.select("doc_id", "text")
     common = common_shingles(docs, n)
     n_rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 24  # postings, about
     rule = Rule(n, percent, max(8, int(n_rows // RANGE_ROWS)), common)
     sets = stored(shingle_sets(docs, rule), "sets")
-    rows = sets.filter("part is null").select("doc_id", "sig", "sig2", "size", "low", "high", "common")
-    named = rows.filter("doc_id is not null and size > 0")
-    members = named.groupBy("sig", "sig2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "low", "high", "common")])
-    members = stored(members.withColumn("common", _longs("common")), "members")
-    grouped = clusters(prefixes(members, shared_postings(sets), rule), rule)
-    bin_of = F.floor(F.log("size") / F.lit(float(np.log(100 / percent)))).cast("int")
-    placed = stored(grouped.join(members.select("sig", "rep", bin_of.alias("bin")), "sig"), "placed")
-    tasks = blocks(placed).join(placed.select("sig", "rep"), "sig")
-    texts = docs.join(tasks.withColumnRenamed("rep", "doc_id"), "doc_id").select("sig", "task", "cluster", "side", "text")
-    links = stored(verified(texts, rule), "links")
-    joined = connected_components(links.join(members.select(F.col("sig").alias("a"), F.col("rep").alias("x")), "a").join(members.select(F.col("sig").alias("b"), F.col("rep").alias("y")), "b"), "x", "y")
-    component = stored(members.select("sig", "sig2", F.col("rep").alias("node")).join(joined, "node", "left").select("sig", "sig2", F.coalesce("component", "node").alias("component")), "components")
-    out = rows.join(component, ["sig", "sig2"], "left")
-    return out.select(
-        "doc_id", F.col("size").cast("long").alias("n_shingles"),
-        F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "sig",
-    )
+    rows = sets.filter("part is null").select("doc_id", "sig", "mark", "bytes", "size", "low", "high", "common")
+    named = rows.filter("doc_id is not null and sig is not null")
+    members = named.groupBy("sig").agg(F.min(F.struct("doc_id", "mark", "bytes")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "low", "high", "common")])
+    members = stored(members, "members")
+    links = all_links(docs, members, prefixes(members, shared_postings(sets), rule), rule)
+    node = members.select("sig", F.col("rep.doc_id").alias("node"))
+    edges = links.join(node.withColumnsRenamed({"sig": "a", "node": "x"}), "a").join(node.withColumnsRenamed({"sig": "b", "node": "y"}), "b").select("x", "y")
+    #: Ids with several texts tie the sets of those.
+    torn = named.groupBy("doc_id").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).filter("least <> most").select("doc_id")
+    tied = named.join(torn, "doc_id").select("doc_id", "sig").join(node, "sig").select(F.col("doc_id").alias("x"), F.col("node").alias("y"))
+    joined = connected_components(edges.unionByName(tied), "x", "y")
+    component = stored(node.join(joined, "node", "left").select("sig", F.coalesce("component", "node").alias("component")), "components")
+    out = rows.select("doc_id", "sig", "size").join(component, "sig", "left")
+    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), "sig")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,6 +168,44 @@ def test_jaccard(spark, monkeypatch, n, percent, block):
     assert got == want
 
 
+def test_jaccard_of_long_lists(spark, monkeypatch):
+    """Lists that fall into parts: what neighbours leave apart is found by the second pass."""
+    monkeypatch.setattr(ngram_join, "CHAIN", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    texts = near_copies(60, 60, 9) + near_copies(30, 25, 10)
+    d = docs(spark, *texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(d).collect()}
+    assert got == brute_components(list(enumerate(texts, 1)), 4, 85)
+
+
+def test_jaccard_of_words_that_weak_hashes_mix_up(spark):
+    """Thue-Morse words and their complements collide under polynomials modulo a power of two."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([word] * k + ["x"] * k) for k in (1, 5)] + [" ".join([other] * k + ["x"] * k) for k in (1, 5)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs(spark, *texts)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_jaccard_of_ids_with_several_texts(spark):
+    """Near copies of either text are linked with the id, and two such ids tie what they hold."""
+    one, two, three = (" ".join(f"{p}{i}" for i in range(60)) for p in "uvw")
+    d = docs(spark, one, two, one + " end", two + " end", three, three, one, ids=[5, 5, 7, 9, 11, 12, 12])
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(d).collect()}
+    assert got == {(i, 5) for i in (5, 7, 9, 11, 12)}
+
+
+def test_shingles_of_one_long_text(monkeypatch):
+    text = ("Some words\tof a text\n" * 50 + "x" * 300 + " \x0b ") * 3
+    whole = ngram_join.Shingler(4).of(text.encode())
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 64)
+    assert (ngram_join.Shingler(4).of(text.encode()) == whole).all()
+    w = text.lower().split()
+    assert len(whole) == len({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+
+
 def test_jaccard_repeats_and_nulls(spark):
     d = docs(spark, "a b c d e", "a b c d e", "a b c d e", None, ids=[3, 3, None, 5])
     got = rows(ngram_join.jaccard_components(d))
@@ -400,7 +438,7 @@ def brute_links(x, cosine=0.95):
 @pytest.mark.parametrize("hot", [embedding_dedup.HOT, 10])
 def test_embeddings(spark, monkeypatch, hot):
     monkeypatch.setattr(embedding_dedup, "HOT", hot)
-    monkeypatch.setattr(ngram_join, "BLOCK", 30)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 30)
     rng = np.random.default_rng(7)
     centre = rng.normal(size=(20, 16))
     x = [list(map(float, centre[i % 20] + rng.normal(size=16) * 0.08)) for i in range(200)]
