@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossier.llm.common import bounded_batches, broadcast_up_to, stored, table
+from dossier.llm.common import bounded_batches, stored, table
 
 CAPACITY, END = 2048, 1
 #: Kept chunk encodings of a task; the memory is dropped when it is full.
@@ -40,8 +40,6 @@ NUMBERED = f"{PIECE}, part long, inside long"
 #: Characters encoded whole at once, and the run of white space beyond which the faster encoder's pattern overflows its stack.
 SEGMENT, LONG_RUN = 1 << 18, 10_000
 LONG_SPACE = re.compile(r"\s{%d}" % LONG_RUN)
-#: Rows up to which the tasks' counts are broadcast.
-BROADCAST_ROWS = 1_000_000
 #: Byte-level BPE files write bytes as printable characters: these stand for themselves.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -248,7 +246,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
     """`rank`: 0, 1, ... within each length: a piece's place in its task after the pieces of the tasks before."""
     tasks = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = tasks.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    return pieces.join(broadcast_up_to(stored(before, "before"), BROADCAST_ROWS), ["length", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
+    return pieces.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
