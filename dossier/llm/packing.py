@@ -74,14 +74,13 @@ class Encoder:
 
     A token never spans the place before a space that follows a non-space, so texts without a space
     followed by white space fall into chunks at spaces; each distinct chunk is encoded once. Other
-    texts are encoded whole. With `added`, texts are cut at the file's added tokens first, as
-    `tokenizers` does by default; without it their characters are text like any other.
+    texts are encoded whole. All are cut at the file's added tokens first, as `tokenizers` does.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         self.path, self.encode, self.memo, self.slow = path, load_encoding(path).encode_ordinary, {}, None
         (self.newline,) = self.encode("\n")
-        self.added = added_tokens(path) if added else {}
+        self.added = added_tokens(path)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def plain(self, text: str) -> list[int]:
@@ -100,7 +99,6 @@ class Encoder:
                 from tokenizers import Tokenizer
 
                 self.slow = Tokenizer.from_file(self.path)
-                self.slow.encode_special_tokens = True  # added tokens were cut out before, or are text
             out += self.slow.encode(part, add_special_tokens=False).ids
         return out
 
@@ -162,11 +160,11 @@ def runs(docs: list, texts: list[str], chars: int = 1 << 21) -> Iterator[tuple[l
         yield docs[first:], texts[first:]
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Full windows of each document (its ids and the end token), then the rest. tokenizer: a file all tasks can open."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer, added), TaskContext.get().partitionId()
+        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
@@ -276,9 +274,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked(pieces).select(*[c.split()[0] for c in PIECE.split(", ")], "rank").mapInPandas(place, f"{PIECE}, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
-    """added: whether the tokenizer's added tokens in a text have their own ids."""
-    return pack(stored(tokenised_pieces(docs, tokenizer, capacity, added), "pieces"), capacity)
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    return pack(stored(tokenised_pieces(docs, tokenizer, capacity), "pieces"), capacity)
 
 
 def default_tokenizer() -> str:
@@ -288,4 +285,4 @@ def default_tokenizer() -> str:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), default_tokenizer(), added=True)
+    return packed(table(spark, sf_dir, "documents"), default_tokenizer())

@@ -42,6 +42,40 @@ def test_contamination(spark):
     ]
 
 
+def brute_contamination(pairs, items, window=13, share=20):
+    """doc_id, words, hit words, names of items with a window in it, contaminated."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(low))
+    windows = {}
+    for name, text in items:
+        w = words(text)
+        k = min(window, len(w))
+        for s in range(len(w) - k + 1 if w else 0):
+            windows.setdefault(tuple(w[s : s + k]), set()).add(name)
+    out, widths = [], {len(w) for w in windows}
+    for i, text in pairs:
+        w, hit, names = words(text), set(), set()
+        for k in widths:
+            for s in range(len(w) - k + 1):
+                if tuple(w[s : s + k]) in windows:
+                    hit.update(range(s, s + k))
+                    names |= windows[tuple(w[s : s + k])]
+        out.append((i, len(w), len(hit), sorted(str(n) for n in names if n is not None), bool(hit) and share * len(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+def test_contamination_against_brute_force(spark):
+    """Unnamed items hit words too; passages that repeat in a text, and ones that overlap themselves."""
+    rng = np.random.default_rng(6)
+    word = lambda n, kinds=40: " ".join(f"w{i}" for i in rng.integers(0, kinds, n))
+    given = [(1, PASSAGE), (None, "some words of an item without any name at all but long enough to be one"), (3, "tick tock " * 20), (4, word(30, 3)), (5, word(3)), (6, "one"), (1, word(20))]
+    texts = [PASSAGE + " " + given[1][1], given[1][1].upper(), "tick tock " * 300, "x tick tock " * 30 + "tick tock " * 7, (PASSAGE + " ") * 2000, word(400, 3), word(300), "One", PASSAGE[10:], None]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in given], "item_id long, text string, doc string")
+    got = decontaminate.contamination(docs(spark, *texts), frame).collect()
+    got = sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got], key=str)
+    assert got == brute_contamination(list(enumerate(texts, 1)), given)
+
+
 def test_contamination_of_nothing(spark):
     assert rows(decontaminate.contamination(docs(spark, "a b").limit(0), items(spark, PASSAGE))) == []
     assert [r["n_hit"] for r in rows(decontaminate.contamination(docs(spark, "a b", ids=[None]), items(spark, "a").limit(0)))] == [0]
@@ -105,6 +139,21 @@ def test_lines_are_reversible(spark):
     assert read_lines(store.deduplicated(frame(first))) == brute_lines(first)
 
 
+def test_line_filters_grow_with_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
+    texts = ["\n".join(f"a line of text, number {i}" for i in range(a, a + 20)) for a in (0, 10, 15, 40, 45, 5)]
+    frame = lambda ids: docs(spark, *[texts[i] for i in ids], ids=ids)
+    store = line_dedup.LineStore(spark).insert(frame([0, 1]))
+    before = store.shards
+    store.insert(frame([2, 3, 4, 5]))
+    assert store.shards > before
+    assert read_lines(store.deduplicated(frame([*range(6)]))) == brute_lines(list(enumerate(texts)))
+    store.delete(spark.createDataFrame([(0,), (3,)], "doc_id long"))
+    left = [1, 2, 4, 5]
+    assert read_lines(store.deduplicated(frame(left))) == brute_lines([(i, texts[i]) for i in left])
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 50_000).astype(np.uint64)
@@ -245,6 +294,32 @@ def test_pii(spark):
     assert rows(pii.find_pii(d.limit(0))) == []
 
 
+def test_ibans_of_all_lengths(spark):
+    """Planted account numbers, in groups of four or not, before capital words or at an end; all are found, no others."""
+    def made(country, n):
+        body = "".join(str(i * 7 % 10) for i in range(n - 4))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        return f"{country}{check:02}{body}"
+
+    plain = [made(c, n) for n, names in pii.IBAN_LENGTHS.items() for c in names.split("|")]
+    grouped = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in plain]
+    texts = [f"{before}{x}{after}" for x in plain + grouped for before, after in (("to ", " BIC COBADEFF"), ("", ""), ("é", " USD 500."))]
+    texts += [x[:-1] + str((int(x[-1]) + 1) % 10) for x in plain] + [x + "7" for x in plain]
+    got = [[(s["start"], s["value"]) for s in r["spans"] if s["rank"] == 4] for r in rows(pii.find_pii(docs(spark, *texts)))]
+    want = [[(len(before), x)] for x in plain + grouped for before in ("to ", "", "é")]
+    assert got[: len(want)] == want and got[len(want) :] == [[]] * (2 * len(plain))
+
+
+def test_many_matches(spark):
+    texts = ["a%d@b.co, call +49 30 1234%03d or 10.0.0.%d; " % (i % 9, i % 999, i % 300) * 1 for i in range(3)]
+    long = "".join("a%d@b.co, call +49 30 1234%03d or 10.0.0.%d; " % (i, i % 999, i % 300) for i in range(1500))
+    got = [r["spans"] for r in rows(pii.find_pii(docs(spark, *texts, long)))]
+    base = [",".join(f"{pii.KINDS[s['rank']]}:{s['start']}:{s['end']}" for s in spans if s["rank"] < 4) for spans in got]
+    assert base == [brute_pii(t) for t in [*texts, long]]
+    assert all(s["score"] == 0.7 for s in got[3] if s["rank"] == 3) and all(s["value"] == long[s["start"] : s["end"]] for s in got[3])
+    assert [len(r["spans"]) for r in rows(pii.find_pii(docs(spark, texts[0]), least=0.75))] == [1]
+
+
 def test_iban_and_context(spark):
     d = docs(spark, "bank account: GB82 WEST 1234 5698 7654 32.", "GB82WEST12345698765431", "XGB82WEST12345698765432", "DE89370400440532013000", "host 10.0.0.1", "10.0.0.1")
     got = [[(pii.KINDS[s["rank"]], s["start"], s["end"], s["score"]) for s in r["spans"] if s["rank"] in (1, 4)] for r in rows(pii.find_pii(d))]
@@ -282,6 +357,19 @@ def test_warc_of_nothing(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_split_archives_are_refused(spark):
+    path = warc.shared_dir(spark, "plain")
+    spark.createDataFrame([(warc.MAGIC + "WARC-Type: response\r\nContent-Length: 40\r\n\r\n" + "x" * 40,)] * 400, "value string").coalesce(1).write.option("lineSep", warc.END).text(path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        with pytest.raises(Exception, match="was split"):
+            warc.read_warc(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert warc.read_warc(spark, path).filter("payload_bytes = 40").count() == 400
+
+
 def test_chain_rejects_unreachable():
     import pandas as pd
 
@@ -298,7 +386,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     texts = [None, "", "a   b", "  x", "a \n\n b", "x \t y ", "\n\n\n", "<|endoftext|> hi", "it's we'll", "a  b", "a\x00b c  d", "é 😀 ñ", "word " * 5000, "a b", "a b"]
     ids = [*range(13), 20, 20]
     got = packing.packed(docs(spark, *texts, ids=ids), packing.default_tokenizer()).toPandas()
@@ -318,7 +405,7 @@ def test_packing_reads_added_tokens(spark):
 
     t = Tokenizer.from_file(packing.default_tokenizer())
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "a  <|endoftext|>\n\n<|endoftext|> it's", "<|endoftext|", "plain text", "", None, "<|endoftext|> " * 3000]
-    got = packing.packed(docs(spark, *texts), packing.default_tokenizer(), added=True).toPandas()
+    got = packing.packed(docs(spark, *texts), packing.default_tokenizer()).toPandas()
     want = Counter()
     for i, text in enumerate(texts):
         own = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -331,6 +418,27 @@ def test_packing_reads_added_tokens(spark):
     assert Counter(got[["start", "length", "ids_crc32", "doc_tokens"]].itertuples(index=False, name=None)) == want
 
 
+def test_packing_of_long_runs():
+    """Texts that overflow the faster encoder's stack, and ones that are encoded in segments."""
+    from tokenizers import Tokenizer
+
+    t, encoder = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + " b", "x y  z \t" * 100_000, ("é" * 500 + "  <|endoftext|> ") * 900, "a b " * 200_000 + " " * 20_000 + "c"]
+    ids, at = encoder.ids(texts)
+    for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_ranks_are_gapless(spark):
+    """Pieces of each length are numbered 0, 1, ... whatever the tasks they were cut by, full windows as well."""
+    d = docs(spark, *["a b"] * 50, *["word " * 5000] * 20, *["c"] * 30).repartition(7)
+    pieces = packing.stored(packing.tokenised_pieces(d, packing.default_tokenizer()), "pieces")
+    got = packing.ranked(pieces).toPandas()
+    assert got["part"].nunique() > 1
+    for _, own in got.groupby("length"):
+        assert sorted(own["rank"]) == list(range(len(own)))
+
+
 def test_minimum_slack_packs_closely():
     rng = np.random.default_rng(4)
     histogram = np.bincount(rng.integers(1, 2048, 5000), minlength=2049)
@@ -370,9 +478,31 @@ def test_licenses(spark):
     assert rows(licenses.scan_licenses(d.limit(0))) == []
 
 
+def test_licenses_in_odd_dress(spark):
+    """White space, frames and rules around and inside known sentences; every known sentence has a sign of one."""
+    d = docs(spark, "x. All rights  reserved. y", "All\t rights\treserved", "all rights\nreserved. More.", "*" * 3000 + " Licensed under the MIT License. x", "/* " + "=" * 5000 + " */ All Rights -- Reserved", "Source Code Form. This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy", "SPDX-License-Identifier: LGPL-3.0-or-later")
+    got = [r["licenses"] for r in rows(licenses.scan_licenses(d))]
+    assert got == [["all-rights-reserved"], ["all-rights-reserved"], ["all-rights-reserved"], ["MIT"], ["all-rights-reserved"], ["MPL-2.0"], ["LGPL-3.0-or-later"]]
+    known = [s for v in licenses.SENTENCES.values() for s in v]
+    assert len(known) == len(set(known)) and all(any(sign in s for sign in licenses.SIGNS) for s in known)
+    assert {i for _, _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES)
+
+
 # op8
 
 
+def test_language_of_one_long_text(spark, sf, monkeypatch):
+    """A text read in pieces, its words at work in blocks, gives what it gives as a whole."""
+    model = language.learned(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = ["the house and the garden " * 40 + "la maison et le jardin " * 30 + "x" * 500, "naïve façade, été", "", "1 2 3", "ünd der garten " * 25]
+    whole, words = language.infer(model, texts), [model.words(t.encode()) for t in texts]
+    monkeypatch.setattr(language, "BYTES_AT_ONCE", 37)
+    monkeypatch.setattr(language, "WORDS_AT_ONCE", 50)
+    assert all(np.allclose(model.words(t.encode()), w, rtol=1e-4) for t, w in zip(texts, words, strict=True))
+    for a, b in zip(language.infer(model, texts), whole, strict=True):
+        assert [k for k, _ in a] == [k for k, _ in b] and np.allclose([v for _, v in a], [v for _, v in b], atol=1e-3)
+
+
 def test_language_of_four_in_one(spark, sf):
     """A text of equal parts in all four languages keeps each of them, about a quarter each."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
@@ -452,7 +582,7 @@ def test_embeddings(spark, monkeypatch, hot):
     assert rows(embedding_dedup.near_duplicates(df.limit(0)), "vec_id") == []
 
 
-@pytest.mark.parametrize("n", [1000, 50_000])
+@pytest.mark.parametrize("n", [1000, 50_000, 5_000_000])
 def test_filters_catch_pairs_at_the_limit(n):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 64))
@@ -483,6 +613,16 @@ def test_quality(spark, sf):
     assert quality.fit(d, spark.createDataFrame([], "doc_id long, label int")) is None
 
 
+def test_quality_of_held_out_documents(spark):
+    """Labels that the fit never saw are ranked well, and mostly predicted."""
+    sf = "/root/testdata/sf0.01"
+    got = quality.op10_quality(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("quality is not null").toPandas()
+    good, bad = (got.loc[got["quality"] == k, "score"].to_numpy() for k in (1, 0))
+    assert len(good) > 20 and len(bad) > 5
+    assert ((good[:, None] > bad[None]) + 0.5 * (good[:, None] == bad[None])).mean() >= 0.95
+    assert (got["predicted"] == got["quality"]).mean() >= 0.9
+
+
 def test_quality_reads_whole_texts():
     net = quality.Network.fresh(np.random.default_rng(1))
     long = "plain words here " * 3000
