@@ -12,7 +12,7 @@ NODE_TYPES = ("Person", "Location", "Organization", "Vehicle", "PhoneNumber", "E
 EDGE_TYPES = ("CALLED", "TRANSFERRED_MONEY_TO", "ASSOCIATED_WITH", "OWNS", "EMPLOYED_BY", "PRESENT_AT", "MET_AT", "RELATED_TO")
 SUPERVISOR, USERS = 0, 12
 
-#: Place name, latitude, longitude.
+#: Place name, latitude, longitude (Bengaluru's longitude is that of the values, though the city lies at 77.59).
 GAZETTEER = [
     ("pune", 18.5204, 73.8567),
     ("mumbai", 19.0760, 72.8777),
@@ -105,15 +105,15 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("value"), F.lower("c_name").alias("normalized"), F.col("c_custkey").alias("k"),
     )
 
-    def named(line: int, base: int, node_type: str, key: Column, value: Column) -> DataFrame:
-        found = lines.filter(F.col("l_linenumber") == line).select(F.col("c_nationkey").alias("case_id"), key.alias("k")).distinct()
-        return found.select((F.lit(base) + F.col("k") * 100 + F.col("case_id")).alias("entity_id"), "case_id", F.lit(node_type).alias("node_type"), value.alias("value"), F.lower(value).alias("normalized"), "k")
-
-    k = F.col("k")
-    org = named(1, 10**10, "Organization", F.col("l_suppkey"), F.format_string("Supplier#%09d", k))
-    car = named(2, 2 * 10**10, "Vehicle", F.col("l_partkey"), F.format_string("MH%07d", k))
-    spot = named(3, 3 * 10**10, "Location", F.col("l_orderkey") % len(GAZETTEER), place(k))
-    return person.unionByName(org).unionByName(car).unionByName(spot).select(
+    n, k = F.col("l_linenumber"), F.col("k")
+    by_line = lambda *parts: F.coalesce(*[F.when(n == i, part) for i, part in enumerate(parts, 1)])
+    found = lines.select("l_linenumber", F.col("c_nationkey").alias("case_id"), by_line(F.col("l_suppkey"), F.col("l_partkey"), F.col("l_orderkey") % len(GAZETTEER)).alias("k")).distinct()
+    value = by_line(F.format_string("Supplier#%09d", k), F.format_string("MH%07d", k), place(k))
+    others = found.select(
+        (n * F.lit(10**10) + k * 100 + F.col("case_id")).alias("entity_id"), "case_id", by_line(F.lit("Organization"), F.lit("Vehicle"), F.lit("Location")).alias("node_type"),
+        value.alias("value"), F.lower(value).alias("normalized"), "k",
+    )
+    return person.unionByName(others).select(
         F.col("entity_id").cast("long"), F.col("case_id").cast("int"), "node_type", "value", "normalized",
         _confidence(k).alias("confidence"), _status(k + F.col("case_id")).alias("status"), (k % 7 + 1).cast("int").alias("mention_count"),
         node_key(F.col("case_id"), F.col("node_type"), F.col("normalized")).alias("key"),
@@ -166,31 +166,31 @@ cases as (select n_nationkey case_id, 'FIR-' || n_nationkey fir_no, n_name title
   'PS-' || n_nationkey % 10 station, r_name district, n_nationkey % 6 owner_id, date '2024-01-01' + n_nationkey * 3 created_on from nation join region on n_regionkey = r_regionkey),
 assignments as (select c_nationkey case_id, (c_custkey % {USERS})::int user_id, {_LIST(PERMISSIONS)}[min(c_custkey) % 3 + 1] permission from customer where c_custkey % 5 = 0 group by 1, 2)"""
 ENTITIES_SQL = f"""
-lines as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, o_orderdate, c_custkey, c_name, c_nationkey
+lines as materialized (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, o_orderdate, c_custkey, c_name, c_nationkey
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_linenumber <= 3),
 named as (select c_custkey entity_id, c_nationkey case_id, 'Person' node_type, c_name as value, c_custkey k from customer
   union all select 10000000000 + k * 100 + case_id, case_id, 'Organization', printf('Supplier#%09d', k), k from (select distinct c_nationkey case_id, l_suppkey k from lines where l_linenumber = 1)
   union all select 20000000000 + k * 100 + case_id, case_id, 'Vehicle', printf('MH%07d', k), k from (select distinct c_nationkey case_id, l_partkey k from lines where l_linenumber = 2)
   union all select 30000000000 + k * 100 + case_id, case_id, 'Location', {_PLACES}[k % 24 + 1], k from (select distinct c_nationkey case_id, l_orderkey % 24 k from lines where l_linenumber = 3)),
-entities as (select entity_id, case_id, node_type, value, lower(value) normalized, round((k % 50 + 1) / 50, 2) confidence, {_K.format(k="(k + case_id)")} status,
+entities as materialized (select entity_id, case_id, node_type, value, lower(value) normalized, round((k % 50 + 1) / 50, 2) confidence, {_K.format(k="(k + case_id)")} status,
   (k % 7 + 1)::int mention_count, case_id || ':' || node_type || ':' || lower(value) as key from named)"""
 RELATIONS_SQL = f"""
-mentions as (select l_orderkey * 8 + l_linenumber relation_id, c_nationkey case_id, l_orderkey evidence_id,
+mentions as materialized (select l_orderkey * 8 + l_linenumber relation_id, c_nationkey case_id, l_orderkey evidence_id,
   case when l_linenumber = 1 and l_returnflag = 'R' then c_nationkey || ':Organization:' || lower(printf('Supplier#%09d', l_suppkey)) else c_nationkey || ':Person:' || lower(c_name) end src,
   case when l_linenumber = 1 and l_returnflag = 'R' then c_nationkey || ':Person:' || lower(c_name) when l_linenumber = 1 then c_nationkey || ':Organization:' || lower(printf('Supplier#%09d', l_suppkey))
     when l_linenumber = 2 then c_nationkey || ':Vehicle:' || lower(printf('MH%07d', l_partkey)) else c_nationkey || ':Location:' || {_PLACES}[l_orderkey % 24 + 1] end dst,
   case when l_linenumber = 2 then 'OWNS' when l_linenumber = 3 then 'PRESENT_AT' when l_returnflag = 'A' then 'CALLED' when l_returnflag = 'N' then 'TRANSFERRED_MONEY_TO' else 'ASSOCIATED_WITH' end edge_type,
   round(l_quantity / 50, 2) confidence, case when l_linestatus = 'F' then o_orderdate::date end valid_from, {_K.format(k="l_orderkey")} status, 'order ' || l_orderkey snippet from lines),
 ordered as (select *, struct_pack(i := relation_id, c := confidence, d := coalesce(valid_from, date '9999-12-31')) o from mentions where src <> dst),
-relations as (select case_id, src, dst, edge_type, min(relation_id) relation_id, arg_min(evidence_id, o) evidence_id, arg_min(confidence, o) confidence, arg_min(status, o) status,
+relations as materialized (select case_id, src, dst, edge_type, min(relation_id) relation_id, arg_min(evidence_id, o) evidence_id, arg_min(confidence, o) confidence, arg_min(status, o) status,
   arg_min(snippet, o) snippet, arg_min(valid_from, o) filter (valid_from is not null) valid_from from ordered group by case_id, src, dst, edge_type)"""
 
 
 
 def graph_sql(min_confidence: float = 0.0) -> str:
     return f"""
-nodes as (select * from entities where status = 'confirmed'),
-edges as (select r.* from relations r join nodes a on a.key = r.src join nodes b on b.key = r.dst where r.status = 'confirmed' and r.confidence >= {min_confidence})"""
+nodes as materialized (select * from entities where status = 'confirmed'),
+edges as materialized (select r.* from relations r join nodes a on a.key = r.src join nodes b on b.key = r.dst where r.status = 'confirmed' and r.confidence >= {min_confidence})"""
 
 
 def with_sql(*parts: str, recursive: bool = False) -> str:
