@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.operators.components import shared_dir, stored
+from dossier.operators.components import broadcast_up_to, shared_dir, stored
 
-__all__ = ["ascii_lower", "bounded_batches", "broadcast_up_to", "shared_dir", "stored", "table"]
+__all__ = ["ascii_lower", "bounded_batches", "broadcast_up_to", "forest", "shared_dir", "stored", "table"]
 
 #: Rows of text that Spark hands to Python at once: whole texts may be long, and a batch is held in memory.
 BATCH_ROWS = 500
@@ -33,6 +34,16 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if df was counted to hold at most max_rows; else Spark plans a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (first member, other) of each component of a symmetric relation."""
+    left, out = np.ones(len(links), bool), []
+    for i in range(len(links)):
+        if left[i]:
+            left[i] = False
+            reach = front = np.array([i])
+            while len(front):
+                front = np.flatnonzero(links[front].any(0) & left)
+                left[front] = False
+                reach = np.concatenate([reach, front])
+            out += [(i, int(j)) for j in reach[1:]]
+    return out

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import stored, table
+from dossier.llm.common import forest, stored, table
 from dossier.operators.components import connected_components
 
 COSINE = 0.95
@@ -170,21 +170,6 @@ def blocks(members: DataFrame) -> DataFrame:
     return small.unionByName(large.select("sig", F.explode(F.concat(same, up, down)).alias("m"), "cluster").select("sig", "m.task", "cluster", "m.side"))
 
 
-def forest(links: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (first member, other) of each component of a symmetric relation."""
-    left, out = np.ones(len(links), bool), []
-    for i in range(len(links)):
-        if left[i]:
-            left[i] = False
-            reach = front = np.array([i])
-            while len(front):
-                front = np.flatnonzero(links[front].any(0) & left)
-                left[front] = False
-                reach = np.concatenate([reach, front])
-            out += [(i, int(j)) for j in reach[1:]]
-    return out
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     vectors = vectors.select("vec_id", "embedding")

@@ -14,8 +14,9 @@
 4. Pairs are expanded to members and verified in two passes. The first takes neighbours alone: groups
    that follow one another in a shingle's list, members that follow one another in a group, and long
    lists' parts with their first. What it links is connected. The second takes all pairs that are left
-   between members not connected yet, the lists' as the groups', in blocks compared by matrix products;
-   a block returns a spanning forest of its links, so no pass emits all pairs of a group of copies.
+   between members not connected yet. In either, the members of a shingle's pairs (or of a group's) are
+   compared together by matrix products, many of them in blocks of pairs of parts; a block returns a
+   spanning forest of its links, so no pass emits all pairs of a group of copies.
 
 Cases: a null text, or one without words, has an empty set and links with nothing; fewer words than
 a shingle make one shingle; a null doc_id keeps its row (component null) and links nothing; rows
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossier.llm.common import bounded_batches, broadcast_up_to, stored, table
+from dossier.llm.common import bounded_batches, broadcast_up_to, forest, stored, table
 from dossier.operators.components import connected_components
 
 N_WORDS, PERCENT = 4, 85
@@ -45,7 +46,7 @@ N_WORDS, PERCENT = 4, 85
 POSTED, RANGE_ROWS, HELD = 0.25, 400_000, 600_000
 #: Documents sampled to find common shingles, and the share of them that makes one common.
 SAMPLE_DOCS, COMMON = 4000, 0.01
-#: Members and bytes of text on one side of a verified block; bytes of text a verification task reads, about.
+#: Members and bytes of text in a part of what is compared together; bytes of text a verification task reads, about.
 BLOCK, BLOCK_BYTES, TASK_BYTES = 192, 8 << 20, 16 << 20
 #: Entries of a list that follow one another in one task; rows up to which small sides are broadcast.
 CHAIN, BROADCAST_ROWS = 10_000, 200_000
@@ -121,6 +122,11 @@ class Rule:
     def prefix(self, size: int) -> int:
         return size - -(-self.percent * size // 100) + 1
 
+    def is_common(self, h: np.ndarray) -> np.ndarray:
+        if self.common is None or not len(self.common):
+            return np.zeros(len(h), bool)
+        return self.common[np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)] == h
+
     def behind(self, size: Column) -> Column:
         """Shingles behind the prefix of a set."""
         return F.floor((size * self.percent + 99) / 100).cast("int") - 1
@@ -174,7 +180,7 @@ def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
                 data = (text or "").encode()
                 h = shingler.of(data)
                 sig, p = signature(h) if len(h) else None, rule.prefix(len(h))
-                is_common = np.isin(h, rule.common) if rule.common is not None and len(rule.common) else np.zeros(len(h), bool)
+                is_common = rule.is_common(h)
                 rare = h[~is_common]
                 low = int(np.searchsorted(rare, CUT))
                 high = 0 if low >= p else len(rare) - low
@@ -300,80 +306,57 @@ def chained(rows: DataFrame, by: str, order: list[str], entry: Column) -> DataFr
     return nxt.unionByName(stars)
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
-    """left x right: whether 100 |x & y| >= percent |x | y|."""
-    sets = left + right
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """members x members: whether 100 |x & y| >= percent |x | y|."""
     sizes = np.array([len(s) for s in sets])
     _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)[n[token] > 1]
     _, token = np.unique(token[n[token] > 1], return_inverse=True)
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    most, at = len(left), 0
-    both = np.zeros((most, len(right)), np.float64)
-    wide = max(1, 4_000_000 // len(sets))
+    both, at, wide = np.zeros((len(sets), len(sets)), np.float64), 0, max(1, 4_000_000 // len(sets))
     while len(token) and at <= token[-1]:
         a, b = np.searchsorted(token, [at, at + wide])
         grid = np.zeros((len(sets), min(wide, int(token[-1]) + 1 - at)), np.float32)
         grid[owner[a:b], token[a:b] - at] = 1
-        both += grid[:most] @ grid[most:].T
+        both += grid @ grid.T
         at += wide
-    return 100 * both >= percent * (sizes[:most, None] + sizes[None, most:] - both)
-
-
-def bipartite_forest(links: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (row, column) of a spanning forest of a relation between rows and columns."""
-    rows, columns, out = np.ones(links.shape[0], bool), np.ones(links.shape[1], bool), []
-    for start in np.flatnonzero(links.any(1)):
-        if not rows[start]:
-            continue
-        rows[start], front = False, [start]
-        while front:
-            i = front.pop()
-            for j in np.flatnonzero(links[i] & columns):
-                columns[j] = False
-                out.append((int(i), int(j)))
-                more = np.flatnonzero(links[:, j] & rows)
-                rows[more] = False
-                out += [(int(k), int(j)) for k in more]
-                front += more.tolist()
-    return out
-
-
-def verified(docs: DataFrame, units: DataFrame, members: DataFrame, rule: Rule, name: str) -> DataFrame:
-    """(a, b): a spanning forest of the links between the two sides of each unit.
-
-    units: unit, side (0 or 1), sig; texts are read again by (doc_id, MD5), and each is sent to the units it stands in.
+    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, ends: DataFrame, rule: Rule, name: str) -> DataFrame:
+    """(a, b): links that connect whatever members of the pairs (list, x, y) are linked.
+
+    x, y: ids of ends; ends: id, sig, rep, the members that an id stands for (a bounded number). What the pairs of a list
+    name is compared together; if that is much, it falls into parts, and each two parts with a pair between them meet.
+    Texts are read again by (doc_id, MD5).
     """
-    rows = stored(units.join(members.select("sig", "rep"), "sig").select("unit", "side", "sig", "rep.*"), f"{name}-units")
+    pairs = stored(pairs, f"{name}-pairs")
+    both = lambda *more: F.explode(F.array(*[F.struct(*more, F.col(c).alias("id")) for c in ("x", "y")])).alias("e")
+    weights = ends.groupBy("id").agg(F.count("*").alias("n"), F.sum("rep.bytes").alias("bytes"))
+    named = pairs.select("list", both()).select("list", "e.id").distinct().join(weights, "id")
+    lists = named.groupBy("list").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
+    unit = F.xxhash64("list", F.least(part("x"), part("y")), F.greatest(part("x"), part("y")))
+    units = pairs.join(lists, "list").select(both(unit.alias("unit"))).select("e.unit", "e.id").distinct()
+    rows = stored(units.join(ends, "id").select("unit", "sig", "rep.*").distinct(), f"{name}-units")
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    tasks = max(1, total // TASK_BYTES)
     met = docs.join(broadcast_up_to(rows, BROADCAST_ROWS), "doc_id").filter(F.unhex(F.md5("text")) == F.col("mark"))
-    met = met.select(F.pmod(F.xxhash64("unit"), F.lit(tasks)).alias("task"), "unit", "side", "sig", "text")
+    met = met.select(F.pmod(F.xxhash64("unit"), F.lit(max(1, total // TASK_BYTES))).alias("task"), "unit", "sig", "text")
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        shingler, out = Shingler(rule.n), []
-        for _, own in rows.drop_duplicates(["unit", "side", "sig"]).groupby("unit"):
-            sides = [own[own["side"] == side] for side in (0, 1)]
-            if len(sides[0]) and len(sides[1]):
-                links = linked(*[[shingler.of(t.encode()) for t in x["text"]] for x in sides], rule.percent)
-                a, b = (x["sig"].to_numpy() for x in sides)
-                out += [(a[i], b[j]) for i, j in bipartite_forest(links)]
+        shingler, known, out = Shingler(rule.n), {}, []
+        for _, own in rows.drop_duplicates(["unit", "sig"]).groupby("unit"):
+            for sig, text in zip(own["sig"], own["text"], strict=True):
+                if sig not in known:
+                    known[sig] = shingler.of(text.encode())
+            sigs = own["sig"].to_list()
+            out += [(sigs[i], sigs[j]) for i, j in forest(linked([known[s] for s in sigs], rule.percent))]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return stored(met.groupBy("task").applyInPandas(verify, "a binary, b binary"), f"{name}-links")
 
 
-def in_blocks(pairs: DataFrame, subgroups: DataFrame, members: DataFrame) -> DataFrame:
-    """(unit, side, sig) of pairs (a, x, b, y) of subgroups (grp, comp, parts): each part of one meets each of the other."""
-    parts = lambda g, c, name: subgroups.select(F.col("grp").alias(g), F.col("comp").alias(c), F.col("parts").alias(name))
-    met = pairs.join(parts("a", "x", "m"), ["a", "x"]).join(parts("b", "y", "n"), ["b", "y"])
-    met = met.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("grp"), F.col("x").alias("comp"), F.col("i").alias("part")), F.struct(F.lit(1).alias("side"), F.col("b").alias("grp"), F.col("y").alias("comp"), F.col("j").alias("part")))
-    sides = met.select(F.xxhash64("a", "x", "i", "b", "y", "j").alias("unit"), F.explode(ends).alias("e")).select("unit", "e.*")
-    return sides.join(members, ["grp", "comp", "part"]).select("unit", "side", "sig")
-
-
 def all_links(docs: DataFrame, members: DataFrame, prefixed: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): links between members that connect all that are connected."""
     member = stored(prefixed, "grouped")
@@ -382,38 +365,43 @@ def all_links(docs: DataFrame, members: DataFrame, prefixed: DataFrame, rule: Ru
     entries = groups.select("grp", "size", F.explode("prefix").alias("e")).select("e.key", F.struct("size", "grp", "e.pos").alias("e"))
     keys = stored(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     entries = stored(entries.join(keys, "key"), "entries")
+    of_key, of_group = F.xxhash64(F.lit("key"), "key").alias("list"), F.xxhash64(F.lit("group"), "grp").alias("list")
     # First pass: neighbours.
     near = chained(entries.withColumn("grp", F.col("e.grp")), "key", ["grp"], F.col("e")).filter(possible(rule, "x", "y"))
-    pairs = near.select(F.least("x.grp", "y.grp").alias("a"), F.greatest("x.grp", "y.grp").alias("b")).distinct()
-    head = lambda end: groups.select(F.col("grp").alias(end), F.col("head").alias(f"{end}_sig"))
+    pairs = near.select(of_key, F.least("x.grp", "y.grp").alias("a"), F.greatest("x.grp", "y.grp").alias("b")).groupBy("a", "b").agg(F.min("list").alias("list"))
     near = stored(enough(pairs, groups, rule), "neighbours")
-    across = near.join(head("a"), "a").join(head("b"), "b").select("a_sig", "b_sig")
-    inside = chained(member.join(groups.filter("n > 1").select("grp"), "grp").select("grp", "sig"), "grp", ["sig"], F.col("sig"))
-    first = across.unionByName(inside.select(F.col("x").alias("a_sig"), F.col("y").alias("b_sig")))
-    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a_sig").alias("sig")), F.struct(F.lit(1).alias("side"), F.col("b_sig").alias("sig"))))
-    links = verified(docs, first.select(F.xxhash64("a_sig", "b_sig").alias("unit"), ends.alias("e")).select("unit", "e.*"), members, rule, "near")
-    # Second pass: all others that are not connected yet.
+    head = lambda end, name: groups.select(F.col("grp").alias(end), F.col("head").alias(name))
+    across = near.join(head("a", "x"), "a").join(head("b", "y"), "b").select("list", "x", "y")
+    inside = chained(member.join(groups.filter("n > 1").select("grp"), "grp").select("grp", "sig"), "grp", ["sig"], F.col("sig")).select(of_group, "x", "y")
+    alone = members.select(F.col("sig").alias("id"), "sig", "rep")
+    links = verified(docs, across.unionByName(inside), alone, rule, "near")
+    # Second pass: all others that are not connected yet; the ends are members of a group that are connected, in parts.
     known = stored(connected_components(links), "connected").withColumnsRenamed({"node": "sig", "component": "comp"})
-    placed = member.select("sig", "grp").join(known, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")).join(members.select("sig", F.col("rep.bytes").alias("bytes")), "sig")
+    placed = member.select("sig", "grp").join(known, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")).join(members.select("sig", "rep"), "sig")
     placed = stored(placed, "placed")
-    many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
-    subgroups = stored(placed.groupBy("grp", "comp").agg(F.least(many, F.count("*").cast("int")).alias("parts")), "subgroups")
-    parted = placed.join(subgroups, ["grp", "comp"]).select("sig", "grp", "comp", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"))
+    many = F.least(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("rep.bytes") / BLOCK_BYTES)), F.count("*")).cast("int")
+    subgroups = stored(placed.groupBy("grp", "comp").agg(F.greatest(many, F.lit(1)).alias("parts")), "subgroups")
+    id_of = lambda grp, comp, part: F.unhex(F.md5(F.concat(F.col(grp), F.col(comp), part.cast("string").cast("binary"))))
+    ends = placed.join(subgroups, ["grp", "comp"]).select(id_of("grp", "comp", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).alias("id"), "sig", "rep")
     spread = entries.select("key", "e", F.col("e.grp").alias("grp")).join(subgroups.select("grp", "comp"), "grp").select("key", "comp", "e")
     mixed = spread.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
     spread = stored(spread.join(mixed, "key"), "spread")
     comps = spread.select("key", "comp").distinct()
     apart = comps.withColumnRenamed("comp", "x").join(comps.withColumnRenamed("comp", "y"), "key").filter("x < y")
     met = apart.join(spread.select("key", F.col("comp").alias("x"), F.col("e").alias("p")), ["key", "x"]).join(spread.select("key", F.col("comp").alias("y"), F.col("e").alias("q")), ["key", "y"])
-    others = met.filter(possible(rule, "p", "q")).select(F.col("p.grp").alias("a"), "x", F.col("q.grp").alias("b"), "y").distinct()
+    others = met.filter(possible(rule, "p", "q")).select(of_key, F.col("p.grp").alias("a"), "x", F.col("q.grp").alias("b"), "y").groupBy("a", "x", "b", "y").agg(F.min("list").alias("list"))
     torn = subgroups.select("grp", "comp")
-    own = torn.select(F.col("grp").alias("a"), F.col("comp").alias("x")).join(torn.select(F.col("grp").alias("a"), F.col("comp").alias("y")), "a").filter("x < y").select("a", "x", F.col("a").alias("b"), "y")
-    #: Two groups of one member each were compared as a whole if they were neighbours.
+    own = torn.join(torn.withColumnRenamed("comp", "y"), "grp").filter("comp < y").select(F.col("grp").alias("a"), F.col("comp").alias("x"), F.col("grp").alias("b"), "y", of_group)
+    #: Two groups of one member each were compared if they were neighbours.
     lone = lambda end: groups.filter("n = 1").select(F.col("grp").alias(end))
-    done = near.join(lone("a"), "a", "left_semi").join(lone("b"), "b", "left_semi")
+    done = near.join(lone("a"), "a", "left_semi").join(lone("b"), "b", "left_semi").select("a", "b")
     done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
     left = enough(others.filter("a <> b").join(done, ["a", "b"], "left_anti"), groups, rule).unionByName(own)
-    return links.unionByName(verified(docs, in_blocks(stored(left, "pairs"), subgroups, parted), members, rule, "far"))
+    sizes = lambda g, c, n: subgroups.select(F.col("grp").alias(g), F.col("comp").alias(c), F.col("parts").alias(n))
+    left = left.join(sizes("a", "x", "m"), ["a", "x"]).join(sizes("b", "y", "n"), ["b", "y"])
+    left = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    left = left.select("list", id_of("a", "x", F.col("i")).alias("x"), id_of("b", "y", F.col("j")).alias("y"))
+    return links.unionByName(verified(docs, left, ends, rule, "far"))
 
 
 def jaccard_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
