@@ -135,10 +135,10 @@ def find_pii(docs: DataFrame, text: str = "text", least: float = 0.0) -> DataFra
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     #: A kind's patterns run only over texts that hold a sign of it.
-    signs = {"email": F.contains(whole, F.lit("@")), "phone": F.contains(whole, F.lit("+"))}
+    signs = {"email": F.contains(whole, F.lit("@")), "phone": F.contains(whole, F.lit("+")), "iban": whole.rlike("[A-Z]{2}[0-9]{2}"), "ip": whole.rlike(r"[0-9]\.[0-9]"), "card": whole.rlike(r"[0-9][\x20-]?[0-9]")}
     alone = lambda before, after: ~F.concat(before, after).rlike("[A-Za-z0-9]")
     keeps = lambda k: lambda v, before, after: confirmed(k, v) & (alone(before, after) if k == "iban" else F.lit(True))
-    found = [F.when(signs.get(k, whole.rlike("[0-9]")), proposals(whole, k, keeps(k))).otherwise(F.array().cast(SPAN)) for k in KINDS]
+    found = [F.when(signs[k], proposals(whole, k, keeps(k))).otherwise(F.array().cast(SPAN)) for k in KINDS]
     spans = F.array_sort(reduce(F.concat, found))
     return docs.withColumn("spans", F.filter(spans, lambda s: s["score"] >= least) if least else spans)
 
