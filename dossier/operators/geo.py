@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EARTH_KM, KM_PER_DEGREE = 6371.0, 111.19
+from dossier.functions.columns import haversine_km, plain_name
+from dossier.operators.components import broadcast_up_to
 
-
-def plain_name(name: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(F.btrim(F.coalesce(name, F.lit("")))), "[-_]+", " "), r"\s+", " "))
+KM_PER_DEGREE = 111.19
 
 
 def geocode(rows: DataFrame, name: str, gazetteer: DataFrame) -> DataFrame:
     """rows with lat, lng, geo_source: the whole name, or else its first word if that is a city of one word.
 
-    The gazetteer is a small table by nature; the first-word rule is an equi-join as well.
+    The first-word rule is an equi-join as well.
     """
-    g = F.broadcast(gazetteer)
+    g = broadcast_up_to(gazetteer, 100_000)
     whole = g.select(F.col("name").alias("_n"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
     city = g.filter(~F.contains("name", F.lit(" "))).select(F.col("name").alias("_c"), F.col("lat").alias("_clat"), F.col("lng").alias("_clng"))
     out = rows.withColumn("_plain", plain_name(F.col(name))).withColumn("_word", F.when(F.contains("_plain", F.lit(" ")), F.substring_index("_plain", " ", 1)))
@@ -48,11 +47,6 @@ def override(rows: DataFrame, corrections: DataFrame) -> DataFrame:
     }).drop("_lat", "_lng")
 
 
-def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
-
-
 def within_radius(points: DataFrame, centres: DataFrame, km: float = 5.0) -> DataFrame:
     """points x centres (centre_id, clat, clng) at most km apart, with `km`.
 
@@ -84,3 +78,28 @@ def tower_points(rows: DataFrame, gazetteer: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min_by("tower", F.struct("evidence_id", "line")).alias("tower"), F.min("evidence_id").alias("evidence_id"),
     )
     return geocode(found, "tower", gazetteer)
+
+
+def map_points(presences: DataFrame, devices: DataFrame, towers: DataFrame) -> DataFrame:
+    """(layer, case_id, label, day, confidence, lat, lng): suspects at their latest places, device pings and towers.
+
+    presences: case_id, label, day, confidence, lat, lng, at most one a label; devices, towers: the same columns. Rows
+    without coordinates come as the layer `unlocated`, so nothing is lost from the counts.
+    """
+    cols = ("case_id", "label", "day", "confidence", "lat", "lng")
+    layers = [rows.select(F.lit(name).alias("layer"), *cols) for name, rows in (("suspects", presences), ("devices", devices), ("towers", towers))]
+    out = layers[0].unionByName(layers[1]).unionByName(layers[2])
+    return out.withColumn("layer", F.when(F.col("lat").isNull() | F.col("lng").isNull(), "unlocated").otherwise(F.col("layer")))
+
+
+def map_counts(points: DataFrame) -> DataFrame:
+    return points.groupBy("case_id", "layer").agg(F.count("*").alias("n"))
+
+
+def map_filter(points: DataFrame, least: float = 0.0, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Points of a confidence and a time window: undated ones pass the window, and towers go by date alone."""
+    out = points.filter((F.col("layer") == "towers") | (F.coalesce("confidence", F.lit(0.0)) >= least))
+    for bound, op in ((since, lambda c, v: c >= v), (until, lambda c, v: c <= v)):
+        if bound:
+            out = out.filter(F.col("day").isNull() | op(F.col("day"), F.lit(bound).cast("date")))
+    return out

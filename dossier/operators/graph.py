@@ -124,8 +124,8 @@ def bridges(metrics: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def rosters(membership: DataFrame) -> DataFrame:
-    """(community, size, members) from (key, community)."""
-    return membership.groupBy("community").agg(F.count("*").alias("size"), F.concat_ws(",", F.array_sort(F.collect_list("key"))).alias("members"))
+    """(community, key, size) from (key, community): a row a member, with the size of its community."""
+    return membership.join(membership.groupBy("community").agg(F.count("*").alias("size")), "community").select("community", "key", "size")
 
 
 def overview(metrics: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def overview(metrics: DataFrame) -> DataFrame:
 
 
 def top_players(metrics: DataFrame, n: int = 15) -> DataFrame:
-    """The first n nodes of each case by PageRank, then degree."""
+    """The first n nodes of each case by PageRank, then degree; the window keeps n rows a case before it shuffles."""
     rank = F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("pagerank"), F.desc("degree"), "key"))
     return metrics.withColumn("rank", rank).filter(F.col("rank") <= n)
 

@@ -15,11 +15,12 @@ from dossier.operators.graph import both_ways
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut: int = 4) -> DataFrame:
     """(key, pagerank), directed, weighted by confidence (0.5 where missing): 1 - d + d * what the in-edges bring.
 
-    The out-weights are joined once; every `cut` rounds the ranks are written to cut the lineage.
+    The out-weights are joined once, and the links stay dealt by their source, so a round shuffles ranks and what they
+    bring alone; every `cut` rounds the ranks are written to cut the lineage.
     """
     w = F.coalesce(F.col("confidence"), F.lit(0.5))
     share = edges.groupBy("src").agg(F.sum(w).alias("total"))
-    links = stored(edges.join(share, "src").select("src", "dst", (w / F.col("total")).alias("share")), "links")
+    links = stored(edges.join(share, "src").select("src", "dst", (w / F.col("total")).alias("share")), "links").repartition("src").persist()
     base = stored(nodes.select("key"), "nodes")
     ranks = base.withColumn("rank", F.lit(1.0))
     for i in range(rounds):
@@ -27,6 +28,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         ranks = base.join(brought, "key", "left").select("key", (F.lit(1 - damping) + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
         if (i + 1) % cut == 0:
             ranks = stored(ranks, "ranks")
+    ranks = stored(ranks, "ranks") if rounds % cut else ranks
+    links.unpersist()
     return ranks.withColumnRenamed("rank", "pagerank")
 
 
@@ -39,8 +42,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None, sources: DataFrame | None = None) -> DataFrame:
     """(key, betweenness), directed and unweighted, over all (or the given) sources.
 
-    Levels of all sources advance together until none has a new node: state rows are (source, node, depth, paths). Dependencies then flow back level
-    by level. Parallel edges count as one.
+    Levels of all sources advance together until none has a new node: state rows are (source, node, depth, paths), as many
+    as there are pairs of which one reaches the other. Dependencies then flow back level by level. Parallel edges count as
+    one. For graphs whose reach is too wide for that, see sampled_betweenness.
     """
     hop = stored(edges.select("src", "dst").distinct(), "hops")
     start = (sources if sources is not None else nodes).select(F.col("key").alias("s"), F.col("key").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
@@ -69,6 +73,13 @@ def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None
     return nodes.select("key").join(sums, "key", "left").fillna(0.0, ["betweenness"])
 
 
+def sampled_betweenness(nodes: DataFrame, edges: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """(key, betweenness) estimated from a drawn share of the sources, scaled to all of them."""
+    drawn = nodes.filter(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+    found = betweenness(nodes, edges, sources=drawn)
+    return found.withColumn("betweenness", F.col("betweenness") * F.lit(nodes.count() / max(1, drawn.count())))
+
+
 def communities(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 8) -> DataFrame:
     """(key, community) by modularity gain, weighted by confidence; a community is named by its smallest key.
 

@@ -56,6 +56,17 @@ def fold_relations(found: DataFrame) -> DataFrame:
     )
 
 
+def upsert_relations(stored_rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The stored relations with a batch folded in: a stored row stays as it is, but a missing date is filled; others are new."""
+    key = ["case_id", "src", "dst", "edge_type"]
+    new = fold_relations(found)
+    cols = [c for c in new.columns if c not in key]
+    old = stored_rows.select(*key, *[F.col(c).alias(f"o_{c}") for c in cols], F.lit(True).alias("o_there"))
+    joined = old.join(new, key, "full")
+    kept = [F.when(F.col("o_there"), F.col(f"o_{c}")).otherwise(F.col(c)).alias(c) for c in cols if c != "valid_from"]
+    return joined.select(*key, *kept, F.coalesce("o_valid_from", "valid_from").alias("valid_from"))
+
+
 def resolve_ends(found: DataFrame, registry: DataFrame) -> DataFrame:
     """Relations given by (type, normalized) ends get registry ids; rows with an unknown or equal end are dropped."""
     ids = registry.select("case_id", "node_type", "normalized", "entity_id")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossier.operators.components import broadcast_up_to
+
 ACTIVE = ("closed", "archived")
 
 
@@ -32,7 +34,7 @@ def annotated_cases(cases: DataFrame, **children: DataFrame) -> DataFrame:
 
 
 def progress(annotated: DataFrame, steps: list[str]) -> DataFrame:
-    """A flag for each step (its count is positive) and how many are done."""
+    """A flag for each step (its count is positive) and how many are done; a step may be one of the counts a caller adds."""
     out = annotated.withColumns({f"has_{s}": F.col(f"n_{s}") > 0 for s in steps})
     return out.withColumn("done", reduce(lambda a, b: a + b, [F.col(f"has_{s}").cast("int") for s in steps]))
 
@@ -68,6 +70,42 @@ def cross_case_counts(entities: DataFrame) -> DataFrame:
     return entities.filter("status <> 'rejected'").groupBy("node_type", "normalized").agg(F.count_distinct("case_id").alias("cases"))
 
 
+def district_cross_case(entities: DataFrame, cases: DataFrame, district: str, limit: int = 10) -> DataFrame:
+    """The entities that most cases of a district share, the ten of most cases first."""
+    own = cases.filter(F.col("district") == district)
+    return shared_entities(entities.join(own.select("case_id"), "case_id", "left_semi"), own, limit)
+
+
+def stage_counts(rows: DataFrame, *columns: str) -> DataFrame:
+    """(part, value, n): how many rows have each value of each column, as a stage reports them; nulls count as `none`."""
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("value")) for c in columns]))
+    return counts_by(rows.select(parts.alias("x")).select("x.*"), "part", "value")
+
+
+def audit_trail(log: DataFrame, user_id: int, supervisor: bool = False) -> DataFrame:
+    """The log (user_id, ts, ...) that a user may read: all of it for supervisors, else the own entries."""
+    return log if supervisor else log.filter(F.col("user_id") == user_id)
+
+
+def report_list(reports: DataFrame, visible: DataFrame, case_id: int | None = None, limit: int = 50) -> DataFrame:
+    """The newest reports (report_id, case_id, ts) of visible cases, or of one of them."""
+    rows = reports if case_id is None else reports.filter(F.col("case_id") == case_id)
+    return rows.join(visible, "case_id", "left_semi").orderBy(F.desc("ts"), F.desc("report_id")).limit(limit)
+
+
+def case_links(links: DataFrame) -> DataFrame:
+    """Links between cases (a, b, ...), one for each two cases whichever way it was made (the first by link_id), none of a case with itself."""
+    ends = links.filter("a <> b").withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+    first = F.row_number().over(W.partitionBy("low", "high").orderBy("link_id"))
+    return ends.withColumn("_r", first).filter("_r = 1").drop("_r", "low", "high")
+
+
+def links_of(links: DataFrame, case_ids: DataFrame) -> DataFrame:
+    """(case_id, other, link_id): the links of given cases from either side."""
+    both = F.explode(F.array(F.struct(F.col("a").alias("case_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("case_id"), F.col("a").alias("other"))))
+    return links.select("link_id", both.alias("x")).select("x.case_id", "x.other", "link_id").join(case_ids, "case_id", "left_semi")
+
+
 def linked_cases(entities: DataFrame, case_id: int, limit: int = 12) -> DataFrame:
     """Other cases that share entities with one case, and the strongest shared entity of each."""
     live = entities.filter("status <> 'rejected'").select("case_id", "node_type", "normalized", "confidence")
@@ -94,7 +132,7 @@ def district_map(cases: DataFrame, entities: DataFrame, evidence: DataFrame, pla
     """Counts by district with coordinates where the gazetteer has the district; others are counted without a place."""
     by_case = annotated_cases(cases, entities=entities, evidence=evidence)
     sums = by_case.groupBy("district").agg(F.count("*").alias("cases"), F.sum("n_entities").alias("entities"), F.sum("n_evidence").alias("evidence"))
-    return sums.join(F.broadcast(places.select(F.col("name").alias("place"), "lat", "lng")), F.lower("district") == F.col("place"), "left").drop("place").withColumn("located", F.col("lat").isNotNull())
+    return sums.join(broadcast_up_to(places.select(F.col("name").alias("place"), "lat", "lng"), 100_000), F.lower("district") == F.col("place"), "left").drop("place").withColumn("located", F.col("lat").isNotNull())
 
 
 def workload(cases: DataFrame, assignments: DataFrame, entities: DataFrame) -> DataFrame:

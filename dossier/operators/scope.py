@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.operators.components import broadcast_up_to
+
+#: Cases and users up to which they are broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def visible_cases(cases: DataFrame, assignments: DataFrame, user_id: int, supervisor: bool = False) -> DataFrame:
     """case_id of the cases a user owns or is assigned to; a supervisor sees all."""
@@ -24,16 +29,16 @@ def visibility(cases: DataFrame, assignments: DataFrame) -> DataFrame:
 
 
 def permissions(cases: DataFrame, assignments: DataFrame, users: DataFrame) -> DataFrame:
-    """users (user_id, supervisor) x the cases they have a part in: can_view, can_edit, can_contribute.
+    """users (user_id, supervisor) with the cases they have a part in: can_view, can_edit, can_contribute.
 
-    Owners and edit or admin assignments edit; contributing is editing by someone who is no supervisor.
+    Owners and edit or admin assignments edit; contributing is editing by someone who is no supervisor. A supervisor
+    has one row, whose null case stands for all cases.
     """
     owned = cases.select("case_id", F.col("owner_id").alias("user_id"), F.lit("owner").alias("part"))
     held = owned.unionByName(assignments.select("case_id", "user_id", F.col("permission").alias("part")))
-    every = users.filter("supervisor").crossJoin(F.broadcast(cases.select("case_id"))).select("case_id", "user_id", F.lit("supervisor").alias("part"))
-    parts = held.unionByName(every).groupBy("user_id", "case_id").agg(F.collect_set("part").alias("parts"))
-    has = lambda *names: F.arrays_overlap("parts", F.array(*map(F.lit, names)))
-    return parts.join(F.broadcast(users), "user_id").select(
-        "user_id", "case_id", F.lit(True).alias("can_view"), has("owner", "edit", "admin", "supervisor").alias("can_edit"),
-        (has("owner", "edit", "admin") & ~F.col("supervisor")).alias("can_contribute"),
-    )
+    edits = F.bool_or(F.col("part").isin("owner", "edit", "admin"))
+    known = broadcast_up_to(users, BROADCAST_ROWS)
+    own = held.join(known.filter("not supervisor").select("user_id"), "user_id").groupBy("user_id", "case_id").agg(F.lit(True).alias("can_view"), edits.alias("can_edit"), edits.alias("can_contribute"))
+    yes = F.lit(True)
+    every = users.filter("supervisor").select("user_id", F.lit(None).cast(cases.schema["case_id"].dataType).alias("case_id"), yes.alias("can_view"), yes.alias("can_edit"), F.lit(False).alias("can_contribute"))
+    return own.unionByName(every)

@@ -15,19 +15,22 @@ MONEY = r"(?iU)(?:Rs\.?|INR|₹)\s?[\d,]+(?:\.\d{1,2})?|\b[\d,]+\s?(?:rupees|lak
 NAME = r"(?U)\b([A-Z][a-z]{1,}(?:\s+[A-Z][a-z]{1,}){1,2})\b"
 SENTENCE_END = r"(?U)(?<=[.!?])\s+(?=[A-Z0-9\"'])|।\s*"
 MONTHS = {
-    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6,
-    "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6,
+    "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8,
+    "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12,
 }
-DATE_TEXT = r"(?iU)\b(\d{1,2})\s+(January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)\s+(\d{4})\b"
+DATE_TEXT = r"(?iU)\b(\d{1,2})\s+(January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\s+(\d{4})\b"
 DATE_ISO = r"(?U)\b(\d{4})-(\d{2})-(\d{2})\b"
 DATE_NUMBER = r"(?U)\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})\b"
 #: Words a name may not have (fixed values).
 STOP_WORDS = (
-    "january february march april may june july august september october november december "
-    "monday tuesday wednesday thursday friday saturday sunday "
-    "police station report first information call bank statement court fir cdr tower dump analysis mobile "
-    "swift white black near dated"
-).split()
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+    "police", "station", "report", "first", "information", "call", "bank", "statement", "court", "fir", "cdr", "tower", "dump",
+    "analysis", "mobile", "swift", "white", "black", "near", "dated",
+)
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 #: Verb signs by relation (fixed values); a sign counts wherever it stands, also inside a word.
 CALL = ("call", "called", "calling", "spoke", "spoken", "contacted", "contact", "rang", "phone", "phoned")
 MEET = ("met", "meet", "meeting", "seen with", "gathered", "visited")
@@ -102,7 +105,16 @@ def extract_entities(evidence: DataFrame, model: DataFrame | None = None) -> Dat
     found = rows.select("evidence_id", "case_id", F.explode(claimed(spans)).alias("s")).select("evidence_id", "case_id", "s.*")
     found = found.withColumn("normalized", normalized(F.col("node_type"), F.col("value"))).filter("normalized <> ''")
     rank = F.row_number().over(W.partitionBy("evidence_id", "node_type", "normalized").orderBy(F.desc("confidence"), "layer", "start"))
-    return found.withColumn("r", rank).filter("r = 1").drop("r", "layer")
+    best = found.withColumn("r", rank).filter("r = 1").drop("r", "layer")
+    return best if model is None else fold_aliases(best)
+
+
+def fold_aliases(found: DataFrame) -> DataFrame:
+    """found without persons of one word that is a word of a longer person of the same evidence (only a name model gives such)."""
+    words = F.split(F.lower(F.btrim("value")), r"\s+")
+    person = F.col("node_type") == "Person"
+    parts = found.filter(person & (F.size(words) > 1)).select("evidence_id", F.explode(words).alias("_word"), F.lit("Person").alias("node_type")).distinct()
+    return found.withColumn("_word", F.when(F.size(words) == 1, words[0])).join(parts, ["evidence_id", "node_type", "_word"], "left_anti").select(*found.columns)
 
 
 def dates(text: Column) -> Column:
@@ -114,7 +126,7 @@ def dates(text: Column) -> Column:
         year = lambda y: F.when(y.cast("int") < 100, y.cast("int") + 2000).otherwise(y.cast("int"))
         return F.transform(zipped, lambda x: F.try_make_timestamp(year(x["y"]), month(x["m"]), x["d"].cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date"))
 
-    name = lambda m: F.coalesce(*[F.when(F.lower(F.left(m, F.lit(3))) == k, F.lit(n)) for k, n in MONTHS.items()])
+    name = lambda m: F.coalesce(*[F.when(F.lower(m) == k, F.lit(n)) for k, n in MONTHS.items()])
     every = F.concat(made(DATE_TEXT, (3, 2, 1), name), made(DATE_ISO, (1, 2, 3)), made(DATE_NUMBER, (3, 2, 1)))
     return F.array_sort(F.array_distinct(F.array_compact(every)))
 
@@ -263,3 +275,78 @@ def intent(question: Column) -> Column:
         rules.append(F.when(q.rlike(p) & (a != "") & (b != "") & (F.char_length(a) < 120) & (F.char_length(b) < 120), made("path", a, b)))
     summary = r"(?i)\b(summar(y|ize|ise)|tldr)\b|\bkey\s+players?\b|\b(overview|brief(\s+me)?|status)\b"
     return F.coalesce(*rules, F.when(q.rlike(summary), made("summary", empty, empty)), made("generic", empty, empty))
+
+
+def temporal_range(question: Column, today: Column) -> Column:
+    """struct<from, to, phrases> over all relative dates and months of a question, as of a day; null without any.
+
+    A weekday is its latest day up to today, the last one strictly before; past months have 30 days.
+    """
+    low = F.lower(F.coalesce(question, F.lit("")))
+    has = lambda p: low.rlike(rf"(?U)\b(?:{p})\b")
+    span = lambda a, b, phrase: F.struct(a.cast("date").alias("a"), b.cast("date").alias("b"), (F.lit(phrase) if isinstance(phrase, str) else phrase).alias("phrase"))
+    day = F.weekday(today)
+    month, year = F.trunc(today, "month"), F.trunc(today, "year")
+    monday = F.date_sub(today, day)
+    past = r"(?U)\bpast (\d+) (days?|weeks?|months?)\b"
+    unit = F.regexp_extract(low, past, 2)
+    n = F.regexp_extract(low, past, 1).try_cast("int") * F.when(unit.startswith("day"), 1).when(unit.startswith("week"), 7).otherwise(30)
+    spans = [
+        F.when(has("today"), span(today, today, "today")),
+        F.when(has("yesterday|last night"), span(F.date_sub(today, 1), F.date_sub(today, 1), "yesterday")),
+        F.when(has("tomorrow"), span(F.date_add(today, 1), F.date_add(today, 1), "tomorrow")),
+        F.when(has("this week"), span(monday, today, "this week")),
+        F.when(has("last week"), span(F.date_sub(monday, 7), F.date_sub(monday, 1), "last week")),
+        F.when(low.rlike(past) & n.isNotNull(), span(F.date_sub(today, n), today, F.regexp_extract(low, past, 0))),
+        F.when(has("this month"), span(month, today, "this month")),
+        F.when(has("last month"), span(F.add_months(month, -1), F.date_sub(month, 1), "last month")),
+        F.when(has("this year"), span(year, today, "this year")),
+        F.when(has("last year"), span(F.add_months(year, -12), F.date_sub(year, 1), "last year")),
+    ]
+    for i, name in enumerate(WEEKDAYS):
+        back = F.pmod(day - i, F.lit(7))
+        before = F.date_sub(today, F.when(back == 0, 7).otherwise(back).cast("int"))
+        latest = F.date_sub(today, back.cast("int"))
+        spans.append(F.when(has(f"last {name}"), span(before, before, f"last {name}")).when(low.rlike(rf"(?U)(?<![a-z]){name}\b"), span(latest, latest, name)))
+    names = [k for k in MONTHS if len(k) > 4 or k in ("may", "june", "july")]
+    pinned = rf"(?U)\b({'|'.join(names)})\s+(\d{{4}})\b"
+    pins = F.arrays_zip(F.regexp_extract_all(low, F.lit(pinned), F.lit(1)).alias("m"), F.regexp_extract_all(low, F.lit(pinned), F.lit(2)).alias("y"), F.regexp_extract_all(low, F.lit(pinned), F.lit(0)).alias("p"))
+    number = lambda m: F.coalesce(*[F.when(m == k, F.lit(MONTHS[k])) for k in names])
+    first = lambda x: F.try_make_timestamp(x["y"].cast("int"), number(x["m"]), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    made = F.filter(F.concat(F.array_compact(F.array(*spans)), F.transform(pins, lambda x: span(first(x), F.last_day(first(x)), x["p"]))), lambda s: s["a"] <= s["b"])
+    phrases = F.concat_ws("; ", F.array_sort(F.array_distinct(F.transform(made, lambda s: s["phrase"]))))
+    return F.when(F.size(made) > 0, F.struct(F.array_min(F.transform(made, lambda s: s["a"])).alias("from"), F.array_max(F.transform(made, lambda s: s["b"])).alias("to"), phrases.alias("phrases")))
+
+
+#: Characters of a word that a mention is looked up by.
+KEY_CHARS = 64
+
+
+def link_mentions(questions: DataFrame, entities: DataFrame, most: int = 10) -> DataFrame:
+    """question_id, mention, entity_id, case_id, node_type, value, confidence, candidates: confirmed entities that questions name.
+
+    questions: question_id, question; entities: confirmed ones. Quoted spans come first (the first `most`), each with the
+    entities whose value or normalized form holds it; a question without any is searched for whole values of several
+    words. A mention keeps its `most` most confident candidates; with more than one it is ambiguous. Both searches are
+    equi-joins on parts of words, then checked.
+    """
+    q = questions.select("question_id", F.coalesce("question", F.lit("")).alias("question"))
+    spans = F.concat(F.regexp_extract_all("question", F.lit("[\"\u201c\u201d](.+?)[\"\u201c\u201d]"), F.lit(1)), F.regexp_extract_all("question", F.lit("'([^']{2,})'"), F.lit(1)))
+    quoted = F.slice(F.filter(F.transform(spans, lambda s: F.btrim(s)), lambda s: s != ""), 1, most)
+    q = q.withColumn("quoted", quoted)
+    e = entities.select("entity_id", "case_id", "node_type", "value", "confidence", F.lower("value").alias("low"), "normalized")
+    grams = lambda text: F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substr(text, i, n))).otherwise(F.array().cast("array<string>"))))
+    indexed = e.withColumn("key", F.explode(F.array_distinct(F.concat(grams(F.col("low")), grams(F.coalesce("normalized", F.lit("")))))))
+    asked = q.select("question_id", F.explode(F.array_distinct("quoted")).alias("mention")).withColumn("key", F.left(F.lower("mention"), F.lit(3)))
+    said = asked.join(indexed, "key").filter(F.contains("low", F.lower("mention")) | F.contains("normalized", F.lower("mention")))
+    tail = lambda text: F.right(F.split(text, r"\s+")[0], F.lit(KEY_CHARS))
+    names = e.filter(F.contains(F.btrim("value"), F.lit(" "))).withColumn("key", F.explode(F.array_distinct(F.array(tail(F.col("low")), tail(F.coalesce("normalized", F.col("low")))))))
+    ends = lambda w: F.transform(F.sequence(F.lit(1), F.least(F.char_length(w), F.lit(KEY_CHARS))), lambda n: F.right(w, n))
+    words = F.filter(F.split(F.lower("question"), r"\s+"), lambda w: w != "")
+    texts = q.filter(F.size("quoted") == 0).select("question_id", F.lower("question").alias("text"), F.explode(F.array_distinct(F.flatten(F.transform(words, ends)))).alias("key"))
+    found = texts.join(names, "key").filter(F.contains("text", F.col("low")) | F.contains("text", F.col("normalized"))).withColumn("mention", F.col("value"))
+    cols = ["question_id", "mention", "entity_id", "case_id", "node_type", "value", "confidence"]
+    hits = said.select(*cols).unionByName(found.select(*cols)).distinct()
+    rank = F.row_number().over(W.partitionBy("question_id", "mention").orderBy(F.desc("confidence"), "entity_id"))
+    kept = hits.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
+    return kept.join(kept.groupBy("question_id", "mention").agg(F.count("*").alias("candidates")), ["question_id", "mention"])

@@ -4,106 +4,127 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossier.operators import geo, metrics, scoring
+from dossier.operators import alerts, geo, metrics, retrieval, scoring
 from dossier.operators import graph as G
 from dossier.operators import pattern as P
 from dossier.operators import rollups as A
 from dossier.plans.common import register
 from dossier.sources import domain as D
-from dossier.sources.domain import ENTITIES_SQL, RELATIONS_SQL, graph_sql, table, with_sql
+from dossier.sources.domain import CASES_SQL, ENTITIES_SQL, RELATIONS_SQL, graph_sql, table, with_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-#: The queries with this in their SQL run on edges of at least this confidence, where cases fall into several components.
-#: The queries whole_... ask the same of all confirmed edges; most have no SQL, which lists paths and is too slow for them.
-FLOOR = 0.8
 #: Added before rounding for comparison: the engines round halves differently.
 TIE = 1e-9
-GRAPH, STRONG = (ENTITIES_SQL, RELATIONS_SQL, graph_sql()), (ENTITIES_SQL, RELATIONS_SQL, graph_sql(FLOOR))
+GRAPH = (ENTITIES_SQL, RELATIONS_SQL, graph_sql())
+#: Levels that the SQL of shortest paths spells out; no graph of the given tables is deeper (the plans go on until a level is empty).
+LEVELS = 24
 
 
 def query(sql: str | None = None, dates: tuple[str, ...] = ()):
     return register(QUERIES, ORACLE_SQL, sql, dates)
 
 
-def strong(spark, sf_dir, floor=FLOOR):
-    n, e = D.graph(spark, sf_dir, floor)
-    return G.stored(n, "nodes"), G.stored(e, "edges")
-
-
 def whole(spark, sf_dir):
-    """The confirmed graph with all its edges."""
-    return strong(spark, sf_dir, 0.0)
+    """The confirmed graph with all its edges, written once."""
+    n, e = D.graph(spark, sf_dir)
+    return G.stored(n, "nodes"), G.stored(e, "edges")
 
 
 COMPONENTS_SQL = """
-both_ways as (select distinct src a, dst b from edges union select dst, src from edges),
+both_ways as materialized (select distinct src a, dst b from edges union select dst, src from edges),
 reach as (select key a, key b from nodes union select r.a, w.b from reach r join both_ways w on w.a = r.b),
-component as (select a as key, min(b) component from reach group by a)"""
+component as materialized (select a as key, min(b) component from reach group by a)"""
 
 
-@query(with_sql(*STRONG, COMPONENTS_SQL, recursive=True) + "select key, component from component")
+@query(with_sql(*GRAPH, COMPONENTS_SQL, recursive=True) + "select key, component from component")
 def components(spark, sf_dir):
-    return metrics.components(*strong(spark, sf_dir))
+    return metrics.components(*whole(spark, sf_dir))
 
 
 _RANKS = ", ".join(
-    f"r{i} as (select n.key, 0.15 + 0.85 * coalesce(sum(l.share * r.pr), 0) pr from nodes n left join links l on l.dst = n.key left join r{i - 1} r on r.key = l.src group by n.key)" for i in range(1, 21)
+    f"r{i} as materialized (select n.key, 0.15 + 0.85 * coalesce(sum(l.share * r.pr), 0) pr from nodes n left join links l on l.dst = n.key left join r{i - 1} r on r.key = l.src group by n.key)" for i in range(1, 21)
 )
+PAGERANK_SQL = f"totals as (select src, sum(confidence) t from edges group by 1), links as materialized (select e.src, e.dst, confidence / t share from edges e join totals t on t.src = e.src), r0 as (select key, 1.0::double pr from nodes), {_RANKS}"
 
 
-@query(with_sql(*GRAPH, f"totals as (select src, sum(confidence) t from edges group by 1), links as (select e.src, e.dst, confidence / t share from edges e join totals t on t.src = e.src), r0 as (select key, 1.0::double pr from nodes), {_RANKS}") + "select key, round(pr + 1e-9, 6) pagerank from r20")
+@query(with_sql(*GRAPH, PAGERANK_SQL) + "select key, round(pr + 1e-9, 6) pagerank from r20")
 def pagerank(spark, sf_dir):
-    n, e = D.graph(spark, sf_dir)
-    return metrics.pagerank(n, e).select("key", F.round(F.col("pagerank") + TIE, 6).alias("pagerank"))
+    return metrics.pagerank(*whole(spark, sf_dir)).select("key", F.round(F.col("pagerank") + TIE, 6).alias("pagerank"))
+
+
+def _betweenness_sql() -> str:
+    """Levels of all sources forward with their numbers of paths, then dependencies back, level by level."""
+    parts = ["hops as materialized (select distinct src, dst from edges)", "b0 as materialized (select key s, key v, 1.0::double paths from nodes)", "s0 as (select s, v from b0)"]
+    for i in range(1, LEVELS + 1):
+        parts.append(f"b{i} as materialized (select p.s, h.dst v, sum(p.paths) paths from b{i - 1} p join hops h on h.src = p.v anti join s{i - 1} o on o.s = p.s and o.v = h.dst group by p.s, h.dst)")
+        parts.append(f"s{i} as materialized (select s, v from s{i - 1} union all select s, v from b{i})")
+    parts.append(f"f{LEVELS} as (select s, v, paths, 0.0::double dep from b{LEVELS})")
+    for i in range(LEVELS - 1, -1, -1):
+        parts.append(f"f{i} as materialized (select p.s, p.v, p.paths, coalesce(sum(p.paths / n.paths * (1 + n.dep)), 0) dep from b{i} p left join hops h on h.src = p.v left join f{i + 1} n on n.s = p.s and n.v = h.dst group by p.s, p.v, p.paths)")
+    sums = " union all ".join(f"select v, dep from f{i} where s <> v" for i in range(LEVELS + 1))
+    return ", ".join([*parts, f"betweenness as materialized (select n.key, coalesce(sum(dep), 0) betweenness from nodes n left join ({sums}) t on t.v = n.key group by n.key)"])
 
 
-BETWEENNESS_SQL = """
-hops as (select distinct src, dst from edges),
-bfs as (select key s, key v, 0 d, [key] path from nodes union all select b.s, h.dst, b.d + 1, list_append(b.path, h.dst) from bfs b join hops h on h.src = b.v where not list_contains(b.path, h.dst)),
-dist as (select s, v, min(d) d from bfs group by s, v),
-short as (select b.s, b.v, b.path from bfs b join dist using (s, v, d)),
-paths as (select s, v, count(*) n from short group by s, v),
-through as (select s, v, unnest(path[2:-2]) m, path from short where len(path) > 2),
-betweenness as (select n.key, coalesce(sum(1.0 / p.n), 0) betweenness from nodes n left join through t on t.m = n.key left join paths p on p.s = t.s and p.v = t.v group by n.key)"""
+BETWEENNESS_SQL = _betweenness_sql()
 
 
-@query(with_sql(*STRONG, BETWEENNESS_SQL, recursive=True) + "select key, round(betweenness + 1e-9, 6) betweenness from betweenness")
+@query(with_sql(*GRAPH, BETWEENNESS_SQL) + "select key, round(betweenness + 1e-9, 6) betweenness from betweenness")
 def betweenness(spark, sf_dir):
-    return metrics.betweenness(*strong(spark, sf_dir)).select("key", F.round(F.col("betweenness") + TIE, 6).alias("betweenness"))
+    return metrics.betweenness(*whole(spark, sf_dir)).select("key", F.round(F.col("betweenness") + TIE, 6).alias("betweenness"))
 
 
 @query()
 def communities(spark, sf_dir):
-    """On the whole graph. Has no SQL form; tests check modularity, connectedness and determinism."""
+    """Has no SQL form; tests check modularity, connectedness and determinism."""
     return metrics.communities(*whole(spark, sf_dir))
 
 
-@query(with_sql(*STRONG, COMPONENTS_SQL, recursive=True) + "select component community, count(*) size, array_to_string(list_sort(list(key)), ',') members from component group by 1")
+@query(with_sql(*GRAPH, COMPONENTS_SQL, recursive=True) + "select component community, key, count(*) over (partition by component) size from component")
 def component_rosters(spark, sf_dir):
-    return G.rosters(metrics.components(*strong(spark, sf_dir)).withColumnRenamed("component", "community"))
+    return G.rosters(metrics.components(*whole(spark, sf_dir)).withColumnRenamed("component", "community"))
 
 
-def case_metrics(spark, sf_dir, graph=strong):
-    """key, case_id, node_type, normalized, confidence, degree, pagerank, betweenness, component on the strong (or given) graph."""
-    n, e = graph(spark, sf_dir)
-    m = n.select("key", "case_id", "node_type", "normalized", "confidence")
+@query()
+def community_rosters(spark, sf_dir):
+    n, e = whole(spark, sf_dir)
+    return G.rosters(G.stored(metrics.communities(n, e), "communities"))
+
+
+def case_metrics(spark, sf_dir):
+    """key, case_id, node_type, value, normalized, confidence, degree, pagerank, betweenness, component."""
+    n, e = whole(spark, sf_dir)
+    m = n.select("key", "case_id", "node_type", "value", "normalized", "confidence")
     for part in (G.degrees(n, e).drop("case_id"), metrics.pagerank(n, e), metrics.betweenness(n, e), metrics.components(n, e)):
         m = m.join(part, "key")
     return n, e, G.stored(m, "metrics")
 
 
-METRICS_SQL = (*STRONG, COMPONENTS_SQL, BETWEENNESS_SQL, f"totals as (select src, sum(confidence) t from edges group by 1), links as (select e.src, e.dst, confidence / t share from edges e join totals t on t.src = e.src), r0 as (select key, 1.0::double pr from nodes), {_RANKS}", """
+METRICS_SQL = (*GRAPH, COMPONENTS_SQL, BETWEENNESS_SQL, PAGERANK_SQL, """
 degree as (select n.key, count(k) degree from nodes n left join (select src k from edges union all select dst from edges) x on k = n.key group by n.key),
-metrics as (select n.key, case_id, node_type, normalized, confidence, degree, pr pagerank, betweenness, component from nodes n join degree using (key) join r20 using (key) join betweenness using (key) join component using (key))""")
+metrics as materialized (select n.key, case_id, node_type, value, normalized, confidence, degree, pr pagerank, betweenness, component from nodes n join degree using (key) join r20 using (key) join betweenness using (key) join component using (key))""")
+KINDS_SQL = "array_to_string(list_filter([case when spans >= 2 then 'community' end, case when betweenness > 0 and degree >= 2 then 'broker' end], lambda x: x is not null), ',') kinds"
 
 
-@query(with_sql(*METRICS_SQL, "spans as (select w.a as key, count(distinct c.component) spans from both_ways w join component c on c.key = w.b group by 1)", recursive=True) + """
-select key, round(betweenness + 1e-9, 6) betweenness, degree, coalesce(spans, 0) spans, array_to_string(list_filter([case when spans >= 2 then 'community' end, case when betweenness > 0 and degree >= 2 then 'broker' end], lambda x: x is not null), ',') kinds
+@query(with_sql(*METRICS_SQL, "spans as (select w.a as key, count(distinct c.node_type) spans from both_ways w join nodes c on c.key = w.b group by 1)", recursive=True) + f"""
+select key, round(betweenness + 1e-9, 6) betweenness, degree, coalesce(spans, 0) spans, {KINDS_SQL}
 from metrics left join spans using (key) where coalesce(spans, 0) >= 2 or (betweenness > 0 and degree >= 2)""")
 def bridges(spark, sf_dir):
+    """Over the partition of nodes by type, which SQL can make; community_bridges takes communities."""
     _, e, m = case_metrics(spark, sf_dir)
-    return G.bridges(m.withColumnRenamed("component", "community"), e).withColumn("betweenness", F.round(F.col("betweenness") + TIE, 6))
+    return G.bridges(m.withColumn("community", F.col("node_type")), e).withColumn("betweenness", F.round(F.col("betweenness") + TIE, 6))
+
+
+@query()
+def community_bridges(spark, sf_dir):
+    n, e, m = case_metrics(spark, sf_dir)
+    return G.bridges(m.join(metrics.communities(n, e), "key"), e).withColumn("betweenness", F.round(F.col("betweenness") + TIE, 6))
+
+
+@query(with_sql(*METRICS_SQL, recursive=True) + "select case_id, count(*) nodes, count(distinct component) components, count(distinct node_type) communities from metrics group by 1")
+def graph_overview(spark, sf_dir):
+    """Nodes, components and kinds of nodes of each case."""
+    return G.overview(case_metrics(spark, sf_dir)[2].withColumn("community", F.col("node_type")))
 
 
 @query(with_sql(*METRICS_SQL, recursive=True) + "select key, case_id, degree, rank from (select *, row_number() over (partition by case_id order by round(pagerank, 9) desc, degree desc, key) rank from metrics) where rank <= 15")
@@ -113,129 +134,155 @@ def top_players(spark, sf_dir):
     return G.top_players(m.withColumn("pagerank", F.round("pagerank", 9))).select("key", "case_id", "degree", "rank")
 
 
-@query(with_sql(*METRICS_SQL, """
+SCORES_SQL = """
 x as (select node_type, normalized, count(distinct case_id) cases from entities where status <> 'rejected' group by 1, 2),
-v as (select key, coalesce(pagerank / nullif(max(pagerank) over c, 0), 0) v1, coalesce(betweenness / nullif(max(betweenness) over c, 0), 0) v2, coalesce(degree / nullif(max(degree) over c, 0), 0) v3,
-  least(greatest(coalesce(cases, 1) - 1, 0), 3) / 3.0 v4, confidence v5 from metrics left join x using (node_type, normalized) window c as (partition by case_id)),
-s as (select key, round(round(v1 * 0.30, 4) + round(v2 * 0.25, 4) + round(v3 * 0.20, 4) + round(v4 * 0.15, 4) + round(v5 * 0.10, 4), 4) score from v)""", recursive=True) + """
-select key, round(score + 1e-9, 3) score, case when score >= 0.6 then 'high' when score >= 0.35 then 'medium' else 'low' end level from s""")
+v as (select key, metrics.case_id, value, node_type, component, coalesce(pagerank / nullif(max(pagerank) over c, 0), 0) v1, coalesce(betweenness / nullif(max(betweenness) over c, 0), 0) v2, coalesce(degree / nullif(max(degree) over c, 0), 0) v3,
+  least(greatest(coalesce(cases, 1) - 1, 0), 3) / 3.0 v4, confidence v5 from metrics left join x using (node_type, normalized) window c as (partition by metrics.case_id)),
+scores as materialized (select *, round(round(v1 * 0.30, 4) + round(v2 * 0.25, 4) + round(v3 * 0.20, 4) + round(v4 * 0.15, 4) + round(v5 * 0.10, 4), 4) score from v)"""
+
+
+def case_scores(spark, sf_dir):
+    n, e, m = case_metrics(spark, sf_dir)
+    return n, e, m, G.stored(scoring.risk_scores(m, A.cross_case_counts(D.entities(spark, sf_dir))), "scores")
+
+
+@query(with_sql(*METRICS_SQL, SCORES_SQL, recursive=True) + "select key, round(score + 1e-9, 3) score, case when score >= 0.6 then 'high' when score >= 0.35 then 'medium' else 'low' end level from scores")
 def risk_scores(spark, sf_dir):
-    _, _, m = case_metrics(spark, sf_dir)
-    return scoring.risk_scores(m, A.cross_case_counts(D.entities(spark, sf_dir))).select("key", F.round(F.col("score") + TIE, 3).alias("score"), "level")
+    return case_scores(spark, sf_dir)[3].select("key", F.round(F.col("score") + TIE, 3).alias("score"), "level")
 
 
-@query(with_sql(*GRAPH, """
-ends as (select case_id, src k, valid_from from edges union all select case_id, dst, valid_from from edges),
-d as (select n.case_id, n.key, count(k) degree from nodes n left join ends on k = n.key group by 1, 2),
-z as (select *, (degree - avg(degree) over c) / nullif(stddev_pop(degree) over c, 0) z, count(*) over c n from d window c as (partition by case_id))""") + """
-select case_id, 'hub_outlier' kind, 'medium' severity, round(least(0.60 + (z - 2) * 0.10, 0.95), 3) confidence, key subject, degree size, 1 rank from z where n >= 4 and z > 2
-union all select case_id, 'contact_burst', 'high', round(least(0.70 + (count(*) - 3) * 0.05, 0.95), 3), k || '@' || valid_from, count(*), 0 from ends where valid_from is not null group by case_id, k, valid_from having count(*) >= 3""")
-def anomalies(spark, sf_dir):
-    n, e = D.graph(spark, sf_dir)
-    none = n.select("key", F.col("key").alias("community")).limit(0)
-    return scoring.anomalies(G.degrees(n, e), e, none)
+@query(with_sql(*METRICS_SQL, SCORES_SQL, CASES_SQL, recursive=True) + """,
+b as (select *, row_number() over (partition by case_id order by score desc, key) place from scores)
+select c.case_id, 0 place, 'Case ' || fir_no || ' — ' || title || ': ' || n || ' entities, ' || coalesce(m, 0) || ' confirmed links, ' || k || ' components.' line
+from cases c join (select case_id, count(*) n, count(distinct component) k from metrics group by 1) x on x.case_id = c.case_id left join (select case_id, count(*) m from edges group by 1) y on y.case_id = c.case_id
+union all select case_id, place, '- ' || value || ' (' || node_type || '): risk ' || case when score >= 0.6 then 'high' when score >= 0.35 then 'medium' else 'low' end || ' (' || round_even(score * 100, 0)::int || '%)' from b where place <= 3""")
+def summary_answers(spark, sf_dir):
+    """A feature limit: the three highest risks of each case under its counts."""
+    _, e, m, s = case_scores(spark, sf_dir)
+    return retrieval.summary_answers(D.cases(spark, sf_dir), m, e, s)
 
 
-@query(with_sql(*STRONG, COMPONENTS_SQL, recursive=True) + """
-select e.case_id, 'weak_evidence_community' kind, 'low' severity, round(greatest(0.55, round(1 - avg(confidence - 0.5), 9)) + 1e-9, 3) confidence, component subject, count(*) size
-from edges e join component c on c.key = e.src group by 1, component having count(*) >= 2 and avg(confidence - 0.5) < 0.5""")
-def weak_communities(spark, sf_dir):
-    """Over the strong graph's components, its confidences lowered by a half so that some are weak."""
-    n, e = strong(spark, sf_dir)
-    lowered = e.withColumn("confidence", F.col("confidence") - 0.5)
-    return scoring.weak_communities(lowered, metrics.components(n, e).withColumnRenamed("component", "community"))
+@query(with_sql(*METRICS_SQL, SCORES_SQL, recursive=True) + """,
+t as (select case_id, max(struct_pack(s := score, k := key)) m from scores group by 1)
+select case_id, 'risk' kind, 'risk:' || m.k dedupe_key from t where m.s >= 0.6""")
+def risk_alerts(spark, sf_dir):
+    return alerts.risk_alerts(case_scores(spark, sf_dir)[3]).select("case_id", "kind", "dedupe_key")
 
 
-@query("""select user_id, ts::date::varchar as day, count(*) n from events group by 1, 2 having count(*) >= 3""")
-def event_bursts(spark, sf_dir):
-    """The burst rule over the event feed: three and more events of a user on a day."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n")).filter(F.col("n") >= scoring.BURST_EDGES)
+LEADS_SQL = """
+ends as (select case_id, src k, valid_from from edges union all select case_id, dst, valid_from from edges),
+d as (select n.case_id, n.key, count(k) degree from nodes n left join ends on k = n.key group by 1, 2),
+z as (select *, (degree - avg(degree) over c) / nullif(stddev_pop(degree) over c, 0) z, count(*) over c n from d window c as (partition by case_id)),
+leads as (select case_id, 'hub_outlier' kind, 'medium' severity, round(least(0.60 + (z - 2) * 0.10, 0.95), 3) confidence, key subject, degree size, 1 rank from z where n >= 4 and z > 2
+union all select case_id, 'contact_burst', 'high', round(least(0.70 + (count(*) - 3) * 0.05, 0.95), 3), k || '@' || valid_from, count(*), 0 from ends where valid_from is not null group by case_id, k, valid_from having count(*) >= 3
+union all select e.case_id, 'weak_evidence_community', 'low', round(greatest(0.55, round(1 - avg(confidence), 9)) + 1e-9, 3), component, count(*), 2 from edges e join component c on c.key = e.src group by 1, component having count(*) >= 2 and avg(confidence) < 0.5)"""
 
 
-CENTRES = "centres as (select key from nodes where node_type = 'Organization' and entity_id % 97 = 0)"
+def leads(spark, sf_dir):
+    """All leads, the components standing for communities."""
+    n, e = whole(spark, sf_dir)
+    return scoring.anomalies(G.degrees(n, e), e, G.stored(metrics.components(n, e).withColumnRenamed("component", "community"), "components"))
 
 
-@query(with_sql(*STRONG, CENTRES, """both_ways as (select src a, dst b from edges union select dst, src from edges),
-h1 as (select key, 0 hops from centres union select b, 1 from both_ways where a in (select key from centres)),
-h2 as (select * from h1 union select b, 2 from both_ways where a in (select key from h1))""") + "select key, min(hops) hops from h2 group by 1")
-def neighbourhoods(spark, sf_dir):
-    n, e = strong(spark, sf_dir)
-    return G.neighbourhood(e, n.filter("node_type = 'Organization' and entity_id % 97 = 0"), 2)[0]
+@query(with_sql(*GRAPH, COMPONENTS_SQL, LEADS_SQL, recursive=True) + "select * from leads")
+def anomalies(spark, sf_dir):
+    return leads(spark, sf_dir)
 
 
-@query(with_sql(*STRONG, """both_ways as (select src a, dst b, confidence from edges union select dst, src, confidence from edges),
-hop as (select a, b, max(confidence) confidence from both_ways group by 1, 2),
-pairs as (select a.key a, b.key b from nodes a join nodes b on a.case_id = b.case_id and a.node_type = 'Organization' and b.node_type = 'Vehicle' and a.entity_id % 5 = 0 and b.entity_id % 5 = 0),
-walk as (select a, b, a pos, 0 n, [a] path from pairs union all select w.a, w.b, h.b, n + 1, list_append(path, h.b) from walk w join hop h on h.a = w.pos where n < 4 and w.pos <> w.b and not list_contains(path, h.b))""", recursive=True) + """
-select a, b, min(n)::int hops from walk where pos = b group by 1, 2""")
-def shortest_paths(spark, sf_dir):
-    n, e = strong(spark, sf_dir)
-    side = lambda t, name: n.filter((F.col("node_type") == t) & (F.col("entity_id") % 5 == 0)).select(F.col("key").alias(name), "case_id")
-    pairs = side("Organization", "a").join(side("Vehicle", "b"), "case_id").select("a", "b")
-    return G.shortest_paths(e, pairs).select("a", "b", "hops")
+@query(with_sql(*GRAPH, COMPONENTS_SQL, LEADS_SQL, recursive=True) + "select case_id, severity, 'anomaly:' || case_id || ':' || kind || ':' || subject dedupe_key from leads where severity in ('high', 'medium')")
+def lead_alerts(spark, sf_dir):
+    return alerts.lead_alerts(leads(spark, sf_dir)).select("case_id", "severity", "dedupe_key")
 
 
-@query(with_sql(*GRAPH, COMPONENTS_SQL, recursive=True) + "select key, component from component")
-def whole_components(spark, sf_dir):
-    return metrics.components(*whole(spark, sf_dir))
+@query(with_sql(*GRAPH, COMPONENTS_SQL, recursive=True) + """
+select e.case_id, 'weak_evidence_community' kind, 'low' severity, round(greatest(0.55, round(1 - avg(confidence), 9)) + 1e-9, 3) confidence, component subject, count(*) size
+from edges e join component c on c.key = e.src group by 1, component having count(*) >= 2 and avg(confidence) < 0.5""")
+def weak_communities(spark, sf_dir):
+    n, e = whole(spark, sf_dir)
+    return scoring.weak_communities(e, metrics.components(n, e).withColumnRenamed("component", "community"))
 
 
-@query(with_sql(*GRAPH, COMPONENTS_SQL, recursive=True) + "select component community, count(*) size, array_to_string(list_sort(list(key)), ',') members from component group by 1")
-def whole_component_rosters(spark, sf_dir):
-    return G.rosters(metrics.components(*whole(spark, sf_dir)).withColumnRenamed("component", "community"))
+VIEW_SQL = """
+sized as (select m.key, m.case_id, component, count(*) over (partition by component) n, row_number() over (partition by component order by m.key) - 1 p from metrics m),
+cut as (select *, case when n > 6 then p // 5 else 0 end part from sized),
+chunk as (select case_id, component, part, count(*) m, min(key) as first from cut group by 1, 2, 3),
+letter as (select *, chr((64 + least(row_number() over (partition by case_id order by m desc, first), 4))::int) c from chunk),
+view as materialized (select k.case_id, k.key, c as cluster from cut k join letter l on l.component = k.component and l.part = k.part)"""
+_VIEW = (*GRAPH, COMPONENTS_SQL, "metrics as (select n.key, case_id, component from nodes n join component using (key))", VIEW_SQL)
 
 
-@query()
-def whole_betweenness(spark, sf_dir):
-    return metrics.betweenness(*whole(spark, sf_dir)).select("key", F.round(F.col("betweenness") + TIE, 6).alias("betweenness"))
+def clustered(spark, sf_dir):
+    n, e = whole(spark, sf_dir)
+    c = n.select("key", "case_id").join(metrics.components(n, e), "key")
+    return e, G.stored(metrics.view_clusters(c, e), "clusters")
 
 
-@query()
-def whole_bridges(spark, sf_dir):
-    _, e, m = case_metrics(spark, sf_dir, whole)
-    return G.bridges(m.withColumnRenamed("component", "community"), e).withColumn("betweenness", F.round(F.col("betweenness") + TIE, 6))
+@query(with_sql(*_VIEW, recursive=True) + "select case_id, key, cluster from view")
+def view_clusters(spark, sf_dir):
+    """A feature limit: four letters a case."""
+    return clustered(spark, sf_dir)[1]
 
 
-@query()
-def whole_top_players(spark, sf_dir):
-    """A feature limit: 15 a case."""
-    _, _, m = case_metrics(spark, sf_dir, whole)
-    return G.top_players(m.withColumn("pagerank", F.round("pagerank", 9))).select("key", "case_id", "degree", "rank")
+_DOMAIN = " ".join(f"when '{k}' then '{v}'" for k, v in metrics.DOMAINS.items())
 
 
-@query()
-def whole_risk_scores(spark, sf_dir):
-    _, _, m = case_metrics(spark, sf_dir, whole)
-    return scoring.risk_scores(m, A.cross_case_counts(D.entities(spark, sf_dir))).select("key", F.round(F.col("score") + TIE, 3).alias("score"), "level")
+@query(with_sql(*_VIEW, recursive=True) + f""",
+i as (select e.case_id, x.cluster, edge_type, count(*) n from edges e join view x on x.key = e.src join view y on y.key = e.dst where x.cluster = y.cluster group by 1, 2, 3),
+t as (select case_id, cluster, arg_min(edge_type, struct_pack(n := -n, t := edge_type)) edge_type from i group by 1, 2)
+select v.case_id, v.cluster, v.n nodes, case edge_type {_DOMAIN} else 'GENERAL' end as domain from (select case_id, cluster, count(*) n from view group by 1, 2) v left join t on t.case_id = v.case_id and t.cluster = v.cluster""")
+def cluster_domains(spark, sf_dir):
+    e, c = clustered(spark, sf_dir)
+    return metrics.cluster_domains(c, e)
 
 
-@query(with_sql(*GRAPH, COMPONENTS_SQL, recursive=True) + """
-select e.case_id, 'weak_evidence_community' kind, 'low' severity, round(greatest(0.55, round(1 - avg(confidence), 9)) + 1e-9, 3) confidence, component subject, count(*) size
-from edges e join component c on c.key = e.src group by 1, component having count(*) >= 2 and avg(confidence) < 0.5""")
-def whole_weak_communities(spark, sf_dir):
-    """Over the components of the whole graph, with its own confidences."""
-    n, e = whole(spark, sf_dir)
-    return scoring.weak_communities(e, metrics.components(n, e).withColumnRenamed("component", "community"))
+@query(with_sql(*GRAPH) + "select (select count(*) from nodes) nodes, (select count(*) from edges) edges, (select count(distinct src || '->' || edge_type || '->' || dst) from edges) ids")
+def snapshot(spark, sf_dir):
+    """A snapshot's counts, and how many ids its edge rows have."""
+    _, e, counts = G.snapshot(*whole(spark, sf_dir))
+    return counts.crossJoin(e.agg(F.count_distinct("edge_id").alias("ids")))  # one row each
+
+
+@query("""select user_id, ts::date::varchar as day, count(*) n from events group by 1, 2 having count(*) >= 3""")
+def event_bursts(spark, sf_dir):
+    """The burst rule over the event feed: three and more events of a user on a day."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n")).filter(F.col("n") >= scoring.BURST_EDGES)
 
 
 @query(with_sql(*GRAPH, """centres as (select key from nodes where entity_id % 20 = 0),
-both_ways as (select src a, dst b from edges union select dst, src from edges),
-h1 as (select key, 0 hops from centres union select b, 1 from both_ways where a in (select key from centres)),
+both_ways as materialized (select src a, dst b from edges union select dst, src from edges),
+h1 as materialized (select key, 0 hops from centres union select b, 1 from both_ways where a in (select key from centres)),
 h2 as (select * from h1 union select b, 2 from both_ways where a in (select key from h1))""") + "select key, min(hops) hops from h2 group by 1")
-def whole_neighbourhoods(spark, sf_dir):
+def neighbourhoods(spark, sf_dir):
     """Around the fixed query set: nodes of any type whose id is divisible by 20."""
     n, e = whole(spark, sf_dir)
     return G.neighbourhood(e, n.filter("entity_id % 20 = 0"), 2)[0]
 
 
-@query()
-def whole_shortest_paths(spark, sf_dir):
+WALKS_SQL = """both_ways as materialized (select src a, dst b from edges union select dst, src from edges),
+w0 as (select key a, key b, 0 n from nodes where entity_id % 20 = 0)""" + "".join(f""",
+w{i} as materialized (select a, b, min(n) n from (select * from w{i - 1} union all select w.a, h.b, {i} from w{i - 1} w join both_ways h on h.a = w.b) group by 1, 2)""" for i in range(1, 5)) + """,
+walks as (select w.a, w.b, n from w4 w join nodes x on x.key = w.a join nodes y on y.key = w.b where y.node_type = 'Vehicle' and x.case_id = y.case_id)"""
+
+
+def paths(spark, sf_dir):
     """From the fixed query set (nodes of any type whose id is divisible by 20) to every vehicle of the case."""
     n, e = whole(spark, sf_dir)
     ends = n.filter("node_type = 'Vehicle'").select(F.col("key").alias("b"), "case_id")
     pairs = n.filter("entity_id % 20 = 0").select(F.col("key").alias("a"), "case_id").join(ends, "case_id").select("a", "b")
-    return G.shortest_paths(e, pairs).select("a", "b", "hops")
+    return n, G.shortest_paths(e, pairs)
+
+
+@query(with_sql(*GRAPH, WALKS_SQL) + "select a, b, n::int hops from walks")
+def shortest_paths(spark, sf_dir):
+    return paths(spark, sf_dir)[1].select("a", "b", "hops")
+
+
+@query()
+def path_answers(spark, sf_dir):
+    """Which of several equally short paths is told depends on confidences; tests compare with a plain version."""
+    n, found = paths(spark, sf_dir)
+    return retrieval.path_answers(found.filter("hops > 0"), n)
 
 
 @query(with_sql(*GRAPH) + """select a.value person, b.value organisation, c.value vehicle, e.valid_from from edges e join nodes a on a.key = e.src join nodes b on b.key = e.dst join edges f on f.src = a.key join nodes c on c.key = f.dst
@@ -290,3 +337,64 @@ def nearby(spark, sf_dir):
 def hotspots(spark, sf_dir):
     e = geo.geocode(D.entities(spark, sf_dir).filter("node_type = 'Location'"), "normalized", D.gazetteer(spark))
     return geo.hotspots(e.withColumn("weight", F.col("confidence"))).withColumn("weight", F.round("weight", 4))
+
+
+POINTS_SQL = f"""{PLACES}, seen as (select r.*, b.name, b.lat, b.lng, row_number() over (partition by src order by valid_from desc nulls last, relation_id) r from relations r left join gazetteer b on b.name = string_split(r.dst, ':')[3] where edge_type = 'PRESENT_AT'),
+points as (select 'suspects' layer, case_id, src as label, valid_from as day, confidence, lat, lng from seen where r = 1
+  union all select 'devices', case_id, value, null, confidence, lat, lng from entities e left join gazetteer g on g.name = e.normalized where node_type = 'Location'
+  union all select 'towers', case_id, value, null, null, null, null from entities where node_type = 'Organization'),
+layered as (select case when lat is null or lng is null then 'unlocated' else layer end layer, * exclude (layer) from points)"""
+
+
+def map_layers(spark, sf_dir):
+    """Suspects are persons at their latest place, places stand for devices, and organisations for towers (which have no place)."""
+    g, e = D.gazetteer(spark), D.entities(spark, sf_dir)
+    last = G.latest_presence(D.relations(spark, sf_dir)).withColumn("place", F.split("dst", ":")[2])
+    suspects = geo.geocode(last, "place", g).select("case_id", F.col("src").alias("label"), F.col("valid_from").alias("day"), "confidence", "lat", "lng")
+    none = F.lit(None).cast("date").alias("day")
+    devices = geo.geocode(e.filter("node_type = 'Location'"), "value", g).select("case_id", F.col("value").alias("label"), none, "confidence", "lat", "lng")
+    towers = geo.geocode(e.filter("node_type = 'Organization'"), "value", g).select("case_id", F.col("value").alias("label"), none, F.lit(None).cast("double").alias("confidence"), "lat", "lng")
+    return geo.map_points(suspects, devices, towers)
+
+
+@query(with_sql(ENTITIES_SQL, RELATIONS_SQL, POINTS_SQL) + "select layer, case_id, label, day, confidence, lat, lng from layered", ("day",))
+def map_points(spark, sf_dir):
+    return map_layers(spark, sf_dir)
+
+
+@query(with_sql(ENTITIES_SQL, RELATIONS_SQL, POINTS_SQL) + "select case_id, layer, count(*) n from layered group by 1, 2")
+def map_counts(spark, sf_dir):
+    return geo.map_counts(map_layers(spark, sf_dir))
+
+
+@query(with_sql(ENTITIES_SQL, RELATIONS_SQL, POINTS_SQL) + "select layer, case_id, label, day from layered where (layer = 'towers' or coalesce(confidence, 0) >= 0.5) and (day is null or day between date '1993-01-01' and date '1995-12-31')", ("day",))
+def map_filter(spark, sf_dir):
+    return geo.map_filter(map_layers(spark, sf_dir), 0.5, "1993-01-01", "1995-12-31").select("layer", "case_id", "label", "day")
+
+
+@query(with_sql(ENTITIES_SQL, RELATIONS_SQL, PLACES) + """, t as (select lower(string_split(dst, ':')[3]) tower_key, valid_from as date, count(*) n, arg_min(string_split(dst, ':')[3], struct_pack(e := evidence_id, l := relation_id)) tower, min(evidence_id) evidence_id from mentions where edge_type = 'PRESENT_AT' group by 1, 2)
+select tower_key, date as day, n, tower, evidence_id, lat, lng from t left join gazetteer on name = tower_key""", ("day",))
+def tower_points(spark, sf_dir):
+    m = D.mentions(spark, sf_dir).filter("edge_type = 'PRESENT_AT'")
+    rows = m.select(F.split("dst", ":")[2].alias("tower"), F.col("valid_from").alias("date"), "evidence_id", F.col("relation_id").alias("line"))
+    return geo.tower_points(rows, D.gazetteer(spark)).select("tower_key", F.col("date").alias("day"), "n", "tower", "evidence_id", "lat", "lng")
+
+
+@query(with_sql(ENTITIES_SQL, PLACES) + """, known as (select e.*, case when entity_id % 3 = 0 then 1.5 end old from entities e)
+select entity_id, case when old is null and node_type = 'Location' then g.lat else old end lat, case when old is null and node_type = 'Location' then case when g.lat is not null then 'gazetteer' end when old is not null then 'file' end geo_source
+from known left join gazetteer g on g.name = normalized""")
+def geo_backfill(spark, sf_dir):
+    """A third of the entities have coordinates already, which stay."""
+    e = D.entities(spark, sf_dir)
+    old = F.when(F.col("entity_id") % 3 == 0, F.lit(1.5))
+    rows = e.withColumns({"lat": old, "lng": old, "geo_source": F.when(old.isNotNull(), "file")})
+    return geo.backfill(rows, D.gazetteer(spark)).select("entity_id", "lat", "geo_source")
+
+
+@query(with_sql(ENTITIES_SQL, LOCATED.join([PLACES + ", ", ""])) + """
+select entity_id, case when entity_id % 7 = 0 and abs(entity_id % 190) <= 90 then (entity_id % 190)::double else lat end lat, case when entity_id % 7 = 0 and abs(entity_id % 190) <= 90 then 'manual' else 'gazetteer' end geo_source from located""")
+def geo_overrides(spark, sf_dir):
+    """Corrections of every seventh place; those out of range do not count."""
+    g = geo.geocode(D.entities(spark, sf_dir).filter("node_type = 'Location'"), "normalized", D.gazetteer(spark))
+    fixes = g.filter("entity_id % 7 = 0").select("entity_id", (F.col("entity_id") % 190).cast("double").alias("lat"), F.lit(10.0).alias("lng"))
+    return geo.override(g, fixes).select("entity_id", "lat", "geo_source")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dossier.plans import graphs, relational, texts
+from dossier.plans import evidence, graphs, relational, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (relational, graphs, texts):
+for _part in (relational, graphs, texts, evidence):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

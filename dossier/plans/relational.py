@@ -60,9 +60,9 @@ def visible_cases(spark, sf_dir):
 
 @query(with_sql(CASES_SQL) + f""",
 users as (select (c_custkey % {D.USERS})::int user_id, bool_or(c_custkey % {D.USERS} = {D.SUPERVISOR}) supervisor from customer group by 1),
-held as (select owner_id::int user_id, case_id, 'owner' part from cases union select user_id, case_id, permission from assignments union select user_id, case_id, 'supervisor' from users, cases where supervisor)
-select h.user_id, case_id, true can_view, bool_or(part in ('owner', 'edit', 'admin', 'supervisor')) can_edit, bool_or(part in ('owner', 'edit', 'admin')) and not bool_or(supervisor) can_contribute
-from held h join users u on u.user_id = h.user_id group by 1, 2""")
+held as (select owner_id::int user_id, case_id, 'owner' part from cases union select user_id, case_id, permission from assignments)
+select h.user_id, case_id, true can_view, bool_or(part in ('owner', 'edit', 'admin')) can_edit, bool_or(part in ('owner', 'edit', 'admin')) can_contribute
+from held h join users u on u.user_id = h.user_id where not supervisor group by 1, 2 union all select user_id, null, true, true, false from users where supervisor""")
 def permissions(spark, sf_dir):
     users = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % D.USERS).cast("int").alias("user_id")).agg(F.bool_or(F.col("c_custkey") % D.USERS == D.SUPERVISOR).alias("supervisor"))
     c = D.cases(spark, sf_dir).withColumn("owner_id", F.col("owner_id").cast("int"))

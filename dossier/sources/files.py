@@ -61,8 +61,14 @@ def decoded(content: Column) -> Column:
 
 def sample(content: Column, text_like: Column) -> Column:
     """The head that a classifier sees: 4000 characters of text files, else 512 bytes."""
-    head = decoded(F.substring(content, F.lit(1), F.lit(200_000)))
-    return F.when(text_like, F.left(head, F.lit(4000))).otherwise(F.left(decoded(F.substring(content, F.lit(1), F.lit(512))), F.lit(512)))
+    head = decoded(whole_characters(content, 200_000))
+    return F.when(text_like, F.left(head, F.lit(4000))).otherwise(F.left(decoded(whole_characters(content, 512)), F.lit(512)))
+
+
+def whole_characters(content: Column, size: int) -> Column:
+    """The first `size` bytes, less a UTF-8 character that they cut."""
+    heads = [F.substring(content, F.lit(1), F.lit(size - k)) for k in range(4)]
+    return F.coalesce(*[F.when(F.is_valid_utf8(h.cast("string")), h) for h in heads], heads[0])
 
 
 def text_status(mime: Column, name: Column, content: Column) -> Column:
@@ -71,6 +77,15 @@ def text_status(mime: Column, name: Column, content: Column) -> Column:
     return F.when(F.octet_length(content) == 0, "skipped").when(plain, "done").otherwise("unavailable")
 
 
+def text_result(mime: Column, name: Column, content: Column) -> Column:
+    """struct<status, engine, pages, confidence, text>: what reading a file gave; bytes that are missing have failed."""
+    status = F.when(content.isNull(), "failed").otherwise(text_status(F.coalesce(mime, F.lit("")), F.coalesce(name, F.lit("")), content))
+    done = status == "done"
+    return F.struct(
+        status.alias("status"), F.when(done, "raw").alias("engine"), F.when(done, 1).alias("pages"), F.when(done, 1.0).alias("confidence"), F.when(done, decoded(content)).alias("text"),
+    )
+
+
 def cdr_rows(evidence: DataFrame) -> DataFrame:
     """evidence_id, line, tower, date of delimited call records: the header names the columns; rows without a tower go."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), lambda x: F.btrim(x) != "")
@@ -84,6 +99,12 @@ def cdr_rows(evidence: DataFrame) -> DataFrame:
     return each.select("evidence_id", "line", tower.alias("tower"), day.alias("date")).filter("coalesce(tower, '') <> ''")
 
 
+def log_custody(log: DataFrame, evidence: DataFrame, action: str, actor: str, ts: str) -> DataFrame:
+    """The ledger with an entry for each evidence row (evidence_id, file_name, sha256): name and digest are kept as they are now."""
+    entry = evidence.select("evidence_id", F.lit(actor).alias("actor"), F.lit(action).alias("action"), F.lit(ts).cast("timestamp").alias("ts"), "file_name", "sha256")
+    return log.unionByName(entry)
+
+
 def custody(log: DataFrame, evidence: DataFrame) -> DataFrame:
     """The ledger (evidence_id, actor, action, ts, file_name, sha256) in order, with whether its file still exists: entries outlive files."""
     return log.join(evidence.select("evidence_id", F.lit(True).alias("_there")), "evidence_id", "left").withColumn("exists", F.coalesce("_there", F.lit(False))).drop("_there")
