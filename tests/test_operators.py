@@ -225,7 +225,7 @@ EVENTS = [("a", 0, 1, True), ("a", 10, 2, False), ("a", 24, 3, False), ("a", 25,
 
 
 def test_suppression_batch_and_stream(spark, tmp_path):
-    from dossier.streaming.alerts import burst_stream, suppressed_stream, weekly_stream
+    from dossier.streaming.alerts import suppressed_stream, weekly_stream
 
     df = spark.createDataFrame([(k, at(h), i) for k, h, i, _ in EVENTS], "key string, ts timestamp, id long")
     want = {i for _, _, i, kept in EVENTS if kept}
@@ -239,5 +239,107 @@ def test_suppression_batch_and_stream(spark, tmp_path):
         return spark.table(name).collect()
 
     assert {r["id"] for r in result(suppressed_stream(stream()), "emitted")} == want
-    assert result(burst_stream(stream(), late="1 second"), "bursts") in ([], [("a", dt.date(2024, 1, 1), 2)])
     assert all(r["week"].weekday() == 0 for r in result(weekly_stream(stream(), late="1 second"), "weeks"))
+
+
+def test_burst_stream(spark, tmp_path):
+    """Days are told once a later event has moved the watermark past them; days of fewer events are not."""
+    from dossier.streaming.alerts import burst_stream
+
+    schema = "key string, ts timestamp, id long"
+    for i, rows in enumerate(([("a", at(h), h) for h in (1, 2, 3)] + [("b", at(h), h) for h in (4, 5)] + [("a", at(30), 30)], [("z", at(240), 240)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+    for i in range(2):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"part{i}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{i}-{f.name}")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = burst_stream(rows, late="1 second").writeStream.format("memory").queryName("burst_days").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [tuple(r) for r in spark.table("burst_days").collect()] == [("a", dt.date(2024, 1, 1), 3)]
+
+
+def test_evidence_stream(spark, tmp_path):
+    """Two micro-batches: rows that cannot be read are set aside, the registry grows, and a batch that runs again changes nothing."""
+    from dossier.streaming.evidence import RegistryStore, evidence_stream, process_evidence, sightings
+
+    schema = "evidence_id long, case_id int, text string"
+    first = [(1, 1, "Call 9876543210 about MH-12-AB-1234. Rahul Sharma called Vikram Patil."), (2, 1, None), (None, 1, "x")]
+    second = [(3, 1, "Rahul Sharma paid Rs.500 to Anita Rao."), (4, 2, "Rahul Sharma")]
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+        for f in (tmp_path / f"p{i}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{i}-{f.name}")
+    store = RegistryStore(spark, str(tmp_path / "registry"))
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    evidence_stream(rows, store, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    state = lambda: sorted((r["case_id"], r["normalized"], r["mention_count"], r["status"]) for r in store.version(1).collect())
+    want = [(1, "9876543210", 1, "pending"), (1, "MH12AB1234", 1, "pending"), (1, "anita rao", 1, "pending"), (1, "rahul sharma", 2, "pending"), (1, "vikram patil", 1, "pending"), (2, "rahul sharma", 1, "pending")]
+    assert state() == want
+    store.apply(sightings(process_evidence(spark.createDataFrame(second, schema))["entities"]), 1)
+    assert state() == want
+    assert sorted(r["error"] for r in spark.read.parquet(str(tmp_path / "out" / "quarantine")).collect()) == ["no id", "no text"]
+    assert {r["edge_type"] for r in spark.read.parquet(str(tmp_path / "out" / "relations")).collect()} == {"CALLED", "TRANSFERRED_MONEY_TO"}
+
+
+def test_reindex(spark, tmp_path):
+    from dossier.streaming.evidence import reindex
+
+    rows = lambda *texts: spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "evidence_id long, case_id int, text string")
+    read = lambda: sorted((r["case_id"], r["evidence_id"], r["chunk"]) for r in spark.read.parquet(str(tmp_path / "index")).collect())
+    reindex(rows("A b.", "C d.", "E f."), str(tmp_path / "index"))
+    assert read() == [(0, 0, "A b."), (0, 2, "E f."), (1, 1, "C d.")]
+    for _ in range(2):
+        reindex(rows("New.", "Other.", "E f."), str(tmp_path / "index"), case_id=0)
+        assert read() == [(0, 0, "New."), (0, 2, "E f."), (1, 1, "C d.")]
+
+
+def test_routing(spark):
+    """A user sees an alert only with all known cases of its subject; one without a subject goes by its case."""
+    made = spark.createDataFrame([("x1", 1, "cross_case", "medium", 0.9, "s"), ("x2", 2, "cross_case", "medium", 0.9, "s"), ("y", 1, "risk", "high", 0.5, None)], "alert_id string, case_id int, kind string, severity string, confidence double, subject string")
+    named = spark.createDataFrame([("s", 1), ("s", 2), ("s", 99)], "subject string, case_id int")
+    seen = spark.createDataFrame([(7, 1), (7, 2), (8, 1), (9, 1), (9, 2)], "user_id int, case_id int")
+    rules = spark.createDataFrame([(7, "any", None, "low", 0.6, True), (8, "any", None, "low", 0.0, True), (9, "cross_case", 2, "low", 0.0, True), (9, "risk", None, "high", 0.0, False)], "user_id int, kind string, case_id int, min_severity string, min_confidence double, enabled boolean")
+    assert {(r["user_id"], r["alert_id"]) for r in alerts.routed(made, rules, seen, named).collect()} == {(7, "x1"), (7, "x2"), (8, "y"), (9, "x2")}
+
+
+def test_dates_in_questions(spark):
+    rows = [("What happened Today?", "2026-03-12", "2026-03-12"), ("last Thursday or yesterday", "2026-03-05", "2026-03-11"), ("past 10 days", "2026-03-02", "2026-03-12"), ("in March 2024 and May 2025", "2024-03-01", "2025-05-31"), ("from monday", "2026-03-09", "2026-03-09"), ("nothing", None, None), (None, None, None), ("todays mayhem 2024", None, None), ("past 99999999999 days", None, None)]
+    df = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(rows)], "i int, q string")
+    got = [r["r"] for r in df.orderBy("i").select(X.temporal_range(F.col("q"), F.lit(dt.date(2026, 3, 12))).alias("r")).collect()]
+    assert [(str(r["from"]), str(r["to"])) if r else (None, None) for r in got] == [(a, b) for _, a, b in rows]
+
+
+def test_mention_links(spark):
+    e = spark.createDataFrame([(1, 1, "Person", "Rahul Sharma", "rahul sharma", 0.9), (2, 2, "Person", "Rahul Sharma", "rahul sharma", 0.5), (3, 1, "Person", "Amit", "amit", 0.9), (4, 1, "Location", "विक्रम पाटिल", "विक्रम पाटिल", 0.8)], "entity_id long, case_id int, node_type string, value string, normalized string, confidence double")
+    q = spark.createDataFrame([(1, "where is rahul sharma?"), (2, "Did 'Amit' call “sharma”?"), (3, "Amit was there"), (4, "क्या विक्रम पाटिल थे"), (5, None), (6, 'about "am"')], "question_id long, question string")
+    got = sorted((r["question_id"], r["mention"], r["entity_id"], r["candidates"]) for r in X.link_mentions(q, e).collect())
+    assert got == [(1, "Rahul Sharma", 1, 2), (1, "Rahul Sharma", 2, 2), (2, "Amit", 3, 1), (2, "sharma", 1, 2), (2, "sharma", 2, 2), (4, "विक्रम पाटिल", 4, 1), (6, "am", 3, 1)]
+
+
+def test_vector_hits_in_blocks(spark, monkeypatch):
+    """Against all pairs; equal vectors are ties, which go by id."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "BLOCK", 20)
+    rng = np.random.default_rng(3)
+    x = [list(map(float, v)) for v in rng.normal(size=(70, 8)).round(1)]
+    x += [x[0], x[0], [2 * c for c in x[1]], None, [0.0] * 8, [1.0] * 4]
+    v = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = {}
+    for r in retrieval.vector_hits(v, v.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id"), 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    for i, own in enumerate(x):
+        if i % 5 == 0 and own and any(own):
+            near = [(round(1 / (2 - np.dot(own, y) / np.linalg.norm(own) / np.linalg.norm(y)) + 1e-9, 6), j) for j, y in enumerate(x) if y and any(y) and len(y) == len(own)]
+            assert got[i] == sorted(near, key=lambda p: (-p[0], p[1]))[:4]
+
+
+def test_relation_upsert(spark):
+    cols = "relation_id long, case_id int, src string, dst string, edge_type string, evidence_id long, confidence double, status string, snippet string, valid_from date"
+    day = dt.date(2024, 1, 1)
+    old = registry.fold_relations(spark.createDataFrame([(5, 1, "a", "b", "OWNS", 1, 0.5, "confirmed", "s", None), (6, 1, "a", "c", "OWNS", 1, 0.5, "pending", "s", day)], cols))
+    new = spark.createDataFrame([(1, 1, "a", "b", "OWNS", 2, 0.9, "pending", "t", day), (2, 1, "a", "c", "OWNS", 2, 0.9, "pending", "t", dt.date(2025, 1, 1)), (3, 1, "a", "d", "OWNS", 2, 0.9, "pending", "t", None), (4, 1, "a", "a", "OWNS", 2, 0.9, "pending", "t", None)], cols)
+    got = {r["dst"]: (r["relation_id"], r["confidence"], r["status"], r["valid_from"]) for r in registry.upsert_relations(old, new).collect()}
+    assert got == {"b": (5, 0.5, "confirmed", day), "c": (6, 0.5, "pending", day), "d": (3, 0.9, "pending", None)}
