@@ -50,6 +50,9 @@ SAMPLE_DOCS, COMMON = 4000, 0.01
 BLOCK, BLOCK_BYTES, TASK_BYTES = 192, 8 << 20, 16 << 20
 #: Entries of a list that follow one another in one task; rows up to which small sides are broadcast.
 CHAIN, BROADCAST_ROWS = 10_000, 200_000
+#: Entries up to which a list's pairs are spelt out; entries of a part of a longer list, of which two are compared at once,
+#: and entries that a task reads for that, about.
+SPELT, PART, TASK_ROWS = 16, 256, 20_000
 #: Words whose hashes a task keeps, those of at most so many bytes; bytes of a text that are split at once.
 KEPT_WORDS, KEPT_BYTES, AT_ONCE = 200_000, 64, 1 << 20
 
@@ -306,8 +309,8 @@ def chained(rows: DataFrame, by: str, order: list[str], entry: Column) -> DataFr
     return nxt.unionByName(stars)
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """members x members: whether 100 |x & y| >= percent |x | y|."""
+def in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """members x members: |x & y|."""
     sizes = np.array([len(s) for s in sets])
     _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)[n[token] > 1]
@@ -321,9 +324,56 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         grid[owner[a:b], token[a:b] - at] = 1
         both += grid @ grid.T
         at += wide
+    return both
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """members x members: whether 100 |x & y| >= percent |x | y|."""
+    sizes, both = np.array([len(s) for s in sets]), in_common(sets)
     return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
 
 
+def in_long_lists(spread: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
+    """(list, a, x, b, y): pairs of groups of long lists that may link and are not connected (a of component x, b of y).
+
+    spread: key, comp, e, of lists of any length. A list falls into parts: components of few entries by hash, one of many
+    into parts of its own, which need not meet each other. Two parts are compared in a task by the shingles that
+    prefixes share (by 31 bits of them, which may find too many), and only pairs with enough of them come out.
+    """
+    many = spread.join(groups.select(F.col("grp").alias("g"), F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys")), F.col("e.grp") == F.col("g"))
+    by_comp = spread.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    small = F.when(F.col("c") <= PART, F.col("c")).otherwise(0)
+    by_comp = by_comp.join(by_comp.groupBy("key").agg(F.ceil(F.sum(small) / PART).alias("parts")), "key")
+    big = F.col("c") > PART
+    many = many.join(by_comp, ["key", "comp"]).withColumn("own", F.when(big, F.col("comp"))).withColumn(
+        "node", F.when(big, F.xxhash64("comp", F.pmod(F.xxhash64("g"), F.ceil(F.col("c") / PART)))).otherwise(F.pmod(F.xxhash64("comp"), F.greatest("parts", F.lit(1))))
+    )
+    many = stored(many.select("key", "node", "own", "comp", "g", F.col("e.size").alias("size"), F.col("e.pos").alias("pos"), "keys"), "long")
+    nodes = many.groupBy("key", "node").agg(F.first("own").alias("own"))
+    twice = nodes.join(nodes.select("key", F.col("node").alias("node2"), F.col("own").alias("own2")), "key")
+    twice = twice.filter("node <= node2 and (node < node2 or own is null) and not coalesce(own = own2, false)")
+    units = twice.select("key", F.xxhash64("key", "node", "node2").alias("unit"), F.explode(F.array("node", "node2")).alias("node")).distinct()
+    tasks = max(1, many.count() // TASK_ROWS)
+    rows = many.join(units, ["key", "node"]).select(F.pmod("unit", F.lit(tasks)).alias("task"), "unit", "key", "comp", "g", "size", "pos", "keys")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        out, whole = [], 100 + rule.percent
+        for _, own in rows.groupby("unit"):
+            comp, names = pd.factorize(own["comp"], sort=True)
+            size, left = own["size"].to_numpy(np.int64), own["size"].to_numpy(np.int64) - own["pos"].to_numpy(np.int64)
+            shared = ((size[:, None] + size[None]) * rule.percent + whole - 1) // whole
+            behind = (size * rule.percent + 99) // 100 - 1
+            fits = (comp[:, None] < comp[None]) & (np.minimum(left[:, None], left[None]) >= shared)
+            if fits.any():
+                fits &= in_common([np.unique(k) for k in own["keys"]]) >= shared - np.maximum(behind[:, None], behind[None])
+            g, key = own["g"].to_numpy(), own["key"].iloc[0]
+            out += [(key, g[i], names[comp[i]], g[j], names[comp[j]]) for i, j in zip(*np.nonzero(fits), strict=True)]
+        return pd.DataFrame(out, columns=["key", "a", "x", "b", "y"])
+
+    found = rows.groupBy("task").applyInPandas(compare, "key long, a binary, x binary, b binary, y binary")
+    return found.select(F.xxhash64(F.lit("key"), "key").alias("list"), "a", "x", "b", "y")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, ends: DataFrame, rule: Rule, name: str) -> DataFrame:
     """(a, b): links that connect whatever members of the pairs (list, x, y) are linked.
 
@@ -384,12 +434,14 @@ def all_links(docs: DataFrame, members: DataFrame, prefixed: DataFrame, rule: Ru
     id_of = lambda grp, comp, part: F.unhex(F.md5(F.concat(F.col(grp), F.col(comp), part.cast("string").cast("binary"))))
     ends = placed.join(subgroups, ["grp", "comp"]).select(id_of("grp", "comp", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).alias("id"), "sig", "rep")
     spread = entries.select("key", "e", F.col("e.grp").alias("grp")).join(subgroups.select("grp", "comp"), "grp").select("key", "comp", "e")
-    mixed = spread.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
+    mixed = spread.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least <> most").select("key", "n")
     spread = stored(spread.join(mixed, "key"), "spread")
-    comps = spread.select("key", "comp").distinct()
-    apart = comps.withColumnRenamed("comp", "x").join(comps.withColumnRenamed("comp", "y"), "key").filter("x < y")
-    met = apart.join(spread.select("key", F.col("comp").alias("x"), F.col("e").alias("p")), ["key", "x"]).join(spread.select("key", F.col("comp").alias("y"), F.col("e").alias("q")), ["key", "y"])
-    others = met.filter(possible(rule, "p", "q")).select(of_key, F.col("p.grp").alias("a"), "x", F.col("q.grp").alias("b"), "y").groupBy("a", "x", "b", "y").agg(F.min("list").alias("list"))
+    short = spread.filter(F.col("n") <= SPELT).groupBy("key").agg(F.collect_list(F.struct("comp", "e")).alias("all"))
+    spelt = short.select("key", F.explode("all").alias("p"), "all").select("key", "p", F.explode(F.filter("all", lambda q: q["comp"] > F.col("p.comp"))).alias("q"))
+    spelt = spelt.select("key", F.col("p.comp").alias("x"), F.col("q.comp").alias("y"), F.col("p.e").alias("p"), F.col("q.e").alias("q")).filter(possible(rule, "p", "q"))
+    spelt = spelt.select(of_key, F.col("p.grp").alias("a"), "x", F.col("q.grp").alias("b"), "y")
+    found = in_long_lists(spread.filter(F.col("n") > SPELT).drop("n"), groups, rule)
+    others = spelt.unionByName(found).groupBy("a", "x", "b", "y").agg(F.min("list").alias("list"))
     torn = subgroups.select("grp", "comp")
     own = torn.join(torn.withColumnRenamed("comp", "y"), "grp").filter("comp < y").select(F.col("grp").alias("a"), F.col("comp").alias("x"), F.col("grp").alias("b"), "y", of_group)
     #: Two groups of one member each were compared if they were neighbours.

@@ -221,6 +221,8 @@ def test_jaccard_of_long_lists(spark, monkeypatch):
     """Lists that fall into parts: what neighbours leave apart is found by the second pass."""
     monkeypatch.setattr(ngram_join, "CHAIN", 4)
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "SPELT", 3)
+    monkeypatch.setattr(ngram_join, "PART", 4)
     texts = near_copies(60, 60, 9) + near_copies(30, 25, 10)
     d = docs(spark, *texts)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(d).collect()}
