@@ -303,6 +303,21 @@ def pattern_aggregate(spark, sf_dir):
     return out.filter("n >= 2").select(F.col("p_value").alias("person"), "n", "places")
 
 
+@query(with_sql(*GRAPH) + """select a.value person, upper(b.value) place, edge_type, round(e.confidence * 100) - 1 percent, length(a.value) n, coalesce(date_part('year', valid_from), 0)::int as year from edges e join nodes a on a.key = e.src join nodes b on b.key = e.dst
+where regexp_full_match(a.value, 'Customer#0.*') and a.node_type in ('Person', 'Event') and (starts_with(b.value, 'p') or ends_with(b.value, 'i') or contains(b.value, 'del')) and not (valid_from is null and e.confidence < 0.2) and e.confidence <> 0.5 and a.case_id % 3 >= 1 and a.case_id + 1 <= 20""")
+def pattern_predicates(spark, sf_dir):
+    """Every kind of predicate and function that patterns take, as column expressions over a match."""
+    n, e = D.graph(spark, sf_dir)
+    m = P.match(n, e, None, [P.Node("a"), P.Edge("e"), P.Node("b")])
+    case = F.col("a_case_id")
+    m = m.filter(F.col("a_value").rlike("^(?:Customer#0.*)$") & F.col("a_node_type").isin("Person", "Event") & (F.startswith("b_value", F.lit("p")) | F.endswith("b_value", F.lit("i")) | F.contains("b_value", F.lit("del"))))
+    m = m.filter(~(F.col("e_valid_from").isNull() & (F.col("e_confidence") < 0.2)) & (F.col("e_confidence") != 0.5) & (case % 3 >= 1) & (case + 1 <= 20))
+    return m.select(
+        F.col("a_value").alias("person"), F.upper("b_value").alias("place"), F.col("e_edge_type").alias("edge_type"), (F.round(F.col("e_confidence") * 100) - 1).alias("percent"),
+        F.char_length("a_value").cast("long").alias("n"), F.coalesce(F.year("e_valid_from"), F.lit(0)).alias("year"),
+    )
+
+
 @query(with_sql(*GRAPH) + """, m as (select e.* from edges e where edge_type = 'TRANSFERRED_MONEY_TO') select 'node' kind, src id from m union select 'node', dst from m union select 'edge', src || '->' || edge_type || '->' || dst from m""")
 def pattern_shape(spark, sf_dir):
     n, e = D.graph(spark, sf_dir)

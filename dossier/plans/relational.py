@@ -88,12 +88,13 @@ def annotated_cases(spark, sf_dir):
     return A.annotated_cases(c, evidence=evidence(spark, sf_dir), entities=D.entities(spark, sf_dir), relations=D.relations(spark, sf_dir), assignments=D.assignments(spark, sf_dir))
 
 
-@query(with_sql(*ALL, RELATIONS_SQL) + """
-select c.case_id, coalesce(x.n, 0) > 0 has_entities, coalesce(r.n, 0) > 0 has_relations, (coalesce(x.n, 0) > 0)::int + (coalesce(r.n, 0) > 0)::int done
-from cases c left join (select case_id, count(*) n from entities group by 1) x on x.case_id = c.case_id left join (select case_id, count(*) n from relations group by 1) r on r.case_id = c.case_id""")
+@query(with_sql(*ALL, RELATIONS_SQL, EVIDENCE_SQL) + """
+select c.case_id, coalesce(x.n, 0) > 0 has_entities, coalesce(r.n, 0) > 0 has_relations, (coalesce(x.n, 0) > 0)::int + (coalesce(r.n, 0) > 0)::int done, coalesce(f.n, 0) files_read
+from cases c left join (select case_id, count(*) n from evidence where extraction_status = 'done' group by 1) f on f.case_id = c.case_id left join (select case_id, count(*) n from entities group by 1) x on x.case_id = c.case_id left join (select case_id, count(*) n from relations group by 1) r on r.case_id = c.case_id""")
 def case_progress(spark, sf_dir):
-    c = A.annotated_cases(D.cases(spark, sf_dir).select("case_id"), entities=D.entities(spark, sf_dir), relations=D.relations(spark, sf_dir))
-    return A.progress(c, ["entities", "relations"]).drop("n_entities", "n_relations")
+    read = evidence(spark, sf_dir).filter("extraction_status = 'done'")
+    c = A.annotated_cases(D.cases(spark, sf_dir).select("case_id"), entities=D.entities(spark, sf_dir), relations=D.relations(spark, sf_dir), read=read)
+    return A.progress(c, ["entities", "relations"]).drop("n_entities", "n_relations").withColumnRenamed("n_read", "files_read")
 
 
 @query(with_sql(ENTITIES_SQL, RELATIONS_SQL) + "select edge_type, count(*) n from relations where status <> 'rejected' group by 1")
@@ -117,11 +118,13 @@ def district_overview(spark, sf_dir):
     return A.district_overview(D.cases(spark, sf_dir))
 
 
-@query(with_sql(*ALL, EVIDENCE_SQL) + """select district, count(*) cases, sum(coalesce(x.n, 0))::bigint entities, sum(coalesce(e.n, 0))::bigint evidence, null::double lat, null::double lng, false located
-from cases c left join (select case_id, count(*) n from entities group by 1) x on x.case_id = c.case_id left join (select case_id, count(*) n from evidence group by 1) e on e.case_id = c.case_id group by district""")
+@query(with_sql(*ALL, EVIDENCE_SQL) + """select district, count(*) cases, sum(coalesce(x.n, 0))::bigint entities, sum(coalesce(e.n, 0))::bigint evidence, any_value(r_regionkey * 10.0)::double lat, any_value(r_regionkey * 20.0)::double lng, any_value(r_regionkey) is not null located
+from cases c left join (select * from region where r_regionkey % 2 = 0) on lower(r_name) = lower(district) left join (select case_id, count(*) n from entities group by 1) x on x.case_id = c.case_id left join (select case_id, count(*) n from evidence group by 1) e on e.case_id = c.case_id group by district""")
 def district_map(spark, sf_dir):
-    """The districts of the given tables are regions, none of which the gazetteer has: all are counted, none is placed."""
-    return A.district_map(D.cases(spark, sf_dir), D.entities(spark, sf_dir), evidence(spark, sf_dir), D.gazetteer(spark))
+    """The districts are regions, which the gazetteer lacks: those of even numbers are added to it, the others are counted without a place."""
+    r = table(spark, sf_dir, "region").filter("r_regionkey % 2 = 0")
+    placed = r.select(F.lower("r_name").alias("name"), (F.col("r_regionkey") * 10.0).alias("lat"), (F.col("r_regionkey") * 20.0).alias("lng"))
+    return A.district_map(D.cases(spark, sf_dir), D.entities(spark, sf_dir), evidence(spark, sf_dir), D.gazetteer(spark).unionByName(placed))
 
 
 @query(with_sql(*ALL) + """,
