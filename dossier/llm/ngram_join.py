@@ -47,12 +47,12 @@ POSTED, RANGE_ROWS, HELD = 0.25, 400_000, 600_000
 #: Documents sampled to find common shingles, and the share of them that makes one common.
 SAMPLE_DOCS, COMMON = 4000, 0.01
 #: Members and bytes of text in a part of what is compared together; bytes of text a verification task reads, about.
-BLOCK, BLOCK_BYTES, TASK_BYTES = 192, 8 << 20, 16 << 20
+BLOCK, BLOCK_BYTES, TASK_BYTES = 512, 8 << 20, 16 << 20
 #: Entries of a list that follow one another in one task; rows up to which small sides are broadcast.
 CHAIN, BROADCAST_ROWS = 10_000, 200_000
 #: Entries up to which a list's pairs are spelt out; entries of a part of a longer list, of which two are compared at once,
 #: and entries that a task reads for that, about.
-SPELT, PART, TASK_ROWS = 16, 256, 20_000
+SPELT, PART, TASK_ROWS = 16, 256, 4_000
 #: Words whose hashes a task keeps, those of at most so many bytes; bytes of a text that are split at once.
 KEPT_WORDS, KEPT_BYTES, AT_ONCE = 200_000, 64, 1 << 20
 
@@ -334,13 +334,17 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def in_long_lists(spread: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
-    """(list, a, x, b, y): pairs of groups of long lists that may link and are not connected (a of component x, b of y).
+    """(list, grp, comp): what of two parts of a long list may link with something there, and is not connected with it.
 
     spread: key, comp, e, of lists of any length. A list falls into parts: components of few entries by hash, one of many
     into parts of its own, which need not meet each other. Two parts are compared in a task by the shingles that
-    prefixes share (by 31 bits of them, which may find too many), and only pairs with enough of them come out.
+    prefixes share (by 31 bits of them, which may find too many). A pair counts in one of the long lists it shares, that
+    of the smallest key, so what comes out of a list are its entries that have such a pair, and never the pairs.
     """
-    many = spread.join(groups.select(F.col("grp").alias("g"), F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys")), F.col("e.grp") == F.col("g"))
+    spread = spread.withColumn("g", F.col("e.grp"))
+    prefix = groups.select(F.col("grp").alias("g"), F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"))
+    prefix = prefix.join(spread.groupBy("g").agg(F.collect_set("key").alias("lists")), "g")  # no more than a prefix has
+    many = spread.join(prefix, "g")
     by_comp = spread.groupBy("key", "comp").agg(F.count("*").alias("c"))
     small = F.when(F.col("c") <= PART, F.col("c")).otherwise(0)
     by_comp = by_comp.join(by_comp.groupBy("key").agg(F.ceil(F.sum(small) / PART).alias("parts")), "key")
@@ -348,47 +352,50 @@ def in_long_lists(spread: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame
     many = many.join(by_comp, ["key", "comp"]).withColumn("own", F.when(big, F.col("comp"))).withColumn(
         "node", F.when(big, F.xxhash64("comp", F.pmod(F.xxhash64("g"), F.ceil(F.col("c") / PART)))).otherwise(F.pmod(F.xxhash64("comp"), F.greatest("parts", F.lit(1))))
     )
-    many = stored(many.select("key", "node", "own", "comp", "g", F.col("e.size").alias("size"), F.col("e.pos").alias("pos"), "keys"), "long")
+    many = stored(many.select("key", "node", "own", "comp", "g", F.col("e.size").alias("size"), "keys", "lists"), "long")
     nodes = many.groupBy("key", "node").agg(F.first("own").alias("own"))
     twice = nodes.join(nodes.select("key", F.col("node").alias("node2"), F.col("own").alias("own2")), "key")
     twice = twice.filter("node <= node2 and (node < node2 or own is null) and not coalesce(own = own2, false)")
     units = twice.select("key", F.xxhash64("key", "node", "node2").alias("unit"), F.explode(F.array("node", "node2")).alias("node")).distinct()
     tasks = max(1, many.count() // TASK_ROWS)
-    rows = many.join(units, ["key", "node"]).select(F.pmod("unit", F.lit(tasks)).alias("task"), "unit", "key", "comp", "g", "size", "pos", "keys")
+    rows = many.join(units, ["key", "node"]).select(F.pmod("unit", F.lit(tasks)).alias("task"), "unit", "key", "comp", "g", "size", "keys", "lists")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         out, whole = [], 100 + rule.percent
         for _, own in rows.groupby("unit"):
-            comp, names = pd.factorize(own["comp"], sort=True)
-            size, left = own["size"].to_numpy(np.int64), own["size"].to_numpy(np.int64) - own["pos"].to_numpy(np.int64)
+            comp, size = pd.factorize(own["comp"])[0], own["size"].to_numpy(np.int64)
             shared = ((size[:, None] + size[None]) * rule.percent + whole - 1) // whole
             behind = (size * rule.percent + 99) // 100 - 1
-            fits = (comp[:, None] < comp[None]) & (np.minimum(left[:, None], left[None]) >= shared)
+            fits = (comp[:, None] != comp[None]) & (np.minimum(size[:, None], size[None]) >= shared)
             if fits.any():
                 fits &= in_common([np.unique(k) for k in own["keys"]]) >= shared - np.maximum(behind[:, None], behind[None])
-            g, key = own["g"].to_numpy(), own["key"].iloc[0]
-            out += [(key, g[i], names[comp[i]], g[j], names[comp[j]]) for i, j in zip(*np.nonzero(fits), strict=True)]
-        return pd.DataFrame(out, columns=["key", "a", "x", "b", "y"])
+            if fits.any():
+                fits &= in_common([k[k < own["key"].iloc[0]] for k in own["lists"]]) == 0
+            some = fits.any(1)
+            out += zip(own["unit"][some], own["g"][some], own["comp"][some], strict=True)
+        return pd.DataFrame(out, columns=["list", "grp", "comp"])
 
-    found = rows.groupBy("task").applyInPandas(compare, "key long, a binary, x binary, b binary, y binary")
-    return found.select(F.xxhash64(F.lit("key"), "key").alias("list"), "a", "x", "b", "y")
+    return rows.groupBy("task").applyInPandas(compare, "list long, grp binary, comp binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, ends: DataFrame, rule: Rule, name: str) -> DataFrame:
-    """(a, b): links that connect whatever members of the pairs (list, x, y) are linked.
+def verified(docs: DataFrame, pairs: DataFrame, ends: DataFrame, rule: Rule, name: str, together: DataFrame | None = None) -> DataFrame:
+    """(a, b): links that connect whatever members of the pairs (list, x, y), or of what is `together` (list, id), are linked.
 
     x, y: ids of ends; ends: id, sig, rep, the members that an id stands for (a bounded number). What the pairs of a list
-    name is compared together; if that is much, it falls into parts, and each two parts with a pair between them meet.
-    Texts are read again by (doc_id, MD5).
+    name is compared together; if that is much, it falls into parts, and each two parts with a pair between them (all
+    parts of what is together) meet. Texts are read again by (doc_id, MD5).
     """
     pairs = stored(pairs, f"{name}-pairs")
     both = lambda *more: F.explode(F.array(*[F.struct(*more, F.col(c).alias("id")) for c in ("x", "y")])).alias("e")
     weights = ends.groupBy("id").agg(F.count("*").alias("n"), F.sum("rep.bytes").alias("bytes"))
-    named = pairs.select("list", both()).select("list", "e.id").distinct().join(weights, "id")
-    lists = named.groupBy("list").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).alias("parts"))
+    in_parts = lambda named: named.distinct().join(weights, "id").groupBy("list").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).alias("parts"))
+    lists = in_parts(pairs.select("list", both()).select("list", "e.id"))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
     unit = F.xxhash64("list", F.least(part("x"), part("y")), F.greatest(part("x"), part("y")))
     units = pairs.join(lists, "list").select(both(unit.alias("unit"))).select("e.unit", "e.id").distinct()
+    if together is not None:
+        each = together.join(in_parts(together), "list").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        units = units.unionByName(each.select(F.xxhash64("list", F.least(part("id"), "other"), F.greatest(part("id"), "other")).alias("unit"), "id").distinct())
     rows = stored(units.join(ends, "id").select("unit", "sig", "rep.*").distinct(), f"{name}-units")
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     met = docs.join(broadcast_up_to(rows, BROADCAST_ROWS), "doc_id").filter(F.unhex(F.md5("text")) == F.col("mark"))
@@ -440,8 +447,8 @@ def all_links(docs: DataFrame, members: DataFrame, prefixed: DataFrame, rule: Ru
     spelt = short.select("key", F.explode("all").alias("p"), "all").select("key", "p", F.explode(F.filter("all", lambda q: q["comp"] > F.col("p.comp"))).alias("q"))
     spelt = spelt.select("key", F.col("p.comp").alias("x"), F.col("q.comp").alias("y"), F.col("p.e").alias("p"), F.col("q.e").alias("q")).filter(possible(rule, "p", "q"))
     spelt = spelt.select(of_key, F.col("p.grp").alias("a"), "x", F.col("q.grp").alias("b"), "y")
-    found = in_long_lists(spread.filter(F.col("n") > SPELT).drop("n"), groups, rule)
-    others = spelt.unionByName(found).groupBy("a", "x", "b", "y").agg(F.min("list").alias("list"))
+    found = stored(in_long_lists(spread.filter(F.col("n") > SPELT).drop("n"), groups, rule), "found")
+    others = spelt.groupBy("a", "x", "b", "y").agg(F.min("list").alias("list"))
     torn = subgroups.select("grp", "comp")
     own = torn.join(torn.withColumnRenamed("comp", "y"), "grp").filter("comp < y").select(F.col("grp").alias("a"), F.col("comp").alias("x"), F.col("grp").alias("b"), "y", of_group)
     #: Two groups of one member each were compared if they were neighbours.
@@ -453,7 +460,9 @@ def all_links(docs: DataFrame, members: DataFrame, prefixed: DataFrame, rule: Ru
     left = left.join(sizes("a", "x", "m"), ["a", "x"]).join(sizes("b", "y", "n"), ["b", "y"])
     left = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     left = left.select("list", id_of("a", "x", F.col("i")).alias("x"), id_of("b", "y", F.col("j")).alias("y"))
-    return links.unionByName(verified(docs, left, ends, rule, "far"))
+    found = found.join(subgroups, ["grp", "comp"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = found.select("list", id_of("grp", "comp", F.col("i")).alias("id"))
+    return links.unionByName(verified(docs, left, ends, rule, "far", found))
 
 
 def jaccard_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
