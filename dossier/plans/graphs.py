@@ -227,7 +227,8 @@ _DOMAIN = " ".join(f"when '{k}' then '{v}'" for k, v in metrics.DOMAINS.items())
 
 
 @query(with_sql(*_VIEW, recursive=True) + f""",
-i as (select e.case_id, x.cluster, edge_type, count(*) n from edges e join view x on x.key = e.src join view y on y.key = e.dst where x.cluster = y.cluster group by 1, 2, 3),
+ex as materialized (select e.case_id, e.dst, edge_type, x.cluster from edges e join view x on x.key = e.src),
+i as (select ex.case_id, ex.cluster, edge_type, count(*) n from ex join view y on y.key = ex.dst and y.cluster = ex.cluster group by 1, 2, 3),
 t as (select case_id, cluster, arg_min(edge_type, struct_pack(n := -n, t := edge_type)) edge_type from i group by 1, 2)
 select v.case_id, v.cluster, v.n nodes, case edge_type {_DOMAIN} else 'GENERAL' end as domain from (select case_id, cluster, count(*) n from view group by 1, 2) v left join t on t.case_id = v.case_id and t.cluster = v.cluster""")
 def cluster_domains(spark, sf_dir):
