@@ -52,7 +52,7 @@ BLOCK, BLOCK_BYTES, TASK_BYTES = 512, 8 << 20, 16 << 20
 CHAIN, BROADCAST_ROWS = 10_000, 200_000
 #: Entries up to which a list's pairs are spelt out; entries of a part of a longer list, of which two are compared at once,
 #: and entries that a task reads for that, about.
-SPELT, PART, TASK_ROWS = 16, 256, 4_000
+SPELT, PART, TASK_ROWS = 16, 512, 4_000
 #: Words whose hashes a task keeps, those of at most so many bytes; bytes of a text that are split at once.
 KEPT_WORDS, KEPT_BYTES, AT_ONCE = 200_000, 64, 1 << 20
 
@@ -337,14 +337,14 @@ def in_long_lists(spread: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame
     """(list, grp, comp): what of two parts of a long list may link with something there, and is not connected with it.
 
     spread: key, comp, e, of lists of any length. A list falls into parts: components of few entries by hash, one of many
-    into parts of its own, which need not meet each other. Two parts are compared in a task by the shingles that
-    prefixes share (by 31 bits of them, which may find too many). A pair counts in one of the long lists it shares, that
-    of the smallest key, so what comes out of a list are its entries that have such a pair, and never the pairs.
+    into parts of its own, which need not meet each other. Two parts are compared in a task by the long lists that
+    they share, all shingles of other lists being taken for shared. A pair counts in one of the long lists it shares,
+    that of the smallest key, so what comes out of a list are its entries that have such a pair, and never the pairs.
     """
     spread = spread.withColumn("g", F.col("e.grp"))
-    prefix = groups.select(F.col("grp").alias("g"), F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"))
-    prefix = prefix.join(spread.groupBy("g").agg(F.collect_set("key").alias("lists")), "g")  # no more than a prefix has
-    many = spread.join(prefix, "g")
+    prefix = spread.groupBy("g").agg(F.collect_set("key").alias("lists"))  # no more than a prefix has
+    prefix = stored(prefix.join(groups.select(F.col("grp").alias("g"), F.size("keys").alias("all")), "g").select("g", "lists", (F.col("all") - F.size("lists")).alias("others")), "prefixes")
+    many = spread
     by_comp = spread.groupBy("key", "comp").agg(F.count("*").alias("c"))
     small = F.when(F.col("c") <= PART, F.col("c")).otherwise(0)
     by_comp = by_comp.join(by_comp.groupBy("key").agg(F.ceil(F.sum(small) / PART).alias("parts")), "key")
@@ -352,13 +352,13 @@ def in_long_lists(spread: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame
     many = many.join(by_comp, ["key", "comp"]).withColumn("own", F.when(big, F.col("comp"))).withColumn(
         "node", F.when(big, F.xxhash64("comp", F.pmod(F.xxhash64("g"), F.ceil(F.col("c") / PART)))).otherwise(F.pmod(F.xxhash64("comp"), F.greatest("parts", F.lit(1))))
     )
-    many = stored(many.select("key", "node", "own", "comp", "g", F.col("e.size").alias("size"), "keys", "lists"), "long")
+    many = stored(many.select("key", "node", "own", "comp", "g", F.col("e.size").alias("size")), "long")
     nodes = many.groupBy("key", "node").agg(F.first("own").alias("own"))
     twice = nodes.join(nodes.select("key", F.col("node").alias("node2"), F.col("own").alias("own2")), "key")
     twice = twice.filter("node <= node2 and (node < node2 or own is null) and not coalesce(own = own2, false)")
     units = twice.select("key", F.xxhash64("key", "node", "node2").alias("unit"), F.explode(F.array("node", "node2")).alias("node")).distinct()
     tasks = max(1, many.count() // TASK_ROWS)
-    rows = many.join(units, ["key", "node"]).select(F.pmod("unit", F.lit(tasks)).alias("task"), "unit", "key", "comp", "g", "size", "keys", "lists")
+    rows = many.join(units, ["key", "node"]).join(broadcast_up_to(prefix, BROADCAST_ROWS), "g").select(F.pmod("unit", F.lit(tasks)).alias("task"), "unit", "key", "comp", "g", "size", "lists", "others")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         out, whole = [], 100 + rule.percent
@@ -368,7 +368,8 @@ def in_long_lists(spread: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame
             behind = (size * rule.percent + 99) // 100 - 1
             fits = (comp[:, None] != comp[None]) & (np.minimum(size[:, None], size[None]) >= shared)
             if fits.any():
-                fits &= in_common([np.unique(k) for k in own["keys"]]) >= shared - np.maximum(behind[:, None], behind[None])
+                others = own["others"].to_numpy(np.int64)
+                fits &= in_common(list(own["lists"])) + np.minimum(others[:, None], others[None]) >= shared - np.maximum(behind[:, None], behind[None])
             if fits.any():
                 fits &= in_common([k[k < own["key"].iloc[0]] for k in own["lists"]]) == 0
             some = fits.any(1)
