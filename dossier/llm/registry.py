@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, embedding_dedup, language, licenses, line_dedup, ngram_join, packing, pii, quality, warc
+from dossier.llm import decontaminate, embedding_dedup, importance, language, licenses, line_dedup, ngram_join, packing, pii, quality, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_quality": quality.op10_quality,
+    "op11_importance": importance.op11_importance,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_warc": warc.SQL,
     "op7_licenses": licenses.SQL,
     "op9_embedding_dedup": embedding_dedup.SQL,
+    "op11_importance": importance.SQL,
 }
