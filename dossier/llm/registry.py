@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, embedding_dedup, importance, language, licenses, line_dedup, ngram_join, packing, pii, quality, warc
+from dossier.llm import decontaminate, embedding_dedup, importance, language, licenses, line_dedup, ngram_join, packing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_quality": quality.op10_quality,
     "op11_importance": importance.op11_importance,
+    "op12_toxicity": toxicity.op12_toxicity,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
