@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, embedding_dedup, importance, language, licenses, line_dedup, ngram_join, packing, pii, quality, toxicity, warc
+from dossier.llm import decontaminate, embedding_dedup, hard_negatives, importance, language, licenses, line_dedup, ngram_join, packing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_importance": importance.op11_importance,
     "op12_toxicity": toxicity.op12_toxicity,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op7_licenses": licenses.SQL,
     "op9_embedding_dedup": embedding_dedup.SQL,
     "op11_importance": importance.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
