@@ -39,8 +39,8 @@ LEAST_DOCS, LEAST_RATIO = 4, 20.0
 STEMS, NEAREST, BLOCK = range(3, 9), 10, 64
 TOXIC = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-#: Words whose terms a task remembers.
-REMEMBERED = 500_000
+#: Words whose terms, and vectors whose nearest, a task remembers; documents that a task scores.
+REMEMBERED, SCORED = 500_000, 20_000
 
 
 def terms(word: str) -> list[str]:
@@ -71,48 +71,45 @@ class Vocabulary:
 
 
 class Index:
-    """Examples' unit vectors by term, in blocks of equal numbers of examples."""
+    """Examples' unit vectors by term, in blocks of equal numbers of examples; rows x terms is bounded, so postings are dense."""
 
     def __init__(self, rows: list[tuple[int, int, dict[int, float]]], n_terms: int, block: int = BLOCK):
         """rows: (id, label, unit vector); like ones come into the same blocks."""
         rows = sorted((r for r in rows if r[2]), key=lambda r: (max(r[2], key=lambda t: (r[2][t], t)), r[0]))
-        self.block, self.n = block, len(rows)
+        self.n, self.n_blocks = len(rows), -(-len(rows) // block)
         self.ids, self.labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        n_blocks = -(-len(rows) // block)
-        size = [len(r[2]) for r in rows]
-        term = np.fromiter((t for r in rows for t in r[2]), np.int64, sum(size))
-        weight = np.fromiter((w for r in rows for w in r[2].values()), np.float64, sum(size))
-        place = np.repeat(np.arange(len(rows)), size)
-        order = np.lexsort((place, term))
-        self.place, self.weight = place[order], weight[order]
-        key = term[order] * n_blocks + self.place // block
-        self.starts = np.searchsorted(key, np.arange(n_terms * n_blocks + 1)).reshape(-1)
-        self.top = np.zeros(n_terms * n_blocks)
-        np.maximum.at(self.top, key, self.weight)
-        self.top = self.top.reshape(n_terms, n_blocks)
+        weights = np.zeros((n_terms, self.n_blocks * block))
+        for i, (_, _, vector) in enumerate(rows):
+            weights[list(vector), i] = list(vector.values())
+        self.weights = weights.reshape(n_terms, self.n_blocks, block)
+        self.top = self.weights.max(2, initial=0.0)
+
+    def opened(self, own: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine, place) of the examples of some blocks, without those of cosine 0."""
+        block = self.weights.shape[2]
+        held = np.round(np.tensordot(weights, self.weights[own[:, None], blocks], 1), 12).ravel()
+        at = np.flatnonzero(held > 0)
+        return held[at], (blocks[:, None] * block + np.arange(block)).ravel()[at]
 
     def nearest(self, vector: dict[int, float], k: int = NEAREST, without: int | None = None) -> list[tuple[float, int]]:
         """(cosine, place) of the k nearest, ties by id; cosines of 0 are left out. Cosines are rounded to 12 places."""
         own, weights = np.array(list(vector), np.int64), np.array(list(vector.values()))
         if not len(own) or not self.n:
             return []
-        n_blocks = self.top.shape[1]
         bound = weights @ self.top[own] + 1e-9
-        found: list[tuple[float, int, int]] = []
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] < max(least, 2e-9):
-                break
-            held = np.zeros(self.block)
-            for t, w in zip(own, weights, strict=True):
-                a, z = self.starts[t * n_blocks + b], self.starts[t * n_blocks + b + 1]
-                held[self.place[a:z] - b * self.block] += w * self.weight[a:z]
-            held = np.round(held, 12)
-            at = np.flatnonzero((held > 0) & (held >= least)) + b * self.block
-            found += [(-held[i - b * self.block], self.ids[i], i) for i in at if self.ids[i] != without]
-            found = sorted(found)[:k]
-            least = -found[-1][0] if len(found) == k else 0.0
-        return [(float(-s), int(i)) for s, _, i in found]
+        order = np.argsort(-bound, kind="stable")
+        score, place, least, at, step = np.zeros(0), np.zeros(0, np.int64), 0.0, 0, 1
+        while at < self.n_blocks and bound[order[at]] >= max(least, 2e-9):
+            blocks = order[at : at + step]
+            more = self.opened(own, weights, blocks[bound[blocks] >= max(least, 2e-9)])
+            score, place = np.concatenate([score, more[0]]), np.concatenate([place, more[1]])
+            if without is not None:
+                score, place = score[self.ids[place] != without], place[self.ids[place] != without]
+            best = np.lexsort((self.ids[place], -score))[:k]
+            score, place = score[best], place[best]
+            least = score[-1] if len(score) == k else 0.0
+            at, step = at + step, 4 * step  # few blocks first, to know what the others must reach
+        return list(zip(score.tolist(), place.tolist(), strict=True))
 
 
 @dataclass
@@ -128,7 +125,7 @@ class Model:
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Logarithmic odds of the votes, each weighing the more the smaller its distance, beside one vote of either side."""
         own = [(s * s, self.index.labels[i]) for s, i in near]
-        return math.log((0.1 + sum(w for w, y in own if y)) / (0.1 + sum(w for w, y in own if not y)))
+        return math.log((1 + sum(w for w, y in own if y)) / (1 + sum(w for w, y in own if not y)))
 
     def score(self, near: list[tuple[float, int]]) -> float:
         a, b = self.scale
@@ -163,7 +160,8 @@ def examples(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def vocabulary(chosen: DataFrame, most: int = TERMS) -> list[str]:
-    """The terms that the labels depend on most; counts are summed in the tasks first."""
+    """The terms that the labels depend on most; counts are summed in the tasks first. A beginning counts only where no longer
+    term that begins so does as well."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = Counter()
@@ -185,7 +183,11 @@ def vocabulary(chosen: DataFrame, most: int = TERMS) -> list[str]:
     share, rest = (a + b) / n, (n - a - b) / n
     ratio = 2 * (part(a, share * with_one) + part(b, share * without) + part(with_one - a, rest * with_one) + part(without - b, rest * without))
     best = counted.filter(a + b >= LEAST_DOCS).select("term", ratio.alias("ratio")).filter(F.col("ratio") >= LEAST_RATIO)
-    return [r["term"] for r in best.orderBy(F.desc("ratio"), "term").limit(most).collect()]
+    found = {r["term"]: r["ratio"] for r in best.orderBy(F.desc("ratio"), "term").limit(8 * most).collect()}
+    beaten: set[str] = set()
+    for term, own in found.items():
+        beaten.update(start for k in STEMS if k < len(term) and (start := term[:k]) in found and found[start] <= own)
+    return [t for t in found if t not in beaten][:most]
 
 
 def term_counts(texts: DataFrame, words: list[str], *keep: str) -> DataFrame:
@@ -260,15 +262,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_DOCS, most: int
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
+        known: dict[tuple, list[tuple[float, int]]] = {}
         for part in batches:
             score, evidence = [], []
             for own in part["terms"]:
-                near = model.index.nearest(model.vector(own)) if model is not None and len(own) else []
+                key = tuple(sorted((t["term"], t["n"]) for t in own))
+                near = known.get(key)
+                if near is None:
+                    if len(known) >= SCORED:
+                        known.clear()
+                    near = known[key] = model.index.nearest(model.vector(own)) if model is not None and key else []
                 score.append(0.5 if model is None else model.score(near))
                 evidence.append([{"doc_id": int(model.index.ids[i]), "label": int(model.index.labels[i]), "cosine": s} for s, i in near])
             yield pd.DataFrame({"doc_id": part["doc_id"], "score": score, "evidence": evidence})
 
-    out = counts.mapInPandas(predict, "doc_id string, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
+    out = counts.repartition(max(1, counts.count() // SCORED)).mapInPandas(predict, "doc_id string, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
