@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and beginnings of words. The vocabulary holds the terms that the examples' labels depend on most (by the
-likelihood ratio of their counts); a text of other terms has an empty vector. Inverse document frequencies are counted
+likelihood ratio of their counts, and by a share that differs enough); a text of other terms has an empty vector. Inverse document frequencies are counted
 over all documents. Examples are a bounded sample of labelled rows, near copies among them (by the least hash of three words) standing for each other.
 
 The index keeps, for each term and block of examples, the largest weight in the block. Its products with a text's weights
@@ -33,8 +33,9 @@ from dossier.llm.language import fold
 
 #: Labelled documents drawn as examples, at most about (by a hash of the id); terms of the vocabulary, at most.
 FIT_DOCS, TERMS = 10_000, 1024
-#: Least examples with a term, and least likelihood ratio (chi-square with one degree of freedom) for the vocabulary.
-LEAST_DOCS, LEAST_RATIO = 4, 20.0
+#: For the vocabulary: least examples with a term, least likelihood ratio (chi-square with one degree of freedom), and how many
+#: times more or less often than in all examples a label must be met among those with the term.
+LEAST_DOCS, LEAST_RATIO, LEAST_LIFT = 4, 20.0, 2.0
 #: Beginnings of words that are terms, in code points; examples that vote; examples in a block.
 STEMS, NEAREST, BLOCK = range(3, 9), 10, 64
 TOXIC = 0.7
@@ -182,7 +183,9 @@ def vocabulary(chosen: DataFrame, most: int = TERMS) -> list[str]:
     a, b, n = F.col("a"), F.col("b"), with_one + without
     share, rest = (a + b) / n, (n - a - b) / n
     ratio = 2 * (part(a, share * with_one) + part(b, share * without) + part(with_one - a, rest * with_one) + part(without - b, rest * without))
-    best = counted.filter(a + b >= LEAST_DOCS).select("term", ratio.alias("ratio")).filter(F.col("ratio") >= LEAST_RATIO)
+    lift = F.greatest(a * n, F.lit(0.5)) / ((a + b) * F.lit(max(with_one, 1.0)))
+    telling = (a + b >= LEAST_DOCS) & ((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))
+    best = counted.filter(telling).select("term", ratio.alias("ratio")).filter(F.col("ratio") >= LEAST_RATIO)
     found = {r["term"]: r["ratio"] for r in best.orderBy(F.desc("ratio"), "term").limit(8 * most).collect()}
     beaten: set[str] = set()
     for term, own in found.items():

@@ -78,7 +78,8 @@ def test_vocabulary_counts(spark):
         expected = table.sum(0) * table.sum(1, keepdims=True) / table.sum()
         return 2 * sum(o * math.log(o / e) for o, e in zip(table.ravel(), expected.ravel(), strict=True) if o)
 
-    want = {x: ratio(x) for x in seen[0] | seen[1] if seen[0][x] + seen[1][x] >= toxicity.LEAST_DOCS and ratio(x) >= toxicity.LEAST_RATIO}
+    lift = lambda x: seen[1][x] * sum(n) / ((seen[0][x] + seen[1][x]) * n[1])
+    want = {x: ratio(x) for x in seen[0] | seen[1] if seen[0][x] + seen[1][x] >= toxicity.LEAST_DOCS and ratio(x) >= toxicity.LEAST_RATIO and not 0.5 < lift(x) < 2}
     want = {x: r for x, r in want.items() if len(x) not in toxicity.STEMS or not any(y != x and y.startswith(x) and want[y] >= r for y in want)}
     assert sorted(toxicity.vocabulary(chosen)) == sorted(want) != []
 
