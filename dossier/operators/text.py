@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossier.functions.arrays import composed, matches
+
 #: What phones, plates, amounts, names and sentence ends look like. \d and \b mean Unicode ((?U)).
 PHONE = r"(?U)(?:\+?91[\s\-]?)?[6-9]\d{4}[\s\-]?\d{5}\b"
 PLATE = r"(?U)\b[A-Z]{2}[\s\-]?\d{1,2}[\s\-]?[A-Z]{1,3}[\s\-]?\d{3,4}\b"
@@ -41,24 +43,11 @@ SPAN = "array<struct<layer:int,start:int,end:int,node_type:string,value:string,c
 SNIPPET = 280
 
 
-def matches(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start, end, value>>: all matches with their places, from the gaps between them."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    kind = "array<struct<start:int,end:int,value:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + F.char_length(x["gap"])).cast("int")
-        end = (start + F.char_length(F.coalesce(x["hit"], F.lit("")))).cast("int")
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.aggregate(pieces, zero, step, lambda a: a["out"])
-
-
 def normalized(node_type: Column, value: Column) -> Column:
-    """The canonical form by type: a phone's last ten digits, a plate's letters and digits, a name without title and punctuation."""
+    """The canonical form by type: a phone's last ten digits, a plate's letters and digits, a name without title and punctuation.
+
+    value: in its composed form, where it may hold other than ASCII characters.
+    """
     v = F.btrim(value)
     digits = F.regexp_replace(v, r"(?U)\D", "")
     local = F.when((F.char_length(digits) > 10) & digits.startswith("91"), F.substr(digits, F.lit(3))).otherwise(digits)
@@ -80,11 +69,26 @@ def _layer(spans: Column, layer: int, node_type: str, confidence: float, engine:
 
 
 def claimed(spans: Column) -> Column:
-    """Spans in order of (layer, start) keep their place unless an earlier kept one overlaps it."""
+    """Spans in order of (layer, start) keep their place unless an earlier kept one overlaps it: for the few spans of a model."""
     overlap = lambda acc, s: F.exists(acc, lambda c: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     return F.aggregate(F.array_sort(spans), F.array().cast(SPAN), lambda acc, s: F.when(overlap(acc, s), acc).otherwise(F.array_append(acc, s)))
 
 
+def unclaimed(spans: DataFrame, layers: int) -> DataFrame:
+    """The spans (evidence_id, of, start, end, ...) that overlap no kept one of a lower layer `of`, layer after layer.
+
+    No layer overlaps itself, so the nearest kept spans before and after tell; all layers share one sort.
+    """
+    order = W.partitionBy("evidence_id").orderBy("start", "of")
+    out = spans.withColumn("_kept", F.col("of") == 0)
+    for i in range(1, layers):
+        before = F.max(F.when(F.col("_kept"), F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, -1))
+        after = F.min(F.when(F.col("_kept"), F.col("start"))).over(order.rowsBetween(1, W.unboundedFollowing))
+        free = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
+        out = out.withColumn("_free", free).withColumn("_kept", F.col("_kept") | ((F.col("of") == i) & F.col("_free"))).drop("_free")
+    return out.filter("_kept").drop("_kept")
+
+
 def extract_entities(evidence: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """evidence_id, case_id, node_type, value, normalized, confidence, start, end, engine: the best row of each (type, normalized).
 
@@ -95,15 +99,17 @@ def extract_entities(evidence: DataFrame, model: DataFrame | None = None) -> Dat
     plain_plate = lambda v: F.regexp_replace(v, r"(?U)[\s\-]", "")
     is_name = lambda v: ~F.lower(v).rlike(r"(?U)(^|\s)(" + "|".join(STOP_WORDS) + r")(\s|$)")
     rows = evidence if model is None else evidence.join(model, "evidence_id", "left")
-    extra = F.array().cast(SPAN) if model is None else F.coalesce("spans", F.array().cast(SPAN))
-    spans = F.concat(
+    layers = [
         _layer(matches(text, PHONE), 0, "PhoneNumber", 0.95, "regex"),
         _layer(matches(text, PLATE), 1, "Vehicle", 0.90, "regex", plain_plate, lambda v: F.char_length(F.regexp_replace(F.upper(v), "[^A-Z0-9]", "")) >= 8),
-        extra,
         _layer(matches(text, NAME), 9, "Person", 0.50, "regex-name", keep=is_name),
-    )
-    found = rows.select("evidence_id", "case_id", F.explode(claimed(spans)).alias("s")).select("evidence_id", "case_id", "s.*")
-    found = found.withColumn("normalized", normalized(F.col("node_type"), F.col("value"))).filter("normalized <> ''")
+    ]
+    if model is not None:
+        layers.insert(2, claimed(F.coalesce("spans", F.array().cast(SPAN))))
+    every = rows.select("evidence_id", "case_id", F.explode(F.array(*[F.struct(F.lit(i).alias("of"), x.alias("spans")) for i, x in enumerate(layers)])).alias("l"))
+    every = every.select("evidence_id", "case_id", "l.of", F.explode("l.spans").alias("s")).select("evidence_id", "case_id", "of", "s.*")
+    found = unclaimed(every, len(layers)).drop("of")
+    found = found.withColumn("normalized", normalized(F.col("node_type"), composed(F.col("value")))).filter("normalized <> ''")
     rank = F.row_number().over(W.partitionBy("evidence_id", "node_type", "normalized").orderBy(F.desc("confidence"), "layer", "start"))
     best = found.withColumn("r", rank).filter("r = 1").drop("r", "layer")
     return best if model is None else fold_aliases(best)
@@ -152,9 +158,9 @@ def mentions(evidence: DataFrame, entities: DataFrame, longest: int | None = Non
     A whole value (any case) has its place; one found only in normalised form, or by an alias, counts as place -1. An
     alias counts where no whole value covers it.
     """
-    s = sentences(evidence, longest).withColumn("low", F.lower("sentence"))
+    s = sentences(evidence, longest).withColumn("low", F.lower("sentence")).withColumn("_form", composed(F.col("sentence")))
     met = s.join(entities.select("evidence_id", "node_type", "value", "normalized"), "evidence_id").withColumn("at", F.expr("locate(lower(value), low) - 1"))
-    whole = met.filter((F.col("at") >= 0) | F.contains(normalized(F.col("node_type"), F.col("sentence")), F.col("normalized")))
+    whole = met.filter((F.col("at") >= 0) | F.contains(normalized(F.col("node_type"), F.col("_form")), F.col("normalized")))
     taken = whole.filter("at >= 0").groupBy("evidence_id", "position").agg(F.collect_list(F.struct("at", (F.col("at") + F.char_length("value")).alias("end"))).alias("taken"))
     named = aliases(entities.filter("node_type = 'Person'"))
     #: Only a token of word characters can stand alone; looking for it first spares long sentences the search for its places.

@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from dossier.functions.columns import SCRIPTS, script_language
+from dossier.functions.arrays import matches
 from dossier.operators import alerts, resolve, retrieval
+from dossier.operators import spans as S
 from dossier.operators import text as X
 from dossier.plans.common import register
 from dossier.sources import domain as D
@@ -287,3 +289,39 @@ def folded_aliases(spark, sf_dir):
     whole = part.select((F.col("p_partkey") % 50).alias("evidence_id"), F.lit("Person").alias("node_type"), F.col("p_name").alias("value"), F.concat(F.lit("k"), "p_partkey").alias("normalized"))
     first = part.filter("p_partkey % 2 = 0").select((F.col("p_partkey") % 50).alias("evidence_id"), F.lit("Person").alias("node_type"), F.split(F.lower(F.btrim("p_name")), r"\s+")[0].alias("value"), F.concat(F.lit("s"), "p_partkey").alias("normalized"))
     return X.fold_aliases(whole.unionByName(first)).select("evidence_id", "value", "normalized")
+
+
+#: Tags of a made token classifier, whose scores are the bytes of a token's MD5 sum.
+TAGS = ["O", "B-PER", "I-PER", "B-LOC", "I-LOC", "B-ORG", "I-ORG", "B-MISC"]
+_SCORES_SQL = "list_transform(range(0, 8), lambda k: ('0x' || substr(m, 2 * k + 1, 2))::int / 32.0::double)"
+_NODE_TYPES_SQL = " ".join(f"when '{k}' then '{v}'" for k, v in S.NODE_TYPES.items())
+SPANS_SQL = f"""
+l as (select evidence_id, sentence, unnest(h) w, unnest(g[:len(h)]) g, generate_subscripts(h, 1) position from (select doc_id evidence_id, sentence - 1 sentence, regexp_extract_all(s, '[^ \t\n\r]+') h, string_split_regex(s, '[^ \t\n\r]+') g
+  from (select doc_id, unnest(string_split(text, chr(10))) s, generate_subscripts(string_split(text, chr(10)), 1) sentence from documents where text is not null))),
+p as (select *, (sum(length(g) + length(w)) over (partition by evidence_id, sentence order by position) - length(w))::int start_at, md5(lower(w)) m from l),
+k as (select *, {_SCORES_SQL} s from p),
+t as (select *, {TAGS}[list_position(s, list_max(s))] tag, 1 / list_sum(list_transform(s, lambda x: exp(x - list_max(s)))) prob from k),
+r as (select *, case when tag <> 'O' then split_part(tag, '-', 2) end raw, tag like 'B%' b from t),
+i as (select *, sum((raw is not null and (b or before is distinct from raw))::int) over (partition by evidence_id, sentence order by position) island
+  from (select *, lag(raw) over (partition by evidence_id, sentence order by position) before from r)),
+spans as (select evidence_id, sentence, min(start_at) start_at, max(start_at + length(w)) end_at, any_value(raw) raw_label, case any_value(raw) {_NODE_TYPES_SQL} end node_type, round(avg(prob) + 1e-9, 4) confidence from i where raw is not null group by evidence_id, sentence, island)"""
+
+
+def token_spans(spark, sf_dir):
+    """The spans of the made classifier over all words of all documents; a line counts as a sentence."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), F.posexplode(F.split("text", "\n")).alias("sentence", "line"))
+    t = d.select("evidence_id", "sentence", F.posexplode(matches(F.col("line"), r"[^ \t\n\r]+")).alias("position", "w")).select("evidence_id", "sentence", "position", "w.*")
+    sums = F.md5(F.encode(F.lower("value"), "UTF-8"))
+    scores = F.transform(F.sequence(F.lit(0), F.lit(len(TAGS) - 1)), lambda k: F.conv(F.substr("m", k * 2 + 1, F.lit(2)), 16, 10).cast("double") / 32.0)
+    return S.decoded(t.withColumn("m", sums).withColumn("scores", scores), TAGS)
+
+
+@query("with " + SPANS_SQL + " select evidence_id, sentence::int sentence, start_at, end_at, raw_label, node_type, confidence from spans")
+def bio_spans(spark, sf_dir):
+    return token_spans(spark, sf_dir).withColumnsRenamed({"start": "start_at", "end": "end_at"})
+
+
+@query("with " + SPANS_SQL + " select raw_label, count(*) n from spans where node_type is null group by 1")
+def skipped_labels(spark, sf_dir):
+    """Labels that stand for no type of node, and how many spans they name."""
+    return S.skipped(token_spans(spark, sf_dir))
