@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.columns import SCRIPTS, script_language
 from dossier.functions.arrays import matches
-from dossier.operators import alerts, resolve, retrieval
+from dossier.operators import alerts, fulltext, resolve, retrieval
 from dossier.operators import spans as S
 from dossier.operators import text as X
 from dossier.plans.common import register
@@ -325,3 +325,13 @@ def bio_spans(spark, sf_dir):
 def skipped_labels(spark, sf_dir):
     """Labels that stand for no type of node, and how many spans they name."""
     return S.skipped(token_spans(spark, sf_dir))
+
+
+@query()
+def text_hits(spark, sf_dir):
+    """Each benchmark item asks for its first two words, or for its next two as a phrase without its fifth: the ten best documents. Stems have no SQL form; tests compare with a plain version."""
+    w = F.split(F.btrim("text"), r"\s+")
+    word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    asked = F.concat(word(0), F.lit(" "), word(1), F.lit(' or "'), word(2), F.lit(" "), word(3), F.lit('" -'), word(4))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("question"))
+    return fulltext.search(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
