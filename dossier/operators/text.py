@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions.arrays import composed, matches
+from dossier.operators.components import broadcast_up_to, stored
 
 #: What phones, plates, amounts, names and sentence ends look like. \d and \b mean Unicode ((?U)).
 PHONE = r"(?U)(?:\+?91[\s\-]?)?[6-9]\d{4}[\s\-]?\d{5}\b"
@@ -324,8 +325,25 @@ def temporal_range(question: Column, today: Column) -> Column:
     return F.when(F.size(made) > 0, F.struct(F.array_min(F.transform(made, lambda s: s["a"])).alias("from"), F.array_max(F.transform(made, lambda s: s["b"])).alias("to"), phrases.alias("phrases")))
 
 
-#: Characters of a word that a mention is looked up by.
-KEY_CHARS = 64
+#: Length of the pieces by which names are looked up; names up to which their pieces are broadcast to the texts.
+GRAM, NAMES = 3, 50_000
+
+
+def grams(text: Column, n: int = GRAM) -> Column:
+    """The distinct pieces of n characters; a shorter text is one itself."""
+    cut = F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))
+    return F.when(F.char_length(text) >= n, F.array_distinct(cut)).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
+def rarest(rows: DataFrame, text: str, counts: DataFrame) -> DataFrame:
+    """rows with `key`: of the grams of a text (at least GRAM characters) the one with the smallest n of counts (gram, n).
+
+    Rows with a gram that counts lacks are dropped: nothing counted can hold their text.
+    """
+    key = [c for c in rows.columns]
+    each = rows.withColumn("_all", grams(F.col(text))).withColumn("gram", F.explode("_all")).withColumn("_size", F.size("_all")).drop("_all")
+    met = each.join(counts, "gram").groupBy(*key, "_size").agg(F.min(F.struct("n", "gram")).alias("_best"), F.count("*").alias("_met"))
+    return met.filter("_met = _size").select(*key, F.col("_best.gram").alias("key"))
 
 
 def link_mentions(questions: DataFrame, entities: DataFrame, most: int = 10) -> DataFrame:
@@ -333,26 +351,41 @@ def link_mentions(questions: DataFrame, entities: DataFrame, most: int = 10) ->
 
     questions: question_id, question; entities: confirmed ones. Quoted spans come first (the first `most`), each with the
     entities whose value or normalized form holds it; a question without any is searched for whole values of several
-    words. A mention keeps its `most` most confident candidates; with more than one it is ambiguous. Both searches are
-    equi-joins on parts of words, then checked.
+    words. A mention keeps its `most` most confident candidates; with more than one it is ambiguous.
+
+    Both searches go by the rarest piece of three characters: of a mention, the piece that the fewest names have; of a name,
+    the piece that the fewest other names have, looked for among a question's pieces. So a piece that all names share
+    brings no two together, unless a mention is nothing else; shorter mentions are looked up by their one or two characters.
     """
     q = questions.select("question_id", F.coalesce("question", F.lit("")).alias("question"))
     spans = F.concat(F.regexp_extract_all("question", F.lit("[\"\u201c\u201d](.+?)[\"\u201c\u201d]"), F.lit(1)), F.regexp_extract_all("question", F.lit("'([^']{2,})'"), F.lit(1)))
     quoted = F.slice(F.filter(F.transform(spans, lambda s: F.btrim(s)), lambda s: s != ""), 1, most)
     q = q.withColumn("quoted", quoted)
-    e = entities.select("entity_id", "case_id", "node_type", "value", "confidence", F.lower("value").alias("low"), "normalized")
-    grams = lambda text: F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substr(text, i, n))).otherwise(F.array().cast("array<string>"))))
-    indexed = e.withColumn("key", F.explode(F.array_distinct(F.concat(grams(F.col("low")), grams(F.coalesce("normalized", F.lit("")))))))
-    asked = q.select("question_id", F.explode(F.array_distinct("quoted")).alias("mention")).withColumn("key", F.left(F.lower("mention"), F.lit(3)))
-    said = asked.join(indexed, "key").filter(F.contains("low", F.lower("mention")) | F.contains("normalized", F.lower("mention")))
-    tail = lambda text: F.right(F.split(text, r"\s+")[0], F.lit(KEY_CHARS))
-    names = e.filter(F.contains(F.btrim("value"), F.lit(" "))).withColumn("key", F.explode(F.array_distinct(F.array(tail(F.col("low")), tail(F.coalesce("normalized", F.col("low")))))))
-    ends = lambda w: F.transform(F.sequence(F.lit(1), F.least(F.char_length(w), F.lit(KEY_CHARS))), lambda n: F.right(w, n))
-    words = F.filter(F.split(F.lower("question"), r"\s+"), lambda w: w != "")
-    texts = q.filter(F.size("quoted") == 0).select("question_id", F.lower("question").alias("text"), F.explode(F.array_distinct(F.flatten(F.transform(words, ends)))).alias("key"))
-    found = texts.join(names, "key").filter(F.contains("text", F.col("low")) | F.contains("text", F.col("normalized"))).withColumn("mention", F.col("value"))
+    e = stored(entities.select("entity_id", "case_id", "node_type", "value", "confidence", F.lower("value").alias("low"), "normalized"), "named")
+    forms = F.array_distinct(F.array_compact(F.array("low", "normalized")))
+    names = stored(e.select(F.explode(forms).alias("form")).distinct(), "forms")  # a name that many entities bear is looked up once
+    q = stored(q, "questions")
+    asked = q.select("question_id", F.explode(F.array_distinct("quoted")).alias("mention")).withColumn("said", F.lower("mention"))
+    said = asked.select("said").distinct()
+    long, short = said.filter(F.char_length("said") >= GRAM), said.filter(F.char_length("said") < GRAM)
+    pieces = names.select("form", F.explode(grams(F.col("form"))).alias("key"))
+    counts = pieces.groupBy(F.col("key").alias("gram")).agg(F.count("*").alias("n"))
+    met = rarest(long, "said", counts).join(pieces, "key")
+    tiny = lambda text: F.array_distinct(F.concat(*[grams(text, n) for n in range(1, GRAM)]))
+    brief = short.withColumn("key", F.col("said")).join(names.select("form", F.explode(tiny(F.col("form"))).alias("key")), "key")
+    fits = met.select("said", "form").unionByName(brief.select("said", "form")).filter(F.contains("form", F.col("said")))
+    bearers = e.select("*", F.explode(forms).alias("form"))
+    hits = asked.join(fits, "said").join(bearers, "form")
+
+    whole = e.filter(F.contains(F.btrim("value"), F.lit(" "))).select(F.explode(forms).alias("form")).distinct()
+    own = whole.select("form", F.explode(grams(F.col("form"))).alias("key")).groupBy(F.col("key").alias("gram")).agg(F.count("*").alias("n"))
+    keyed = rarest(whole, "form", own)
+    open_texts = q.filter(F.size("quoted") == 0).select("question_id", F.lower("question").alias("text"))
+    texts = open_texts.select(F.explode(grams(F.col("text"))).alias("key"), "text").distinct()
+    found = texts.join(broadcast_up_to(keyed, NAMES), "key").filter(F.contains("text", F.col("form"))).select("text", "form").distinct()
+    free = open_texts.join(found, "text").join(bearers.filter(F.contains(F.btrim("value"), F.lit(" "))), "form").withColumn("mention", F.col("value"))
     cols = ["question_id", "mention", "entity_id", "case_id", "node_type", "value", "confidence"]
-    hits = said.select(*cols).unionByName(found.select(*cols)).distinct()
+    hits = hits.select(*cols).unionByName(free.select(*cols)).distinct()
     rank = F.row_number().over(W.partitionBy("question_id", "mention").orderBy(F.desc("confidence"), "entity_id"))
     kept = hits.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
     return kept.join(kept.groupBy("question_id", "mention").agg(F.count("*").alias("candidates")), ["question_id", "mention"])

@@ -133,3 +133,34 @@ def test_many_names_in_one_text(spark):
             last = time.time() - began
         took.append(last)
     assert took[1] < 8 * took[0] + 3
+
+
+def test_mentions_against_a_plain_version(spark):
+    """Names that share their beginnings, short mentions, several words, forms that differ from the value."""
+    rng = np.random.default_rng(12)
+    names = [f"customer#{i:05d}" for i in range(60)] + ["Pune Railway Station", "Pune Central", "Mumbai Central", "Anita Rao", "anita  rao", "x y", "Ñandú Río", ""]
+    ents = [(i, i % 3, "T", n, n.lower().replace("#", "") if i % 2 else n.lower(), float(np.round(rng.random(), 2))) for i, n in enumerate(names)] + [(900, 1, "T", "Pune Central", None, 0.5)]
+    said = ['who is "customer#00012"?', 'the "cus" and "00" there', "'customer00031' or 'a'", '"Pu" and "e"', "was anita rao at pune central or x y?", "so mumbai centrals", '"nobody here"', None, "", '"CENTRAL"', "ñandú río", "'"]
+    qs = list(enumerate(said))
+    got = X.link_mentions(spark.createDataFrame(qs, "question_id long, question string"), spark.createDataFrame(ents, "entity_id long, case_id int, node_type string, value string, normalized string, confidence double"))
+    want = []
+    for i, t in qs:
+        spans = [s.strip() for s in re.findall("[\"\u201c\u201d](.+?)[\"\u201c\u201d]", t or "") + re.findall("'([^']{2,})'", t or "") if s.strip()][:10]
+        hits = {(m, e[0]) for m in spans for e in ents if m.lower() in e[3].lower() or m.lower() in (e[4] or "")}
+        if not spans:
+            hits = {(e[3], e[0]) for e in ents if " " in e[3].strip() and (e[3].lower() in (t or "").lower() or (e[4] is not None and e[4] in (t or "").lower()))}
+        for m in {m for m, _ in hits}:
+            best = sorted([e for e in ents if (m, e[0]) in hits], key=lambda e: (-e[5], e[0]))[:10]
+            want += [(i, m, e[0], len(best)) for e in best]
+    assert sorted((r["question_id"], r["mention"], r["entity_id"], r["candidates"]) for r in got.collect()) == sorted(want) and len(want) > 40
+
+
+def test_shared_pieces_bring_no_names_together(spark):
+    """A mention meets the names that have its rarest piece: candidates follow the names, not names times mentions."""
+    names = spark.range(3000).select(F.format_string("customer#%09d", "id").alias("form"))
+    pieces = names.select("form", F.explode(X.grams(F.col("form"))).alias("key"))
+    counts = pieces.groupBy(F.col("key").alias("gram")).agg(F.count("*").alias("n"))
+    asked = names.filter("form like '%7'").withColumnRenamed("form", "said")
+    met = X.rarest(asked, "said", counts).join(pieces, "key").count()
+    assert asked.count() == 300 and met < 300 * 3000 / 20
+    assert X.rarest(spark.createDataFrame([("zzz customer",)], "said string"), "said", counts).count() == 0
