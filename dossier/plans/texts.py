@@ -335,3 +335,18 @@ def text_hits(spark, sf_dir):
     asked = F.concat(word(0), F.lit(" "), word(1), F.lit(' or "'), word(2), F.lit(" "), word(3), F.lit('" -'), word(4))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("question"))
     return fulltext.search(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+
+
+#: Letters and digits of person names and what they are written as in another script.
+LATIN, NATIVE = "custome#0123456789", "कसतषमएटर०१२३४५६७८९"
+
+
+@query(with_sql(ENTITIES_SQL, f"p as (select case_id, entity_id, normalized from entities where node_type = 'Person'), n as (select case_id, entity_id + 1000000000 entity_id, translate(normalized, '{LATIN}', '{NATIVE}') normalized from p where entity_id % 3 = 0)") + """
+select a.case_id, a.entity_id a_id, n.entity_id b_id, n.normalized b, 0.85::double score, 'xlit-exact-name' reason from p a join n on n.entity_id = a.entity_id + 1000000000""")
+def script_matches(spark, sf_dir):
+    """Every third person also stands in a register in another script; the table of Latin forms brings both together."""
+    persons = D.entities(spark, sf_dir).filter("node_type = 'Person'")
+    third = persons.filter("entity_id % 3 = 0").withColumn("entity_id", F.col("entity_id") + 1_000_000_000).withColumn("latin", F.col("normalized"))
+    third = third.withColumn("normalized", F.translate("normalized", LATIN, NATIVE))
+    found = resolve.across_scripts(persons.unionByName(third.drop("latin")), third.select("normalized", "latin"))
+    return found.filter("reason = 'xlit-exact-name'").select("case_id", "a_id", "b_id", "b", "score", "reason")

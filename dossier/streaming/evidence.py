@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException, PythonException, SparkRuntimeException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dossier.operators import registry, resolve, retrieval
+from dossier.operators import resolve, retrieval
 from dossier.operators import text as X
+from dossier.streaming.registry import RegistryStore
 
 
 def readable(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,33 +34,48 @@ def sightings(found: DataFrame) -> DataFrame:
     return found.select("case_id", "node_type", "normalized", "value", "evidence_id", "confidence", "engine", F.col("value").alias("snippet"), F.col("evidence_id").alias("seen"))
 
 
-class RegistryStore:
-    """Versions of the entity registry under a shared path, one a micro-batch: a batch that runs again writes the same version."""
-
-    SCHEMA = "case_id int, node_type string, normalized string, value string, evidence_id long, confidence double, engine string, snippet string, mention_count long, status string"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def version(self, batch: int) -> DataFrame:
-        """The registry after a batch; before the first it is empty."""
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v{batch}") if batch >= 0 else self.spark.createDataFrame([], self.SCHEMA)
-
-    def apply(self, found: DataFrame, batch: int) -> None:
-        merged = registry.upsert_entities(self.version(batch - 1), found)
-        cast = [F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], self.SCHEMA).schema]
-        merged.select(*cast).write.mode("overwrite").parquet(f"{self.path}/v{batch}")
+def linked(relations: DataFrame) -> DataFrame:
+    """Extracted relations as the registry folds them; a relation's number is its evidence's, its ends are types and names."""
+    end = lambda e: F.concat_ws(":", F.col(f"{e}_type"), F.col(e))
+    return relations.select("case_id", end("src").alias("src"), end("dst").alias("dst"), "edge_type", F.col("evidence_id").alias("relation_id"), "evidence_id", "confidence", F.lit("pending").alias("status"), "snippet", "valid_from")
 
 
 def evidence_stream(evidence: DataFrame, store: RegistryStore, out: str, checkpoint: str) -> StreamingQuery:
-    """Runs every stage on each micro-batch of a stream of evidence; tables of the stages are written by batch under `out`."""
+    """Runs every stage on each micro-batch of a stream of evidence; tables of the stages are written by batch under `out`.
+
+    A stage reads what earlier ones have written, so that text is extracted once. A stage that fails for its data does not
+    fail the batch: its error goes to the table `errors` (stage, error), later stages go on with what there is, and the
+    registry takes nothing from a failed stage. Other errors, as of lost storage, still end the query.
+    """
+    spark = store.spark
 
     def batch(rows: DataFrame, number: int) -> None:
-        stages = process_evidence(rows)
-        for name, df in stages.items():
-            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        found = store.spark.read.schema(stages["entities"].schema).parquet(f"{out}/entities/batch={number}")
-        store.apply(sightings(found), number)
+        failed: list[tuple[str, str]] = []
+        place = lambda name: f"{out}/{name}/batch={number}"
+
+        def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame | None:
+            try:
+                df = make()
+                df.write.mode("overwrite").parquet(place(name))
+                return spark.read.schema(df.schema).parquet(place(name))
+            except (AnalysisException, NumberFormatException, ArithmeticException, SparkRuntimeException, PythonException, IllegalArgumentException) as e:
+                failed.append((name, f"{type(e).__name__}: {str(e)[:500]}"))
+                return None
+
+        good, bad = readable(rows)
+        stage("quarantine", lambda: bad)
+        good = stage("readable", lambda: good)
+        found = stage("entities", lambda: X.extract_entities(good)) if good is not None else None
+        if found is not None:
+            ids = found.withColumn("entity_id", F.xxhash64("case_id", "node_type", "normalized")).select("case_id", "node_type", "normalized", "entity_id").distinct()
+            links = stage("relations", lambda: X.extract_relations(good, found))
+            stage("suggestions", lambda: resolve.suggestions(ids))
+        if good is not None:
+            stage("chunks", lambda: retrieval.chunks(good))
+        nothing = X.extract_entities(spark.createDataFrame([], "evidence_id long, case_id int, text string"))
+        store.apply(sightings(nothing if found is None else found), number)
+        store.link(linked(X.extract_relations(spark.createDataFrame([], "evidence_id long, case_id int, text string"), nothing) if found is None or links is None else links), number)
+        spark.createDataFrame(failed, "stage string, error string").write.mode("overwrite").parquet(place("errors"))
 
     return evidence.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

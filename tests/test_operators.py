@@ -343,3 +343,19 @@ def test_relation_upsert(spark):
     new = spark.createDataFrame([(1, 1, "a", "b", "OWNS", 2, 0.9, "pending", "t", day), (2, 1, "a", "c", "OWNS", 2, 0.9, "pending", "t", dt.date(2025, 1, 1)), (3, 1, "a", "d", "OWNS", 2, 0.9, "pending", "t", None), (4, 1, "a", "a", "OWNS", 2, 0.9, "pending", "t", None)], cols)
     got = {r["dst"]: (r["relation_id"], r["confidence"], r["status"], r["valid_from"]) for r in registry.upsert_relations(old, new).collect()}
     assert got == {"b": (5, 0.5, "confirmed", day), "c": (6, 0.5, "pending", day), "d": (3, 0.9, "pending", None)}
+
+
+def test_names_across_scripts(spark):
+    rows = [(1, 1, "राहुल शर्मा"), (2, 1, "rahul sharma"), (3, 1, "rahul s sharma"), (4, 1, "r sharma"), (5, 1, "रोहन शर्मा"), (6, 1, "rohan sharma"), (7, 2, "rahul sharma"), (8, 1, "शर्मा"), (9, 1, "राहुल शर्मा")]
+    e = spark.createDataFrame([(i, c, "Person", n) for i, c, n in rows] + [(20, 1, "Location", "पुणे"), (21, 1, "Person", None)], "entity_id long, case_id int, node_type string, normalized string")
+    latin = spark.createDataFrame([("राहुल शर्मा", "rahul sharma"), ("राहुल शर्मा", "zz"), ("रोहन शर्मा", "rohan sharma"), ("पुणे", "pune"), (None, "x"), ("y", None)], "normalized string, latin string")
+    got = {(r["a_id"], r["b_id"]): (r["score"], r["reason"]) for r in resolve.across_scripts(e, latin).collect()}
+    exact = {k: v for k, v in got.items() if not v[1].startswith("xlit-fuzzy")}
+    assert exact == {
+        (1, 2): (0.85, "xlit-exact-name"), (2, 9): (0.85, "xlit-exact-name"), (5, 6): (0.85, "xlit-exact-name"), (1, 3): (0.78, "xlit-name-subset"), (3, 9): (0.78, "xlit-name-subset"),
+        (1, 4): (0.8, "xlit-initial-surname"), (4, 9): (0.8, "xlit-initial-surname"), (4, 5): (0.8, "xlit-initial-surname"),
+    }
+    assert all(v[0] <= 0.85 for v in got.values()) and (1, 9) not in got and all(7 not in k for k in got)
+    both = {(r["a_id"], r["b_id"]): r["reason"] for r in resolve.suggestions(e, latin=latin).collect()}
+    assert both[1, 2] == "xlit-exact-name" and both[1, 9] == "exact-name" and both[2, 4] == "initial-surname"
+    assert any(7 in k for k in {(r["a_id"], r["b_id"]) for r in resolve.across_scripts(e, latin, across_cases=True).collect()})
