@@ -80,43 +80,25 @@ def sampled_betweenness(nodes: DataFrame, edges: DataFrame, share: float, seed:
     return found.withColumn("betweenness", F.col("betweenness") * F.lit(nodes.count() / max(1, drawn.count())))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 8) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, community) by modularity gain, weighted by confidence; a community is named by its smallest key.
 
-    In a round only half of the nodes (by a hash that changes each round) may move, to the neighbouring community of
-    highest strictly positive gain (ties: smallest name), so that neighbours don't swap for ever. Then communities
-    become the nodes of the next level.
+    Nodes move to the neighbouring community of highest strictly positive gain (ties: smallest name) until none gains.
+    Moves of neighbours at once may cost more than they gain: a round moves some of those that want to (by a hash that
+    changes each round), and one after which modularity is not higher is taken back and fewer move. Communities that fall
+    apart into several connected parts are cut into these. Then communities become the nodes of the next level, until a
+    level moves nothing. Modularity grows with every kept round, so the rounds end; the driver sees a few sums of each.
     """
     w = F.coalesce(F.col("confidence"), F.lit(0.5))
     links = stored(both_ways(edges.filter("src <> dst").withColumn("w", w), "w").groupBy("a", "b").agg(F.sum("w").alias("w")), "links")
     members = nodes.select("key", F.col("key").alias("node"))
     twice = links.agg(F.sum("w")).first()[0] or 0.0
-    for _ in range(levels if twice else 0):
-        strength = stored(links.groupBy("a").agg(F.sum("w").alias("k")), "strength")
-        at = stored(strength.select(F.col("a").alias("node"), F.col("a").alias("c"), "k"), "at")
-        moved_any = False
-        for r in range(rounds):
-            total = at.groupBy("c").agg(F.sum("k").alias("total"))
-            near = links.filter("a <> b").join(at.select(F.col("node").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("into"))
-            mine = at.select(F.col("node").alias("a"), F.col("c").alias("own"), "k")
-            options = near.join(mine, "a").join(total, "c")
-            gain = F.col("into") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / twice
-            scored = options.withColumn("gain", F.round(gain, 9))
-            stay = scored.filter("c = own").select("a", F.col("gain").alias("now"))
-            alone = mine.join(total.withColumnRenamed("c", "own"), "own").select("a", F.round(-F.col("k") * (F.col("total") - F.col("k")) / twice, 9).alias("none"))
-            best = scored.filter("c <> own").groupBy("a").agg(F.min(F.struct(-F.col("gain"), "c")).alias("b"))
-            turn = F.pmod(F.xxhash64(F.lit(r), "a"), F.lit(2)) == 0
-            moves = best.filter(turn).join(alone, "a").join(stay, "a", "left").filter(-F.col("b.col1") > F.coalesce("now", "none")).select(F.col("a").alias("node"), F.col("b.c").alias("to"))
-            new = stored(at.join(moves, "node", "left").select("node", F.coalesce("to", "c").alias("c"), "k", F.col("to").isNotNull().alias("moved")), "at")
-            any_moved = bool(new.filter("moved").limit(1).count())
-            at = new.drop("moved")
-            moved_any |= any_moved
-            if not any_moved and r:
-                break
-        if not moved_any:
+    while twice:
+        at = stored(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.col("node")), "at")
+        start, settled = at, _settled(links, at, twice)
+        if settled is start:
             break
-        named = at.groupBy("c").agg(F.min("node").alias("name"))
-        at = stored(at.join(named, "c").select("node", F.col("name").alias("c")), "named")
+        at = _connected(links, settled)
         members = stored(members.join(at, "node", "left").select("key", F.coalesce("c", "node").alias("node")), "members")
         ends = links.join(at.select(F.col("node").alias("a"), F.col("c").alias("x")), "a").join(at.select(F.col("node").alias("b"), F.col("c").alias("y")), "b")
         links = stored(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "links")
@@ -124,6 +106,47 @@ def communities(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int
     return members.join(names, "node").select("key", "community")
 
 
+def _settled(links: DataFrame, at: DataFrame, twice: float) -> DataFrame:
+    """at (node, k, c) after moves to better communities until none gains; at itself if none does."""
+    divisor, turn, kept, best_now = 2, 0, at, -2.0
+    while True:
+        total = at.groupBy("c").agg(F.sum("k").alias("total"))
+        near = links.filter("a <> b").join(at.select(F.col("node").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("into"))
+        mine = at.select(F.col("node").alias("a"), F.col("c").alias("own"), "k").join(total.select(F.col("c").alias("own"), F.col("total").alias("own_total")), "own")
+        options = mine.join(near, "a", "left").join(total, "c", "left")
+        gain = F.round(F.coalesce("into", F.lit(0.0)) - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / twice, 9)
+        alone = F.round(-F.col("k") * (F.col("own_total") - F.col("k")) / twice, 9)
+        other = F.min(F.when(F.col("c") != F.col("own"), F.struct((-gain).alias("loss"), "c")))
+        stay = F.max(F.when(F.col("c") == F.col("own"), F.struct(gain.alias("gain"), "into")))
+        each = stored(options.groupBy("a", "own", "k", "own_total").agg(other.alias("other"), stay.alias("stay")).withColumn("now", F.coalesce("stay.gain", alone)), "options")
+        loops = links.filter("a = b").agg(F.sum("w")).first()[0] or 0.0
+        inside = each.agg(F.sum("stay.into")).first()[0] or 0.0
+        squares = at.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.pow(F.col("t") / twice, 2))).first()[0]
+        now = (inside + loops) / twice - squares
+        if now <= best_now + 1e-12:
+            at, divisor, turn = kept, 2 * divisor, turn + 1
+            each = held
+        else:
+            kept, best_now, held = at, now, each
+        wants = each.filter(-F.col("other.loss") > F.col("now")).select(F.col("a").alias("node"), F.col("other.c").alias("to"))
+        n = wants.count()
+        if not n:
+            return kept
+        moves = wants.limit(0)
+        while not moves.limit(1).count():
+            moves = wants.filter(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(min(divisor, n))) == 0)
+            turn += 1
+        at = stored(kept.join(moves, "node", "left").select("node", "k", F.coalesce("to", "c").alias("c")), "at")
+
+
+def _connected(links: DataFrame, at: DataFrame) -> DataFrame:
+    """(node, c): communities cut into their connected parts, each named by its smallest node."""
+    of = lambda end, name: at.select(F.col("node").alias(end), F.col("c").alias(name))
+    inside = links.filter("a < b").join(of("a", "x"), "a").join(of("b", "y"), "b").filter("x = y").select("a", "b")
+    parts = connected_components(inside)
+    return stored(at.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "connected")
+
+
 def modularity(edges: DataFrame, membership: DataFrame) -> float:
     """Of a partition (key, community), edges weighted by confidence."""
     w = F.coalesce(F.col("confidence"), F.lit(0.5))

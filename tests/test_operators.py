@@ -359,3 +359,59 @@ def test_names_across_scripts(spark):
     both = {(r["a_id"], r["b_id"]): r["reason"] for r in resolve.suggestions(e, latin=latin).collect()}
     assert both[1, 2] == "xlit-exact-name" and both[1, 9] == "exact-name" and both[2, 4] == "initial-surname"
     assert any(7 in k for k in {(r["a_id"], r["b_id"]) for r in resolve.across_scripts(e, latin, across_cases=True).collect()})
+
+
+def plain_communities(keys, weights):
+    """Louvain: one node after another, level by level. weights: {(a, b): w} both ways."""
+    of = {k: k for k in keys}
+    links, twice = dict(weights), sum(weights.values())
+    while True:
+        ids = sorted({a for a, _ in links})
+        k = {i: sum(w for (a, _), w in links.items() if a == i) for i in ids}
+        c, total, moved, again = {i: i for i in ids}, dict(k), False, True
+        while again:
+            again = False
+            for i in ids:
+                near = {}
+                for (a, b), w in links.items():
+                    if a == i and b != i:
+                        near[c[b]] = near.get(c[b], 0) + w
+                total[c[i]] -= k[i]
+                gain = lambda x: near.get(x, 0) - k[i] * total[x] / twice  # noqa: B023, E731
+                best = max(sorted(near), key=gain, default=c[i])
+                if gain(best) > gain(c[i]) + 1e-9:
+                    c[i], moved, again = best, True, True
+                total[c[i]] += k[i]
+        of = {x: c.get(i, i) for x, i in of.items()}
+        if not moved:
+            return of
+        new = {}
+        for (a, b), w in links.items():
+            new[c[a], c[b]] = new.get((c[a], c[b]), 0) + w
+        links = new
+
+
+def test_communities_settle_and_hang_together(spark):
+    """Modularity is about a plain version's or above, no node gains by moving, and every community is connected."""
+    import random
+
+    rng = random.Random(2)
+    keys = [f"n{i:03d}" for i in range(120)]
+    pairs = {tuple(sorted((keys[i], keys[j]))) for i in range(120) for j in range(i) if rng.random() < (0.25 if i // 15 == j // 15 else 0.01)}
+    e = spark.createDataFrame([(a, b, 0.5 + rng.random() / 2) for a, b in sorted(pairs)], "src string, dst string, confidence double")
+    n = spark.createDataFrame([(k,) for k in keys] + [("zz",)], "key string")
+    found = metrics.communities(n, e)
+    got = {r["key"]: r["community"] for r in found.collect()}
+    weights = {}
+    for r in e.collect():
+        weights[r["src"], r["dst"]] = weights[r["dst"], r["src"]] = r["confidence"]
+    plain = plain_communities([*keys, "zz"], weights)
+    frame = spark.createDataFrame(list(plain.items()), "key string, community string")
+    assert got["zz"] == "zz" and metrics.modularity(e, found) >= metrics.modularity(e, frame) - 0.02
+    for c in set(got.values()):
+        own = {k for k in got if got[k] == c}
+        reach = front = {c}
+        while front:
+            front = {b for a, b in weights if a in front and b in own} - reach
+            reach = reach | front
+        assert reach == own and min(own) == c
