@@ -350,3 +350,14 @@ def script_matches(spark, sf_dir):
     third = third.withColumn("normalized", F.translate("normalized", LATIN, NATIVE))
     found = resolve.across_scripts(persons.unionByName(third.drop("latin")), third.select("normalized", "latin"))
     return found.filter("reason = 'xlit-exact-name'").select("case_id", "a_id", "b_id", "b", "score", "reason")
+
+
+@query(with_sql(ENTITIES_SQL, f"""live as (select * from entities where status <> 'rejected'), q as (select entity_id query_id, replace(replace(value, 'er', 're'), '00', '0') as text from live where entity_id % 20 = 0),
+v as (select value, {_trigrams_sql("value")} t from (select distinct value from live)), a as (select text, {_trigrams_sql("text")} t from (select distinct text from q)),
+m as (select text, value, len(list_intersect(a.t, v.t)) / greatest(len(list_distinct(list_concat(a.t, v.t))), 1) similarity from a, v),
+h as (select * from m where similarity > 0.6 or contains(lower(value), lower(text)))""") + " select query_id, entity_id id, round(similarity + 1e-9, 6) similarity from h join q using (text) join live using (value)")
+def misspelt_entities(spark, sf_dir):
+    """Every twentieth entity's value, misspelt, against all entities: values that resemble it by more than 0.6 or hold it."""
+    live = D.entities(spark, sf_dir).filter("status <> 'rejected'").select(F.col("entity_id").alias("id"), "value")
+    asked = live.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.replace(F.replace(F.col("value"), F.lit("er"), F.lit("re")), F.lit("00"), F.lit("0")).alias("text"))
+    return retrieval.fuzzy_hits(live, asked, 0.6).withColumn("similarity", F.round(F.col("similarity") + 1e-9, 6))

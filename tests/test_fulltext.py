@@ -99,3 +99,25 @@ def test_ranked_files_in_grouped_search(spark):
     hits = T.search(f.select(F.col("evidence_id").alias("doc_id"), "text"), q).select(F.col("doc_id").alias("evidence_id"), "score")
     got = retrieval.grouped_search(e, f, c, c.select("case_id"), "calling", 5, hits).orderBy("rank").collect()
     assert [r["id"] for r in got] == [3, 2, 1] and got[1]["score"] > got[2]["score"] > 0
+
+
+def trigram_set(text):
+    return {f"  {w} "[i : i + 3] for w in re.split(r"[^a-z0-9ñ]+", text.lower()) if w for i in range(len(w) + 1)}
+
+
+@pytest.mark.parametrize("least", [0.15, 0.5])
+def test_fuzzy_hits_against_all_pairs(spark, least):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdñ"), rng.integers(1, 7)))
+    values = [(i, " ".join(word() for _ in range(rng.integers(1, 4)))) for i in range(150)] + [(200, None), (201, ""), (202, "Supplier#12"), (203, "supplier#12"), (204, "##")]
+    asked = [(i, word() + " " + word()) for i in range(30)] + [(40, "supplir"), (41, "#1"), (42, "a"), (43, " "), (44, None), (45, "##"), (46, "supplir")]
+    found = retrieval.fuzzy_hits(spark.createDataFrame(values, "id long, value string"), spark.createDataFrame(asked, "query_id long, text string"), least)
+    want = set()
+    for q, t in asked:
+        for i, v in values:
+            if t and t.strip() and v is not None:
+                a, b = trigram_set(t), trigram_set(v)
+                s = len(a & b) / max(len(a | b), 1)
+                if s > least or t.lower() in v.lower():
+                    want.add((q, i, round(s, 9)))
+    assert {(r["query_id"], r["id"], round(r["similarity"], 9)) for r in found.collect()} == want and found.count() == len(want) > 20
