@@ -108,7 +108,8 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _settled(links: DataFrame, at: DataFrame, twice: float) -> DataFrame:
     """at (node, k, c) after moves to better communities until none gains; at itself if none does."""
-    divisor, turn, kept, best_now = 2, 0, at, -2.0
+    divisor, turn, kept, best_now, held, left = 2, 0, at, -2.0, None, 0
+    loops = links.filter("a = b").agg(F.sum("w")).first()[0] or 0.0
     while True:
         total = at.groupBy("c").agg(F.sum("k").alias("total"))
         near = links.filter("a <> b").join(at.select(F.col("node").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("into"))
@@ -119,23 +120,21 @@ def _settled(links: DataFrame, at: DataFrame, twice: float) -> DataFrame:
         other = F.min(F.when(F.col("c") != F.col("own"), F.struct((-gain).alias("loss"), "c")))
         stay = F.max(F.when(F.col("c") == F.col("own"), F.struct(gain.alias("gain"), "into")))
         each = stored(options.groupBy("a", "own", "k", "own_total").agg(other.alias("other"), stay.alias("stay")).withColumn("now", F.coalesce("stay.gain", alone)), "options")
-        loops = links.filter("a = b").agg(F.sum("w")).first()[0] or 0.0
-        inside = each.agg(F.sum("stay.into")).first()[0] or 0.0
-        squares = at.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.pow(F.col("t") / twice, 2))).first()[0]
-        now = (inside + loops) / twice - squares
+        gains = F.coalesce(-F.col("other.loss") > F.col("now"), F.lit(False))
+        inside, squares, n = each.agg(F.coalesce(F.sum("stay.into"), F.lit(0.0)), F.sum(F.col("k") * F.col("own_total")), F.count_if(gains)).first()
+        now = (inside + loops) / twice - squares / twice**2
         if now <= best_now + 1e-12:
-            at, divisor, turn = kept, 2 * divisor, turn + 1
-            each = held
+            divisor *= 2
         else:
-            kept, best_now, held = at, now, each
-        wants = each.filter(-F.col("other.loss") > F.col("now")).select(F.col("a").alias("node"), F.col("other.c").alias("to"))
-        n = wants.count()
-        if not n:
+            kept, best_now, held, left = at, now, each, n
+        if not left:
             return kept
-        moves = wants.limit(0)
-        while not moves.limit(1).count():
-            moves = wants.filter(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(min(divisor, n))) == 0)
-            turn += 1
+        wants = held.filter(gains).select(F.col("a").alias("node"), F.col("other.c").alias("to"))
+        own = min(divisor, left)
+        some = lambda: wants.filter(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(own)) == 0)  # noqa: B023, E731
+        moves, turn = some(), turn + 1
+        while left < 8 * own and not moves.limit(1).count():
+            moves, turn = some(), turn + 1
         at = stored(kept.join(moves, "node", "left").select("node", "k", F.coalesce("to", "c").alias("c")), "at")
 
 

@@ -8,6 +8,7 @@ from dossier.operators import alerts, geo, metrics, retrieval, scoring
 from dossier.operators import graph as G
 from dossier.operators import pattern as P
 from dossier.operators import rollups as A
+from dossier.operators.scope import visible_cases
 from dossier.plans.common import register
 from dossier.sources import domain as D
 from dossier.sources.domain import CASES_SQL, ENTITIES_SQL, RELATIONS_SQL, graph_sql, table, with_sql
@@ -294,11 +295,12 @@ def pattern_two_hops(spark, sf_dir):
     return m.filter("a_confidence >= 0.5").select(F.col("a_value").alias("person"), F.col("b_value").alias("organisation"), F.col("c_value").alias("vehicle"), F.col("e_valid_from").alias("valid_from"))
 
 
-@query(with_sql(*GRAPH) + """select p.value person, count(*) n, array_to_string(list_sort(list(distinct l.value)), ',') places from edges e join nodes p on p.key = e.src join nodes l on l.key = e.dst
-where edge_type = 'PRESENT_AT' and p.case_id in (1, 2, 3) group by p.key, p.value having count(*) >= 2""")
+@query(with_sql(*GRAPH, CASES_SQL) + """select p.value person, count(*) n, array_to_string(list_sort(list(distinct l.value)), ',') places from edges e join nodes p on p.key = e.src join nodes l on l.key = e.dst
+where edge_type = 'PRESENT_AT' and p.case_id in (select case_id from cases where owner_id = 3 union select case_id from assignments where user_id = 3) group by p.key, p.value having count(*) >= 2""")
 def pattern_aggregate(spark, sf_dir):
+    """Within the cases that a user sees, which is what a pattern's scope is for."""
     n, e = D.graph(spark, sf_dir)
-    scope = n.filter("case_id in (1, 2, 3)").select("case_id").distinct()
+    scope = visible_cases(D.cases(spark, sf_dir), D.assignments(spark, sf_dir), 3)
     m = P.match(n, e, scope, [P.Node("p", "Person"), P.Edge("e", "PRESENT_AT"), P.Node("l", "Location")])
     out = m.groupBy("p_key", "p_value").agg(F.count("*").alias("n"), F.concat_ws(",", F.array_sort(F.collect_set("l_value"))).alias("places"))
     return out.filter("n >= 2").select(F.col("p_value").alias("person"), "n", "places")

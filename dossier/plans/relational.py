@@ -267,7 +267,7 @@ def timeline_range(spark, sf_dir):
     return G.timeline_range(D.graph(spark, sf_dir)[1])
 
 
-@query(with_sql(ENTITIES_SQL, RELATIONS_SQL, graph_sql()) + """select n.key, n.case_id, coalesce(d, 0) degree from nodes n left join (select k, count(*) d from (select src k from edges union all select dst from edges) group by 1) on k = n.key""")
+@query(with_sql(ENTITIES_SQL, RELATIONS_SQL, graph_sql()) + """select n.key, n.case_id, count(k) degree from nodes n left join (select src k from edges union all select dst from edges) x on k = n.key group by n.key, n.case_id""")
 def degrees(spark, sf_dir):
     return G.degrees(*D.graph(spark, sf_dir))
 
