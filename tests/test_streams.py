@@ -6,7 +6,7 @@ import os
 import numpy as np
 import pytest
 
-from dossier.operators import registry
+from dossier.operators import alerts, registry
 from dossier.operators import text as X
 from dossier.streaming.evidence import RegistryStore, evidence_stream
 from dossier.streaming.registry import Log
@@ -96,3 +96,34 @@ def test_a_failed_stage_is_recorded(spark, tmp_path, monkeypatch):
     assert sorted((r["normalized"], r["mention_count"]) for r in store.version(1).collect()) == [("anita rao", 1), ("rahul sharma", 2), ("vikram patil", 1)]
     assert [(r["src"], r["edge_type"], r["dst"]) for r in store.links(1).collect()] == [("Person:anita rao", "ASSOCIATED_WITH", "Person:rahul sharma")]
     assert spark.read.parquet(str(tmp_path / "out" / "chunks")).count() == 2
+
+
+def test_alerts_are_routed_alike_on_a_stream(spark, tmp_path):
+    """Random alerts, rules and rights: a plain version, the batch form and the stream in several micro-batches agree."""
+    rng = np.random.default_rng(6)
+    kinds, levels = ["cross_case", "risk", "connection"], ["low", "medium", "high"]
+    pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
+    made = [(f"a{i}", int(rng.integers(0, 6)), pick(kinds), pick(levels), float(np.round(rng.random(), 2)), pick([None, "s0", "s1", "s2", "s9"])) for i in range(60)]
+    rules = [(int(u), pick([*kinds, "any"]), pick([None, None, 1, 2]), pick(levels), float(np.round(rng.random() / 2, 2)), bool(rng.random() < 0.8)) for u in rng.integers(0, 8, 20)]
+    sees = [(int(u), int(c)) for u, c in zip(rng.integers(0, 8, 40), rng.integers(0, 5, 40), strict=True)]
+    named = [("s0", 1), ("s0", 2), ("s1", 3), ("s1", 77), ("s2", 0), ("s2", 1), ("s2", 4)]
+    known, rank = {c for _, c in sees}, {"low": 0, "medium": 1, "high": 2}
+    want = {
+        (u, i) for i, c, k, sev, conf, subject in made for u in range(8)
+        if (u, c) in sees and any(r[0] == u and r[5] and r[1] in (k, "any") and r[2] in (None, c) and rank[sev] >= rank[r[3]] and conf >= r[4] for r in rules)
+        and all((u, x) in sees for s, x in named if s == subject and x in known)
+    }
+    schema = "alert_id string, case_id int, kind string, severity string, confidence double, subject string"
+    static = (spark.createDataFrame(rules, "user_id int, kind string, case_id int, min_severity string, min_confidence double, enabled boolean"), spark.createDataFrame(sees, "user_id int, case_id int"), spark.createDataFrame(named, "subject string, case_id int"))
+    batch = alerts.routed(spark.createDataFrame(made + made[:5], schema), *static)
+    assert {tuple(r) for r in batch.collect()} == want and batch.count() == len(want) > 10
+    os.mkdir(tmp_path / "in")
+    for i in range(3):
+        spark.createDataFrame(made[i * 20 : i * 20 + 20], schema).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+        for f in (tmp_path / f"p{i}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{i}-{f.name}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = alerts.routed(stream, *static).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out"))
+    out.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
