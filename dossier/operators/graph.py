@@ -59,32 +59,79 @@ def neighbourhood(edges: DataFrame, centres: DataFrame, depth: int = 1) -> tuple
     return seen, induced
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
+#: Ends of a start from which on its paths are searched from the start alone: one search then serves them all.
+MANY_ENDS = 8
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, many: int = MANY_ENDS) -> DataFrame:
     """(a, b, hops, path, evidence) for pairs (a, b) connected within max_hops (1 to 5), whichever way edges point.
 
     Parallel edges stand for their most confident one. Of equally short paths the one whose confidences, in order, are
-    higher wins, then the smaller keys; a pair without a path has no row. All starts advance together, whatever number of
-    ends each has; a step keeps one best path for each (start, node), and a start stops when all its ends are found.
+    higher wins, then the smaller keys; a pair without a path has no row, a repeated pair has one. All pairs advance
+    together: those of starts with up to `many` ends from both ends, so that no front is deeper than half of max_hops,
+    the others from their start. Either way gives the same rows.
     """
+    hops = max(1, min(5, max_hops))
     best = both_ways(edges, "edge_type", "confidence").groupBy("a", "b").agg(F.max(F.struct("confidence", "edge_type")).alias("e"))
     best = stored(best.select(F.col("a").alias("at"), F.col("b").alias("to"), "e.confidence", "e.edge_type"), "best-edges")
-    asked = stored(pairs.select("a", "b"), "pairs")
-    front = asked.select("a").distinct().select("a", F.col("a").alias("at"), F.array("a").alias("path"), F.array().cast("array<string>").alias("types"), F.array().cast("array<double>").alias("cost"))
-    reached = lambda front: asked.join(front.withColumnRenamed("at", "b"), ["a", "b"])
-    done, seen = reached(front), front.select("a", "at")
-    left = asked.filter("a <> b")
-    for _ in range(max(1, min(5, max_hops))):
-        step = front.join(left.select("a").distinct(), "a", "left_semi").join(best, "at").select(
-            "a", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("types", F.array("edge_type")).alias("types"), F.concat("cost", F.array(-F.col("confidence"))).alias("cost"),
-        )
-        step = step.join(seen, ["a", "at"], "left_anti")
-        front = stored(step.groupBy("a", "at").agg(F.min(F.struct("cost", "path", "types")).alias("p")).select("a", "at", "p.path", "p.types", "p.cost"), "front")
-        seen = seen.unionByName(front.select("a", "at"))
-        done = done.unionByName(reached(front))
-        left = left.join(front.select("a", F.col("at").alias("b")), ["a", "b"], "left_anti")
+    asked = stored(pairs.select("a", "b").distinct(), "pairs")
+    wide = asked.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > many).select("a")
+    done = _from_starts(best, stored(asked.join(wide, "a", "left_semi"), "many-ends"), hops).unionByName(_from_both_ends(best, stored(asked.join(wide, "a", "left_anti"), "few-ends"), hops))
     return done.select("a", "b", (F.size("path") - 1).alias("hops"), F.concat_ws(" > ", "path").alias("path"), F.concat_ws(",", "types").alias("evidence"))
 
 
+def _front(pairs: DataFrame, end: str) -> DataFrame:
+    """(start, at, cost, path, types): where a search starts, a row for each different end."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return pairs.select(F.col(end).alias("start")).distinct().select("start", F.col("start").alias("at"), none("double").alias("cost"), F.array("start").alias("path"), none("string").alias("types"))
+
+
+def _advanced(front: DataFrame, best: DataFrame, seen: DataFrame, onward: bool = True) -> DataFrame:
+    """The next front: the best way to each node not seen yet, put together in the path's own order."""
+    put = (lambda old, new: F.concat(old, F.array(new))) if onward else (lambda old, new: F.concat(F.array(new), old))
+    step = front.join(best, "at").select("start", F.col("to").alias("at"), put(F.col("cost"), -F.col("confidence")).alias("cost"), put(F.col("path"), F.col("to")).alias("path"), put(F.col("types"), F.col("edge_type")).alias("types"))
+    step = step.join(seen, ["start", "at"], "left_anti")
+    return stored(step.groupBy("start", "at").agg(F.min(F.struct("cost", "path", "types")).alias("p")).select("start", "at", "p.cost", "p.path", "p.types"), "front")
+
+
+def _from_starts(best: DataFrame, asked: DataFrame, hops: int) -> DataFrame:
+    """(a, b, path, types): a front a start, which stops when all its ends are found."""
+    front = _front(asked, "a")
+    reached = lambda front: asked.join(front.select(F.col("start").alias("a"), F.col("at").alias("b"), "path", "types"), ["a", "b"])
+    done, seen, left = reached(front), front.select("start", "at"), asked.filter("a <> b")
+    for _ in range(hops):
+        if not left.limit(1).count():
+            break
+        front = _advanced(front.join(left.select(F.col("a").alias("start")).distinct(), "start", "left_semi"), best, seen)
+        seen, done = seen.unionByName(front.select("start", "at")), done.unionByName(reached(front))
+        left = left.join(front.select(F.col("start").alias("a"), F.col("at").alias("b")), ["a", "b"], "left_anti")
+    return done
+
+
+def _from_both_ends(best: DataFrame, asked: DataFrame, hops: int) -> DataFrame:
+    """(a, b, path, types): the fronts of both ends take turns and meet halfway; a pair that has met goes on no more.
+
+    On a shortest path of d hops the node after (d + 1) // 2 of them is that far from a and d // 2 hops from b, so the first
+    pair of fronts with a common node gives the distance, and the best halves at a node give the best path through it.
+    """
+    front = {end: _front(asked, end) for end in ("a", "b")}
+    seen = {end: f.select("start", "at") for end, f in front.items()}
+    done, left = asked.select("a", "b", F.array("a").alias("path"), F.array().cast("array<string>").alias("types")).filter("a = b"), asked.filter("a <> b")
+    half = lambda end: front[end].select(F.col("start").alias(end), "at", F.struct("cost", "path", "types").alias(f"from_{end}"))
+    for d in range(1, hops + 1):
+        if not left.limit(1).count():
+            break
+        end = "a" if d % 2 else "b"
+        front[end] = _advanced(front[end].join(left.select(F.col(end).alias("start")).distinct(), "start", "left_semi"), best, seen[end], onward=end == "a")
+        seen[end] = seen[end].unionByName(front[end].select("start", "at"))
+        met = left.join(half("a"), "a").join(half("b"), ["b", "at"])
+        rest = F.slice("from_b.path", F.lit(2), F.size("from_b.path"))
+        whole = F.struct(F.concat("from_a.cost", "from_b.cost").alias("cost"), F.concat("from_a.path", rest).alias("path"), F.concat("from_a.types", "from_b.types").alias("types"))
+        found = stored(met.groupBy("a", "b").agg(F.min(whole).alias("p")).select("a", "b", "p.path", "p.types"), "met")
+        done, left = done.unionByName(found), stored(left.join(found, ["a", "b"], "left_anti"), "left")
+    return done
+
+
 def timeline(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """Dated edges in order, with the values of both ends."""
     names = nodes.select("key", "value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -10,26 +12,42 @@ from pyspark.sql import functions as F
 
 from dossier.operators.components import connected_components, stored
 from dossier.operators.graph import both_ways
+from dossier.operators.ranking import ranked
+
+
+#: Hubs there may be at most, and links that a source must have to be one.
+MOST_HUBS, HUB = 10_000, 10_000
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut: int = 4) -> DataFrame:
     """(key, pagerank), directed, weighted by confidence (0.5 where missing): 1 - d + d * what the in-edges bring.
 
     The out-weights are joined once, and the links stay dealt by their source, so a round shuffles ranks and what they
-    bring alone; every `cut` rounds the ranks are written to cut the lineage.
+    bring alone. Sources with more than one in MOST_HUBS of all links, of which there are fewer than MOST_HUBS, are sent
+    to all tasks instead, and their links are spread evenly. Every `cut` rounds the ranks are written to cut the lineage.
     """
     w = F.coalesce(F.col("confidence"), F.lit(0.5))
     share = edges.groupBy("src").agg(F.sum(w).alias("total"))
-    links = stored(edges.join(share, "src").select("src", "dst", (w / F.col("total")).alias("share")), "links").repartition("src").persist()
+    links = stored(edges.join(share, "src").select("src", "dst", (w / F.col("total")).alias("share")), "links")
+    hubs = stored(links.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > max(HUB, links.count() // MOST_HUBS)).select("src"), "hubs")
+    usual = links.join(F.broadcast(hubs), "src", "left_anti").repartition("src").persist()
+    wide = links.join(F.broadcast(hubs), "src").repartition("dst").persist()
+    some_hubs = bool(hubs.limit(1).count())
+    cut = 1 if some_hubs else cut  # the ranks are read twice then
     base = stored(nodes.select("key"), "nodes")
     ranks = base.withColumn("rank", F.lit(1.0))
     for i in range(rounds):
-        brought = links.join(ranks.withColumnRenamed("key", "src"), "src").groupBy(F.col("dst").alias("key")).agg(F.sum(F.col("share") * F.col("rank")).alias("in"))
+        at = ranks.withColumnRenamed("key", "src")
+        sent = usual.join(at, "src")
+        if some_hubs:
+            sent = sent.unionByName(wide.join(F.broadcast(at.join(F.broadcast(hubs), "src", "left_semi")), "src"))
+        brought = sent.groupBy(F.col("dst").alias("key")).agg(F.sum(F.col("share") * F.col("rank")).alias("in"))
         ranks = base.join(brought, "key", "left").select("key", (F.lit(1 - damping) + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
         if (i + 1) % cut == 0:
             ranks = stored(ranks, "ranks")
     ranks = stored(ranks, "ranks") if rounds % cut else ranks
-    links.unpersist()
+    usual.unpersist()
+    wide.unpersist()
     return ranks.withColumnRenamed("rank", "pagerank")
 
 
@@ -44,10 +62,16 @@ def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None
 
     Levels of all sources advance together until none has a new node: state rows are (source, node, depth, paths), as many
     as there are pairs of which one reaches the other. Dependencies then flow back level by level. Parallel edges count as
-    one. For graphs whose reach is too wide for that, see sampled_betweenness.
+    one. For graphs whose reach is too wide for that, see estimated_betweenness.
     """
     hop = stored(edges.select("src", "dst").distinct(), "hops")
-    start = (sources if sources is not None else nodes).select(F.col("key").alias("s"), F.col("key").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
+    sums = _dependencies(hop, sources if sources is not None else nodes, max_depth).groupBy("key").agg(F.sum("dep").alias("betweenness"))
+    return nodes.select("key").join(sums, "key", "left").fillna(0.0, ["betweenness"])
+
+
+def _dependencies(hop: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(s, key, dep): how much of the shortest paths from a source lead on through a node, summed over their ends."""
+    start = sources.select(F.col("key").alias("s"), F.col("key").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
     levels = [stored(start, "level")]
     seen = levels[0].select("s", "v")
     for d in count(1) if max_depth is None else range(1, max_depth + 1):
@@ -58,7 +82,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None
             break
         levels.append(level)
         seen = seen.unionByName(level.select("s", "v"))
-    total, below = None, None
+    parts, below = [], None
     for level in reversed(levels):
         if below is None:
             here = level.withColumn("dep", F.lit(0.0))
@@ -67,10 +91,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None
             got = flow.join(level.select("s", "v", "paths"), ["s", "v"]).groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("p") * (1 + F.col("dep"))).alias("dep"))
             here = level.join(got, ["s", "v"], "left").fillna(0.0, ["dep"])
         below = stored(here, "dependencies")
-        part = below.filter("s <> v").select("v", "dep")
-        total = part if total is None else total.unionByName(part)
-    sums = total.groupBy(F.col("v").alias("key")).agg(F.sum("dep").alias("betweenness"))
-    return nodes.select("key").join(sums, "key", "left").fillna(0.0, ["betweenness"])
+        parts.append(below.filter("s <> v").select("s", F.col("v").alias("key"), "dep"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sampled_betweenness(nodes: DataFrame, edges: DataFrame, share: float, seed: int = 0) -> DataFrame:
@@ -80,6 +102,40 @@ def sampled_betweenness(nodes: DataFrame, edges: DataFrame, share: float, seed:
     return found.withColumn("betweenness", F.col("betweenness") * F.lit(nodes.count() / max(1, drawn.count())))
 
 
+#: Draws that an estimate may take at most, each twice the one before; a constant of the bound (Bardenet and Maillard 2015).
+DRAWS, KAPPA = 21, 7 / 3 + 3 / 2**0.5
+
+
+def estimated_betweenness(nodes: DataFrame, edges: DataFrame, error: float = 0.1, doubt: float = 0.1, seed: int = 0) -> DataFrame:
+    """(key, betweenness, margin): estimated from drawn sources until the margin is small enough at every node.
+
+    With probability 1 - doubt no node is off by more than its margin, and no margin is over error * n * r, of n nodes with
+    r others in the largest weak component: what a source can add at most is r. Sources are drawn without replacement, and
+    the margin is the empirical Bernstein-Serfling bound over all nodes and draws; while the widest is too wide, as many
+    sources again are drawn. If that takes all of them, the result is exact and margins are 0.
+    """
+    hop = stored(edges.select("src", "dst").distinct(), "hops")
+    n, largest = nodes.count(), components(nodes, edges).groupBy("component").count().agg(F.max("count")).first()[0]
+    reach, log = max(1, (largest or 1) - 1), math.log(10 * max(1, n) * DRAWS / doubt)
+    place = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << DRAWS - 1))
+    cut = lambda share: round(share * (1 << DRAWS - 1))
+    sums, taken, low, share = None, 0, 0, min(1.0, max(0.5 ** (DRAWS - 1), KAPPA * log / error / max(1, n)))
+    while True:
+        drawn = stored(nodes.select("key").filter((place >= low) & (place < cut(share))), "drawn")
+        taken, x = taken + drawn.count(), F.col("dep") / reach
+        part = _dependencies(hop, drawn).groupBy("key").agg(F.sum(x).alias("x"), F.sum(x * x).alias("xx"))
+        part = part if sums is None else sums.unionByName(part).groupBy("key").agg(F.sum("x").alias("x"), F.sum("xx").alias("xx"))
+        sums, k = stored(part, "sums"), max(1, taken)
+        rho = 1 - (k - 1) / max(1, n) if 2 * k <= n else (1 - k / max(1, n)) * (1 + 1 / k)
+        mean = F.coalesce(F.col("x") / k, F.lit(0.0))
+        spread = F.sqrt(F.greatest(F.coalesce(F.col("xx") / k, F.lit(0.0)) - mean * mean, F.lit(0.0)))
+        margin = F.lit(0.0) if share >= 1 else spread * math.sqrt(2 * max(0.0, rho) * log / k) + KAPPA * log / k
+        out = nodes.select("key").join(sums, "key", "left").select("key", (mean * n * reach).alias("betweenness"), margin.alias("margin"))
+        if share >= 1 or taken and (out.agg(F.max("margin")).first()[0] or 0.0) <= error:
+            return out.withColumn("margin", F.col("margin") * n * reach)
+        low, share = cut(share), min(1.0, 2 * share)
+
+
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, community) by modularity gain, weighted by confidence; a community is named by its smallest key.
 
@@ -163,13 +219,14 @@ def view_clusters(component: DataFrame, edges: DataFrame, chunk: int = 5, most:
     component: key, case_id, component. Components of over `most` nodes are cut into runs of `chunk` sorted keys; the
     largest `letters` chunks of a case get the letters A, B, ..., and what is left joins the last of them.
     """
-    size = F.count("*").over(W.partitionBy("component"))
-    place = F.row_number().over(W.partitionBy("component").orderBy("key")) - 1
-    cut = component.withColumn("n", size).withColumn("part", F.when(F.col("n") > most, F.floor(place / chunk)).otherwise(0))
+    size = component.groupBy("component").agg(F.count("*").alias("n"))
+    placed = ranked(component, ["component"], [F.col("key")], "place").join(size, "component")
+    cut = stored(placed.withColumn("part", F.when(F.col("n") > most, F.floor((F.col("place") - 1) / chunk)).otherwise(0)), "chunks")
     sizes = cut.groupBy("case_id", "component", "part").agg(F.count("*").alias("m"), F.min("key").alias("first"))
     rank = F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("m"), "first"))
-    lettered = sizes.withColumn("letter", F.char(F.lit(64) + F.least(rank, F.lit(letters)))).select("component", "part", "letter")
-    return cut.join(lettered, ["component", "part"]).select("case_id", "key", F.col("letter").alias("cluster"))
+    lettered = sizes.withColumn("rank", rank).filter(F.col("rank") < letters).select("component", "part", F.char(F.lit(64) + F.col("rank")).alias("letter"))
+    rest = F.coalesce("letter", F.lit(chr(64 + letters)))
+    return cut.join(lettered, ["component", "part"], "left").select("case_id", "key", rest.alias("cluster"))
 
 
 #: Which domain an edge type stands for (fixed values); money transfers are financial.

@@ -194,6 +194,13 @@ def pending_queue(tables: dict[str, DataFrame], limit: int = 50) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def entity_lookup(entities: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Entities not rejected whose value or normalized name holds text, whatever the case of letters; the most confident first."""
+    hit = lambda c: F.contains(F.lower(c), F.lit(text.lower()))
+    found = entities.filter("status <> 'rejected'").filter(hit("value") | hit("normalized")).orderBy(F.desc("confidence"), "entity_id")
+    return found if limit is None else found.limit(limit)
+
+
 def case_search(cases: DataFrame, text: str = "", **equals: str) -> DataFrame:
     """Cases by exact column values and by a part of number or title, whatever the case of letters."""
     for column, value in equals.items():

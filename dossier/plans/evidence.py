@@ -222,3 +222,17 @@ def case_links(spark, sf_dir):
 @query(with_sql(CASES_SQL, VISIBLE, LINKS_SQL) + "select v.case_id, case when v.case_id = a then b else a end other, link_id from links join visible v on v.case_id = a or v.case_id = b")
 def links_of_cases(spark, sf_dir):
     return A.links_of(links(spark, sf_dir), visible(spark, sf_dir))
+
+
+@query("""with f as (select 'case-' || doc_id % 30 folder, text is not null and text <> '' and doc_id % 13 <> 0 good from documents), n as (select folder, count(*) filter (good) good, count(*) filter (not good) bad from f group by 1),
+c as (select n_nationkey k, 'case-' || n_nationkey folder, case when n_nationkey % 8 = 0 then '' else 'FIR-' || n_nationkey end fir_no from nation)
+select c.folder, fir_no, case when fir_no = '' then 'rejected: no number' when k % 5 = 1 then 'rejected: known number' when coalesce(good, 0) = 0 then 'failed' when bad > 0 then 'partial' else 'success' end outcome, coalesce(good, 0) good, coalesce(bad, 0) bad
+from c left join n using (folder)""")
+def import_outcomes(spark, sf_dir):
+    """Nations as cases and documents as their files: a thirteenth arrived empty, some cases have no number or a known one."""
+    k = F.col("n_nationkey")
+    named = table(spark, sf_dir, "nation").select(F.concat(F.lit("case-"), k.cast("string")).alias("folder"), F.when(k % 8 == 0, "").otherwise(F.concat(F.lit("FIR-"), k.cast("string"))).alias("fir_no"), (k % 5 == 1).alias("known"))
+    d = table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.coalesce("text", F.lit("")))
+    got = d.select(F.concat(F.lit("case-"), (F.col("doc_id") % 30).cast("string")).alias("folder"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), text.cast("binary").alias("content"))
+    return files.import_outcome(named.drop("known"), got, named.filter("known and fir_no <> ''").select("fir_no"))

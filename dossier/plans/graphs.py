@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.operators import alerts, geo, metrics, retrieval, scoring
@@ -75,6 +76,15 @@ def betweenness(spark, sf_dir):
     return metrics.betweenness(*whole(spark, sf_dir)).select("key", F.round(F.col("betweenness") + TIE, 6).alias("betweenness"))
 
 
+@query(with_sql(*GRAPH, BETWEENNESS_SQL) + "select key, round(betweenness + 1e-9, 6) betweenness, true inside from betweenness")
+def estimated_betweenness(spark, sf_dir):
+    """The measured error of an estimate from drawn sources: whether each node's exact value is within the margin told."""
+    n, e = whole(spark, sf_dir)
+    told = metrics.estimated_betweenness(n, e).select("key", F.col("betweenness").alias("estimate"), "margin")
+    near = F.abs(F.col("betweenness") - F.col("estimate")) <= F.col("margin") + TIE
+    return metrics.betweenness(n, e).join(told, "key").select("key", F.round(F.col("betweenness") + TIE, 6).alias("betweenness"), near.alias("inside"))
+
+
 @query()
 def communities(spark, sf_dir):
     """Has no SQL form; tests check modularity, connectedness and determinism."""
@@ -152,6 +162,18 @@ def risk_scores(spark, sf_dir):
     return case_scores(spark, sf_dir)[3].select("key", F.round(F.col("score") + TIE, 3).alias("score"), "level")
 
 
+@query(with_sql(*GRAPH) + """, x as (select node_type, normalized, count(distinct case_id) cases from entities where status <> 'rejected' group by 1, 2),
+d as (select n.key, count(k) degree from nodes n left join (select src k from edges union all select dst from edges) y on k = n.key group by n.key),
+v as (select e.key, degree, coalesce(degree / nullif(max(degree) over (partition by e.case_id), 0), 0) v3, least(greatest(coalesce(cases, 1) - 1, 0), 3) / 3.0 v4, confidence v5 from entities e left join d using (key) left join x using (node_type, normalized))
+select key, round(round(round(v3 * 0.20, 4) + round(v4 * 0.15, 4) + round(v5 * 0.10, 4), 4) + 1e-9, 3) score, 'no pagerank,no betweenness' || case when degree is null then ',no degree' else '' end notes from v""")
+def score_notes(spark, sf_dir):
+    """Scores of all entities from degrees alone: what was not computed, or is not in the confirmed graph, is told and counts 0."""
+    n, e = whole(spark, sf_dir)
+    m = D.entities(spark, sf_dir).join(G.degrees(n, e).drop("case_id"), "key", "left").withColumns({c: F.lit(None).cast("double") for c in ("pagerank", "betweenness")})
+    s = scoring.risk_scores(m, A.cross_case_counts(D.entities(spark, sf_dir)))
+    return s.select("key", F.round(F.col("score") + TIE, 3).alias("score"), F.concat_ws(",", "notes").alias("notes"))
+
+
 @query(with_sql(*METRICS_SQL, SCORES_SQL, CASES_SQL, recursive=True) + """,
 b as (select *, row_number() over (partition by case_id order by score desc, key) place from scores)
 select c.case_id, 0 place, 'Case ' || fir_no || ' — ' || title || ': ' || n || ' entities, ' || coalesce(m, 0) || ' confirmed links, ' || k || ' components.' line
@@ -280,6 +302,16 @@ def shortest_paths(spark, sf_dir):
     return paths(spark, sf_dir)[1].select("a", "b", "hops")
 
 
+@query(with_sql(*GRAPH, WALKS_SQL, """
+asked as (select key a, lead(key) over (partition by case_id order by entity_id) b from nodes where entity_id % 20 = 0 and node_type = 'Person')""") + "select a, b, w4.n::int hops from w4 join asked using (a, b)")
+def paths_in_pairs(spark, sf_dir):
+    """From each person of the fixed query set to the next one of the case: a single end each, so both ends search."""
+    n, e = whole(spark, sf_dir)
+    own = n.filter("entity_id % 20 = 0 and node_type = 'Person'")
+    pairs = own.select(F.col("key").alias("a"), F.lead("key").over(W.partitionBy("case_id").orderBy("entity_id")).alias("b")).filter("b is not null")
+    return G.shortest_paths(e, pairs).select("a", "b", "hops")
+
+
 @query()
 def path_answers(spark, sf_dir):
     """Which of several equally short paths is told depends on confidences; tests compare with a plain version."""
@@ -337,6 +369,16 @@ def geocode(spark, sf_dir):
     return geo.geocode(e, "value", D.gazetteer(spark)).select("entity_id", "lat", "lng", "geo_source")
 
 
+@query(with_sql(PLACES, f"""
+told as (select c_custkey id, {D._PLACES}[c_custkey % 24 + 1] || ' ' || c_mktsegment spot from customer), plain as (select id, lower(spot) p from told)""") + """
+select id, coalesce(w.lat, c.lat) lat, case when w.name is not null then 'gazetteer' when c.name is not null then 'gazetteer-city' end geo_source
+from plain left join gazetteer w on w.name = p left join gazetteer c on c.name = string_split(p, ' ')[1]""")
+def geocode_by_city(spark, sf_dir):
+    """Names that are no place's, though their first word may be a city: a place and a customer's market."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" ", D.place(F.col("c_custkey")), F.col("c_mktsegment")).alias("spot"))
+    return geo.geocode(c, "spot", D.gazetteer(spark)).select("id", "lat", "geo_source")
+
+
 HAVERSINE = "2 * 6371.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2), 1)))"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.operators import graph as G
@@ -177,13 +178,18 @@ def risk_history(spark, sf_dir):
     return A.latest(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 20, "event_id")
 
 
-@query(with_sql(ENTITIES_SQL, RELATIONS_SQL) + """, q as (select 'entities' queue, case_id, entity_id id from entities where status = 'pending' union all select 'relations', case_id, relation_id from relations where status = 'pending'),
+@query(with_sql(ENTITIES_SQL, RELATIONS_SQL) + """, firsts as (select node_type, normalized, min(entity_id) one from entities group by 1, 2),
+q as (select 'entities' queue, case_id, entity_id id from entities where status = 'pending' union all select 'relations', case_id, relation_id from relations where status = 'pending'
+  union all select 'matches', case_id, entity_id from entities join firsts using (node_type, normalized) where status = 'pending' and entity_id <> one),
 n as (select queue, count(*) total from q group by 1)
 select case_id, id, q.queue, total from (select *, row_number() over (partition by queue order by id) r from q) q join n on n.queue = q.queue where r <= 50""")
 def review_queue(spark, sf_dir):
-    """A feature limit: the first 50 of each queue, with the whole queue's total."""
+    """A feature limit: the first 50 of each queue, with the whole queue's total. Matches are of an entity and its name's first one."""
     e, r = D.entities(spark, sf_dir), D.relations(spark, sf_dir)
-    return A.pending_queue({"entities": e.select("case_id", F.col("entity_id").alias("id"), "status"), "relations": r.select("case_id", F.col("relation_id").alias("id"), "status")})
+    first = e.groupBy("node_type", "normalized").agg(F.min("entity_id").alias("first"))
+    matches = e.join(first, ["node_type", "normalized"]).filter("entity_id <> first")
+    queue = lambda rows, key: rows.select("case_id", F.col(key).alias("id"), "status")
+    return A.pending_queue({"entities": queue(e, "entity_id"), "relations": queue(r, "relation_id"), "matches": queue(matches, "entity_id")})
 
 
 @query(with_sql(ENTITIES_SQL) + "select entity_id, value, status from entities where case_id = 7 and status = 'pending' order by entity_id limit 50 offset 10")
@@ -200,9 +206,14 @@ def case_search(spark, sf_dir):
 
 @query(with_sql(ENTITIES_SQL) + "select entity_id, value, confidence from entities where status <> 'rejected' and (contains(lower(value), '0042') or contains(normalized, '0042'))")
 def entity_lookup(spark, sf_dir):
-    e = D.entities(spark, sf_dir).filter("status <> 'rejected'")
-    hit = lambda c: F.contains(F.lower(c), F.lit("0042"))
-    return e.filter(hit("value") | hit("normalized")).select("entity_id", "value", "confidence")
+    return A.entity_lookup(D.entities(spark, sf_dir), "0042").select("entity_id", "value", "confidence")
+
+
+@query(with_sql(ENTITIES_SQL) + "select entity_id, value, confidence, row_number() over (order by confidence desc, entity_id) place from entities where status <> 'rejected' and (contains(lower(value), 'pune') or contains(normalized, 'pune')) order by confidence desc, entity_id limit 25")
+def entity_lookup_page(spark, sf_dir):
+    """A feature limit: the 25 most confident."""
+    found = A.entity_lookup(D.entities(spark, sf_dir), "Pune", 25)
+    return found.withColumn("place", F.row_number().over(W.orderBy(F.desc("confidence"), "entity_id"))).select("entity_id", "value", "confidence", "place")  # 25 rows
 
 
 @query(with_sql(ENTITIES_SQL, RELATIONS_SQL) + """, own as (select min(key) as key from entities where node_type = 'Organization')
@@ -267,7 +278,7 @@ def timeline_range(spark, sf_dir):
     return G.timeline_range(D.graph(spark, sf_dir)[1])
 
 
-@query(with_sql(ENTITIES_SQL, RELATIONS_SQL, graph_sql()) + """select n.key, n.case_id, count(k) degree from nodes n left join (select src k from edges union all select dst from edges) x on k = n.key group by n.key, n.case_id""")
+@query(with_sql(ENTITIES_SQL, RELATIONS_SQL, graph_sql(), "ends as materialized (select k, count(*) n from (select src k from edges union all select dst from edges) group by 1)") + "select key, case_id, coalesce(n, 0) degree from nodes left join ends on k = key")
 def degrees(spark, sf_dir):
     return G.degrees(*D.graph(spark, sf_dir))
 
@@ -286,3 +297,19 @@ def trails(spark, sf_dir):
 def snapshot_diff(spark, sf_dir):
     e = G.edge_id(D.relations(spark, sf_dir)).select("edge_id", "confidence")
     return G.snapshot_diff(e.filter("confidence >= 0.5"), e.filter("confidence >= 0.6 or confidence < 0.1"), "edge_id")
+
+
+@query(with_sql(ENTITIES_SQL) + "select key, case when confidence >= 0.5 then 'removed' else 'added' end change, value, confidence from entities where (confidence >= 0.5 and confidence < 0.6) or confidence < 0.1")
+def snapshot_node_diff(spark, sf_dir):
+    n = D.entities(spark, sf_dir).select("key", "value", "confidence")
+    return G.snapshot_diff(n.filter("confidence >= 0.5"), n.filter("confidence >= 0.6 or confidence < 0.1"), "key")
+
+
+ALLOWED = ("view", "click", "purchase")
+
+
+@query(f"select event_id, case when event_type in {ALLOWED} then 'accepted' else 'unknown event_type: ' || coalesce(event_type, 'null') end outcome from events")
+def vocabulary(spark, sf_dir):
+    """The event feed against a vocabulary: what is not in it is kept apart with a reason."""
+    good, bad = R.vocabulary_check(table(spark, sf_dir, "events"), "event_type", ALLOWED)
+    return good.select("event_id", F.lit("accepted").alias("outcome")).unionByName(bad.select("event_id", F.col("reason").alias("outcome")))

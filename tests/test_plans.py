@@ -192,3 +192,81 @@ def test_sampled_betweenness(spark):
     e = spark.createDataFrame(edges, "src string, dst string")
     exact, all_of_it, half = (sum(r["betweenness"] for r in df.collect()) for df in (metrics.betweenness(n, e), metrics.sampled_betweenness(n, e, 1.0), metrics.sampled_betweenness(n, e, 0.5)))
     assert all_of_it == pytest.approx(exact) and half == pytest.approx(exact, rel=0.3)
+
+
+def test_estimated_betweenness_keeps_its_margins(spark):
+    """A graph of many like parts: a share of the sources is enough, and every node is within its margin."""
+    from dossier.operators import metrics
+
+    edges = [(f"g{g}-{i}", f"g{g}-{(i * 3 + j) % 8}") for g in range(300) for i in range(8) for j in (1, 2)]
+    n = spark.createDataFrame([(f"g{g}-{i}",) for g in range(300) for i in range(8)], "key string")
+    e = spark.createDataFrame([x for x in edges if x[0] != x[1]], "src string, dst string")
+    exact = {r["key"]: r["betweenness"] for r in metrics.betweenness(n, e).collect()}
+    for error, sampled in ((0.25, True), (0.0001, False)):
+        got = metrics.estimated_betweenness(n, e, error=error).collect()
+        assert len(got) == len(exact) and all(abs(r["betweenness"] - exact[r["key"]]) <= r["margin"] + 1e-6 for r in got)
+        assert all((r["margin"] > 0) == sampled and r["margin"] <= error * 2400 * 7 for r in got)
+    empty = metrics.estimated_betweenness(n.limit(0), e.limit(0))
+    assert empty.collect() == [] and empty.columns == ["key", "betweenness", "margin"]
+
+
+def test_pagerank_of_hubs(spark, monkeypatch):
+    """Ranks are the same whichever way a source's links are dealt."""
+    from dossier.operators import metrics
+
+    edges = [("hub", f"k{i}", 0.2 + i % 5 / 10) for i in range(40)] + [(f"k{i}", f"k{i * 7 % 40}", 0.5) for i in range(40)] + [("k3", "hub", None)]
+    n = spark.createDataFrame([("hub",), ("alone",)] + [(f"k{i}",) for i in range(40)], "key string")
+    e = spark.createDataFrame(edges, "src string, dst string, confidence double")
+    ranks = lambda: {r["key"]: r["pagerank"] for r in metrics.pagerank(n, e, rounds=6).collect()}
+    usual = ranks()
+    monkeypatch.setattr(metrics, "HUB", 10)
+    assert ranks() == pytest.approx(usual) and usual["alone"] == pytest.approx(0.15)
+
+
+def brute_path(edges, a, b, most):
+    """The shortest path, then the most confident edge by edge, then the smallest keys: over all walks without a step back."""
+    best = {}
+    for s, d, kind, c in edges:
+        for x, y in ((s, d), (d, s)):
+            best.setdefault(x, {})[y] = max(best.get(x, {}).get(y, (-1.0, "")), (c, kind))
+    front = [((), (a,), ())]
+    for _ in range(most + 1):
+        if hits := [p for p in front if p[1][-1] == b]:
+            cost, path, kinds = min(hits)
+            return len(path) - 1, " > ".join(path), ",".join(kinds)
+        front = [(cost + (-c,), path + (y,), kinds + (kind,)) for cost, path, kinds in front for y, (c, kind) in best.get(path[-1], {}).items() if y not in path]
+    return None
+
+
+def test_paths_from_one_or_both_ends(spark):
+    """Equal to all walks, with ties, parallel edges, unknown ends, repeated pairs and pairs of one node."""
+    import random
+
+    from dossier.operators import graph as G
+
+    rng = random.Random(4)
+    edges = [(f"k{rng.randrange(26):02}", f"k{rng.randrange(26):02}", rng.choice("PQ"), rng.randrange(1, 4) / 4) for _ in range(38)]
+    edges = [x for x in edges if x[0] != x[1]]
+    e = spark.createDataFrame(edges, "src string, dst string, edge_type string, confidence double")
+    pairs = [(f"k{rng.randrange(26):02}", f"k{rng.randrange(26):02}") for _ in range(60)] + [("k01", "gone"), ("gone", "k01"), ("gone", "gone"), ("k02", "k02"), ("k02", "k02"), (None, "k01")]
+    p = spark.createDataFrame(pairs, "a string, b string")
+    for most, many in ((1, 100), (4, 0), (4, 100), (5, 3)):
+        want = {(a, b): found for a, b in pairs if a is not None and (found := brute_path(edges, a, b, most))}
+        got = [((r["a"], r["b"]), (r["hops"], r["path"], r["evidence"])) for r in G.shortest_paths(e, p, most, many).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == want
+
+
+def test_places_in_hot_groups(spark):
+    """Against sorting: a group of most rows, null groups and keys, descending order."""
+    from pyspark.sql import functions as F
+
+    from dossier.operators.ranking import ranked
+
+    rows = [("hot" if i % 5 else None if i % 10 else f"g{i}", i % 97, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x int, id long").repartition(6)
+    got = {r["id"]: r["rank"] for r in ranked(df, ["g"], [F.desc("x"), F.col("id")]).collect()}
+    groups = {}
+    for g, x, i in rows:
+        groups.setdefault(g, []).append((-x, i))
+    assert got == {i: n for own in groups.values() for n, (_, i) in enumerate(sorted(own), 1)}
+    assert ranked(df.limit(0), ["g"], [F.col("id")]).collect() == []
