@@ -6,7 +6,7 @@ A store is a folder of Parquet tables, one new version for each change:
   filters (shard, n_keys, table)   a cuckoo filter of the repeated keys of each shard
 insert() adds documents' keys, delete() takes documents out again; both touch only the keys of the
 documents given: counts go up or down, keepers move, and fingerprints enter or leave the filters.
-Deleting what was inserted gives back the earlier results. A filter never misses a repeated key, so
+Deleting what was inserted gives back the earlier results. A store with a path can be opened again later. A filter never misses a repeated key, so
 lines it refuses are kept without a look at the counts; lines it passes are joined with the counts.
 Filters that are small together are sent to all tasks; otherwise lines and filters meet by shard.
 
@@ -38,6 +38,10 @@ SLOTS, MAX_ROUNDS = 4, 500
 SHARD_KEYS, FILTER_BYTES, SALTS = 500_000, 32 << 20, 16
 
 
+#: A row for each whole change of a store that is kept: where its tables are.
+STATE = "version int, shards int, min_chars int, holders string, refs string, filters string"
+
+
 class CuckooFilter:
     """Buckets of four 16-bit fingerprints; a key has two buckets, each found from the other and the fingerprint."""
 
@@ -152,20 +156,47 @@ def build_filters(refs: DataFrame, shards: int) -> DataFrame:
 
 
 class LineStore:
-    """Versions of the three tables under `path`; each change writes new ones and then points to them."""
+    """Versions of the three tables under `path`; each change writes new ones and then points to them.
+
+    A store with a path of its own is kept: after each change a row is added to its log (state), and open() goes on from the
+    last row, in any later session. A change that was cut off left no row, so it counts as not made, and can be made again:
+    documents that the store holds already are not counted twice. A store has one writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = MIN_CHARS):
         self.spark, self.min_chars, self.version, self.shards = spark, min_chars, 0, 1
-        self.path = path or shared_dir(spark, "lines")
+        self.path, self.kept = path or shared_dir(spark, "lines"), path is not None
         self.holders = self.refs = self.filters = None
+        self.places: dict[str, str] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LineStore:
+        """The store that was kept under path, as it was after its last whole change."""
+        last = spark.read.schema(STATE).parquet(f"{path}/state").orderBy(F.desc("version")).first()
+        if last is None:
+            raise ValueError(f"no line store under {path}")
+        store = cls(spark, path, last["min_chars"])
+        store.version, store.shards = last["version"], last["shards"]
+        for name in ("holders", "refs", "filters"):
+            store.places[name] = last[name]
+            setattr(store, name, spark.read.parquet(f"{path}/{last[name]}"))
+        return store
 
     def _write(self, **tables: DataFrame) -> None:
         self.version += 1
         for name, df in tables.items():
-            to = f"{self.path}/{name}-{self.version}"
-            df.write.parquet(to)
+            self.places[name] = f"{name}-{self.version}"
+            to = f"{self.path}/{self.places[name]}"
+            #: A change that was cut off may have left a folder of this number.
+            df.write.mode("overwrite").parquet(to)
             setattr(self, name, self.spark.read.schema(df.schema).parquet(to))
 
+    def _log(self) -> LineStore:
+        if self.kept:
+            row = (self.version, self.shards, self.min_chars, *[self.places[name] for name in ("holders", "refs", "filters")])
+            self.spark.createDataFrame([row], STATE).coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+        return self
+
     def insert(self, docs: DataFrame) -> LineStore:
         """Add documents that the store doesn't hold yet."""
         if self.refs is None:
@@ -173,12 +204,12 @@ class LineStore:
             self._write(refs=counted(self.holders))
             self.shards = 1 + self.refs.filter("n_docs >= 2").count() // SHARD_KEYS
             self._write(filters=build_filters(self.refs, self.shards))
-            return self
+            return self._log()
         self._write(more=holders_of(docs, self.min_chars).distinct().join(self.holders, ["key", "doc_id"], "left_anti"))
         new = counted(self.more).select("key", F.col("n_docs").alias("n"), F.col("keeper").alias("k"))
         joined = self.refs.join(new, "key", "full").select("key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.least("keeper", "k").alias("keeper"), F.coalesce("n_docs", F.lit(0)).alias("before"))
         self._change(joined, self.holders.unionByName(self.more))
-        return self
+        return self._log()
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
         """Take out the documents of one column doc_id: counts go down, keepers move to the next document."""
@@ -190,7 +221,7 @@ class LineStore:
         seen = F.coalesce("touched", F.lit(False))
         after = joined.select("key", F.when(seen, F.coalesce("n", F.lit(0))).otherwise(F.col("n_docs")).alias("n_docs"), F.when(seen, F.col("k")).otherwise(F.col("keeper")).alias("keeper"), F.col("n_docs").alias("before"))
         self._change(after, self.left)
-        return self
+        return self._log()
 
     def _change(self, after: DataFrame, holders: DataFrame) -> None:
         """Store changed counts; filters take in keys that became repeated and let go those that no longer are."""
@@ -266,8 +297,8 @@ class LineStore:
         return ordered.mapInArrow(passed, lines.schema)
 
     def deduplicated(self, docs: DataFrame) -> DataFrame:
-        """docs' rows (doc_id, text, ...) with n_lines, n_dropped and the kept text."""
-        rows = docs.withColumn("_text", digest(F.coalesce("text", F.lit(""))))
+        """docs' rows (doc_id, text, ...) with n_lines, n_dropped and the kept text; columns of these names are replaced, _text and _lost go."""
+        rows = docs.drop("_lost").withColumn("_text", digest(F.coalesce("text", F.lit(""))))
         lines = (
             rows.filter("doc_id is not null")
             .select("doc_id", "_text", F.posexplode(line_keys(F.col("text"))).alias("at", "line"))

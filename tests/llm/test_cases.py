@@ -139,6 +139,37 @@ def test_lines_are_reversible(spark):
     assert read_lines(store.deduplicated(frame(first))) == brute_lines(first)
 
 
+def test_lines_with_clashing_columns(spark):
+    """Columns that the result makes are replaced, working columns go, others stay."""
+    df = spark.createDataFrame([(1, "the very same line", "a", "b", "c", "d"), (2, "the very same line\nmore", "a", "b", "c", "d")], "doc_id long, text string, _text string, _lost string, kept string, at string")
+    out = line_dedup.LineStore(spark).insert(df).deduplicated(df)
+    assert [(r["doc_id"], r["n_dropped"], r["kept"], r["at"]) for r in out.orderBy("doc_id").collect()] == [(1, 0, "the very same line", "d"), (2, 1, "more", "d")]
+    assert sorted(out.columns) == ["at", "doc_id", "kept", "n_dropped", "n_lines", "text"]
+
+
+def test_lines_of_a_store_opened_again(spark, tmp_path):
+    """A store goes on where it was, also past a change that was cut off; a repeated insert changes nothing."""
+    path = f"file://{tmp_path}/store"
+    text = lambda *lines: "\n".join(lines)
+    one = spark.createDataFrame([(1, text("a line of some length", "mine alone, number one")), (2, text("a line of some length", "short"))], "doc_id long, text string")
+    two = spark.createDataFrame([(0, text("A LINE of some length ", "another one for zero")), (3, text("mine alone, number one"))], "doc_id long, text string")
+    every = one.unionByName(two)
+    result = lambda store: sorted(tuple(r) for r in store.deduplicated(every).select("doc_id", "n_dropped").collect())
+    line_dedup.LineStore(spark, path, min_chars=8).insert(one)
+    store = line_dedup.LineStore.open(spark, path)
+    assert store.min_chars == 8 and result(store) == [(0, 1), (1, 0), (2, 1), (3, 0)]
+    #: A change that wrote a table and then ended.
+    store._write(more=line_dedup.holders_of(two, 8))
+    store = line_dedup.LineStore.open(spark, path).insert(two).insert(one)
+    both = [(0, 0), (1, 1), (2, 1), (3, 1)]
+    assert result(store) == result(line_dedup.LineStore.open(spark, path)) == both
+    line_dedup.LineStore.open(spark, path).delete(spark.createDataFrame([(0,), (3,)], "doc_id long"))
+    again = line_dedup.LineStore.open(spark, path)
+    assert sorted(tuple(r) for r in again.refs.select("n_docs", "keeper").collect()) == [(1, 1), (2, 1)]
+    with pytest.raises(Exception):
+        line_dedup.LineStore.open(spark, f"file://{tmp_path}/nothing")
+
+
 def test_line_filters_grow_with_their_keys(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
     monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
