@@ -415,3 +415,20 @@ def test_communities_settle_and_hang_together(spark):
             front = {b for a, b in weights if a in front and b in own} - reach
             reach = reach | front
         assert reach == own and min(own) == c
+
+
+def test_vector_hits_of_several_blocks(spark, monkeypatch):
+    """Each block of vectors meets each block of queries, in whichever task."""
+    from dossier.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i * i % 11), float(i % 13)]) for i in range(100)], "vec_id long, embedding array<float>")
+        q = v.filter("vec_id % 2 = 0").withColumnRenamed("vec_id", "query_id")
+        best = {(r.query_id, r.vec_id, r.score) for r in retrieval.vector_hits(v, q, 1).collect()}
+    finally:
+        spark.conf.set(coalesce, before)
+    assert {(i, s) for i, _, s in best} == {(i, 1.0) for i in range(0, 100, 2)}
