@@ -270,3 +270,16 @@ def test_places_in_hot_groups(spark):
         groups.setdefault(g, []).append((-x, i))
     assert got == {i: n for own in groups.values() for n, (_, i) in enumerate(sorted(own), 1)}
     assert ranked(df.limit(0), ["g"], [F.col("id")]).collect() == []
+
+
+def test_only_what_a_query_shows_is_computed(spark, sf, monkeypatch):
+    """Overviews and top players need no betweenness; names that several entities bear need not meet all others."""
+    from dossier.operators import metrics, resolve
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("not needed")
+
+    monkeypatch.setattr(metrics, "betweenness", refuse)
+    monkeypatch.setattr(resolve, "candidates", refuse)
+    for name in ("graph_overview", "top_players"):
+        assert QUERIES[name](spark, sf).columns
