@@ -281,5 +281,5 @@ def test_only_what_a_query_shows_is_computed(spark, sf, monkeypatch):
 
     monkeypatch.setattr(metrics, "betweenness", refuse)
     monkeypatch.setattr(resolve, "candidates", refuse)
-    for name in ("graph_overview", "top_players"):
+    for name in ("graph_overview", "top_players", "cross_case_matches"):
         assert QUERIES[name](spark, sf).columns
