@@ -283,3 +283,15 @@ def test_only_what_a_query_shows_is_computed(spark, sf, monkeypatch):
     monkeypatch.setattr(resolve, "candidates", refuse)
     for name in ("graph_overview", "top_players", "cross_case_matches"):
         assert QUERIES[name](spark, sf).columns
+
+
+def test_distances_are_those_of_the_shortest_paths(spark):
+    """More than 64 starts, a pair of equal ends, ends without a path, a repeated pair; the query keeps no paths."""
+    from dossier.operators import graph as G
+
+    e = spark.createDataFrame([(f"n{i:03}", f"n{(i * 7 + k) % 150:03}", "OWNS", 0.5) for i in range(150) for k in (1, 5)] + [("x", "y", "OWNS", 0.5)], "src string, dst string, edge_type string, confidence double")
+    pairs = spark.createDataFrame([(f"n{i:03}", f"n{(i * j) % 150:03}") for i in range(150) for j in (1, 2, 31)] + [("n000", "x"), ("x", "y"), ("x", "y")], "a string, b string")
+    for hops in (1, 2, 4):
+        got = sorted(map(tuple, G.distances(e, pairs, hops).collect()))
+        assert got == sorted(map(tuple, G.shortest_paths(e, pairs, hops).select("a", "b", "hops").collect()))
+    assert len({r[0] for r in got}) > 64 and {r[2] for r in got} >= {0, 1, 2, 3}
