@@ -295,3 +295,32 @@ def test_distances_are_those_of_the_shortest_paths(spark):
         got = sorted(map(tuple, G.distances(e, pairs, hops).collect()))
         assert got == sorted(map(tuple, G.shortest_paths(e, pairs, hops).select("a", "b", "hops").collect()))
     assert len({r[0] for r in got}) > 64 and {r[2] for r in got} >= {0, 1, 2, 3}
+
+
+def test_betweenness_by_parts(spark, monkeypatch):
+    """Parts, ends of one and of several parts, loops and parallel edges against brute force: in tasks, in small bites, and level by level."""
+    import random
+
+    from dossier.operators import metrics
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("not needed")
+
+    rng = random.Random(5)
+    edges = [(f"{g}{rng.randrange(20):02}", f"{g}{rng.randrange(20):02}") for g in "pq" for _ in range(45)]
+    edges += [(f"{g}{rng.randrange(20):02}", f"end{rng.randrange(12)}") for g in "pq" for _ in range(25)] + [("lone", "end1"), ("lone", "only"), ("p00", "p00"), ("p01", "p02"), ("p01", "p02")]
+    nodes = sorted({x for e in edges for x in e} | {"apart"})
+    n, e = spark.createDataFrame([(k,) for k in nodes], "key string"), spark.createDataFrame(edges, "src string, dst string")
+    want = brute_betweenness(nodes, [x for x in edges if x[0] != x[1]])
+    got = lambda **of: {r["key"]: r["betweenness"] for r in metrics.betweenness(n, e, **of).collect()}
+    with monkeypatch.context() as patched:
+        patched.setattr(metrics, "_dependencies", refuse)
+        assert got() == pytest.approx(want) and max(want.values()) > 1
+        patched.setattr(metrics, "CELLS", 1)
+        patched.setattr(metrics, "WORK", 100)
+        assert got() == pytest.approx(want)
+        drawn = spark.createDataFrame([("p01",), ("q03",), ("lone",), ("gone",)], "key string")
+        some = got(sources=drawn)
+    assert got(sources=drawn, max_depth=50) == pytest.approx(some)
+    monkeypatch.setattr(metrics, "PART_LINKS", 1)
+    assert got() == pytest.approx(want)
