@@ -324,3 +324,12 @@ def test_betweenness_by_parts(spark, monkeypatch):
     assert got(sources=drawn, max_depth=50) == pytest.approx(some)
     monkeypatch.setattr(metrics, "PART_LINKS", 1)
     assert got() == pytest.approx(want)
+
+
+def test_lines_are_shuffled_once(spark, sf):
+    """Orders meet customers before lines meet orders, so lines go by their order alone."""
+    from dossier.sources import domain
+
+    plan = domain.relations(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and "l_orderkey" in joins[0] and "c_custkey" in joins[1]
