@@ -42,7 +42,10 @@ def tags(tokens: DataFrame, labels: list[str]) -> DataFrame:
     lead = F.upper(F.substring_index(F.col("_tag"), "-", 1))
     kind = F.upper(F.when(F.contains("_tag", F.lit("-")), F.substr("_tag", F.char_length(F.substring_index("_tag", "-", 1)) + 2)).otherwise(F.lit("")))
     named = F.col("_tag").isNotNull() & ~F.upper("_tag").isin(*BETWEEN)
-    out = tokens.withColumn("_tag", tag).withColumn("probability", F.array_max(softmax(F.col("scores"))))
+    out = tokens.withColumn("_tag", tag).withColumn("_top", F.array_max("scores"))
+    #: The largest of softmax(scores), without the others.
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
+    out = out.withColumn("probability", F.when(F.size("scores") > 0, 1.0 / total)).drop("_top")
     return out.withColumn("begins", named & lead.startswith("B")).withColumn("raw_label", F.when(named, F.when(kind == "", lead).otherwise(kind))).drop("_tag")
 
 

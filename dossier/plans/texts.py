@@ -316,7 +316,8 @@ def token_spans(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), F.posexplode(F.split("text", "\n")).alias("sentence", "line"))
     t = d.select("evidence_id", "sentence", F.posexplode(matches(F.col("line"), r"[^ \t\n\r]+")).alias("position", "w")).select("evidence_id", "sentence", "position", "w.*")
     sums = F.md5(F.encode(F.lower("value"), "UTF-8"))
-    scores = F.transform(F.sequence(F.lit(0), F.lit(len(TAGS) - 1)), lambda k: F.conv(F.substr("m", k * 2 + 1, F.lit(2)), 16, 10).cast("double") / 32.0)
+    #: Spelt out, as in a lambda the sum would be worked out for each score.
+    scores = F.array(*[F.conv(F.substr("m", F.lit(2 * k + 1), F.lit(2)), 16, 10).cast("double") / 32.0 for k in range(len(TAGS))])
     return S.decoded(t.withColumn("m", sums).withColumn("scores", scores), TAGS)
 
 

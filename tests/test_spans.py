@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions.arrays import composed, matches, running_sums
@@ -164,3 +165,20 @@ def test_shared_pieces_bring_no_names_together(spark):
     met = X.rarest(asked, "said", counts).join(pieces, "key").count()
     assert asked.count() == 300 and met < 300 * 3000 / 20
     assert X.rarest(spark.createDataFrame([("zzz customer",)], "said string"), "said", counts).count() == 0
+
+
+def test_places_in_long_texts(spark):
+    """Lengths of the gaps are worked out once and not for each run of sums; the largest probability is that of softmax."""
+    took = []
+    for n in (8000, 64_000):
+        df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),)] * 4, "t string").repartition(4)
+        for _ in range(2):
+            began = time.time()
+            last = df.select(F.element_at(matches(F.col("t"), "[^ ]+"), -1).alias("m")).select("m.*").first()
+            spent = time.time() - began
+        assert (last["end"] - last["start"], last["value"]) == (len(f"w{n - 1}"), f"w{n - 1}")
+        took.append(spent)
+    assert took[1] < 4 * took[0] + 1
+    rows = [(0, 1, [0.5, 2.0, 2.0]), (0, 1, [7.0]), (0, 1, []), (0, 1, None), (0, 1, [1.0, None])]
+    got = S.tags(spark.createDataFrame(rows, "start int, end int, scores array<double>"), ["O", "B-PER", "I-PER"]).select("probability", F.array_max(S.softmax(F.col("scores"))).alias("p")).collect()
+    assert [r["probability"] for r in got] == pytest.approx([r["p"] for r in got]) and got[1]["p"] == 1.0 and got[3]["p"] is None
