@@ -121,3 +121,18 @@ def test_fuzzy_hits_against_all_pairs(spark, least):
                 if s > least or t.lower() in v.lower():
                     want.add((q, i, round(s, 9)))
     assert {(r["query_id"], r["id"], round(r["similarity"], 9)) for r in found.collect()} == want and found.count() == len(want) > 20
+
+
+def test_ranked_terms_stay_with_their_chunk(spark):
+    """Only the chunks' words are dealt, once: neither their counts nor what queries make of them is shuffled on. A repeated chunk counts as one."""
+    from pyspark.sql import functions as F
+
+    from dossier.operators import retrieval
+
+    c = spark.createDataFrame([(1, 0, "red cat and red dog"), (1, 1, "blue dog"), (2, 0, "cat"), (2, 0, "cat"), (3, 0, None)], "evidence_id long, chunk_index int, chunk string")
+    q = spark.createDataFrame([(7, "red dog"), (8, "cat cat"), (9, "none")], "query_id long, question string")
+    found = retrieval.bm25(c, q)
+    got = {(r["query_id"], r["evidence_id"], r["chunk_index"]): r["score"] for r in found.collect()}
+    assert set(got) == {(7, 1, 0), (7, 1, 1), (8, 1, 0), (8, 2, 0)} and got[7, 1, 0] > got[7, 1, 1]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and plan.count("hashpartitioning(evidence_id") >= 1
