@@ -133,8 +133,8 @@ def asked(queries: DataFrame) -> DataFrame:
 
 
 def postings(texts: DataFrame, stems: DataFrame) -> DataFrame:
-    """(stem, doc_id, positions) of the given stems in texts (doc_id, text)."""
-    said = texts.select("doc_id", F.posexplode(words(F.col("text"))).alias("position", "word"))
+    """(stem, doc_id, positions) of the given stems in texts (doc_id, words)."""
+    said = texts.select("doc_id", F.posexplode("words").alias("position", "word"))
     known = said.select("word").distinct().withColumn("stem", stem(F.col("word"))).filter(~F.col("word").isin(*STOP_WORDS))
     wanted = stored(known.join(broadcast_up_to(stems.select("stem").distinct(), TERMS), "stem"), "words")
     met = said.join(broadcast_up_to(wanted, TERMS), "word")
@@ -144,6 +144,7 @@ def postings(texts: DataFrame, stems: DataFrame) -> DataFrame:
 def search(texts: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc_id, score, rank: the best k texts (doc_id, text) of each query (query_id, question)."""
     texts = texts.filter("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    texts = stored(texts.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("words")), "words")  # read four times
     atoms = stored(asked(queries.filter("query_id is not null").select("query_id", "question").distinct()), "asked")
     found = stored(postings(texts, atoms), "postings")
     met = broadcast_up_to(atoms, TERMS).join(found, "stem")
@@ -156,7 +157,7 @@ def search(texts: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     need = atoms.filter("not excluded").groupBy("query_id", "alternative").agg(F.count_distinct("item").alias("need"))
     full = held.join(broadcast_up_to(need, TERMS), ["query_id", "alternative"]).filter("bad = 0 and has = need")
     terms = full.join(met.filter("not excluded"), ["query_id", "alternative", "doc_id"]).select("query_id", "doc_id", "stem", F.size("positions").alias("tf")).distinct()
-    lengths = texts.select("doc_id", F.size(F.filter(words(F.coalesce("text", F.lit(""))), lambda w: ~w.isin(*STOP_WORDS))).alias("n_words"))
+    lengths = texts.select("doc_id", F.size(F.filter("words", lambda w: ~w.isin(*STOP_WORDS))).alias("n_words"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("n_words").alias("mean"))
     df = found.groupBy("stem").agg(F.count("*").alias("df"))
     rated = terms.join(df, "stem").join(lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row of statistics
