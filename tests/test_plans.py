@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import same
+from conftest import SF, same
 
 from dossier.plans.registry import ORACLE_SQL, QUERIES
 
@@ -333,3 +333,34 @@ def test_lines_are_shuffled_once(spark, sf):
     plan = domain.relations(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     assert len(joins) == 2 and "l_orderkey" in joins[0] and "c_custkey" in joins[1]
+
+
+@pytest.fixture(scope="module")
+def alike(tmp_path_factory):
+    """Three copies of the smallest tables with shifted keys, in which customers keep their names: persons share a key."""
+    import duckdb
+
+    out, own = tmp_path_factory.mktemp("alike"), {"customer": ("c_custkey",), "orders": ("o_orderkey", "o_custkey"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey")}
+    for name in ("customer", "orders", "lineitem", "nation", "region"):
+        shifted = ", ".join(f"({k} + i * 1000000)::bigint as {k}" for k in own.get(name, ()))
+        rows = f"(select t.* {f'replace ({shifted})' if shifted else ''} from '{SF}/{name}.parquet' t, range({3 if shifted else 1}) r(i))"
+        duckdb.sql(f"copy {rows} to '{out}/{name}.parquet' (format parquet)")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["components", "view_clusters"])
+def test_nodes_of_one_key_against_sql(spark, alike, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("customer", "orders", "lineitem", "nation", "region"):
+        c.execute(f"create view {t} as select * from '{alike}/{t}.parquet'")
+    assert same(QUERIES[name](spark, alike), c.sql(ORACLE_SQL[name]))
+
+
+def test_nodes_of_one_key_are_not_multiplied(spark, alike):
+    """Metrics have one row a key, so that the case metrics have as many rows as the nodes."""
+    from dossier.plans import graphs
+
+    n, _, m = graphs.case_metrics(spark, alike)
+    assert m.count() == n.count() > n.select("key").distinct().count()
