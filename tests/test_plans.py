@@ -364,3 +364,14 @@ def test_nodes_of_one_key_are_not_multiplied(spark, alike):
 
     n, _, m = graphs.case_metrics(spark, alike)
     assert m.count() == n.count() > n.select("key").distinct().count()
+
+
+def test_numbers_follow_the_keys(spark, alike):
+    """Rows of one key have one number, numbers are in the order of keys, and edges have those of their ends."""
+    from dossier.plans import graphs
+
+    n, e = graphs.whole(spark, alike)
+    no = {(r["key"], r["no"]) for r in n.select("key", "no").collect()}
+    assert len(no) == n.select("key").distinct().count() < n.count()
+    assert sorted(no) == sorted(no, key=lambda x: x[1])
+    assert {(r["src"], r["src_no"]) for r in e.collect()} | {(r["dst"], r["dst_no"]) for r in e.collect()} <= no
