@@ -432,3 +432,12 @@ def test_vector_hits_of_several_blocks(spark, monkeypatch):
     finally:
         spark.conf.set(coalesce, before)
     assert {(i, s) for i, _, s in best} == {(i, 1.0) for i in range(0, 100, 2)}
+
+
+def test_path_answers_of_nodes_that_share_a_key(spark):
+    """A step is told once, however many rows bear its key."""
+    from dossier.operators import retrieval
+
+    paths = spark.createDataFrame([("a", "c", 2, "a > b > c")], "a string, b string, hops int, path string")
+    names = spark.createDataFrame([("a", "A"), ("a", "A"), ("b", "B"), ("b", "B"), ("b", "B")], "key string, value string")
+    assert [r["answer"] for r in retrieval.path_answers(paths, names).collect()] == ["Confirmed connection (2 hop(s)): A → B → c"]
