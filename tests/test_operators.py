@@ -441,3 +441,29 @@ def test_path_answers_of_nodes_that_share_a_key(spark):
     paths = spark.createDataFrame([("a", "c", 2, "a > b > c")], "a string, b string, hops int, path string")
     names = spark.createDataFrame([("a", "A"), ("a", "A"), ("b", "B"), ("b", "B"), ("b", "B")], "key string, value string")
     assert [r["answer"] for r in retrieval.path_answers(paths, names).collect()] == ["Confirmed connection (2 hop(s)): A → B → c"]
+
+
+def test_ratios_of_many_pairs_at_once():
+    """As difflib's, for short and long common parts, ties, blanks and letters beyond one code unit."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(3)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    names = [*[f"supplier#{rng.randrange(60_000):09d}" for _ in range(400)], *[made("ab", 12) for _ in range(400)], *[made("abc é𝒳#", 65) for _ in range(400)]]
+    pairs = [(a, rng.choice(names) if rng.random() < 0.6 else a[: len(a) // 2] + rng.choice("ab#x") + a[len(a) // 2 + 1 :]) for a in names for _ in range(3)]
+    got = resolve.short_ratios(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]))
+    assert list(got) == [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
+def test_names_of_one_block_are_dealt_to_tasks(spark):
+    """A block's pairs are not one task's work, and none is lost or made twice; cut plates meet longer ones."""
+    names = [("Organization", f"supplier#{i:09d}", 1) for i in range(1500)] + [("Vehicle", p, 1) for p in ("mh0000012", "mh0000013", "mh00000123", "mh00000129")]
+    df = spark.createDataFrame(names, "node_type string, normalized string, n long")
+    pairs = resolve.name_pairs(df).withColumn("task", F.spark_partition_id())
+    orgs = pairs.filter("node_type = 'Organization'")
+    most, n, different = orgs.groupBy("task").count().agg(F.max("count"), F.sum("count"), F.count("*")).first()
+    assert n == 1500 * 1499 // 2 == orgs.select("a", "b").distinct().count() and most < 0.7 * n and different > 2
+    plates = {(r["a"], r["b"]) for r in pairs.filter("node_type = 'Vehicle'").collect()}
+    assert plates == {("mh0000012", "mh00000123"), ("mh0000012", "mh00000129"), ("mh00000123", "mh0000013"), ("mh00000123", "mh00000129")}
