@@ -335,13 +335,13 @@ def grams(text: Column, n: int = GRAM) -> Column:
     return F.when(F.char_length(text) >= n, F.array_distinct(cut)).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
-def rarest(rows: DataFrame, text: str, counts: DataFrame) -> DataFrame:
-    """rows with `key`: of the grams of a text (at least GRAM characters) the one with the smallest n of counts (gram, n).
+def rarest(rows: DataFrame, text: str, counts: DataFrame, n: int = GRAM) -> DataFrame:
+    """rows with `key`: of the grams of a text (at least n characters) the one with the smallest n of counts (gram, n).
 
     Rows with a gram that counts lacks are dropped: nothing counted can hold their text.
     """
     key = [c for c in rows.columns]
-    each = rows.withColumn("_all", grams(F.col(text))).withColumn("gram", F.explode("_all")).withColumn("_size", F.size("_all")).drop("_all")
+    each = rows.withColumn("_all", grams(F.col(text), n)).withColumn("gram", F.explode("_all")).withColumn("_size", F.size("_all")).drop("_all")
     met = each.join(counts, "gram").groupBy(*key, "_size").agg(F.min(F.struct("n", "gram")).alias("_best"), F.count("*").alias("_met"))
     return met.filter("_met = _size").select(*key, F.col("_best.gram").alias("key"))
 

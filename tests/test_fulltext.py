@@ -136,3 +136,19 @@ def test_ranked_terms_stay_with_their_chunk(spark):
     assert set(got) == {(7, 1, 0), (7, 1, 1), (8, 1, 0), (8, 2, 0)} and got[7, 1, 0] > got[7, 1, 1]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan and plan.count("hashpartitioning(evidence_id") >= 1
+
+
+def test_fuzzy_hits_of_numbers_meet_few_values(spark, monkeypatch):
+    """Names that differ in digits alone share frequent trigrams; few of their pairs are compared, and no hit is lost."""
+    met, keep = [], retrieval.stored
+    monkeypatch.setattr(retrieval, "stored", lambda df, name: (out := keep(df, name), met.append(out.count()) if name == "met" else None)[0])
+    values = [(i, f"MH{i:07d}") for i in range(0, 12_000, 6)]
+    asked = [(i, v.replace("00", "0")) for i, v in values[::20]]
+    found = retrieval.fuzzy_hits(spark.createDataFrame(values, "id long, value string"), spark.createDataFrame(asked, "query_id long, text string"), 0.6)
+    sets = {i: trigram_set(v) for i, v in values}
+    want = set()
+    for q, t in asked:
+        a = trigram_set(t)
+        want |= {(q, i) for i, v in values if len(a & sets[i]) / len(a | sets[i]) > 0.6 or t.lower() in v.lower()}
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == want and len(want) >= len(asked)
+    assert met and met[0] < 20 * len(asked)
