@@ -467,3 +467,21 @@ def test_names_of_one_block_are_dealt_to_tasks(spark):
     assert n == 1500 * 1499 // 2 == orgs.select("a", "b").distinct().count() and most < 0.7 * n and different > 2
     plates = {(r["a"], r["b"]) for r in pairs.filter("node_type = 'Vehicle'").collect()}
     assert plates == {("mh0000012", "mh00000123"), ("mh0000012", "mh00000129"), ("mh00000123", "mh0000013"), ("mh00000123", "mh00000129")}
+
+
+def test_communities_settle_within_pieces(spark, monkeypatch):
+    """One pass over the links of a level is enough where parts fit into pieces; parts that are cut get as good communities."""
+    import random
+
+    rng = random.Random(4)
+    pairs = {(min(i, j), max(i, j)) for i in range(240) for j in range(240) if i != j and i // 80 == j // 80 and rng.random() < (0.3 if i // 10 == j // 10 else 0.01)}
+    e = spark.createDataFrame([(a, b, 0.5 + rng.random() / 2) for a, b in sorted(pairs)], "src long, dst long, confidence double")
+    n = spark.createDataFrame([(i,) for i in range(240)], "key long")
+    written, keep = [], metrics.stored
+    monkeypatch.setattr(metrics, "stored", lambda df, name: written.append(name) or keep(df, name))
+    found = metrics.communities(n, e)
+    assert written.count("options") == written.count("moved") > 1 and "connected" not in written
+    best = metrics.modularity(e, found)
+    monkeypatch.setattr(metrics, "PIECE", 300)
+    cut = metrics.communities(n, e)
+    assert cut.count() == 240 == found.count() and best > 0.5 and metrics.modularity(e, cut) > best - 0.05
