@@ -297,6 +297,56 @@ def test_distances_are_those_of_the_shortest_paths(spark):
     assert len({r[0] for r in got}) > 64 and {r[2] for r in got} >= {0, 1, 2, 3}
 
 
+def test_distances_of_pairs_and_of_starts_with_all_ends(spark):
+    """Either way of searching, with self links, unknown and null ends, and ends of another case, against the paths."""
+    import random
+
+    from dossier.operators import graph as G
+
+    rng = random.Random(7)
+    e = spark.createDataFrame([(f"k{rng.randrange(40):02}", f"k{rng.randrange(40):02}", "P", 0.5) for _ in range(48)], "src string, dst string, edge_type string, confidence double")
+    asked = [(f"k{rng.randrange(40):02}", f"k{rng.randrange(40):02}") for _ in range(90)] + [("gone", "k01"), ("gone", "gone"), ("k02", "k02"), ("k03", "k03"), ("k03", "k03"), (None, "k01"), ("k01", None)]
+    pairs = spark.createDataFrame(asked, "a string, b string")
+    for hops in (1, 4, 5):
+        want = sorted(map(tuple, G.shortest_paths(e, pairs, hops).select("a", "b", "hops").collect()))
+        for many in (0, 3) if hops == 5 else (3,):
+            assert sorted(map(tuple, G.distances(e, pairs, hops, many).collect())) == want
+    starts = spark.createDataFrame([(f"k{i:02}", i % 2) for i in range(40)] + [("gone", 0)], "a string, case_id int")
+    ends = spark.createDataFrame([(f"k{i:02}", i % 2, i) for i in range(0, 40, 3)], "b string, case_id int, n int")
+    both = starts.join(ends, "case_id").select("a", "b")
+    got = G.reached(e, starts, ends, 4)
+    assert sorted(got.columns) == ["a", "b", "hops", "n"]
+    assert sorted(map(tuple, got.select("a", "b", "hops").collect())) == sorted(map(tuple, G.shortest_paths(e, both, 4).select("a", "b", "hops").collect()))
+
+
+def kept_rows(monkeypatch):
+    """Rows that graph reads write, by what they are."""
+    from dossier.operators import graph as G
+
+    rows, plain = {}, G.stored
+
+    def counting(df, name):
+        out = plain(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(G, "stored", counting)
+    return rows
+
+
+def test_pairs_of_few_ends_cost_no_front_over_the_graph(spark, monkeypatch):
+    """A pair meets step by step; hubs are pairs of their own once, however many pairs come to them."""
+    from dossier.operators import graph as G
+
+    links = [(f"p{i:04}", f"h{i % 2}", "AT", 0.5) for i in range(4000)] + [("p0000", "h1", "AT", 0.5)]
+    e = spark.createDataFrame(links, "src string, dst string, edge_type string, confidence double")
+    pairs = spark.createDataFrame([(f"p{i:04}", f"p{i + 1 + i % 3:04}") for i in range(2, 200)], "a string, b string")
+    kept = kept_rows(monkeypatch)
+    got = {(r["a"], r["b"]): r["hops"] for r in G.distances(e, pairs).collect()}
+    assert got == {(f"p{i:04}", f"p{i + 1 + i % 3:04}"): 2 if i % 3 == 1 else 4 for i in range(2, 200)}
+    assert kept.get("front", 0) == 0 and kept["step"] < 4000
+
+
 def test_betweenness_by_parts(spark, monkeypatch):
     """Parts, ends of one and of several parts, loops and parallel edges against brute force: in tasks, in small bites, and level by level."""
     import random
