@@ -347,6 +347,12 @@ def test_pairs_of_few_ends_cost_no_front_over_the_graph(spark, monkeypatch):
     assert kept.get("front", 0) == 0 and kept["step"] < 4000
 
 
+def test_shortest_paths_write_no_pairs(spark, sf, monkeypatch):
+    """The query's pairs are the square of a case's nodes; fronts are kept for 64 starts in a row, pairs are not."""
+    kept = kept_rows(monkeypatch)
+    assert QUERIES["shortest_paths"](spark, sf).count() and "pairs" not in kept and kept["front"] > 0
+
+
 def test_betweenness_by_parts(spark, monkeypatch):
     """Parts, ends of one and of several parts, loops and parallel edges against brute force: in tasks, in small bites, and level by level."""
     import random
