@@ -152,3 +152,14 @@ def test_fuzzy_hits_of_numbers_meet_few_values(spark, monkeypatch):
         want |= {(q, i) for i, v in values if len(a & sets[i]) / len(a | sets[i]) > 0.6 or t.lower() in v.lower()}
     assert {(r["query_id"], r["id"]) for r in found.collect()} == want and len(want) >= len(asked)
     assert met and met[0] < 20 * len(asked)
+
+
+def test_fuzzy_hits_send_no_made_rows_to_the_driver(spark, monkeypatch):
+    """Rows made of texts and values stand for far more than the files they come from, which is all that the planner knows."""
+    plans, keep = {}, retrieval.stored
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "stored", lambda df, name: (plans.update({name: plan(df)}), keep(df, name))[1])
+    values = spark.createDataFrame([(i, f"Supplier#{i:05d}") for i in range(40)], "id long, value string")
+    found = retrieval.fuzzy_hits(values, spark.createDataFrame([(1, "Supplier#0012"), (2, "er")], "query_id long, text string"), 0.6)
+    assert found.filter("query_id = 2").count() == 40
+    assert "Broadcast" not in plans["met"] + plans["close"] + plan(found)
