@@ -223,6 +223,35 @@ def test_pagerank_of_hubs(spark, monkeypatch):
     assert ranks() == pytest.approx(usual) and usual["alone"] == pytest.approx(0.15)
 
 
+def test_pagerank_rounds_go_over_nodes_that_lead_on(spark, monkeypatch):
+    """Against plain sums; ends without links of their own, most nodes of a graph, have ranks in the last round alone."""
+    from dossier.operators import metrics
+
+    edges = [("a", "b", 0.5), ("b", "a", 1.0), ("b", "c", 0.25), ("c", "a", None)] + [(x, f"end{i}", 0.1 + i % 3) for i in range(60) for x in "ab"[: 1 + i % 2]]
+    n = spark.createDataFrame([(k,) for k in sorted({k for e in edges for k in e[:2]}) + ["alone"]], "key string")
+    written, keep = [], metrics.stored
+    monkeypatch.setattr(metrics, "stored", lambda df, name: (out := keep(df, name), written.append(out.count()) if name == "ranks" else None)[0])
+    for rounds in (0, 1, 6):
+        written.clear()
+        got = {r["key"]: r["pagerank"] for r in metrics.pagerank(n, spark.createDataFrame(edges, "src string, dst string, confidence double"), rounds=rounds).collect()}
+        want = dict.fromkeys(got, 1.0)
+        weight = lambda c: 0.5 if c is None else c
+        total = {k: sum(weight(c) for s, _, c in edges if s == k) for k in want}
+        for _ in range(rounds):
+            want = {k: 0.15 + 0.85 * sum(want[s] * weight(c) / total[s] for s, d, c in edges if d == k) for k in want}
+        assert len(got) == 64 and got == pytest.approx(want)
+        assert all(m == 3 for m in written[:-1]) and written[-1:] == [64][: min(rounds, 1)]
+
+
+def test_scores_read_entities_once(spark, sf, monkeypatch):
+    """What the tables say of entities is put together once for the graph and for the cases that share a name."""
+    from dossier.plans import graphs
+
+    calls, plain = [], graphs.D.entities
+    monkeypatch.setattr(graphs.D, "entities", lambda *args: (calls.append(args), plain(*args))[1])
+    assert QUERIES["risk_scores"](spark, sf).count() and len(calls) == 1
+
+
 def brute_path(edges, a, b, most):
     """The shortest path, then the most confident edge by edge, then the smallest keys: over all walks without a step back."""
     best = {}
